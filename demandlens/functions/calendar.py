@@ -27,11 +27,12 @@ def date_parts(df: DataFrame, date_col: str = "date") -> DataFrame:
     """Add month_start, year_num, month_num, month_name (full English name), weekday_num
     (Monday = 0), weekday_name and is_weekend (Saturday/Sunday -> 1)."""
     d = F.col(date_col)
-    return (df
-            .withColumn("month_start", month_start(d))
-            .withColumn("year_num", F.year(d))
-            .withColumn("month_num", F.month(d))
-            .withColumn("month_name", F.date_format(d, "MMMM"))
-            .withColumn("weekday_num", weekday_num(d))
-            .withColumn("weekday_name", F.date_format(d, "EEEE"))
-            .withColumn("is_weekend", flag(weekday_num(d).isin(5, 6))))
+    return df.withColumns({
+        "month_start": month_start(d),
+        "year_num": F.year(d),
+        "month_num": F.month(d),
+        "month_name": F.date_format(d, "MMMM"),
+        "weekday_num": weekday_num(d),
+        "weekday_name": F.date_format(d, "EEEE"),
+        "is_weekend": flag(weekday_num(d).isin(5, 6)),
+    })

@@ -3,7 +3,7 @@
 Scope rules are data: an event of a scope applies to a store-day when the dates are equal
 and, for local scopes, the store's location column equals the event's ``locale_name``.
 National events match on the date alone, so no scope needs a cross product: every rule is
-an equi-join against the (small, size-checked, broadcast) event side.
+an equi-join against the event side, which the planner broadcasts when its size allows.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import col, flag
-from .joins import bounded_broadcast
 
 # Fixed values of the reference's calendar logic.
 KEPT_EVENT_TYPES = ["Holiday", "Additional", "Bridge", "Event", "Transfer"]
@@ -50,7 +49,7 @@ def attribute_events(events: DataFrame, targets: DataFrame, scopes=SCOPES,
     event_type, description. ``targets`` carries the date and the scope columns."""
     parts = []
     for label, match_col in scopes:
-        ev = bounded_broadcast(_scope_events(events, label))
+        ev = _scope_events(events, label)
         parts.append(targets.join(ev, _scope_condition(targets, ev, match_col, date_col))
                      .select(targets[date_col].alias(date_col), *[targets[k] for k in keep],
                              F.lit(label).alias("holiday_scope"), "event_type", "description"))
@@ -102,7 +101,6 @@ def collapse_events(targets: DataFrame, events: DataFrame, scopes=SCOPES,
             F.max(flag(F.col("type") == holiday_type)).alias(p + "_hol"),
             F.collect_set("type").alias(p + "_types"),
             F.collect_set("description").alias(p + "_descs"))
-        dig = bounded_broadcast(dig)
         cond = out[date_col] == dig[p + "_date"]
         if match_col is not None:
             cond = cond & (out[match_col] == dig[p + "_loc"])
@@ -123,14 +121,13 @@ def collapse_events(targets: DataFrame, events: DataFrame, scopes=SCOPES,
         merged = F.array_sort(F.array_distinct(F.concat(*arrays)))
         return F.when(n_scopes > 0, F.array_join(merged, sep)).otherwise(F.lit(NO_EVENT))
 
-    helper_cols = [c for c in out.columns if c.startswith(tuple(f"_{s[0].lower()}_" for s in scopes))]
-    return (out
-            .withColumn("is_special_day", flag(n_scopes > 0))
-            .withColumn("is_holiday", F.coalesce(F.greatest(*hols), F.lit(0)))
-            .withColumn("holiday_scope", scope)
-            .withColumn("event_type_list", listed(types, TYPE_SEPARATOR))
-            .withColumn("event_description_list", listed(descs, DESCRIPTION_SEPARATOR))
-            .drop(*helper_cols))
+    return out.select(
+        *[F.col(c) for c in targets.columns],
+        flag(n_scopes > 0).alias("is_special_day"),
+        F.coalesce(F.greatest(*hols), F.lit(0)).alias("is_holiday"),
+        scope.alias("holiday_scope"),
+        listed(types, TYPE_SEPARATOR).alias("event_type_list"),
+        listed(descs, DESCRIPTION_SEPARATOR).alias("event_description_list"))
 
 
 def lift_vs_baseline(grouped: DataFrame, is_baseline: Column, measures: dict) -> DataFrame:

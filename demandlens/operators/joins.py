@@ -1,4 +1,10 @@
-"""Join helpers: broadcast only behind a proven size bound."""
+"""Join helpers: broadcast only behind a proven size bound.
+
+Joins inside the library carry no hints: the session's broadcast thresholds (see
+``session.DEFAULT_CONF``) make the planner broadcast a side only when its statistics prove
+it small, and AQE re-checks at run time. ``bounded_broadcast`` is for callers who want to
+force a broadcast of a frame whose planner estimate is unknown (e.g. the output of a join),
+and it still proves the bound first by counting at most ``max_rows + 1`` rows."""
 
 from __future__ import annotations
 

@@ -17,7 +17,6 @@ from ..operators.audit import check_constraints, contradiction_audit, coverage_a
 from ..operators.classify import classify, rank_of
 from ..operators.events import (DESCRIPTION_SEPARATOR, MIXED_SCOPE, applicable_to_any,
                                 attribute_events, distinct_list, lift_vs_baseline)
-from ..operators.joins import bounded_broadcast
 from ..operators.stats import (coefficient_of_variation, concentration, dense_rank_desc,
                                over_all, pearson, percentile_rank, quantile_segment,
                                share_of_total, sigma_band, top_n_share, zscore_outliers)
@@ -231,7 +230,7 @@ def q09_cluster_index(L: Layer, over: float = 1.20, under: float = 0.80) -> Data
     # One pass over the fact table: (store, family) partial sums feed both branches
     # (the shared exchange is reused).
     sf = L.train.groupBy("store_nbr", "family").agg(F.sum("sales").alias("revenue"))
-    st = bounded_broadcast(L.stores.select("store_nbr", "cluster"))
+    st = L.stores.select("store_nbr", "cluster")
     cf = (sf.join(st, "store_nbr").groupBy("cluster", "family").agg(F.sum("revenue").alias("revenue"))
           .withColumn("_cs", share_of_total("revenue", ["cluster"])))
     ns = (sf.groupBy("family").agg(F.sum("revenue").alias("_fam_total"))

@@ -9,11 +9,13 @@ context   = enriched + per-scope event digests, collapsed       (V5)
 Plan shape: the fact table is aggregated first (partial + final hash aggregate on
 (date, store_nbr)); transactions are joined on the same keys, so the aggregate's hash
 partitioning is reused; the dimension-sized sides (stores, the oil calendar, the event
-digests) are broadcast only after a bounded row count proves them small.
+digests) are broadcast when their statistics are under the session's threshold (they are
+read from written tables, so the planner knows their size), else shuffle-joined.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,6 @@ from pyspark.sql import functions as F
 from ..functions.calendar import date_parts
 from ..functions.numeric import count_where, flag, pct_rounded_decimal, safe_div
 from ..operators.events import SCOPES, applicable_events, attribute_events, collapse_events
-from ..operators.joins import bounded_broadcast
 from ..operators.temporal import forward_fill
 from ..session import scratch_path
 from ..sources.model import Model
@@ -50,7 +51,7 @@ def store_day_metrics(train: DataFrame, stores: DataFrame) -> DataFrame:
                   F.sum(promo).cast("bigint").alias("total_items_on_promo"),
                   count_where(promo > 0).alias("promoted_family_count"),
                   F.count(F.lit(1)).alias("family_rows")))
-    m = daily.join(bounded_broadcast(store_dimension(stores)), "store_nbr")
+    m = daily.join(store_dimension(stores), "store_nbr")
     return date_parts(m, "date").select(*METRIC_COLUMNS)
 
 
@@ -64,17 +65,17 @@ def store_day_enriched(metrics: DataFrame, transactions: DataFrame, oil_filled:
     """V3: transactions (0 + flag when missing), oil (NULL + flag when missing), promo mix
     (exact 2-dp percentage) and sales per transaction (NULL without transactions)."""
     tx = transactions.select("date", "store_nbr", F.col("transactions").alias("_tx"))
-    oil = bounded_broadcast(oil_filled.select("date", F.col("oil_price_filled").alias("oil_price")))
+    oil = oil_filled.select("date", F.col("oil_price_filled").alias("oil_price"))
     e = metrics.join(tx, ["date", "store_nbr"], "left").join(oil, "date", "left")
     has_tx = F.coalesce(F.col("_tx"), F.lit(0)) > 0
-    return (e.withColumn("transactions", F.coalesce(F.col("_tx"), F.lit(0)))
-            .withColumn("missing_transactions_flag", flag(F.col("_tx").isNull()))
-            .withColumn("missing_oil_flag", flag(F.col("oil_price").isNull()))
-            .withColumn("promo_family_mix_pct",
-                        pct_rounded_decimal("promoted_family_count", "family_rows"))
-            .withColumn("sales_per_transaction",
-                        F.when(has_tx, safe_div("total_sales", "_tx")))
-            .select(*ENRICHED_COLUMNS))
+    return e.select(
+        *METRIC_COLUMNS,
+        F.coalesce(F.col("_tx"), F.lit(0)).alias("transactions"),
+        flag(F.col("_tx").isNull()).alias("missing_transactions_flag"),
+        "oil_price",
+        flag(F.col("oil_price").isNull()).alias("missing_oil_flag"),
+        pct_rounded_decimal("promoted_family_count", "family_rows").alias("promo_family_mix_pct"),
+        F.when(has_tx, safe_div("total_sales", "_tx")).alias("sales_per_transaction"))
 
 
 def store_day_context(enriched: DataFrame, holidays: DataFrame) -> DataFrame:
@@ -111,18 +112,20 @@ def write_table(df: DataFrame, spark: SparkSession, name: str, sort_by=()) -> Da
     path = scratch_path(spark, name)
     w = df.sortWithinPartitions(*sort_by) if sort_by else df
     w.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialise_model(model: Model, spark: SparkSession) -> Model:
-    """Write each derived model table once (the test binding derives them from raw tables)."""
-    return Model(
-        stores=write_table(model.stores, spark, "stores"),
-        train=write_table(model.train, spark, "train", sort_by=("date", "store_nbr")),
-        transactions=write_table(model.transactions, spark, "transactions", sort_by=("date",)),
-        holidays=write_table(model.holidays, spark, "holidays_events"),
-        oil=write_table(model.oil, spark, "oil"),
-        origin=model.origin)
+    """Write each derived model table once (the test binding derives them from raw tables).
+    The five writes are independent jobs, submitted together so the small ones overlap."""
+    jobs = {"stores": (model.stores, ()), "train": (model.train, ("date", "store_nbr")),
+            "transactions": (model.transactions, ("date",)),
+            "holidays_events": (model.holidays, ()), "oil": (model.oil, ())}
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        futures = {n: pool.submit(write_table, df, spark, n, sort) for n, (df, sort) in jobs.items()}
+        t = {n: f.result() for n, f in futures.items()}
+    return Model(stores=t["stores"], train=t["train"], transactions=t["transactions"],
+                 holidays=t["holidays_events"], oil=t["oil"], origin=model.origin)
 
 
 def build_layer(model: Model, spark: SparkSession, materialise: bool = True) -> Layer:

@@ -10,12 +10,20 @@ from pyspark.sql import SparkSession
 
 # Settings every session of the library relies on. AQE re-plans joins and coalesces
 # partitions at run time; skew-join splitting guards the hot keys the fact table may have.
+# The broadcast thresholds are the size check behind every dimension join of the library:
+# the planner broadcasts a side only when its statistics (file sizes, or an aggregate/filter
+# over them, which can only shrink) stay under the threshold, and AQE re-checks with the
+# real shuffle sizes at run time; anything larger stays a shuffle (sort-merge) join.
+BROADCAST_THRESHOLD = "10MB"
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": BROADCAST_THRESHOLD,
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": BROADCAST_THRESHOLD,
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 

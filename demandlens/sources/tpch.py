@@ -29,7 +29,15 @@ NATIONAL_LOCALE_NAME = "Everywhere"
 
 
 def _reader(spark: SparkSession, sf_dir: str):
-    return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One DataFrame per raw table (each is scanned by several derived tables; reading the
+    footer once keeps planning to one schema lookup per file)."""
+    cache: dict = {}
+
+    def read(name: str) -> DataFrame:
+        if name not in cache:
+            cache[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return cache[name]
+    return read
 
 
 def bind_stores(read) -> DataFrame:
