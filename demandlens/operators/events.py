@@ -30,33 +30,35 @@ def applicable_events(holidays: DataFrame, kept_types=KEPT_EVENT_TYPES) -> DataF
     return holidays.filter(F.col("type").isin(kept_types) & (transferred != "true"))
 
 
-def _scope_events(events: DataFrame, label: str) -> DataFrame:
-    return (events.filter(F.col("locale") == label)
-            .select(F.col("date").alias("_ev_date"), F.col("locale_name").alias("_ev_locale"),
-                    F.col("type").alias("event_type"), "description"))
-
-
-def _scope_condition(targets: DataFrame, ev: DataFrame, match_col, date_col: str) -> Column:
-    cond = targets[date_col] == ev["_ev_date"]
-    if match_col is not None:
-        cond = cond & (targets[match_col] == ev["_ev_locale"])
-    return cond
+def _scope_key(match_col) -> Column:
+    """The value a target row offers to a scope: its location column, or '' for scopes that
+    match on the date alone."""
+    return (F.col(match_col) if match_col is not None else F.lit("")).cast("string")
 
 
 def attribute_events(events: DataFrame, targets: DataFrame, scopes=SCOPES,
                      date_col: str = "date", keep=("store_nbr",)) -> DataFrame:
     """One row per (target row, applicable event): date, keep..., holiday_scope,
-    event_type, description. ``targets`` carries the date and the scope columns."""
-    parts = []
-    for label, match_col in scopes:
-        ev = _scope_events(events, label)
-        parts.append(targets.join(ev, _scope_condition(targets, ev, match_col, date_col))
-                     .select(targets[date_col].alias(date_col), *[targets[k] for k in keep],
-                             F.lit(label).alias("holiday_scope"), "event_type", "description"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    event_type, description. ``targets`` carries the date and the scope columns.
+
+    One pass over ``targets``: each row offers one (scope, key) pair per scope -- a fixed
+    fan-out of len(scopes) -- and a single equi-join on (date, scope, key) against the event
+    side (broadcast when small) finds every applicable event."""
+    labels = [label for label, _ in scopes]
+    offers = F.explode(F.array(*[F.struct(F.lit(label).alias("holiday_scope"),
+                                          _scope_key(mc).alias("_key"))
+                                 for label, mc in scopes]))
+    keyed = (targets.select(F.col(date_col).alias(date_col), *keep, offers.alias("_o"))
+             .select(date_col, *keep, "_o.holiday_scope", "_o._key"))
+    date_only = [label for label, mc in scopes if mc is None]
+    ev = (events.filter(F.col("locale").isin(labels))
+          .select(F.col("date").alias("_ev_date"), F.col("locale").alias("_ev_scope"),
+                  F.when(F.col("locale").isin(date_only), F.lit("")).otherwise(F.col("locale_name"))
+                   .alias("_ev_key"),
+                  F.col("type").alias("event_type"), "description"))
+    cond = ((keyed[date_col] == ev["_ev_date"]) & (keyed["holiday_scope"] == ev["_ev_scope"])
+            & (keyed["_key"] == ev["_ev_key"]))
+    return keyed.join(ev, cond).select(date_col, *keep, "holiday_scope", "event_type", "description")
 
 
 def applicable_to_any(events: DataFrame, entities: DataFrame, scopes=SCOPES) -> DataFrame:

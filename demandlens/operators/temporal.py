@@ -54,11 +54,15 @@ def lag_positional(value: str, order_by: str, n: int) -> Column:
     return F.lag(value, n).over(Window.orderBy(order_by))
 
 
-def lag_calendar(df: DataFrame, value: str, period: str, months: int, out: str) -> DataFrame:
+def lag_calendar(df: DataFrame, value: str, period: str, months: int, out: str,
+                 source: DataFrame | None = None) -> DataFrame:
     """Value of the period exactly ``months`` months earlier (NULL if that period is absent):
-    an equi-join on the shifted period key instead of a positional lag."""
-    prior = df.select(F.add_months(F.col(period), months).alias(period), F.col(value).alias(out))
-    return df.join(prior, period, "left")
+    an equi-join on the shifted period key instead of a positional lag. ``source`` (default
+    ``df``) is the one-row-per-period table the earlier values come from."""
+    src = df if source is None else source
+    prior = src.select(F.add_months(F.col(period), months).alias("_shifted"), F.col(value).alias(out))
+    # null-safe: no inferred filter differs between the two sides, so both read one aggregate
+    return df.join(prior, df[period].eqNullSafe(prior["_shifted"]), "left").drop("_shifted")
 
 
 def window_bounds(anchor: Column, n: int, unit: str = "day"):
@@ -85,9 +89,12 @@ def same_period_prior_year(periodic: DataFrame, entity: str, period: str, measur
     range or cross join. ``require_active`` names a measure that must be > 0 on both sides
     (comparable = trading in both years, not merely present)."""
     cur = periodic.select(entity, period, *[F.col(m).alias("cur_" + m) for m in measures])
-    prev = periodic.select(entity, F.add_months(F.col(period), 12).alias(period),
+    prev = periodic.select(F.col(entity).alias("_e"), F.add_months(F.col(period), 12).alias("_p"),
                            *[F.col(m).alias("prev_" + m) for m in measures])
     if require_active:
         cur = cur.filter(F.col("cur_" + require_active) > 0)
         prev = prev.filter(F.col("prev_" + require_active) > 0)
-    return cur.join(prev, [entity, period])
+    # Keys are NOT NULL group keys; the null-safe form keeps the optimizer from inferring
+    # different filters on the two sides, so both sides reuse one aggregate's exchange.
+    cond = cur[entity].eqNullSafe(prev["_e"]) & cur[period].eqNullSafe(prev["_p"])
+    return cur.join(prev, cond).drop("_e", "_p")

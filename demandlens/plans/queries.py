@@ -213,12 +213,18 @@ def q07_promo_dependency(L: Layer, threshold: float = 25.0) -> DataFrame:
             .drop("_total"))
 
 
+def _store_family_revenue(L: Layer) -> DataFrame:
+    """(store, family) revenue: the one pass over the fact table that the store-level and
+    family-level totals both re-aggregate (the shared exchange is reused)."""
+    return L.train.groupBy("store_nbr", "family").agg(F.sum("sales").alias("revenue"))
+
+
 def _store_revenue(L: Layer) -> DataFrame:
-    return L.train.groupBy("store_nbr").agg(F.sum("sales").alias("revenue"))
+    return _store_family_revenue(L).groupBy("store_nbr").agg(F.sum("revenue").alias("revenue"))
 
 
 def _family_revenue(L: Layer) -> DataFrame:
-    return L.train.groupBy("family").agg(F.sum("sales").alias("revenue"))
+    return _store_family_revenue(L).groupBy("family").agg(F.sum("revenue").alias("revenue"))
 
 
 def q08_concentration(L: Layer, top_frac: float = 0.20) -> DataFrame:
@@ -227,11 +233,14 @@ def q08_concentration(L: Layer, top_frac: float = 0.20) -> DataFrame:
 
 
 def q09_cluster_index(L: Layer, over: float = 1.20, under: float = 0.80) -> DataFrame:
-    # One pass over the fact table: (store, family) partial sums feed both branches
-    # (the shared exchange is reused).
-    sf = L.train.groupBy("store_nbr", "family").agg(F.sum("sales").alias("revenue"))
-    st = L.stores.select("store_nbr", "cluster")
-    cf = (sf.join(st, "store_nbr").groupBy("cluster", "family").agg(F.sum("revenue").alias("revenue"))
+    # One pass over the fact table: the (store, family) aggregate feeds both branches and
+    # its exchange is reused. The store join is null-safe so the optimizer infers no extra
+    # IsNotNull filter on one branch only (store keys are NOT NULL by contract), which would
+    # make the two aggregates differ and read the fact table twice.
+    sf = _store_family_revenue(L)
+    st = L.stores.select(F.col("store_nbr").alias("_st"), "cluster")
+    cf = (sf.join(st, sf["store_nbr"].eqNullSafe(st["_st"]))
+          .groupBy("cluster", "family").agg(F.sum("revenue").alias("revenue"))
           .withColumn("_cs", share_of_total("revenue", ["cluster"])))
     ns = (sf.groupBy("family").agg(F.sum("revenue").alias("_fam_total"))
           .withColumn("_ns", share_of_total("_fam_total")))
@@ -489,8 +498,8 @@ def monthly_growth_calendar(L: Layer) -> DataFrame:
     """Monthly revenue with growth against the calendar month 1 and 12 months earlier (NULL
     when that month is absent), instead of the positional previous rows."""
     m = L.context.groupBy("month_start").agg(F.sum("total_sales").alias("_rev"))
-    m = lag_calendar(m, "_rev", "month_start", 1, "_prev1")
-    m = lag_calendar(m, "_rev", "month_start", 12, "_prev12")
+    m = lag_calendar(lag_calendar(m, "_rev", "month_start", 1, "_prev1"),
+                     "_rev", "month_start", 12, "_prev12", source=m)
     return (m.select(month_label("month_start").alias("month"), money_out("_rev").alias("revenue"),
                      rnd(pct_change("_rev", "_prev1"), 2).alias("mom_growth_pct"),
                      rnd(pct_change("_rev", "_prev12"), 2).alias("yoy_growth_pct"))
