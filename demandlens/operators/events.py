@@ -146,3 +146,14 @@ def lift_vs_baseline(grouped: DataFrame, is_baseline: Column, measures: dict) ->
 
 def baseline_columns(measures) -> dict:
     return {m: F.col("_base_" + m) for m in measures}
+
+
+def top_events(events: DataFrame, ctx: DataFrame, measures: list, min_days: int = 20) -> DataFrame:
+    """Per (holiday_scope, event_type, description): affected_store_days (every matched
+    store-day, duplicates of the calendar counted again) and the ``measures`` (aggregate
+    Columns) over the matched store-days; groups under ``min_days`` are dropped."""
+    keep = [c for c in ctx.columns if c not in ("date", "state", "city")]
+    pairs = attribute_events(events, ctx, keep=tuple(keep))
+    return (pairs.groupBy("holiday_scope", "event_type", "description")
+            .agg(F.count(F.lit(1)).alias("affected_store_days"), *measures)
+            .filter(F.col("affected_store_days") >= min_days))

@@ -25,3 +25,19 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``F.broadcast(df)`` if its row count is proven <= max_rows, else ``df`` unchanged."""
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+
+
+def enrich_with_flag(left: DataFrame, right: DataFrame, on, value: str, out: str,
+                     default=None, flag_col: str | None = None) -> DataFrame:
+    """Left-join ``right.value`` onto ``left`` by ``on`` as ``out`` (``default`` when there is
+    no match or the value is NULL) and, if asked, a 0/1 ``flag_col`` marking the rows whose
+    value was missing. ``right`` must be unique on ``on`` (no fan-out)."""
+    on = [on] if isinstance(on, str) else list(on)
+    r = right.select(*on, F.col(value).alias("_enriched"))
+    j = left.join(r, on, "left")
+    v = F.col("_enriched")
+    cols = [F.col(c) for c in left.columns]
+    cols.append((F.coalesce(v, F.lit(default)) if default is not None else v).alias(out))
+    if flag_col:
+        cols.append(F.when(v.isNull(), F.lit(1)).otherwise(F.lit(0)).alias(flag_col))
+    return j.select(*cols)

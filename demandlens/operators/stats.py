@@ -42,6 +42,12 @@ def percentile_rank(*order: Column) -> Column:
     return F.percent_rank().over(Window.orderBy(*order))
 
 
+def rank_percentiles(df: DataFrame, cols: dict) -> DataFrame:
+    """Add one PERCENT_RANK column per entry {out: order column}, ascending with NULLs first
+    (as the source dialect orders)."""
+    return df.withColumns({out: percentile_rank(F.col(c).asc_nulls_first()) for out, c in cols.items()})
+
+
 def dense_rank_desc(value: str) -> Column:
     return F.dense_rank().over(Window.orderBy(F.col(value).desc()))
 
@@ -52,6 +58,12 @@ def quantile_segment(n: int, *order: Column) -> Column:
     return F.ntile(n).over(Window.orderBy(*order))
 
 
+def quantile_segments(df: DataFrame, n: int, specs: dict, tie_break: str) -> DataFrame:
+    """Add NTILE(n) columns {out: order Column}; ``tie_break`` (a key) orders equal values."""
+    return df.withColumns({out: quantile_segment(n, order, F.col(tie_break).asc())
+                           for out, order in specs.items()})
+
+
 def concentration(entity_totals: DataFrame, value: str, label: str,
                   top_frac: float = 0.20) -> DataFrame:
     """One row: entity_type, entity_count, hhi (sum of squared shares, 0-1 scale),

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import col
+from ..functions.numeric import col, pct_change
 
 
 def forward_fill(df: DataFrame, value: str, order_by: str, partition_by=(),
@@ -42,7 +42,7 @@ def asof_fill(values: DataFrame, spine: DataFrame, key: str, value: str,
             .select(*partition_by, key, out))
 
 
-def rolling_mean_exact(value: str, order_by: str, rows: int) -> Column:
+def rolling_mean(value: str, order_by: str, rows: int) -> Column:
     """Mean over the current and ``rows - 1`` preceding rows (partial at the start), from an
     exact sum of the (decimal) inputs."""
     w = Window.orderBy(order_by).rowsBetween(-(rows - 1), Window.currentRow)
@@ -80,6 +80,36 @@ def in_range(c, lo: Column, hi: Column) -> Column:
     return col(c).between(lo, hi)
 
 
+def trailing_compare(value, date_col: str, anchor: Column, n: int, unit: str = "day",
+                     how: str = "sum"):
+    """Aggregate pair (recent, prior) of ``value`` over the last ``n`` units up to ``anchor``
+    and the ``n`` units before them. ``how='sum'`` adds (0 outside the window, exact for
+    decimals); ``how='mean'`` averages the rows inside the window (NULL if none)."""
+    rlo, rhi, plo, phi = window_bounds(anchor, n, unit)
+    recent, prior = in_range(date_col, rlo, rhi), in_range(date_col, plo, phi)
+    v = col(value)
+    if how == "sum":
+        return (F.sum(F.when(recent, v).otherwise(F.lit(0))), F.sum(F.when(prior, v).otherwise(F.lit(0))))
+    if how == "mean":
+        return F.avg(F.when(recent, v)), F.avg(F.when(prior, v))
+    raise ValueError(how)
+
+
+def period_growth(df: DataFrame, value: str, period: str, n: int, out: str,
+                  mode: str = "positional") -> DataFrame:
+    """Add ``out`` = 100 * (value - earlier) / earlier (unrounded) where ``earlier`` is the
+    value ``n`` rows before (positional, as LAG does: a missing period shifts it) or the
+    value of the period exactly ``n`` months before (calendar; NULL when absent).
+    ``df`` has one row per period (a calendar-sized table)."""
+    if mode == "positional":
+        return df.withColumn(out, pct_change(F.col(value), lag_positional(value, period, n)))
+    if mode == "calendar":
+        tmp = "_prior_" + out
+        return (lag_calendar(df, value, period, n, tmp)
+                .withColumn(out, pct_change(F.col(value), F.col(tmp))).drop(tmp))
+    raise ValueError(mode)
+
+
 def same_period_prior_year(periodic: DataFrame, entity: str, period: str, measures,
                            require_active: str | None = None) -> DataFrame:
     """Pair every (entity, period) row with the same entity's row 12 months earlier.

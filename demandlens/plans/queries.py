@@ -11,17 +11,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_label, month_start
-from ..functions.numeric import (count_where, dbl, exact_mean, flag, money_out, nullif0,
-                                 pct_change, pct_of, rnd, safe_div)
+from ..functions.numeric import count_where, dbl, exact_mean, money_out, pct_change, rnd, safe_div
+from ..operators.aggregates import (named_measures, conditional_uplift, period_kpi, regime_bins,
+                                    scorecard, seasonality_matrix)
 from ..operators.audit import check_constraints, contradiction_audit, coverage_audit
 from ..operators.classify import classify, rank_of
 from ..operators.events import (DESCRIPTION_SEPARATOR, MIXED_SCOPE, applicable_to_any,
-                                attribute_events, distinct_list, lift_vs_baseline)
-from ..operators.stats import (coefficient_of_variation, concentration, dense_rank_desc,
-                               over_all, pearson, percentile_rank, quantile_segment,
+                                distinct_list, lift_vs_baseline, top_events)
+from ..operators.stats import (affinity_index, coefficient_of_variation, concentration,
+                               dense_rank_desc, over_all, quantile_segments, rank_percentiles,
                                share_of_total, sigma_band, top_n_share, zscore_outliers)
-from ..operators.temporal import (asof_fill, lag_calendar, lag_positional, rolling_mean_exact,
-                                  same_period_prior_year, window_bounds)
+from ..operators.temporal import (asof_fill, period_growth, rolling_mean, same_period_prior_year,
+                                  trailing_compare, window_bounds)
 from .storeday import (ENRICHED_COLUMNS, METRIC_COLUMNS, Layer, oil_prices_filled,
                        store_holiday_map)
 
@@ -100,35 +101,28 @@ def q02_anomaly_flags(L: Layer) -> DataFrame:
 
 # ---------------------------------------------------------------- section 2: KPI & trend
 def q03_monthly_kpi(L: Layer) -> DataFrame:
-    m = L.context.groupBy("month_start").agg(
-        F.sum("total_sales").alias("_rev"),
-        F.sum("transactions").alias("_tx"),
-        exact_mean("total_sales").alias("_avg_rev"),
-        F.count_distinct(F.when(F.col("total_sales") > 0, F.col("store_nbr"))).alias("active_stores"),
-        exact_mean("promo_family_mix_pct").alias("_avg_mix"))
+    m = period_kpi(L.context, ["month_start"],
+                   ["revenue", "transactions", "avg_store_day_revenue", "active_stores",
+                    "avg_promo_family_mix_pct"], prefix="_")
+    m = period_growth(m, "_revenue", "month_start", 1, "_mom")
+    m = period_growth(m, "_revenue", "month_start", 12, "_yoy")            # positional (T8)
     return (m.select(
         month_label("month_start").alias("month"),
-        money_out("_rev").alias("revenue"),
-        F.col("_tx").alias("transactions"),
-        rnd(safe_div("_rev", "_tx"), 2).alias("avg_basket_value"),
-        rnd("_avg_rev", 2).alias("avg_store_day_revenue"),
-        "active_stores",
-        rnd("_avg_mix", 2).alias("avg_promo_family_mix_pct"),
-        rnd(rolling_mean_exact("_rev", "month_start", 3), 2).alias("rolling_3m_revenue"),
-        rnd(pct_change(F.col("_rev"), lag_positional("_rev", "month_start", 1)), 2)
-         .alias("mom_growth_pct"),
-        rnd(pct_change(F.col("_rev"), lag_positional("_rev", "month_start", 12)), 2)
-         .alias("yoy_growth_pct"))
+        money_out("_revenue").alias("revenue"),
+        F.col("_transactions").alias("transactions"),
+        rnd(safe_div("_revenue", "_transactions"), 2).alias("avg_basket_value"),
+        rnd("_avg_store_day_revenue", 2).alias("avg_store_day_revenue"),
+        F.col("_active_stores").alias("active_stores"),
+        rnd("_avg_promo_family_mix_pct", 2).alias("avg_promo_family_mix_pct"),
+        rnd(rolling_mean("_revenue", "month_start", 3), 2).alias("rolling_3m_revenue"),
+        rnd("_mom", 2).alias("mom_growth_pct"),
+        rnd("_yoy", 2).alias("yoy_growth_pct"))
         .orderBy("month"))
 
 
-def _monthly_store(L: Layer) -> DataFrame:
-    return L.context.groupBy("month_start", "store_nbr").agg(
-        F.sum("total_sales").alias("revenue"), F.sum("transactions").alias("transactions"))
-
-
 def _same_store(L: Layer, require_active: str | None) -> DataFrame:
-    pairs = same_period_prior_year(_monthly_store(L), "store_nbr", "month_start",
+    monthly_store = period_kpi(L.context, ["month_start", "store_nbr"], ["revenue", "transactions"])
+    pairs = same_period_prior_year(monthly_store, "store_nbr", "month_start",
                                    ["revenue", "transactions"], require_active=require_active)
     c = pairs.groupBy("month_start").agg(
         F.count(F.lit(1)).alias("comparable_stores"),
@@ -156,15 +150,14 @@ def q04_same_store_growth_active(L: Layer) -> DataFrame:
 
 
 def q05_seasonality(L: Layer) -> DataFrame:
-    g = L.context.groupBy("month_num", "month_name", "weekday_num", "weekday_name").agg(
-        rnd(exact_mean("total_sales"), 2).alias("avg_store_day_revenue"),
-        rnd(exact_mean("transactions"), 2).alias("avg_transactions"),
-        rnd(F.avg("sales_per_transaction"), 2).alias("avg_sales_per_transaction"))
+    g = seasonality_matrix(L.context, prefix="_")
     return (g.orderBy("month_num", "weekday_num")
             .select("month_num", "month_name",
                     (F.col("weekday_num") + 1).alias("weekday_order_monday_start"),
-                    "weekday_name", "avg_store_day_revenue", "avg_transactions",
-                    "avg_sales_per_transaction"))
+                    "weekday_name",
+                    rnd("_avg_store_day_revenue", 2).alias("avg_store_day_revenue"),
+                    rnd("_avg_transactions", 2).alias("avg_transactions"),
+                    rnd("_avg_sales_per_transaction", 2).alias("avg_sales_per_transaction")))
 
 
 # ---------------------------------------------------------------- section 3: portfolio
@@ -172,18 +165,16 @@ def q06_portfolio_roles(L: Layer, recent_months: int = 6) -> DataFrame:
     fm = (L.train.groupBy(month_start("date").alias("month_start"), "family")
           .agg(F.sum("sales").alias("monthly_revenue"))
           .withColumn("_max", F.max("month_start").over(over_all())))   # families x months
-    rlo, rhi, plo, phi = window_bounds(F.col("_max"), recent_months, "month")
-    rev = F.col("monthly_revenue")
+    recent, prior = trailing_compare("monthly_revenue", "month_start", F.col("_max"),
+                                     recent_months, "month")
     fam = fm.groupBy("family").agg(
-        F.sum(rev).alias("_total"),
-        rnd(coefficient_of_variation(rev), 3).alias("revenue_cv"),
-        F.sum(F.when(F.col("month_start").between(rlo, rhi), rev).otherwise(F.lit(0))).alias("_recent"),
-        F.sum(F.when(F.col("month_start").between(plo, phi), rev).otherwise(F.lit(0))).alias("_prior"))
-    fam = (fam.withColumn("recent_6m_growth_pct", rnd(pct_change("_recent", "_prior"), 2))
-           .withColumn("_rev_pr", percentile_rank(F.col("_total").asc_nulls_first()))
-           .withColumn("_cv_pr", percentile_rank(F.col("revenue_cv").asc_nulls_first()))
-           .withColumn("_g_pr", percentile_rank(F.col("recent_6m_growth_pct").asc_nulls_first()))
-           .withColumn("revenue_share_pct", rnd(share_of_total("_total"), 2)))
+        F.sum("monthly_revenue").alias("_total"),
+        rnd(coefficient_of_variation("monthly_revenue"), 3).alias("revenue_cv"),
+        recent.alias("_recent"), prior.alias("_prior"))
+    fam = fam.withColumn("recent_6m_growth_pct", rnd(pct_change("_recent", "_prior"), 2))
+    fam = rank_percentiles(fam, {"_rev_pr": "_total", "_cv_pr": "revenue_cv",
+                                 "_g_pr": "recent_6m_growth_pct"})      # rounded inputs (T7)
+    fam = fam.withColumn("revenue_share_pct", rnd(share_of_total("_total"), 2))
     rp, cp, gp = F.col("_rev_pr"), F.col("_cv_pr"), F.col("_g_pr")
     role = classify([((rp >= 0.80) & (cp <= 0.50) & (gp >= 0.80), PORTFOLIO_ROLES[0]),
                      ((rp >= 0.80) & (cp <= 0.30), PORTFOLIO_ROLES[1]),
@@ -195,12 +186,8 @@ def q06_portfolio_roles(L: Layer, recent_months: int = 6) -> DataFrame:
 
 def q07_promo_dependency(L: Layer, threshold: float = 25.0) -> DataFrame:
     promoted = F.coalesce(F.col("onpromotion"), F.lit(0)) > 0
-    fp = L.train.groupBy("family").agg(
-        F.sum("sales").alias("_total"),
-        rnd(F.lit(100.0) * F.sum(flag(promoted)) / F.count(F.lit(1)), 2).alias("promo_row_pct"),
-        rnd(exact_mean(F.when(promoted, F.col("sales"))), 2).alias("avg_sales_when_promoted"),
-        rnd(exact_mean(F.when(~promoted, F.col("sales"))), 2).alias("avg_sales_without_promo"))
-    uplift = pct_change("avg_sales_when_promoted", "avg_sales_without_promo")
+    fp = conditional_uplift(L.train, "family", promoted, "sales")
+    uplift = pct_change("avg_sales_when_promoted", "avg_sales_without_promo")   # of rounded means
     dep = F.col("promo_row_pct") >= threshold
     resp = uplift >= threshold
     profile = classify([(dep & resp, PROMO_PROFILES[0]), (dep, PROMO_PROFILES[1]),
@@ -245,7 +232,7 @@ def q09_cluster_index(L: Layer, over: float = 1.20, under: float = 0.80) -> Data
     ns = (sf.groupBy("family").agg(F.sum("revenue").alias("_fam_total"))
           .withColumn("_ns", share_of_total("_fam_total")))
     j = cf.join(ns, "family")
-    idx = F.col("_cs") / nullif0(F.col("_ns"))
+    idx = affinity_index(F.col("_cs"), F.col("_ns"))
     pos = classify([(idx >= over, POSITIONING[0]), (idx <= under, POSITIONING[1])], POSITIONING[2])
     return (j.select("cluster", "family", rnd("_cs", 2).alias("cluster_share_pct"),
                      rnd("_ns", 2).alias("network_share_pct"),
@@ -255,49 +242,39 @@ def q09_cluster_index(L: Layer, over: float = 1.20, under: float = 0.80) -> Data
 
 # ---------------------------------------------------------------- section 4: stores
 def q10_store_scorecard(L: Layer) -> DataFrame:
-    s = L.context.groupBy("store_nbr", "city", "state", "store_type", "cluster").agg(
-        F.sum("total_sales").alias("_rev"),
-        exact_mean("total_sales").alias("_avg_rev"),
-        F.sum("transactions").alias("total_transactions"),
-        exact_mean("promo_family_mix_pct").alias("_avg_mix"),
-        F.sum(F.when(F.col("is_special_day") == 1, F.col("total_sales")).otherwise(F.lit(0)))
-         .alias("_special"))
-    s = s.withColumn("_spt", safe_div("_rev", "total_transactions"))
+    s = scorecard(L.context)
     return (s.select(
         "store_nbr", "city", "state", "store_type", "cluster",
-        money_out("_rev").alias("total_revenue"),
-        rnd("_avg_rev", 2).alias("avg_store_day_revenue"),
-        "total_transactions",
-        rnd("_spt", 2).alias("sales_per_transaction"),
-        rnd("_avg_mix", 2).alias("avg_promo_family_mix_pct"),
-        rnd(pct_of("_special", "_rev"), 2).alias("special_day_sales_share_pct"),
-        dense_rank_desc("_rev").alias("revenue_rank"),
-        dense_rank_desc("_spt").alias("basket_rank"))
+        money_out("_revenue").alias("total_revenue"),
+        rnd("_avg_store_day_revenue", 2).alias("avg_store_day_revenue"),
+        F.col("_transactions").alias("total_transactions"),
+        rnd("_sales_per_transaction", 2).alias("sales_per_transaction"),
+        rnd("_avg_promo_family_mix_pct", 2).alias("avg_promo_family_mix_pct"),
+        rnd("_special_day_sales_share_pct", 2).alias("special_day_sales_share_pct"),
+        dense_rank_desc("_revenue").alias("revenue_rank"),            # on unrounded values
+        dense_rank_desc("_sales_per_transaction").alias("basket_rank"))
         .orderBy("revenue_rank", "basket_rank", "store_nbr"))
 
 
 def q11_store_risk(L: Layer, days: int = 90, k: float = 1.0) -> DataFrame:
     c = L.context
-    last = _first(c, F.max("date"))
-    rlo, rhi, plo, phi = window_bounds(F.lit(last), days, "day")
+    last = F.lit(_first(c, F.max("date")))
+    _, _, plo, _ = window_bounds(last, days, "day")
     # Only the two windows matter: a store without prior-window revenue is dropped anyway.
     win = c.filter(F.col("date") >= plo)
-    recent, prior = F.col("date").between(rlo, rhi), F.col("date").between(plo, phi)
-    zero = F.lit(0)
+    r_rev, p_rev = trailing_compare("total_sales", "date", last, days)
+    r_tx, p_tx = trailing_compare("transactions", "date", last, days)
+    r_spt, p_spt = trailing_compare("sales_per_transaction", "date", last, days, how="mean")
     sw = win.groupBy("store_nbr").agg(
         F.max("city").alias("city"), F.max("state").alias("state"),
-        F.sum(F.when(recent, F.col("total_sales")).otherwise(zero)).alias("_r_rev"),
-        F.sum(F.when(prior, F.col("total_sales")).otherwise(zero)).alias("_p_rev"),
-        F.sum(F.when(recent, F.col("transactions")).otherwise(zero)).alias("_r_tx"),
-        F.sum(F.when(prior, F.col("transactions")).otherwise(zero)).alias("_p_tx"),
-        F.avg(F.when(recent, F.col("sales_per_transaction"))).alias("_r_spt"),
-        F.avg(F.when(prior, F.col("sales_per_transaction"))).alias("_p_spt"))
+        r_rev.alias("_r_rev"), p_rev.alias("_p_rev"), r_tx.alias("_r_tx"), p_tx.alias("_p_tx"),
+        r_spt.alias("_r_spt"), p_spt.alias("_p_spt"))
     sg = (sw.filter(F.col("_p_rev") > 0)
           .withColumn("revenue_growth_pct", rnd(pct_change("_r_rev", "_p_rev"), 2))
           .withColumn("transaction_growth_pct", rnd(pct_change("_r_tx", "_p_tx"), 2))
           .withColumn("basket_growth_pct", rnd(pct_change("_r_spt", "_p_spt"), 2)))
     cols = ["revenue_growth_pct", "transaction_growth_pct", "basket_growth_pct"]
-    b = sigma_band(sg, cols, k)       # network mean and mean - k*sd, over stores
+    b = sigma_band(sg, cols, k)       # network mean and mean - k*sd of the rounded growths (T7)
     rev_lo, tx_lo, bk_lo = [F.col(c) < F.col("_lo_" + c) for c in cols]
     healthy = ((F.col("revenue_growth_pct") >= F.col("_avg_revenue_growth_pct"))
                & (F.col("transaction_growth_pct") >= F.col("_avg_transaction_growth_pct")))
@@ -310,50 +287,49 @@ def q11_store_risk(L: Layer, days: int = 90, k: float = 1.0) -> DataFrame:
 
 
 def q12_store_archetypes(L: Layer) -> DataFrame:
-    s = L.context.groupBy("store_nbr", "city", "state", "cluster").agg(
-        F.sum("total_sales").alias("_rev"), F.sum("transactions").alias("_tx"))
-    s = s.withColumn("_spt", safe_div("_rev", "_tx"))
-    rq = quantile_segment(4, F.col("_rev").desc(), F.col("store_nbr").asc())
-    bq = quantile_segment(4, F.col("_spt").desc_nulls_last(), F.col("store_nbr").asc())
-    s = s.withColumn("revenue_quartile", rq).withColumn("basket_quartile", bq)
+    s = period_kpi(L.context, ["store_nbr", "city", "state", "cluster"], ["revenue", "transactions"],
+                   prefix="_")
+    s = s.withColumn("_spt", safe_div("_revenue", "_transactions"))
+    s = quantile_segments(s, 4, {"revenue_quartile": F.col("_revenue").desc(),
+                                 "basket_quartile": F.col("_spt").desc_nulls_last()}, "store_nbr")
     r, b = F.col("revenue_quartile"), F.col("basket_quartile")
     arche = classify([((r == 1) & (b == 1), ARCHETYPES[0]), ((r == 1) & (b >= 2), ARCHETYPES[1]),
                       (r.isin(2, 3) & (b == 1), ARCHETYPES[2]), ((r == 4) & (b == 4), ARCHETYPES[3])],
                      ARCHETYPES[4])
     return (s.select("store_nbr", "city", "state", "cluster",
-                     money_out("_rev").alias("total_revenue"),
+                     money_out("_revenue").alias("total_revenue"),
                      rnd("_spt", 2).alias("sales_per_transaction"),
-                     "revenue_quartile", "basket_quartile", arche.alias("store_archetype"), "_rev")
-            .orderBy("revenue_quartile", "basket_quartile", F.col("_rev").desc())
-            .drop("_rev"))
+                     "revenue_quartile", "basket_quartile", arche.alias("store_archetype"), "_revenue")
+            .orderBy("revenue_quartile", "basket_quartile", F.col("_revenue").desc())
+            .drop("_revenue"))
 
 
 # ---------------------------------------------------------------- section 5: calendar & macro
-def _lift_cols(prefix_base="_base_"):
-    return [
-        rnd(pct_change("_avg_rev", prefix_base + "_avg_rev"), 2).alias("revenue_lift_pct"),
-        rnd(pct_change("_avg_tx", prefix_base + "_avg_tx"), 2).alias("transaction_lift_pct"),
-        rnd(pct_change("_avg_spt", prefix_base + "_avg_spt"), 2).alias("basket_lift_pct")]
+DAY_MEANS = ["avg_store_day_revenue", "avg_transactions", "avg_sales_per_transaction"]
 
 
-def _day_means():
-    return [exact_mean("total_sales").alias("_avg_rev"), exact_mean("transactions").alias("_avg_tx"),
-            F.avg("sales_per_transaction").alias("_avg_spt")]
+def _lift_cols():
+    return [
+        rnd(pct_change("_avg_store_day_revenue", "_base__avg_store_day_revenue"), 2).alias("revenue_lift_pct"),
+        rnd(pct_change("_avg_transactions", "_base__avg_transactions"), 2).alias("transaction_lift_pct"),
+        rnd(pct_change("_avg_sales_per_transaction", "_base__avg_sales_per_transaction"), 2)
+         .alias("basket_lift_pct")]
 
 
 def q13_holiday_lift(L: Layer) -> DataFrame:
-    c = L.context
     group = (F.when(F.col("is_holiday") == 0, F.lit(NON_HOLIDAY))
              .when(F.col("holiday_scope") == MIXED_SCOPE, F.lit(MIXED_DAY_GROUP))
              .otherwise(F.concat(F.col("holiday_scope"), F.lit(" Holiday"))))
-    g = c.groupBy(group.alias("day_group")).agg(*_day_means(), F.count(F.lit(1)).alias("store_days"))
-    lifted = lift_vs_baseline(g, F.col("day_group") == NON_HOLIDAY, ["_avg_rev", "_avg_tx", "_avg_spt"])
+    g = period_kpi(L.context.withColumn("day_group", group), ["day_group"],
+                   ["store_days"] + DAY_MEANS, prefix="_")
+    lifted = lift_vs_baseline(g, F.col("day_group") == NON_HOLIDAY, ["_" + m for m in DAY_MEANS])
     return (lifted.select(
-        "day_group", "store_days",
-        rnd("_avg_rev", 2).alias("avg_store_day_revenue"),
-        rnd("_avg_tx", 2).alias("avg_transactions"),
-        rnd("_avg_spt", 2).alias("avg_sales_per_transaction"),
-        rnd(F.col("_avg_rev") - F.col("_base__avg_rev"), 2).alias("revenue_delta_vs_non_holiday"),
+        "day_group", F.col("_store_days").alias("store_days"),
+        rnd("_avg_store_day_revenue", 2).alias("avg_store_day_revenue"),
+        rnd("_avg_transactions", 2).alias("avg_transactions"),
+        rnd("_avg_sales_per_transaction", 2).alias("avg_sales_per_transaction"),
+        rnd(F.col("_avg_store_day_revenue") - F.col("_base__avg_store_day_revenue"), 2)
+         .alias("revenue_delta_vs_non_holiday"),
         *_lift_cols())
         .orderBy(rank_of(F.col("day_group"), DAY_GROUP_ORDER)))
 
@@ -362,62 +338,49 @@ def q14_event_lift(L: Layer, min_days: int = 20, k: int = 25) -> DataFrame:
     c = L.context
     targets = c.select("date", "store_nbr", "state", "city", "total_sales", "transactions",
                        "sales_per_transaction")
-    pairs = attribute_events(L.events, targets,
-                             keep=("store_nbr", "total_sales", "transactions", "sales_per_transaction"))
-    ep = (pairs.groupBy("holiday_scope", "event_type", "description")
-          .agg(F.count(F.lit(1)).alias("affected_store_days"), *_day_means())
-          .filter(F.col("affected_store_days") >= min_days))
+    means = named_measures()
+    ep = top_events(L.events, targets, [means[m]().alias("_" + m) for m in DAY_MEANS], min_days)
     # Baseline over ordinary store-days: one global aggregate, used as a scalar subquery.
-    base = c.filter(F.col("is_special_day") == 0).agg(F.struct(*_day_means()).alias("b")).scalar()
-    ep = (ep.withColumn("_base__avg_rev", base.getField("_avg_rev"))
-            .withColumn("_base__avg_tx", base.getField("_avg_tx"))
-            .withColumn("_base__avg_spt", base.getField("_avg_spt")))
+    base = period_kpi(c.filter(F.col("is_special_day") == 0), [], DAY_MEANS)
+    b = base.select(F.struct(*DAY_MEANS).alias("b")).scalar()
+    ep = ep.withColumns({"_base__" + m: b.getField(m) for m in DAY_MEANS})
     out = ep.select("holiday_scope", "event_type", "description", "affected_store_days",
-                    rnd("_avg_rev", 2).alias("avg_store_day_revenue"), *_lift_cols())
+                    rnd("_avg_store_day_revenue", 2).alias("avg_store_day_revenue"), *_lift_cols())
     return (out.orderBy(F.col("revenue_lift_pct").desc(), F.col("affected_store_days").desc(),
                         "holiday_scope", "event_type", "description")
-            .limit(k))
+            .limit(k))                                      # top-k report: the limit is the feature
 
 
 def q15_oil_regimes(L: Layer, n: int = 4) -> DataFrame:
-    mm = (L.context.groupBy("month_start").agg(
-        F.sum("total_sales").alias("_rev"), F.sum("transactions").alias("_tx"),
-        exact_mean("oil_price").alias("_oil"))
-        .filter(F.col("_oil").isNotNull()))
-    allm = over_all()                                           # months: calendar-sized
-    r = (mm.withColumn("oil_price_quartile",
-                       quantile_segment(n, F.col("_oil").asc(), F.col("month_start").asc()))
-         .withColumn("_n", F.count(F.lit(1)).over(allm))
-         .withColumn("_corr", F.covar_pop(dbl("_oil"), dbl("_rev")).over(allm)
-                     / nullif0(F.stddev_pop(dbl("_oil")).over(allm) * F.stddev_pop(dbl("_rev")).over(allm))))
-    return (r.groupBy("oil_price_quartile").agg(
-        rnd(F.min("_oil"), 2).alias("min_avg_oil_price"),
-        rnd(F.max("_oil"), 2).alias("max_avg_oil_price"),
-        rnd(exact_mean("_rev"), 2).alias("avg_monthly_revenue"),
-        rnd(F.avg(safe_div("_rev", "_tx")), 2).alias("avg_basket_value"),
+    mm = (period_kpi(L.context, ["month_start"], ["revenue", "transactions", "avg_oil_price"], prefix="_")
+          .filter(F.col("_avg_oil_price").isNotNull()))
+    r = regime_bins(mm, "_avg_oil_price", "_revenue", n, "month_start")
+    return (r.groupBy(F.col("_bin").alias("oil_price_quartile")).agg(
+        rnd(F.min("_avg_oil_price"), 2).alias("min_avg_oil_price"),
+        rnd(F.max("_avg_oil_price"), 2).alias("max_avg_oil_price"),
+        rnd(exact_mean("_revenue"), 2).alias("avg_monthly_revenue"),
+        rnd(F.avg(safe_div("_revenue", "_transactions")), 2).alias("avg_basket_value"),
         F.max("_n").alias("months_compared"),
         rnd(F.max("_corr"), 4).alias("revenue_oil_correlation"))
         .orderBy("oil_price_quartile"))
 
 
 def q16_network_anomalies(L: Layer, threshold: float = 2.0) -> DataFrame:
-    dn = L.context.groupBy("date").agg(
-        F.sum("total_sales").alias("_rev"),
-        F.sum("transactions").alias("network_transactions"),
-        exact_mean("promo_family_mix_pct").alias("_mix"),
-        F.max("is_special_day").alias("has_special_day"))
-    scored = zscore_outliers(dn, "_rev", threshold, out="_z")   # dates: calendar-sized
+    dn = period_kpi(L.context, ["date"], ["revenue", "transactions", "avg_promo_family_mix_pct",
+                                          "has_special_day"], prefix="_")
+    scored = zscore_outliers(dn, "_revenue", threshold, out="_z")   # dates: calendar-sized
     ctx_events = (applicable_to_any(L.events, L.stores).groupBy("date")
                   .agg(distinct_list(F.col("description"), DESCRIPTION_SEPARATOR).alias("_ctx")))
     j = scored.join(ctx_events, "date", "left")
     z = F.col("_z")
     return (j.select(
-        "date", money_out("_rev").alias("network_revenue"), "network_transactions",
-        rnd(safe_div("_rev", "network_transactions"), 2).alias("basket_value"),
-        rnd("_mix", 2).alias("avg_promo_family_mix_pct"),
+        "date", money_out("_revenue").alias("network_revenue"),
+        F.col("_transactions").alias("network_transactions"),
+        rnd(safe_div("_revenue", "_transactions"), 2).alias("basket_value"),
+        rnd("_avg_promo_family_mix_pct", 2).alias("avg_promo_family_mix_pct"),
         rnd(z, 2).alias("z_score"),
         F.when(z >= threshold, F.lit(OUTLIER_TYPES[0])).otherwise(F.lit(OUTLIER_TYPES[1])).alias("outlier_type"),
-        "has_special_day",
+        F.col("_has_special_day").alias("has_special_day"),
         F.coalesce(F.col("_ctx"), F.lit(NO_EVENT_CONTEXT)).alias("event_context"), "_z")
         .orderBy(F.abs(F.col("_z")).desc(), "date")
         .drop("_z"))
@@ -464,24 +427,25 @@ def x3_comparable_ytd(L: Layer) -> DataFrame:
 
 
 def x4_holiday_vs_non_holiday(L: Layer) -> DataFrame:
-    c = L.context
     group = F.when(F.col("is_holiday") == 1, F.lit("Holiday")).otherwise(F.lit(NON_HOLIDAY))
-    g = c.groupBy(group.alias("day_group")).agg(*_day_means(), F.count(F.lit(1)).alias("store_days"))
-    lifted = lift_vs_baseline(g, F.col("day_group") == NON_HOLIDAY, ["_avg_rev", "_avg_tx", "_avg_spt"])
-    return (lifted.select("day_group", "store_days",
-                          rnd("_avg_rev", 2).alias("avg_store_day_revenue"), *_lift_cols())
+    g = period_kpi(L.context.withColumn("day_group", group), ["day_group"],
+                   ["store_days"] + DAY_MEANS, prefix="_")
+    lifted = lift_vs_baseline(g, F.col("day_group") == NON_HOLIDAY, ["_" + m for m in DAY_MEANS])
+    return (lifted.select("day_group", F.col("_store_days").alias("store_days"),
+                          rnd("_avg_store_day_revenue", 2).alias("avg_store_day_revenue"), *_lift_cols())
             .orderBy(F.col("day_group").desc()))
 
 
 def x5_weekday_strength(L: Layer) -> DataFrame:
-    g = L.context.groupBy("weekday_num", "weekday_name").agg(
-        F.count(F.lit(1)).alias("store_days"), exact_mean("total_sales").alias("_avg"))
-    strongest = F.rank().over(Window.orderBy(F.col("_avg").desc())) == 1       # 7 rows
-    weakest = F.rank().over(Window.orderBy(F.col("_avg").asc())) == 1
+    g = seasonality_matrix(L.context, ("weekday_num", "weekday_name"), prefix="_")
+    avg = F.col("_avg_store_day_revenue")
+    strongest = F.rank().over(Window.orderBy(avg.desc())) == 1       # 7 rows
+    weakest = F.rank().over(Window.orderBy(avg.asc())) == 1
     role = classify([(strongest, "Strongest"), (weakest, "Weakest")], "Middle")
-    return (g.select("weekday_num", "weekday_name", "store_days",
-                     rnd("_avg", 2).alias("avg_store_day_revenue"),
-                     dense_rank_desc("_avg").alias("strength_rank"), role.alias("weekday_role"))
+    return (g.select("weekday_num", "weekday_name", F.col("_store_days").alias("store_days"),
+                     rnd(avg, 2).alias("avg_store_day_revenue"),
+                     dense_rank_desc("_avg_store_day_revenue").alias("strength_rank"),
+                     role.alias("weekday_role"))
             .orderBy("weekday_num"))
 
 
@@ -497,12 +461,13 @@ def asof_oil_fill(L: Layer) -> DataFrame:
 def monthly_growth_calendar(L: Layer) -> DataFrame:
     """Monthly revenue with growth against the calendar month 1 and 12 months earlier (NULL
     when that month is absent), instead of the positional previous rows."""
-    m = L.context.groupBy("month_start").agg(F.sum("total_sales").alias("_rev"))
-    m = lag_calendar(lag_calendar(m, "_rev", "month_start", 1, "_prev1"),
-                     "_rev", "month_start", 12, "_prev12", source=m)
-    return (m.select(month_label("month_start").alias("month"), money_out("_rev").alias("revenue"),
-                     rnd(pct_change("_rev", "_prev1"), 2).alias("mom_growth_pct"),
-                     rnd(pct_change("_rev", "_prev12"), 2).alias("yoy_growth_pct"))
+    m = period_kpi(L.context, ["month_start"], ["revenue"], prefix="_")
+    g = period_growth(m, "_revenue", "month_start", 1, "_mom", mode="calendar")
+    g = g.join(period_growth(m, "_revenue", "month_start", 12, "_yoy", mode="calendar")
+               .select(F.col("month_start").alias("_ms"), "_yoy"),
+               g["month_start"].eqNullSafe(F.col("_ms"))).drop("_ms")
+    return (g.select(month_label("month_start").alias("month"), money_out("_revenue").alias("revenue"),
+                     rnd("_mom", 2).alias("mom_growth_pct"), rnd("_yoy", 2).alias("yoy_growth_pct"))
             .orderBy("month"))
 
 

@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import date_parts
-from ..functions.numeric import count_where, flag, pct_rounded_decimal, safe_div
+from ..functions.numeric import pct_rounded_decimal, safe_div
+from ..operators.aggregates import entity_day_rollup
 from ..operators.events import SCOPES, applicable_events, attribute_events, collapse_events
+from ..operators.joins import enrich_with_flag
 from ..operators.temporal import forward_fill
 from ..session import scratch_path
 from ..sources.model import Model
@@ -45,12 +47,7 @@ def store_dimension(stores: DataFrame) -> DataFrame:
 
 def store_day_metrics(train: DataFrame, stores: DataFrame) -> DataFrame:
     """V1: one row per (date, store) of the fact table whose store exists in ``stores``."""
-    promo = F.coalesce(F.col("onpromotion"), F.lit(0))
-    daily = (train.groupBy("date", "store_nbr")
-             .agg(F.sum("sales").alias("total_sales"),
-                  F.sum(promo).cast("bigint").alias("total_items_on_promo"),
-                  count_where(promo > 0).alias("promoted_family_count"),
-                  F.count(F.lit(1)).alias("family_rows")))
+    daily = entity_day_rollup(train, ("date", "store_nbr"), "sales", "onpromotion")
     m = daily.join(store_dimension(stores), "store_nbr")
     return date_parts(m, "date").select(*METRIC_COLUMNS)
 
@@ -64,18 +61,15 @@ def oil_prices_filled(oil: DataFrame) -> DataFrame:
 def store_day_enriched(metrics: DataFrame, transactions: DataFrame, oil_filled: DataFrame) -> DataFrame:
     """V3: transactions (0 + flag when missing), oil (NULL + flag when missing), promo mix
     (exact 2-dp percentage) and sales per transaction (NULL without transactions)."""
-    tx = transactions.select("date", "store_nbr", F.col("transactions").alias("_tx"))
-    oil = oil_filled.select("date", F.col("oil_price_filled").alias("oil_price"))
-    e = metrics.join(tx, ["date", "store_nbr"], "left").join(oil, "date", "left")
-    has_tx = F.coalesce(F.col("_tx"), F.lit(0)) > 0
+    e = enrich_with_flag(metrics, transactions, ["date", "store_nbr"], "transactions",
+                         "transactions", default=0, flag_col="missing_transactions_flag")
+    e = enrich_with_flag(e, oil_filled, "date", "oil_price_filled", "oil_price",
+                         flag_col="missing_oil_flag")
     return e.select(
-        *METRIC_COLUMNS,
-        F.coalesce(F.col("_tx"), F.lit(0)).alias("transactions"),
-        flag(F.col("_tx").isNull()).alias("missing_transactions_flag"),
-        "oil_price",
-        flag(F.col("oil_price").isNull()).alias("missing_oil_flag"),
+        *METRIC_COLUMNS, "transactions", "missing_transactions_flag", "oil_price", "missing_oil_flag",
         pct_rounded_decimal("promoted_family_count", "family_rows").alias("promo_family_mix_pct"),
-        F.when(has_tx, safe_div("total_sales", "_tx")).alias("sales_per_transaction"))
+        F.when(F.col("transactions") > 0, safe_div("total_sales", "transactions"))
+         .alias("sales_per_transaction"))
 
 
 def store_day_context(enriched: DataFrame, holidays: DataFrame) -> DataFrame:
