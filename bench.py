@@ -32,6 +32,7 @@ def main() -> None:
 
     spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus * 2,
                         extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "16g")})
+    spark.range(1000).selectExpr("sum(id)").collect()      # session start-up, not the layer
     t0 = time.perf_counter()
     layer = layer_for(spark, sf_dir)
     layer.context.count()
