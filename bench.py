@@ -30,7 +30,7 @@ def main() -> None:
     from demandlens.plans.queries import QUERIES
     from demandlens.session import get_session
 
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus * 2,
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", cpus * 2)),
                         extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "16g")})
     spark.range(1000).selectExpr("sum(id)").collect()      # session start-up, not the layer
     t0 = time.perf_counter()

@@ -30,14 +30,21 @@ def applicable_events(holidays: DataFrame, kept_types=KEPT_EVENT_TYPES) -> DataF
     return holidays.filter(F.col("type").isin(kept_types) & (transferred != "true"))
 
 
-def _scope_key(match_col) -> Column:
+def _ckey(c: Column, collation: str | None) -> Column:
+    """A location value for comparison: binary by default (as the source's data is stored),
+    or under a collation such as 'UNICODE_CI_AI' (case- and accent-insensitive, the way the
+    source dialect's default collation compares text)."""
+    return F.collate(c, collation) if collation else c
+
+
+def _scope_key(match_col, collation: str | None = None) -> Column:
     """The value a target row offers to a scope: its location column, or '' for scopes that
     match on the date alone."""
-    return (F.col(match_col) if match_col is not None else F.lit("")).cast("string")
+    return _ckey((F.col(match_col) if match_col is not None else F.lit("")).cast("string"), collation)
 
 
 def attribute_events(events: DataFrame, targets: DataFrame, scopes=SCOPES,
-                     date_col: str = "date", keep=("store_nbr",)) -> DataFrame:
+                     date_col: str = "date", keep=("store_nbr",), collation: str | None = None) -> DataFrame:
     """One row per (target row, applicable event): date, keep..., holiday_scope,
     event_type, description. ``targets`` carries the date and the scope columns.
 
@@ -46,30 +53,31 @@ def attribute_events(events: DataFrame, targets: DataFrame, scopes=SCOPES,
     side (broadcast when small) finds every applicable event."""
     labels = [label for label, _ in scopes]
     offers = F.explode(F.array(*[F.struct(F.lit(label).alias("holiday_scope"),
-                                          _scope_key(mc).alias("_key"))
+                                          _scope_key(mc, collation).alias("_key"))
                                  for label, mc in scopes]))
     keyed = (targets.select(F.col(date_col).alias(date_col), *keep, offers.alias("_o"))
              .select(date_col, *keep, "_o.holiday_scope", "_o._key"))
     date_only = [label for label, mc in scopes if mc is None]
     ev = (events.filter(F.col("locale").isin(labels))
           .select(F.col("date").alias("_ev_date"), F.col("locale").alias("_ev_scope"),
-                  F.when(F.col("locale").isin(date_only), F.lit("")).otherwise(F.col("locale_name"))
-                   .alias("_ev_key"),
+                  _ckey(F.when(F.col("locale").isin(date_only), F.lit("")).otherwise(F.col("locale_name")),
+                        collation).alias("_ev_key"),
                   F.col("type").alias("event_type"), "description"))
     cond = ((keyed[date_col] == ev["_ev_date"]) & (keyed["holiday_scope"] == ev["_ev_scope"])
             & (keyed["_key"] == ev["_ev_key"]))
     return keyed.join(ev, cond).select(date_col, *keep, "holiday_scope", "event_type", "description")
 
 
-def applicable_to_any(events: DataFrame, entities: DataFrame, scopes=SCOPES) -> DataFrame:
+def applicable_to_any(events: DataFrame, entities: DataFrame, scopes=SCOPES,
+                      collation: str | None = None) -> DataFrame:
     """Events that reach at least one entity (semi joins on the scope columns).
     Scopes without a match column reach every entity of a non-empty entity table."""
     parts = []
     for label, match_col in scopes:
         ev = events.filter(F.col("locale") == label)
         if match_col is not None:
-            keys = entities.select(F.col(match_col).alias("_scope_key")).distinct()
-            ev = ev.join(keys, ev["locale_name"] == keys["_scope_key"], "left_semi")
+            keys = entities.select(_ckey(F.col(match_col), collation).alias("_scope_key")).distinct()
+            ev = ev.join(keys, _ckey(ev["locale_name"], collation) == keys["_scope_key"], "left_semi")
         parts.append(ev.withColumn("holiday_scope", F.lit(label)))
     out = parts[0]
     for p in parts[1:]:
@@ -83,7 +91,8 @@ def distinct_list(values: Column, sep: str) -> Column:
 
 
 def collapse_events(targets: DataFrame, events: DataFrame, scopes=SCOPES,
-                    date_col: str = "date", holiday_type: str = HOLIDAY_TYPE) -> DataFrame:
+                    date_col: str = "date", holiday_type: str = HOLIDAY_TYPE,
+                    collation: str | None = None) -> DataFrame:
     """Add is_special_day, is_holiday, holiday_scope, event_type_list and
     event_description_list to every target row (one row out per row in: no fan-out).
 
@@ -97,7 +106,7 @@ def collapse_events(targets: DataFrame, events: DataFrame, scopes=SCOPES,
         ev = events.filter(F.col("locale") == label)
         keys = [F.col("date").alias(p + "_date")]
         if match_col is not None:
-            keys.append(F.col("locale_name").alias(p + "_loc"))
+            keys.append(_ckey(F.col("locale_name"), collation).alias(p + "_loc"))
         dig = ev.groupBy(*keys).agg(
             F.max(F.lit(1)).alias(p + "_hit"),
             F.max(flag(F.col("type") == holiday_type)).alias(p + "_hol"),
@@ -105,7 +114,7 @@ def collapse_events(targets: DataFrame, events: DataFrame, scopes=SCOPES,
             F.collect_set("description").alias(p + "_descs"))
         cond = out[date_col] == dig[p + "_date"]
         if match_col is not None:
-            cond = cond & (out[match_col] == dig[p + "_loc"])
+            cond = cond & (_ckey(out[match_col], collation) == dig[p + "_loc"])
         out = out.join(dig, cond, "left")
         hits.append((label, F.col(p + "_hit")))
         hols.append(F.col(p + "_hol"))
@@ -148,12 +157,13 @@ def baseline_columns(measures) -> dict:
     return {m: F.col("_base_" + m) for m in measures}
 
 
-def top_events(events: DataFrame, ctx: DataFrame, measures: list, min_days: int = 20) -> DataFrame:
+def top_events(events: DataFrame, ctx: DataFrame, measures: list, min_days: int = 20,
+               collation: str | None = None) -> DataFrame:
     """Per (holiday_scope, event_type, description): affected_store_days (every matched
     store-day, duplicates of the calendar counted again) and the ``measures`` (aggregate
     Columns) over the matched store-days; groups under ``min_days`` are dropped."""
     keep = [c for c in ctx.columns if c not in ("date", "state", "city")]
-    pairs = attribute_events(events, ctx, keep=tuple(keep))
+    pairs = attribute_events(events, ctx, keep=tuple(keep), collation=collation)
     return (pairs.groupBy("holiday_scope", "event_type", "description")
             .agg(F.count(F.lit(1)).alias("affected_store_days"), *measures)
             .filter(F.col("affected_store_days") >= min_days))

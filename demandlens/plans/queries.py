@@ -73,7 +73,8 @@ def v3_store_day_enriched(L: Layer) -> DataFrame:
 
 
 def v4_store_holiday_map(L: Layer) -> DataFrame:
-    return store_holiday_map(L.context.select("date", "store_nbr", "state", "city"), L.model.holidays)
+    return store_holiday_map(L.context.select("date", "store_nbr", "state", "city"), L.model.holidays,
+                             L.collation)
 
 
 def v5_store_day_context(L: Layer) -> DataFrame:
@@ -100,8 +101,20 @@ def q02_anomaly_flags(L: Layer) -> DataFrame:
 
 
 # ---------------------------------------------------------------- section 2: KPI & trend
-def q03_monthly_kpi(L: Layer) -> DataFrame:
-    m = period_kpi(L.context, ["month_start"],
+def _through_complete_month(df: DataFrame, date_col: str = "date") -> DataFrame:
+    """Rows up to the end of the last complete calendar month (the data may stop mid-month,
+    as the source's does: T10)."""
+    last = _first(df, F.max(date_col))
+    if last is None:
+        return df
+    end = F.lit(last)
+    complete_end = F.when(F.last_day(end) == end, end).otherwise(F.date_sub(F.trunc(end, "MM"), 1))
+    return df.filter(F.col(date_col) <= complete_end)
+
+
+def q03_monthly_kpi(L: Layer, complete_months_only: bool = False) -> DataFrame:
+    ctx = _through_complete_month(L.context) if complete_months_only else L.context
+    m = period_kpi(ctx, ["month_start"],
                    ["revenue", "transactions", "avg_store_day_revenue", "active_stores",
                     "avg_promo_family_mix_pct"], prefix="_")
     m = period_growth(m, "_revenue", "month_start", 1, "_mom")
@@ -161,8 +174,9 @@ def q05_seasonality(L: Layer) -> DataFrame:
 
 
 # ---------------------------------------------------------------- section 3: portfolio
-def q06_portfolio_roles(L: Layer, recent_months: int = 6) -> DataFrame:
-    fm = (L.train.groupBy(month_start("date").alias("month_start"), "family")
+def q06_portfolio_roles(L: Layer, recent_months: int = 6, complete_months_only: bool = False) -> DataFrame:
+    train = _through_complete_month(L.train) if complete_months_only else L.train
+    fm = (train.groupBy(month_start("date").alias("month_start"), "family")
           .agg(F.sum("sales").alias("monthly_revenue"))
           .withColumn("_max", F.max("month_start").over(over_all())))   # families x months
     recent, prior = trailing_compare("monthly_revenue", "month_start", F.col("_max"),
@@ -316,13 +330,28 @@ def _lift_cols():
          .alias("basket_lift_pct")]
 
 
-def q13_holiday_lift(L: Layer) -> DataFrame:
+def _scalar_baseline(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """Attach the day means of ``rows`` (one global aggregate, a scalar subquery) as the
+    _base__* columns of ``df``."""
+    b = period_kpi(rows, [], DAY_MEANS).select(F.struct(*DAY_MEANS).alias("b")).scalar()
+    return df.withColumns({"_base__" + m: b.getField(m) for m in DAY_MEANS})
+
+
+def q13_holiday_lift(L: Layer, baseline: str = "non_holiday") -> DataFrame:
+    """Lift of each day group over a baseline: ``non_holiday`` (default, as the source: the
+    'Non-Holiday' group, which still holds Transfer/Bridge/Additional/Event days) or
+    ``non_special`` (store-days with no applicable event at all, as the event ranking uses)."""
     group = (F.when(F.col("is_holiday") == 0, F.lit(NON_HOLIDAY))
              .when(F.col("holiday_scope") == MIXED_SCOPE, F.lit(MIXED_DAY_GROUP))
              .otherwise(F.concat(F.col("holiday_scope"), F.lit(" Holiday"))))
     g = period_kpi(L.context.withColumn("day_group", group), ["day_group"],
                    ["store_days"] + DAY_MEANS, prefix="_")
-    lifted = lift_vs_baseline(g, F.col("day_group") == NON_HOLIDAY, ["_" + m for m in DAY_MEANS])
+    if baseline == "non_holiday":
+        lifted = lift_vs_baseline(g, F.col("day_group") == NON_HOLIDAY, ["_" + m for m in DAY_MEANS])
+    elif baseline == "non_special":
+        lifted = _scalar_baseline(g, L.context.filter(F.col("is_special_day") == 0))
+    else:
+        raise ValueError(baseline)
     return (lifted.select(
         "day_group", F.col("_store_days").alias("store_days"),
         rnd("_avg_store_day_revenue", 2).alias("avg_store_day_revenue"),
@@ -339,11 +368,10 @@ def q14_event_lift(L: Layer, min_days: int = 20, k: int = 25) -> DataFrame:
     targets = c.select("date", "store_nbr", "state", "city", "total_sales", "transactions",
                        "sales_per_transaction")
     means = named_measures()
-    ep = top_events(L.events, targets, [means[m]().alias("_" + m) for m in DAY_MEANS], min_days)
+    ep = top_events(L.events, targets, [means[m]().alias("_" + m) for m in DAY_MEANS], min_days,
+                    collation=L.collation)
     # Baseline over ordinary store-days: one global aggregate, used as a scalar subquery.
-    base = period_kpi(c.filter(F.col("is_special_day") == 0), [], DAY_MEANS)
-    b = base.select(F.struct(*DAY_MEANS).alias("b")).scalar()
-    ep = ep.withColumns({"_base__" + m: b.getField(m) for m in DAY_MEANS})
+    ep = _scalar_baseline(ep, c.filter(F.col("is_special_day") == 0))
     out = ep.select("holiday_scope", "event_type", "description", "affected_store_days",
                     rnd("_avg_store_day_revenue", 2).alias("avg_store_day_revenue"), *_lift_cols())
     return (out.orderBy(F.col("revenue_lift_pct").desc(), F.col("affected_store_days").desc(),
@@ -369,7 +397,7 @@ def q16_network_anomalies(L: Layer, threshold: float = 2.0) -> DataFrame:
     dn = period_kpi(L.context, ["date"], ["revenue", "transactions", "avg_promo_family_mix_pct",
                                           "has_special_day"], prefix="_")
     scored = zscore_outliers(dn, "_revenue", threshold, out="_z")   # dates: calendar-sized
-    ctx_events = (applicable_to_any(L.events, L.stores).groupBy("date")
+    ctx_events = (applicable_to_any(L.events, L.stores, collation=L.collation).groupBy("date")
                   .agg(distinct_list(F.col("description"), DESCRIPTION_SEPARATOR).alias("_ctx")))
     j = scored.join(ctx_events, "date", "left")
     z = F.col("_z")

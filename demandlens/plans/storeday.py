@@ -72,14 +72,15 @@ def store_day_enriched(metrics: DataFrame, transactions: DataFrame, oil_filled:
          .alias("sales_per_transaction"))
 
 
-def store_day_context(enriched: DataFrame, holidays: DataFrame) -> DataFrame:
+def store_day_context(enriched: DataFrame, holidays: DataFrame, collation: str | None = None) -> DataFrame:
     """V5: every enriched store-day plus its collapsed event attributes."""
-    return collapse_events(enriched, applicable_events(holidays), SCOPES).select(*CONTEXT_COLUMNS)
+    return (collapse_events(enriched, applicable_events(holidays), SCOPES, collation=collation)
+            .select(*CONTEXT_COLUMNS))
 
 
-def store_holiday_map(store_days: DataFrame, holidays: DataFrame) -> DataFrame:
+def store_holiday_map(store_days: DataFrame, holidays: DataFrame, collation: str | None = None) -> DataFrame:
     """V4 at store-day grain: one row per (store-day, applicable event), by scope rules."""
-    return attribute_events(applicable_events(holidays), store_days, SCOPES)
+    return attribute_events(applicable_events(holidays), store_days, SCOPES, collation=collation)
 
 
 @dataclass
@@ -89,6 +90,7 @@ class Layer:
     model: Model
     context: DataFrame
     events: DataFrame          # applicable events (small calendar table)
+    collation: str | None = None   # how locale names match store locations (None = binary)
 
     @property
     def stores(self) -> DataFrame:
@@ -122,12 +124,14 @@ def materialise_model(model: Model, spark: SparkSession) -> Model:
                  holidays=t["holidays_events"], oil=t["oil"], origin=model.origin)
 
 
-def build_layer(model: Model, spark: SparkSession, materialise: bool = True) -> Layer:
+def build_layer(model: Model, spark: SparkSession, materialise: bool = True,
+                collation: str | None = None) -> Layer:
     if materialise:
         model = materialise_model(model, spark)
     metrics = store_day_metrics(model.train, model.stores)
     enriched = store_day_enriched(metrics, model.transactions, oil_prices_filled(model.oil))
-    ctx = store_day_context(enriched, model.holidays)
+    ctx = store_day_context(enriched, model.holidays, collation)
     if materialise:
         ctx = write_table(ctx, spark, "store_day_context", sort_by=("date", "store_nbr"))
-    return Layer(spark=spark, model=model, context=ctx, events=applicable_events(model.holidays))
+    return Layer(spark=spark, model=model, context=ctx, events=applicable_events(model.holidays),
+                 collation=collation)

@@ -300,3 +300,38 @@ def test_f23_empty_calendar(spark):
     got = {(r["is_special_day"], r["is_holiday"], r["holiday_scope"], r["event_type_list"],
             r["event_description_list"]) for r in L.context.collect()}
     assert got == {(0, 0, "None", "None", "None")}
+
+
+# ---------------------------------------------------------------- T11, T4, T10 options
+def test_t11_collation_for_locale_names(spark):
+    train = [("2016-03-01", s, "A", 100, 0) for s in (1, 2, 3)]
+    hol = [("2016-03-01", "Holiday", "Local", "QUITO", "Quito Day", "False")]
+    model = make_model(spark, train, holidays=hol)
+    binary = build_layer(model, spark, materialise=False)
+    assert {r["store_nbr"]: r["is_special_day"] for r in binary.context.collect()} == {1: 0, 2: 0, 3: 0}
+    ci = build_layer(model, spark, materialise=False, collation="UNICODE_CI_AI")
+    assert {r["store_nbr"]: r["is_special_day"] for r in ci.context.collect()} == {1: 1, 2: 1, 3: 0}
+    assert sorted(rows(Q.v4_store_holiday_map(ci), "store_nbr", "description")) == \
+        [(1, "Quito Day"), (2, "Quito Day")]
+    assert Q.q14_event_lift(ci, min_days=1).first()["affected_store_days"] == 2
+
+
+def test_t4_baseline_choice(spark):
+    # a Transfer day (special, not a holiday) with higher sales sits in the Non-Holiday group
+    days = ["2016-03-01", "2016-03-02", "2016-03-03"]
+    train = [(d, 1, "A", 200 if d == "2016-03-02" else 100, 0) for d in days]
+    hol = [("2016-03-02", "Transfer", "National", "Ecuador", "Moved", "False")]
+    L = layer(spark, make_model(spark, train, holidays=hol))
+    default = {r["day_group"]: r for r in Q.q13_holiday_lift(L).collect()}
+    assert default["Non-Holiday"]["revenue_lift_pct"] == 0.0
+    special = {r["day_group"]: r for r in Q.q13_holiday_lift(L, baseline="non_special").collect()}
+    assert special["Non-Holiday"]["revenue_lift_pct"] == round(100 * (400 / 3 - 100) / 100, 2)
+
+
+def test_t10_complete_months_only(spark):
+    train = [("2017-07-10", 1, "A", 100, 0), ("2017-07-31", 1, "A", 50, 0), ("2017-08-15", 1, "A", 70, 0)]
+    L = layer(spark, make_model(spark, train))
+    assert [r["month"] for r in Q.q03_monthly_kpi(L).collect()] == ["2017-07", "2017-08"]
+    assert [r["month"] for r in Q.q03_monthly_kpi(L, complete_months_only=True).collect()] == ["2017-07"]
+    fam = Q.q06_portfolio_roles(L, complete_months_only=True).first()
+    assert fam["total_revenue"] == 150.0
