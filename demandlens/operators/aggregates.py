@@ -8,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import (count_where, dbl, exact_mean, flag, nullif0, pct_change, pct_of,
-                                 rnd, safe_div)
-from .stats import over_all, quantile_segment
+from ..functions.numeric import count_where, exact_mean, flag, pct_of, rnd, safe_div
+from .stats import over_all, pearson, quantile_segment
 
 
 def entity_day_rollup(fact: DataFrame, keys=("date", "store_nbr"), value: str = "sales",
@@ -43,9 +42,6 @@ def named_measures() -> dict:
     }
 
 
-MEASURES = tuple(named_measures())
-
-
 def period_kpi(ctx: DataFrame, keys, measures, prefix: str = "") -> DataFrame:
     """Group the store-day layer by ``keys`` and compute the named ``measures`` (unrounded;
     money sums stay exact decimals)."""
@@ -90,10 +86,4 @@ def regime_bins(periods: DataFrame, x: str, y: str, n: int, tie_break: str) -> D
     allp = over_all()
     return (periods.withColumn("_bin", quantile_segment(n, F.col(x).asc(), F.col(tie_break).asc()))
             .withColumn("_n", F.count(F.lit(1)).over(allp))
-            .withColumn("_corr", F.covar_pop(dbl(x), dbl(y)).over(allp)
-                        / nullif0(F.stddev_pop(dbl(x)).over(allp) * F.stddev_pop(dbl(y)).over(allp))))
-
-
-def growth_columns(pairs) -> list:
-    """[pct_change(cur, prev).alias(out)] for (cur, prev, out) triples (unrounded)."""
-    return [pct_change(c, p).alias(o) for c, p, o in pairs]
+            .withColumn("_corr", pearson(x, y, over=allp)))

@@ -153,10 +153,6 @@ def lift_vs_baseline(grouped: DataFrame, is_baseline: Column, measures: dict) ->
     return out.filter(F.col("_has_base") == 1)
 
 
-def baseline_columns(measures) -> dict:
-    return {m: F.col("_base_" + m) for m in measures}
-
-
 def top_events(events: DataFrame, ctx: DataFrame, measures: list, min_days: int = 20,
                collation: str | None = None) -> DataFrame:
     """Per (holiday_scope, event_type, description): affected_store_days (every matched

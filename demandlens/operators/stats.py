@@ -1,11 +1,12 @@
 """Statistical operators: variation, shares, concentration, percentile and quantile
 segments, sigma bands, z-scores and correlation.
 
-Whole-set windows (ranks, totals, network means) are applied only to *aggregated entity
+Whole-set operations (ranks, totals, network means) are applied only to *aggregated entity
 tables* -- one row per family, store, cluster x family, month, date or day group -- never
-to the fact table or the store-day layer. Those tables are bounded by the entity domain
-(stores, families, calendar), not by the number of fact rows, so one ordered pass over
-them is cheap; the heavy work before them is a partial + final hash aggregate.
+to the fact table or the store-day layer. Each takes ``large``: False (the table is proven
+small: one ordered window pass) or True (the table is written once and ranked in parallel
+range partitions with broadcast offsets, totals come from a global aggregate), so no single
+task ever holds a large entity table. Both paths give identical results.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dbl, dec_lit, exact_mean, money_out, nullif0, rnd
+from ..sources.sink import write_table
+from .ranking import dense_ranks, ntiles, percent_ranks, row_numbers, sort_key
 
 
 def over_all() -> Window:
@@ -32,6 +35,15 @@ def share_of_total(value: str, partition_by=()) -> Column:
     return F.lit(100.0) * dbl(value) / nullif0(dbl(F.sum(value).over(w)))
 
 
+def with_share_of_total(df: DataFrame, value: str, out: str, large: bool = False) -> DataFrame:
+    """Add ``out`` = 100 * value / SUM(value) over the whole entity table."""
+    if not large:
+        return df.withColumn(out, share_of_total(value))
+    df = write_table(df, df.sparkSession, "entity")
+    total = df.agg(F.sum(value)).scalar()
+    return df.withColumn(out, F.lit(100.0) * dbl(value) / nullif0(dbl(total)))
+
+
 def affinity_index(segment_share: Column, overall_share: Column) -> Column:
     """Ratio of a segment's share to the overall share (1.0 = in line)."""
     return segment_share / nullif0(overall_share)
@@ -42,38 +54,63 @@ def percentile_rank(*order: Column) -> Column:
     return F.percent_rank().over(Window.orderBy(*order))
 
 
-def rank_percentiles(df: DataFrame, cols: dict) -> DataFrame:
+def rank_percentiles(df: DataFrame, cols: dict, large: bool = False) -> DataFrame:
     """Add one PERCENT_RANK column per entry {out: order column}, ascending with NULLs first
     (as the source dialect orders)."""
-    return df.withColumns({out: percentile_rank(F.col(c).asc_nulls_first()) for out, c in cols.items()})
+    if not large:
+        return df.withColumns({out: percentile_rank(F.col(c).asc_nulls_first()) for out, c in cols.items()})
+    for out, c in cols.items():
+        df = percent_ranks(df, c, out, descending=False, nulls_first=True)
+    return df
 
 
 def dense_rank_desc(value: str) -> Column:
     return F.dense_rank().over(Window.orderBy(F.col(value).desc()))
 
 
+def with_dense_rank_desc(df: DataFrame, value: str, out: str, large: bool = False) -> DataFrame:
+    """DENSE_RANK by ``value`` descending (NULLs last)."""
+    if not large:
+        return df.withColumn(out, dense_rank_desc(value))
+    return dense_ranks(df, value, out, descending=True)
+
+
 def quantile_segment(n: int, *order: Column) -> Column:
     """NTILE(n) over a total order (pass a key as the last tie-breaker so equal values are
     split the same way every run)."""
     return F.ntile(n).over(Window.orderBy(*order))
 
 
-def quantile_segments(df: DataFrame, n: int, specs: dict, tie_break: str) -> DataFrame:
-    """Add NTILE(n) columns {out: order Column}; ``tie_break`` (a key) orders equal values."""
-    return df.withColumns({out: quantile_segment(n, order, F.col(tie_break).asc())
-                           for out, order in specs.items()})
+def quantile_segments(df: DataFrame, n: int, specs: dict, tie_break: str, large: bool = False) -> DataFrame:
+    """Add NTILE(n) columns {out: (value, descending)}; NULL values sort first ascending and
+    last descending; ``tie_break`` (a unique key) orders equal values."""
+    if not large:
+        return df.withColumns({out: quantile_segment(n, sort_key(v, desc), F.col(tie_break).asc())
+                               for out, (v, desc) in specs.items()})
+    for out, (v, desc) in specs.items():
+        df = ntiles(df, n, [sort_key(v, desc), F.col(tie_break).asc()], out)
+    return df
+
+
+def _ranked_desc(entity_totals: DataFrame, value: str, key: str, large: bool) -> DataFrame:
+    """_v, _rn (ROW_NUMBER by value descending, key ascending on ties), _n and _total."""
+    if not large:
+        return entity_totals.select(
+            F.col(value).alias("_v"),
+            F.row_number().over(Window.orderBy(F.col(value).desc(), F.col(key).asc())).alias("_rn"),
+            F.count(F.lit(1)).over(over_all()).alias("_n"),
+            F.sum(value).over(over_all()).alias("_total"))
+    r = row_numbers(entity_totals.select(F.col(value).alias("_v"), F.col(key).alias("_k")),
+                    [sort_key("_v", True), F.col("_k").asc()], "_rn", total="_n")
+    return r.withColumn("_total", r.agg(F.sum("_v")).scalar()).drop("_k")
 
 
-def concentration(entity_totals: DataFrame, value: str, label: str,
-                  top_frac: float = 0.20) -> DataFrame:
+def concentration(entity_totals: DataFrame, value: str, label: str, key: str,
+                  top_frac: float = 0.20, large: bool = False) -> DataFrame:
     """One row: entity_type, entity_count, hhi (sum of squared shares, 0-1 scale),
     top_1_share_pct, top_20pct_share_pct (share of the ceil(n * top_frac) largest).
-    ``entity_totals`` has one row per entity."""
-    ranked = entity_totals.select(
-        F.col(value).alias("_v"),
-        F.row_number().over(Window.orderBy(F.col(value).desc())).alias("_rn"),
-        F.count(F.lit(1)).over(over_all()).alias("_n"),
-        F.sum(value).over(over_all()).alias("_total"))
+    ``entity_totals`` has one row per ``key``."""
+    ranked = _ranked_desc(entity_totals, value, key, large)
     share = dbl("_v") / nullif0(dbl("_total"))
     in_top = F.col("_rn") <= F.ceil(F.col("_n") * dec_lit(top_frac))
     tot = nullif0(dbl(F.max("_total")))
@@ -86,11 +123,9 @@ def concentration(entity_totals: DataFrame, value: str, label: str,
          .alias("top_20pct_share_pct"))
 
 
-def top_n_share(entity_totals: DataFrame, value: str, n: int) -> DataFrame:
+def top_n_share(entity_totals: DataFrame, value: str, n: int, key: str, large: bool = False) -> DataFrame:
     """One row: entity_count, top_n, top_n_revenue (exact), top_n_share_pct."""
-    ranked = entity_totals.select(
-        F.col(value).alias("_v"),
-        F.row_number().over(Window.orderBy(F.col(value).desc())).alias("_rn"))
+    ranked = _ranked_desc(entity_totals, value, key, large)
     top = F.sum(F.when(F.col("_rn") <= n, F.col("_v")).otherwise(F.lit(0)))
     return ranked.agg(
         F.count(F.lit(1)).alias("entity_count"),
@@ -99,12 +134,20 @@ def top_n_share(entity_totals: DataFrame, value: str, n: int) -> DataFrame:
         rnd(F.lit(100.0) * dbl(top) / nullif0(dbl(F.sum("_v"))), 2).alias("top_n_share_pct"))
 
 
-def sigma_band(df: DataFrame, cols, k: float = 1.0) -> DataFrame:
+def sigma_band(df: DataFrame, cols, k: float = 1.0, large: bool = False) -> DataFrame:
     """Add _avg_<c> and _lo_<c> = mean - k * population sd of each column, over the whole
     (entity-level) table."""
+    if not large:
+        for c in cols:
+            df = (df.withColumn("_avg_" + c, F.avg(c).over(over_all()))
+                    .withColumn("_lo_" + c, F.col("_avg_" + c) - F.lit(k) * F.stddev_pop(c).over(over_all())))
+        return df
+    df = write_table(df, df.sparkSession, "entity")
+    stats = df.agg(F.struct(*[F.avg(c).alias("m_" + c) for c in cols],
+                            *[F.stddev_pop(c).alias("s_" + c) for c in cols]).alias("s")).scalar()
     for c in cols:
-        df = (df.withColumn("_avg_" + c, F.avg(c).over(over_all()))
-                .withColumn("_lo_" + c, F.col("_avg_" + c) - F.lit(k) * F.stddev_pop(c).over(over_all())))
+        df = (df.withColumn("_avg_" + c, stats.getField("m_" + c))
+                .withColumn("_lo_" + c, F.col("_avg_" + c) - F.lit(k) * stats.getField("s_" + c)))
     return df
 
 
@@ -118,8 +161,10 @@ def zscore_outliers(df: DataFrame, value: str, threshold: float = 2.0, out: str
     return df if keep_all else df.filter(F.abs(F.col(out)) >= threshold)
 
 
-def pearson(x, y) -> Column:
-    """Aggregate: population covariance over the product of population standard deviations,
-    on DOUBLE inputs; NULL for a constant or single-point series (never NaN, never an error)."""
+def pearson(x, y, over: Window | None = None) -> Column:
+    """Population covariance over the product of population standard deviations, on DOUBLE
+    inputs; NULL for a constant or single-point series (never NaN, never an error). An
+    aggregate, or a window function when ``over`` is given."""
     x, y = dbl(x), dbl(y)
-    return F.covar_pop(x, y) / nullif0(F.stddev_pop(x) * F.stddev_pop(y))
+    w = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    return w(F.covar_pop(x, y)) / nullif0(w(F.stddev_pop(x)) * w(F.stddev_pop(y)))

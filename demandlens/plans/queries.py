@@ -20,7 +20,8 @@ from ..operators.events import (DESCRIPTION_SEPARATOR, MIXED_SCOPE, applicable_t
                                 distinct_list, lift_vs_baseline, top_events)
 from ..operators.stats import (affinity_index, coefficient_of_variation, concentration,
                                dense_rank_desc, over_all, quantile_segments, rank_percentiles,
-                               share_of_total, sigma_band, top_n_share, zscore_outliers)
+                               share_of_total, sigma_band, top_n_share, with_dense_rank_desc,
+                               with_share_of_total, zscore_outliers)
 from ..operators.temporal import (asof_fill, period_growth, rolling_mean, same_period_prior_year,
                                   trailing_compare, window_bounds)
 from .storeday import (ENRICHED_COLUMNS, METRIC_COLUMNS, Layer, oil_prices_filled,
@@ -176,9 +177,12 @@ def q05_seasonality(L: Layer) -> DataFrame:
 # ---------------------------------------------------------------- section 3: portfolio
 def q06_portfolio_roles(L: Layer, recent_months: int = 6, complete_months_only: bool = False) -> DataFrame:
     train = _through_complete_month(L.train) if complete_months_only else L.train
-    fm = (train.groupBy(month_start("date").alias("month_start"), "family")
-          .agg(F.sum("sales").alias("monthly_revenue"))
-          .withColumn("_max", F.max("month_start").over(over_all())))   # families x months
+    large = L.large("families")
+    fm = train.groupBy(month_start("date").alias("month_start"), "family").agg(
+        F.sum("sales").alias("monthly_revenue"))
+    # latest month: a window over the (families x months) table, or a scalar when it is large
+    last = F.trunc(train.agg(F.max("date")).scalar(), "MM") if large else F.max("month_start").over(over_all())
+    fm = fm.withColumn("_max", last)
     recent, prior = trailing_compare("monthly_revenue", "month_start", F.col("_max"),
                                      recent_months, "month")
     fam = fm.groupBy("family").agg(
@@ -187,8 +191,9 @@ def q06_portfolio_roles(L: Layer, recent_months: int = 6, complete_months_only:
         recent.alias("_recent"), prior.alias("_prior"))
     fam = fam.withColumn("recent_6m_growth_pct", rnd(pct_change("_recent", "_prior"), 2))
     fam = rank_percentiles(fam, {"_rev_pr": "_total", "_cv_pr": "revenue_cv",
-                                 "_g_pr": "recent_6m_growth_pct"})      # rounded inputs (T7)
-    fam = fam.withColumn("revenue_share_pct", rnd(share_of_total("_total"), 2))
+                                 "_g_pr": "recent_6m_growth_pct"}, large)   # rounded inputs (T7)
+    fam = with_share_of_total(fam, "_total", "_share", large)
+    fam = fam.withColumn("revenue_share_pct", rnd("_share", 2))
     rp, cp, gp = F.col("_rev_pr"), F.col("_cv_pr"), F.col("_g_pr")
     role = classify([((rp >= 0.80) & (cp <= 0.50) & (gp >= 0.80), PORTFOLIO_ROLES[0]),
                      ((rp >= 0.80) & (cp <= 0.30), PORTFOLIO_ROLES[1]),
@@ -229,8 +234,10 @@ def _family_revenue(L: Layer) -> DataFrame:
 
 
 def q08_concentration(L: Layer, top_frac: float = 0.20) -> DataFrame:
-    return (concentration(_store_revenue(L), "revenue", CONCENTRATION_LABELS[0], top_frac)
-            .unionByName(concentration(_family_revenue(L), "revenue", CONCENTRATION_LABELS[1], top_frac)))
+    return (concentration(_store_revenue(L), "revenue", CONCENTRATION_LABELS[0], "store_nbr", top_frac,
+                          large=L.large("stores"))
+            .unionByName(concentration(_family_revenue(L), "revenue", CONCENTRATION_LABELS[1], "family",
+                                       top_frac, large=L.large("families"))))
 
 
 def q09_cluster_index(L: Layer, over: float = 1.20, under: float = 0.80) -> DataFrame:
@@ -243,8 +250,8 @@ def q09_cluster_index(L: Layer, over: float = 1.20, under: float = 0.80) -> Data
     cf = (sf.join(st, sf["store_nbr"].eqNullSafe(st["_st"]))
           .groupBy("cluster", "family").agg(F.sum("revenue").alias("revenue"))
           .withColumn("_cs", share_of_total("revenue", ["cluster"])))
-    ns = (sf.groupBy("family").agg(F.sum("revenue").alias("_fam_total"))
-          .withColumn("_ns", share_of_total("_fam_total")))
+    ns = with_share_of_total(sf.groupBy("family").agg(F.sum("revenue").alias("_fam_total")),
+                             "_fam_total", "_ns", large=L.large("families"))
     j = cf.join(ns, "family")
     idx = affinity_index(F.col("_cs"), F.col("_ns"))
     pos = classify([(idx >= over, POSITIONING[0]), (idx <= under, POSITIONING[1])], POSITIONING[2])
@@ -256,7 +263,10 @@ def q09_cluster_index(L: Layer, over: float = 1.20, under: float = 0.80) -> Data
 
 # ---------------------------------------------------------------- section 4: stores
 def q10_store_scorecard(L: Layer) -> DataFrame:
+    large = L.large("stores")
     s = scorecard(L.context)
+    s = with_dense_rank_desc(s, "_revenue", "revenue_rank", large)          # on unrounded values
+    s = with_dense_rank_desc(s, "_sales_per_transaction", "basket_rank", large)
     return (s.select(
         "store_nbr", "city", "state", "store_type", "cluster",
         money_out("_revenue").alias("total_revenue"),
@@ -265,8 +275,7 @@ def q10_store_scorecard(L: Layer) -> DataFrame:
         rnd("_sales_per_transaction", 2).alias("sales_per_transaction"),
         rnd("_avg_promo_family_mix_pct", 2).alias("avg_promo_family_mix_pct"),
         rnd("_special_day_sales_share_pct", 2).alias("special_day_sales_share_pct"),
-        dense_rank_desc("_revenue").alias("revenue_rank"),            # on unrounded values
-        dense_rank_desc("_sales_per_transaction").alias("basket_rank"))
+        "revenue_rank", "basket_rank")
         .orderBy("revenue_rank", "basket_rank", "store_nbr"))
 
 
@@ -288,7 +297,8 @@ def q11_store_risk(L: Layer, days: int = 90, k: float = 1.0) -> DataFrame:
           .withColumn("transaction_growth_pct", rnd(pct_change("_r_tx", "_p_tx"), 2))
           .withColumn("basket_growth_pct", rnd(pct_change("_r_spt", "_p_spt"), 2)))
     cols = ["revenue_growth_pct", "transaction_growth_pct", "basket_growth_pct"]
-    b = sigma_band(sg, cols, k)       # network mean and mean - k*sd of the rounded growths (T7)
+    # network mean and mean - k*sd of the rounded growths (T7), over stores
+    b = sigma_band(sg, cols, k, large=L.large("stores"))
     rev_lo, tx_lo, bk_lo = [F.col(c) < F.col("_lo_" + c) for c in cols]
     healthy = ((F.col("revenue_growth_pct") >= F.col("_avg_revenue_growth_pct"))
                & (F.col("transaction_growth_pct") >= F.col("_avg_transaction_growth_pct")))
@@ -304,8 +314,8 @@ def q12_store_archetypes(L: Layer) -> DataFrame:
     s = period_kpi(L.context, ["store_nbr", "city", "state", "cluster"], ["revenue", "transactions"],
                    prefix="_")
     s = s.withColumn("_spt", safe_div("_revenue", "_transactions"))
-    s = quantile_segments(s, 4, {"revenue_quartile": F.col("_revenue").desc(),
-                                 "basket_quartile": F.col("_spt").desc_nulls_last()}, "store_nbr")
+    s = quantile_segments(s, 4, {"revenue_quartile": ("_revenue", True),
+                                 "basket_quartile": ("_spt", True)}, "store_nbr", large=L.large("stores"))
     r, b = F.col("revenue_quartile"), F.col("basket_quartile")
     arche = classify([((r == 1) & (b == 1), ARCHETYPES[0]), ((r == 1) & (b >= 2), ARCHETYPES[1]),
                       (r.isin(2, 3) & (b == 1), ARCHETYPES[2]), ((r == 4) & (b == 4), ARCHETYPES[3])],
@@ -423,9 +433,9 @@ def x1_coverage_span(L: Layer) -> DataFrame:
 
 
 def x2_top_n_share(L: Layer, top_families: int = 5, top_stores: int = 10) -> DataFrame:
-    s = top_n_share(_store_revenue(L), "revenue", top_stores).select(
+    s = top_n_share(_store_revenue(L), "revenue", top_stores, "store_nbr", L.large("stores")).select(
         F.lit(CONCENTRATION_LABELS[0]).alias("entity_type"), "*")
-    f = top_n_share(_family_revenue(L), "revenue", top_families).select(
+    f = top_n_share(_family_revenue(L), "revenue", top_families, "family", L.large("families")).select(
         F.lit(CONCENTRATION_LABELS[1]).alias("entity_type"), "*")
     return s.unionByName(f)
 

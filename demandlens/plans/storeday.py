@@ -26,8 +26,9 @@ from ..functions.numeric import pct_rounded_decimal, safe_div
 from ..operators.aggregates import entity_day_rollup
 from ..operators.events import SCOPES, applicable_events, attribute_events, collapse_events
 from ..operators.joins import enrich_with_flag
+from ..operators.ranking import LOCAL_RANK_LIMIT
 from ..operators.temporal import forward_fill
-from ..session import scratch_path
+from ..sources.sink import write_table
 from ..sources.model import Model
 
 METRIC_COLUMNS = ["date", "month_start", "year_num", "month_num", "month_name", "weekday_num",
@@ -83,6 +84,14 @@ def store_holiday_map(store_days: DataFrame, holidays: DataFrame, collation: str
     return attribute_events(applicable_events(holidays), store_days, SCOPES, collation=collation)
 
 
+def entity_dims(train: DataFrame) -> dict:
+    """Approximate number of stores and families (HyperLogLog, ~5 %): only used to choose
+    between the one-task and the partitioned path of whole-table ranks, never in a result."""
+    r = train.agg(F.approx_count_distinct("store_nbr").alias("stores"),
+                  F.approx_count_distinct("family").alias("families")).first()
+    return {"stores": int(r["stores"]), "families": int(r["families"])}
+
+
 @dataclass
 class Layer:
     """Materialised inputs of the queries: the model tables and the store-day context."""
@@ -91,6 +100,17 @@ class Layer:
     context: DataFrame
     events: DataFrame          # applicable events (small calendar table)
     collation: str | None = None   # how locale names match store locations (None = binary)
+    dims: dict | None = None       # entity cardinalities (see entity_dims), computed on demand
+    force_large: bool = False      # take the partitioned path for every entity table (tests)
+
+    def large(self, entity: str) -> bool:
+        """Whether whole-table ranks over ``entity`` ('stores', 'families') must avoid a
+        single ordered task."""
+        if self.force_large:
+            return True
+        if self.dims is None:
+            self.dims = entity_dims(self.model.train)
+        return self.dims[entity] > LOCAL_RANK_LIMIT
 
     @property
     def stores(self) -> DataFrame:
@@ -101,16 +121,6 @@ class Layer:
         return self.model.train
 
 
-def write_table(df: DataFrame, spark: SparkSession, name: str, sort_by=()) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back: cuts the
-    lineage (an executor lost later re-reads files instead of recomputing the plan) and
-    gives later queries column pruning and row-group skipping on ``sort_by``."""
-    path = scratch_path(spark, name)
-    w = df.sortWithinPartitions(*sort_by) if sort_by else df
-    w.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def materialise_model(model: Model, spark: SparkSession) -> Model:
     """Write each derived model table once (the test binding derives them from raw tables).
     The five writes are independent jobs, submitted together so the small ones overlap."""
@@ -131,7 +141,11 @@ def build_layer(model: Model, spark: SparkSession, materialise: bool = True,
     metrics = store_day_metrics(model.train, model.stores)
     enriched = store_day_enriched(metrics, model.transactions, oil_prices_filled(model.oil))
     ctx = store_day_context(enriched, model.holidays, collation)
+    dims = None
     if materialise:
-        ctx = write_table(ctx, spark, "store_day_context", sort_by=("date", "store_nbr"))
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            f_ctx = pool.submit(write_table, ctx, spark, "store_day_context", ("date", "store_nbr"))
+            f_dims = pool.submit(entity_dims, model.train)
+            ctx, dims = f_ctx.result(), f_dims.result()
     return Layer(spark=spark, model=model, context=ctx, events=applicable_events(model.holidays),
-                 collation=collation)
+                 collation=collation, dims=dims)
