@@ -27,13 +27,31 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(total_cores: int) -> dict:
+    """Sizing for a cluster run over a large fact table: enough initial shuffle partitions
+    that each holds ~100-200 MB at terabyte scale (AQE coalesces the small ones and splits
+    skewed ones at run time), 256 MB input splits for the Parquet scans, and 128 MB target
+    partitions after coalescing, so tasks stay well inside executor memory and spill little."""
+    return {
+        "spark.sql.shuffle.partitions": str(max(400, 4 * total_cores)),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * 1024 * 1024),
+    }
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "demandlens", extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session. On a cluster pass no master: spark-submit decides."""
+                app_name: str = "demandlens", extra: dict | None = None,
+                cluster_cores: int | None = None) -> SparkSession:
+    """Build (or reuse) a session. On a cluster pass no master (spark-submit decides) and
+    the total executor cores, which sizes partitions with ``cluster_conf``."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if cluster_cores:
+        conf.update(cluster_conf(cluster_cores))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
