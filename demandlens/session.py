@@ -50,6 +50,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        # Local mode runs every task in the driver JVM: a throughput collector leaves the
+        # cores to the task threads (G1's concurrent threads compete with them). On a
+        # cluster the deployment's JVM settings are left alone.
+        conf["spark.driver.extraJavaOptions"] = "-XX:+UseParallelGC"
     if cluster_cores:
         conf.update(cluster_conf(cluster_cores))
     if shuffle_partitions:
