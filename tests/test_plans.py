@@ -56,3 +56,20 @@ def test_fact_path_single_scan(L):
     final = plan.split("== Initial Plan ==")[0]
     assert "ReusedExchange" in final
     assert final.count("train-") == 1
+
+
+def test_layer_build_shuffles_fact_once_and_broadcasts_dimensions(spark, L):
+    from demandlens.plans.storeday import (oil_prices_filled, store_day_context, store_day_enriched,
+                                           store_day_metrics)
+    m = L.model
+    ctx = store_day_context(store_day_enriched(store_day_metrics(m.train, m.stores), m.transactions,
+                                               oil_prices_filled(m.oil)), m.holidays)
+    text = spark._jvm.PythonSQLUtils.explainString(ctx._jdf.queryExecution(), "formatted")
+    assert text.count("hashpartitioning(date#") + text.count("hashpartitioning(store_nbr#") >= 1
+    assert "SortMergeJoin" not in text and "CartesianProduct" not in text
+    # stores, transactions (small here), oil calendar and the three event digests
+    assert text.count("BroadcastHashJoin") >= 6
+    # exactly one shuffle carries fact rows: the (date, store) aggregate
+    fact_shuffles = [line for line in text.splitlines()
+                     if "Arguments: hashpartitioning(" in line and "store_nbr" in line and "date" in line]
+    assert len(fact_shuffles) == 1
