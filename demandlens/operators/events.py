@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import col, flag
+from ..functions.numeric import flag
 
 # Fixed values of the reference's calendar logic.
 KEPT_EVENT_TYPES = ["Holiday", "Additional", "Bridge", "Event", "Transfer"]
@@ -70,8 +70,9 @@ def attribute_events(events: DataFrame, targets: DataFrame, scopes=SCOPES,
 
 def applicable_to_any(events: DataFrame, entities: DataFrame, scopes=SCOPES,
                       collation: str | None = None) -> DataFrame:
-    """Events that reach at least one entity (semi joins on the scope columns).
-    Scopes without a match column reach every entity of a non-empty entity table."""
+    """Events that reach at least one entity (semi joins on the scope columns). Scopes
+    without a match column (National) are kept as they are: they reach every entity, and
+    callers use this only where a non-empty entity table is implied (a store-day exists)."""
     parts = []
     for label, match_col in scopes:
         ev = events.filter(F.col("locale") == label)
