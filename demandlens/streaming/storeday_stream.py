@@ -43,11 +43,13 @@ def store_day_metrics_stream(train_stream: DataFrame, stores: DataFrame,
 
 
 def start_store_day_sink(metrics_stream: DataFrame, out_path: str, checkpoint: str | None = None,
-                         trigger_seconds: int = 60):
-    """Append finalised store-days to a Parquet table (exactly-once via the checkpoint)."""
+                         trigger_seconds: int = 60, available_now: bool = False):
+    """Append finalised store-days to a Parquet table (exactly-once via the checkpoint).
+    ``available_now`` processes everything landed so far and stops (a scheduled catch-up
+    run); otherwise a micro-batch runs every ``trigger_seconds``."""
     spark = metrics_stream.sparkSession
     ckpt = checkpoint or scratch_path(spark, "store_day_stream_checkpoint")
-    return (metrics_stream.writeStream.outputMode("append").format("parquet")
-            .option("path", out_path).option("checkpointLocation", ckpt)
-            .trigger(processingTime=f"{trigger_seconds} seconds")
-            .start())
+    w = (metrics_stream.writeStream.outputMode("append").format("parquet")
+         .option("path", out_path).option("checkpointLocation", ckpt))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{trigger_seconds} seconds")
+    return w.start()
