@@ -48,10 +48,15 @@ def attribute_events(events: DataFrame, targets: DataFrame, scopes=SCOPES,
     """One row per (target row, applicable event): date, keep..., holiday_scope,
     event_type, description. ``targets`` carries the date and the scope columns.
 
-    One pass over ``targets``: each row offers one (scope, key) pair per scope -- a fixed
-    fan-out of len(scopes) -- and a single equi-join on (date, scope, key) against the event
-    side (broadcast when small) finds every applicable event."""
+    One pass over ``targets``: rows on event days (semi join on the event dates) offer one
+    (scope, key) pair per scope -- a fixed fan-out of len(scopes) -- and a single equi-join on
+    (date, scope, key) against the event side (broadcast when small) finds every applicable
+    event."""
     labels = [label for label, _ in scopes]
+    # Most target rows fall on days without any event: keep only event days (a semi join
+    # against the calendar-sized set of event dates) before offering the scope keys.
+    event_days = events.filter(F.col("locale").isin(labels)).select(F.col("date").alias("_d")).distinct()
+    targets = targets.join(event_days, targets[date_col] == event_days["_d"], "left_semi")
     offers = F.explode(F.array(*[F.struct(F.lit(label).alias("holiday_scope"),
                                           _scope_key(mc, collation).alias("_key"))
                                  for label, mc in scopes]))
