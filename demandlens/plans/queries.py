@@ -281,7 +281,7 @@ def q10_store_scorecard(L: Layer) -> DataFrame:
 
 def q11_store_risk(L: Layer, days: int = 90, k: float = 1.0) -> DataFrame:
     c = L.context
-    last = F.lit(_first(c, F.max("date")))
+    last = F.lit(L.last_date())            # a literal, so the window filter reaches the scan
     _, _, plo, _ = window_bounds(last, days, "day")
     # Only the two windows matter: a store without prior-window revenue is dropped anyway.
     win = c.filter(F.col("date") >= plo)
@@ -444,7 +444,7 @@ def x3_comparable_ytd(L: Layer) -> DataFrame:
     """Year-to-date revenue of the last year against the same span a year earlier, over
     stores trading in both spans."""
     c = L.context
-    last = _first(c, F.max("date"))
+    last = L.last_date()
     end = F.lit(last)
     y = F.year(end)
     cur_lo, prev_lo, prev_hi = F.make_date(y, F.lit(1), F.lit(1)), F.make_date(y - 1, F.lit(1), F.lit(1)), F.add_months(end, -12)

@@ -16,7 +16,7 @@ read from written tables, so the planner knows their size), else shuffle-joined.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,6 +102,13 @@ class Layer:
     collation: str | None = None   # how locale names match store locations (None = binary)
     dims: dict | None = None       # entity cardinalities (see entity_dims), computed on demand
     force_large: bool = False      # take the partitioned path for every entity table (tests)
+    _cache: dict = field(default_factory=dict, repr=False)
+
+    def last_date(self):
+        """Latest date of the (immutable, written) layer: one scalar, read once."""
+        if "last_date" not in self._cache:
+            self._cache["last_date"] = self.context.agg(F.max("date").alias("d")).first()["d"]
+        return self._cache["last_date"]
 
     def large(self, entity: str) -> bool:
         """Whether whole-table ranks over ``entity`` ('stores', 'families') must avoid a
