@@ -34,3 +34,24 @@ def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def names() -> list[str]:
     return list(QUERIES)
+
+
+# Names of the analytical views and tables as the source analysis exposes them (fixed values).
+VIEW_NAMES = {
+    "stores": "stores", "train": "train", "transactions": "transactions",
+    "holidays_events": "holidays_events", "oil": "oil",
+    "v1_store_day_metrics": "vw_store_day_metrics", "v2_oil_prices_filled": "vw_oil_prices_filled",
+    "v3_store_day_enriched": "vw_store_day_enriched", "v4_store_holiday_map": "vw_store_holiday_map",
+    "v5_store_day_context": "vw_store_day_context",
+}
+
+
+def register_views(layer: Layer) -> list[str]:
+    """Expose the model tables and the five views as temporary views of the session, so
+    ad-hoc Spark SQL can run against the same names the source analysis uses."""
+    for name in ("stores", "train", "transactions", "holidays_events", "oil"):
+        layer.model.table(name).createOrReplaceTempView(VIEW_NAMES[name])
+    for key in ("v1_store_day_metrics", "v2_oil_prices_filled", "v3_store_day_enriched",
+                "v4_store_holiday_map", "v5_store_day_context"):
+        QUERIES[key](layer).createOrReplaceTempView(VIEW_NAMES[key])
+    return list(VIEW_NAMES.values())
