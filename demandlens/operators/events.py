@@ -52,43 +52,48 @@ def attribute_events(events: DataFrame, targets: DataFrame, scopes=SCOPES,
     (scope, key) pair per scope -- a fixed fan-out of len(scopes) -- and a single equi-join on
     (date, scope, key) against the event side (broadcast when small) finds every applicable
     event."""
-    labels = [label for label, _ in scopes]
+    ev = _event_keys(events, scopes, collation).select(
+        F.col("date").alias("_ev_date"), F.col("locale").alias("_ev_scope"), "_ev_key",
+        F.col("type").alias("event_type"), "description")
     # Most target rows fall on days without any event: keep only event days (a semi join
     # against the calendar-sized set of event dates) before offering the scope keys.
-    event_days = events.filter(F.col("locale").isin(labels)).select(F.col("date").alias("_d")).distinct()
+    event_days = ev.select(F.col("_ev_date").alias("_d")).distinct()
     targets = targets.join(event_days, targets[date_col] == event_days["_d"], "left_semi")
-    offers = F.explode(F.array(*[F.struct(F.lit(label).alias("holiday_scope"),
-                                          _scope_key(mc, collation).alias("_key"))
-                                 for label, mc in scopes]))
-    keyed = (targets.select(F.col(date_col).alias(date_col), *keep, offers.alias("_o"))
+    keyed = (targets.select(F.col(date_col).alias(date_col), *keep,
+                            F.explode(_scope_offers(targets, scopes, collation)).alias("_o"))
              .select(date_col, *keep, "_o.holiday_scope", "_o._key"))
-    date_only = [label for label, mc in scopes if mc is None]
-    ev = (events.filter(F.col("locale").isin(labels))
-          .select(F.col("date").alias("_ev_date"), F.col("locale").alias("_ev_scope"),
-                  _ckey(F.when(F.col("locale").isin(date_only), F.lit("")).otherwise(F.col("locale_name")),
-                        collation).alias("_ev_key"),
-                  F.col("type").alias("event_type"), "description"))
     cond = ((keyed[date_col] == ev["_ev_date"]) & (keyed["holiday_scope"] == ev["_ev_scope"])
             & (keyed["_key"] == ev["_ev_key"]))
     return keyed.join(ev, cond).select(date_col, *keep, "holiday_scope", "event_type", "description")
 
 
+def _scope_offers(targets: DataFrame, scopes, collation: str | None) -> Column:
+    """Per target row: one (holiday_scope, _key) struct per scope, as an array to explode."""
+    return F.array(*[F.struct(F.lit(label).alias("holiday_scope"), _scope_key(mc, collation).alias("_key"))
+                     for label, mc in scopes])
+
+
+def _event_keys(events: DataFrame, scopes, collation: str | None) -> DataFrame:
+    """Events of the given scopes with their match key ('' for date-only scopes)."""
+    labels = [label for label, _ in scopes]
+    date_only = [label for label, mc in scopes if mc is None]
+    key = F.when(F.col("locale").isin(date_only), F.lit("")).otherwise(F.col("locale_name"))
+    return events.filter(F.col("locale").isin(labels)).withColumn("_ev_key", _ckey(key, collation))
+
+
 def applicable_to_any(events: DataFrame, entities: DataFrame, scopes=SCOPES,
                       collation: str | None = None) -> DataFrame:
-    """Events that reach at least one entity (semi joins on the scope columns). Scopes
-    without a match column (National) are kept as they are: they reach every entity, and
-    callers use this only where a non-empty entity table is implied (a store-day exists)."""
-    parts = []
-    for label, match_col in scopes:
-        ev = events.filter(F.col("locale") == label)
-        if match_col is not None:
-            keys = entities.select(_ckey(F.col(match_col), collation).alias("_scope_key")).distinct()
-            ev = ev.join(keys, _ckey(ev["locale_name"], collation) == keys["_scope_key"], "left_semi")
-        parts.append(ev.withColumn("holiday_scope", F.lit(label)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Events that reach at least one entity: the entities offer their distinct (scope, key)
+    pairs (at most scopes x distinct locations), and one semi join keeps the events whose
+    (locale, key) is offered. A date-only scope is offered by any entity, so its events are
+    kept exactly when the entity table is not empty."""
+    offers = (entities.select(F.explode(_scope_offers(entities, scopes, collation)).alias("_o"))
+              .select(F.col("_o.holiday_scope").alias("_scope"), F.col("_o._key").alias("_key"))
+              .distinct())
+    ev = _event_keys(events, scopes, collation)
+    cond = (ev["locale"] == offers["_scope"]) & (ev["_ev_key"] == offers["_key"])
+    return (ev.join(offers, cond, "left_semi")
+            .withColumn("holiday_scope", F.col("locale")).drop("_ev_key"))
 
 
 def distinct_list(values: Column, sep: str) -> Column:

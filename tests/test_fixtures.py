@@ -335,3 +335,20 @@ def test_t10_complete_months_only(spark):
     assert [r["month"] for r in Q.q03_monthly_kpi(L, complete_months_only=True).collect()] == ["2017-07"]
     fam = Q.q06_portfolio_roles(L, complete_months_only=True).first()
     assert fam["total_revenue"] == 150.0
+
+
+def test_events_reaching_any_store(spark):
+    from demandlens.operators.events import applicable_events, applicable_to_any
+    hol = spark.createDataFrame(
+        [(D("2016-01-01"), "Holiday", "National", "Ecuador", "N", "False"),
+         (D("2016-01-02"), "Holiday", "Regional", "Guayas", "R1", "False"),
+         (D("2016-01-02"), "Holiday", "Regional", "Azuay", "R2", "False"),
+         (D("2016-01-03"), "Holiday", "Local", "Quito", "L1", "False"),
+         (D("2016-01-03"), "Holiday", "Local", "Loja", "L2", "False")],
+        "date date, type string, locale string, locale_name string, description string, transferred string")
+    stores = spark.createDataFrame([(1, "Quito", "Pichincha"), (3, "Guayaquil", "Guayas")],
+                                   "store_nbr int, city string, state string")
+    got = {r["description"] for r in applicable_to_any(applicable_events(hol), stores).collect()}
+    assert got == {"N", "R1", "L1"}
+    none = applicable_to_any(applicable_events(hol), stores.limit(0)).count()
+    assert none == 0
