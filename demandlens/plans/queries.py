@@ -284,7 +284,9 @@ def q11_store_risk(L: Layer, days: int = 90, k: float = 1.0) -> DataFrame:
     last = F.lit(L.last_date())            # a literal, so the window filter reaches the scan
     _, _, plo, _ = window_bounds(last, days, "day")
     # Only the two windows matter: a store without prior-window revenue is dropped anyway.
-    win = c.filter(F.col("date") >= plo)
+    # The month bound is implied by the date bound; it lets a month-partitioned layer skip
+    # whole folders.
+    win = c.filter((F.col("date") >= plo) & (F.col("month_start") >= F.trunc(plo, "MM")))
     r_rev, p_rev = trailing_compare("total_sales", "date", last, days)
     r_tx, p_tx = trailing_compare("transactions", "date", last, days)
     r_spt, p_spt = trailing_compare("sales_per_transaction", "date", last, days, how="mean")
@@ -450,7 +452,7 @@ def x3_comparable_ytd(L: Layer) -> DataFrame:
     cur_lo, prev_lo, prev_hi = F.make_date(y, F.lit(1), F.lit(1)), F.make_date(y - 1, F.lit(1), F.lit(1)), F.add_months(end, -12)
     in_cur = F.col("date").between(cur_lo, end)
     in_prev = F.col("date").between(prev_lo, prev_hi)
-    per_store = (c.filter(F.col("date") >= prev_lo)
+    per_store = (c.filter((F.col("date") >= prev_lo) & (F.col("month_start") >= prev_lo))
                  .groupBy("store_nbr").agg(
                      F.sum(F.when(in_cur, F.col("total_sales"))).alias("_cur"),
                      F.sum(F.when(in_prev, F.col("total_sales"))).alias("_prev"),

@@ -141,8 +141,22 @@ def materialise_model(model: Model, spark: SparkSession) -> Model:
                  holidays=t["holidays_events"], oil=t["oil"], origin=model.origin)
 
 
+def _write_context(ctx: DataFrame, spark: SparkSession, layout: str) -> DataFrame:
+    if layout == "monthly":
+        # one folder per month; (date, store_nbr) is unique in the layer, so the range
+        # partitions are balanced even when one store or one day is hot
+        return write_table(ctx, spark, "store_day_context", sort_by=("date", "store_nbr"),
+                           partition_col="month_start", range_by=("date", "store_nbr"))
+    if layout == "sorted":
+        return write_table(ctx, spark, "store_day_context", sort_by=("date", "store_nbr"))
+    raise ValueError(layout)
+
+
 def build_layer(model: Model, spark: SparkSession, materialise: bool = True,
-                collation: str | None = None) -> Layer:
+                collation: str | None = None, layout: str = "sorted") -> Layer:
+    """Build the store-day layer. ``layout``: 'sorted' (files sorted by date: row-group
+    skipping) or 'monthly' (one folder per month as well: whole months skipped by queries
+    over a date window; worth it when the layer spans many files per month)."""
     if materialise:
         model = materialise_model(model, spark)
     metrics = store_day_metrics(model.train, model.stores)
@@ -151,7 +165,7 @@ def build_layer(model: Model, spark: SparkSession, materialise: bool = True,
     dims = None
     if materialise:
         with ThreadPoolExecutor(max_workers=2) as pool:
-            f_ctx = pool.submit(write_table, ctx, spark, "store_day_context", ("date", "store_nbr"))
+            f_ctx = pool.submit(_write_context, ctx, spark, layout)
             f_dims = pool.submit(entity_dims, model.train)
             ctx, dims = f_ctx.result(), f_dims.result()
     return Layer(spark=spark, model=model, context=ctx, events=applicable_events(model.holidays),

@@ -7,11 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import scratch_path
 
 
-def write_table(df: DataFrame, spark: SparkSession, name: str, sort_by=()) -> DataFrame:
+def write_table(df: DataFrame, spark: SparkSession, name: str, sort_by=(),
+                partition_col: str | None = None, range_by=()) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back: cuts the
     lineage (an executor lost later re-reads files instead of recomputing the plan) and
-    gives later queries column pruning and row-group skipping on ``sort_by``."""
+    gives later queries column pruning and row-group skipping on ``sort_by``.
+
+    With ``partition_col`` the table is laid out in one folder per value (directory pruning);
+    ``range_by`` (a unique key) first range-partitions the rows so each task writes into few
+    folders and the file count stays near tasks + values."""
     path = scratch_path(spark, name)
-    w = df.sortWithinPartitions(*sort_by) if sort_by else df
-    w.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    w = df.repartitionByRange(*range_by) if range_by else df
+    w = w.sortWithinPartitions(*sort_by) if sort_by else w
+    writer = w.write.mode("overwrite")
+    if partition_col:
+        writer = writer.partitionBy(partition_col)
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
