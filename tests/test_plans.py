@@ -90,3 +90,39 @@ def test_monthly_layout_prunes_folders_and_keeps_results(spark, L):
                                                    "formatted")
     assert "PartitionFilters: [isnotnull(month_start" in text and "month_start#" in text
     assert dataclasses.is_dataclass(M)
+
+
+def test_large_transactions_join_reuses_the_fact_partitioning(spark, L):
+    """When transactions are too large to broadcast, the sort-merge join reuses the hash
+    partitioning of the (date, store) aggregate: only the transactions side is shuffled."""
+    from demandlens.plans.storeday import (oil_prices_filled, store_day_context, store_day_enriched,
+                                           store_day_metrics)
+    m = L.model
+
+    def size(df):
+        return sum(os.path.getsize(f.replace("file://", "").replace("file:", "")) for f in df.inputFiles())
+    dims = max(size(m.stores), size(m.oil), size(m.holidays))
+    tx = size(m.transactions)
+    assert dims < tx
+    limit = str((dims + tx) // 2)          # dimensions stay under it, transactions do not
+    old = (spark.conf.get("spark.sql.autoBroadcastJoinThreshold"),
+           spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold"))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", limit)
+        ctx = store_day_context(store_day_enriched(store_day_metrics(m.train, m.stores), m.transactions,
+                                                   oil_prices_filled(m.oil)), m.holidays)
+        text = spark._jvm.PythonSQLUtils.explainString(ctx._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[0])
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", old[1])
+    tree = text.split("\n\n")[0]
+    assert tree.count("SortMergeJoin") == 1 and "SortMergeJoin LeftOuter" in tree
+    lines = tree.splitlines()
+    i = next(k for k, ln in enumerate(lines) if "SortMergeJoin" in ln)
+    # left (stream) side: down to the store broadcast join over the aggregate, no new Exchange
+    j = next(k for k in range(i + 1, len(lines)) if "BroadcastHashJoin Inner" in lines[k])
+    assert not any("Exchange" in ln for ln in lines[i + 1:j])
+    # exactly two shuffles carry store-day rows: the aggregate and the transactions side
+    assert sum(1 for ln in text.splitlines()
+               if ln.startswith("Arguments: hashpartitioning(date#") and "store_nbr" in ln) == 2
