@@ -138,7 +138,8 @@ def materialise_model(model: Model, spark: SparkSession) -> Model:
         futures = {n: pool.submit(write_table, df, spark, n, sort) for n, (df, sort) in jobs.items()}
         t = {n: f.result() for n, f in futures.items()}
     return Model(stores=t["stores"], train=t["train"], transactions=t["transactions"],
-                 holidays=t["holidays_events"], oil=t["oil"], origin=model.origin)
+                 holidays=t["holidays_events"], oil=t["oil"], origin=model.origin,
+                 materialise=False)
 
 
 def _write_context(ctx: DataFrame, spark: SparkSession, layout: str) -> DataFrame:
@@ -154,10 +155,11 @@ def _write_context(ctx: DataFrame, spark: SparkSession, layout: str) -> DataFram
 
 def build_layer(model: Model, spark: SparkSession, materialise: bool = True,
                 collation: str | None = None, layout: str = "sorted") -> Layer:
-    """Build the store-day layer. ``layout``: 'sorted' (files sorted by date: row-group
-    skipping) or 'monthly' (one folder per month as well: whole months skipped by queries
-    over a date window; worth it when the layer spans many files per month)."""
-    if materialise:
+    """Build the store-day layer. ``materialise`` writes the layer (and the model tables, when
+    the model says they are derived or parsed from text) under the checkpoint folder.
+    ``layout``: 'sorted' (files sorted by date: row-group skipping) or 'monthly' (one folder
+    per month as well: whole months skipped by queries over a date window)."""
+    if materialise and model.materialise:
         model = materialise_model(model, spark)
     metrics = store_day_metrics(model.train, model.stores)
     enriched = store_day_enriched(metrics, model.transactions, oil_prices_filled(model.oil))

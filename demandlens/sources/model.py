@@ -81,6 +81,10 @@ class Model:
     oil: DataFrame
     origin: str = ""
     extra: dict = field(default_factory=dict)
+    # Whether the tables should be written once before use: True when they are derived by a
+    # plan (the test binding) or parsed from text (CSV); False for Parquet inputs, which are
+    # already columnar files on durable storage (copying a large fact table would be waste).
+    materialise: bool = True
 
     def table(self, name: str) -> DataFrame:
         return {"stores": self.stores, "train": self.train, "transactions": self.transactions,

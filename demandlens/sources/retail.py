@@ -30,4 +30,5 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "csv"):
 def read_retail(spark: SparkSession, path: str, fmt: str = "csv") -> Model:
     t = {n: read_table(spark, path, n, fmt) for n in TABLES}
     return Model(stores=t["stores"], train=t["train"], transactions=t["transactions"],
-                 holidays=t["holidays_events"], oil=t["oil"], origin=f"retail:{path}")
+                 holidays=t["holidays_events"], oil=t["oil"], origin=f"retail:{path}",
+                 materialise=(fmt == "csv"))

@@ -76,3 +76,18 @@ def test_command_line_writes_results(spark):
                  "q13_holiday_lift,q08_concentration", "--out", out]) == 0
     assert spark.read.parquet(f"{out}/q13_holiday_lift").count() == 5
     assert spark.read.parquet(f"{out}/q08_concentration").count() == 2
+
+
+def test_parquet_inputs_are_not_copied(spark):
+    import tempfile as tf
+    from demandlens.plans.storeday import build_layer as build
+    csv_model = load_model(spark, write_csvs(), binding="retail", fmt="csv")
+    assert csv_model.materialise
+    pq = tf.mkdtemp(prefix="demandlens-retail-pq-")
+    for name in ("stores", "train", "transactions", "holidays_events", "oil"):
+        csv_model.table(name).write.parquet(f"{pq}/{name}.parquet")
+    pq_model = load_model(spark, pq, binding="retail", fmt="parquet")
+    assert not pq_model.materialise
+    L = build(pq_model, spark)
+    assert all(pq in f for f in L.model.train.inputFiles())          # read in place
+    assert L.context.count() == 4
