@@ -158,9 +158,9 @@ def lift_vs_baseline(grouped: DataFrame, is_baseline: Column, measures: dict) ->
     to the name of its lift column. Groups with no baseline row give no output, as a join
     with an empty baseline would."""
     everything = Window.partitionBy()   # bounded: one row per label of a closed vocabulary
-    out = grouped.withColumn("_has_base", F.max(flag(is_baseline)).over(everything))
-    for m in measures:
-        out = out.withColumn("_base_" + m, F.max(F.when(is_baseline, F.col(m))).over(everything))
+    out = grouped.withColumns({"_has_base": F.max(flag(is_baseline)).over(everything)}
+                              | {"_base_" + m: F.max(F.when(is_baseline, F.col(m))).over(everything)
+                                 for m in measures})
     return out.filter(F.col("_has_base") == 1)
 
 

@@ -138,17 +138,16 @@ def sigma_band(df: DataFrame, cols, k: float = 1.0, large: bool = False) -> Data
     """Add _avg_<c> and _lo_<c> = mean - k * population sd of each column, over the whole
     (entity-level) table."""
     if not large:
-        for c in cols:
-            df = (df.withColumn("_avg_" + c, F.avg(c).over(over_all()))
-                    .withColumn("_lo_" + c, F.col("_avg_" + c) - F.lit(k) * F.stddev_pop(c).over(over_all())))
-        return df
+        df = df.withColumns({"_avg_" + c: F.avg(c).over(over_all()) for c in cols}
+                            | {"_sd_" + c: F.stddev_pop(c).over(over_all()) for c in cols})
+        return df.withColumns({"_lo_" + c: F.col("_avg_" + c) - F.lit(k) * F.col("_sd_" + c)
+                               for c in cols}).drop(*["_sd_" + c for c in cols])
     df = write_table(df, df.sparkSession, "entity")
     stats = df.agg(F.struct(*[F.avg(c).alias("m_" + c) for c in cols],
                             *[F.stddev_pop(c).alias("s_" + c) for c in cols]).alias("s")).scalar()
-    for c in cols:
-        df = (df.withColumn("_avg_" + c, stats.getField("m_" + c))
-                .withColumn("_lo_" + c, F.col("_avg_" + c) - F.lit(k) * stats.getField("s_" + c)))
-    return df
+    return df.withColumns({"_avg_" + c: stats.getField("m_" + c) for c in cols}
+                          | {"_lo_" + c: stats.getField("m_" + c) - F.lit(k) * stats.getField("s_" + c)
+                             for c in cols})
 
 
 def zscore_outliers(df: DataFrame, value: str, threshold: float = 2.0, out: str = "z_score",

@@ -22,8 +22,8 @@ from ..operators.stats import (affinity_index, coefficient_of_variation, concent
                                dense_rank_desc, over_all, quantile_segments, rank_percentiles,
                                share_of_total, sigma_band, top_n_share, with_dense_rank_desc,
                                with_share_of_total, zscore_outliers)
-from ..operators.temporal import (asof_fill, period_growth, rolling_mean, same_period_prior_year,
-                                  trailing_compare, window_bounds)
+from ..operators.temporal import (asof_fill, lag_positional, period_growth, rolling_mean,
+                                  same_period_prior_year, trailing_compare, window_bounds)
 from .storeday import (ENRICHED_COLUMNS, METRIC_COLUMNS, Layer, oil_prices_filled,
                        store_holiday_map)
 
@@ -118,8 +118,9 @@ def q03_monthly_kpi(L: Layer, complete_months_only: bool = False) -> DataFrame:
     m = period_kpi(ctx, ["month_start"],
                    ["revenue", "transactions", "avg_store_day_revenue", "active_stores",
                     "avg_promo_family_mix_pct"], prefix="_")
-    m = period_growth(m, "_revenue", "month_start", 1, "_mom")
-    m = period_growth(m, "_revenue", "month_start", 12, "_yoy")            # positional (T8)
+    m = m.withColumns({"_mom": pct_change(F.col("_revenue"), lag_positional("_revenue", "month_start", 1)),
+                       "_yoy": pct_change(F.col("_revenue"), lag_positional("_revenue", "month_start", 12))})
+    # positional lags (T8); period_growth(mode="calendar") is the calendar variant
     return (m.select(
         month_label("month_start").alias("month"),
         money_out("_revenue").alias("revenue"),
@@ -193,12 +194,12 @@ def q06_portfolio_roles(L: Layer, recent_months: int = 6, complete_months_only:
     fam = rank_percentiles(fam, {"_rev_pr": "_total", "_cv_pr": "revenue_cv",
                                  "_g_pr": "recent_6m_growth_pct"}, large)   # rounded inputs (T7)
     fam = with_share_of_total(fam, "_total", "_share", large)
-    fam = fam.withColumn("revenue_share_pct", rnd("_share", 2))
     rp, cp, gp = F.col("_rev_pr"), F.col("_cv_pr"), F.col("_g_pr")
     role = classify([((rp >= 0.80) & (cp <= 0.50) & (gp >= 0.80), PORTFOLIO_ROLES[0]),
                      ((rp >= 0.80) & (cp <= 0.30), PORTFOLIO_ROLES[1]),
                      ((cp >= 0.80) & (gp >= 0.80), PORTFOLIO_ROLES[2])], PORTFOLIO_ROLES[3])
-    return (fam.select("family", money_out("_total").alias("total_revenue"), "revenue_share_pct",
+    return (fam.select("family", money_out("_total").alias("total_revenue"),
+                       rnd("_share", 2).alias("revenue_share_pct"),
                        "revenue_cv", "recent_6m_growth_pct", role.alias("portfolio_role"))
             .orderBy(F.col("revenue_share_pct").desc(), F.col("recent_6m_growth_pct").desc()))
 
@@ -294,10 +295,10 @@ def q11_store_risk(L: Layer, days: int = 90, k: float = 1.0) -> DataFrame:
         F.max("city").alias("city"), F.max("state").alias("state"),
         r_rev.alias("_r_rev"), p_rev.alias("_p_rev"), r_tx.alias("_r_tx"), p_tx.alias("_p_tx"),
         r_spt.alias("_r_spt"), p_spt.alias("_p_spt"))
-    sg = (sw.filter(F.col("_p_rev") > 0)
-          .withColumn("revenue_growth_pct", rnd(pct_change("_r_rev", "_p_rev"), 2))
-          .withColumn("transaction_growth_pct", rnd(pct_change("_r_tx", "_p_tx"), 2))
-          .withColumn("basket_growth_pct", rnd(pct_change("_r_spt", "_p_spt"), 2)))
+    sg = sw.filter(F.col("_p_rev") > 0).withColumns({
+        "revenue_growth_pct": rnd(pct_change("_r_rev", "_p_rev"), 2),
+        "transaction_growth_pct": rnd(pct_change("_r_tx", "_p_tx"), 2),
+        "basket_growth_pct": rnd(pct_change("_r_spt", "_p_spt"), 2)})
     cols = ["revenue_growth_pct", "transaction_growth_pct", "basket_growth_pct"]
     # network mean and mean - k*sd of the rounded growths (T7), over stores
     b = sigma_band(sg, cols, k, large=L.large("stores"))
