@@ -1 +1,2 @@
-"""demandlens: Spark-native retail demand and revenue analytics."""
+"""Scalar column helpers: the numeric contract (exact sums, guarded division, rounding)
+and calendar attributes."""

@@ -1 +1,2 @@
-"""demandlens: Spark-native retail demand and revenue analytics."""
+"""DataFrame operators: aggregates, temporal fills and comparisons, event attribution,
+statistics and ranks, rule tables, audits and joins. Each takes and returns DataFrames."""

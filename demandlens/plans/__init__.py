@@ -1 +1,2 @@
-"""demandlens: Spark-native retail demand and revenue analytics."""
+"""Query plans: the store-day layer (the five views), the registered queries, their SQL
+twins and the catalog."""

@@ -1 +1 @@
-"""demandlens: Spark-native retail demand and revenue analytics."""
+"""Structured Streaming form of the store-day rollup for continuously landing facts."""
