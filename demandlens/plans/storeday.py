@@ -131,8 +131,9 @@ class Layer:
 def materialise_model(model: Model, spark: SparkSession) -> Model:
     """Write each derived model table once (the test binding derives them from raw tables).
     The five writes are independent jobs, submitted together so the small ones overlap."""
-    jobs = {"stores": (model.stores, ()), "train": (model.train, ("date", "store_nbr")),
-            "transactions": (model.transactions, ("date",)),
+    # No sort: nothing filters these tables by a range (the layer is the date-sorted one).
+    jobs = {"stores": (model.stores, ()), "train": (model.train, ()),
+            "transactions": (model.transactions, ()),
             "holidays_events": (model.holidays, ()), "oil": (model.oil, ())}
     with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
         futures = {n: pool.submit(write_table, df, spark, n, sort) for n, (df, sort) in jobs.items()}
