@@ -143,17 +143,46 @@ def materialise_model(model: Model, spark: SparkSession) -> Model:
                  materialise=False)
 
 
-def _write_context(ctx: DataFrame, spark: SparkSession, layout: str) -> DataFrame:
+def _write_context(ctx: DataFrame, spark: SparkSession, layout: str, path: str | None = None,
+                   replace_partitions: bool = False) -> DataFrame:
     if layout == "monthly":
         # one folder per month; (date, store_nbr) is unique in the layer, so the range
         # partitions are balanced even when one store or one day is hot
         return write_table(ctx, spark, "store_day_context", sort_by=("date", "store_nbr"),
-                           partition_col="month_start", range_by=("date", "store_nbr"))
+                           partition_col="month_start", range_by=("date", "store_nbr"),
+                           path=path, replace_partitions=replace_partitions)
     if layout == "sorted":
         return write_table(ctx, spark, "store_day_context", sort_by=("date", "store_nbr"))
     raise ValueError(layout)
 
 
+def _context_path(ctx: DataFrame) -> str:
+    """The folder a written layer was read from (the common parent of its month folders)."""
+    files = ctx.inputFiles()
+    root = files[0].rsplit("/", 1)[0]
+    return root.rsplit("/", 1)[0] if "/month_start=" in files[0] else root
+
+
+def refresh_layer(layer: Layer, model: Model, since) -> Layer:
+    """Incremental refresh of a month-partitioned layer after new facts arrived: rebuild only
+    the months from ``since`` (a date) on and replace just those month folders; earlier
+    months are kept as written. The oil fill runs over the whole oil calendar (so a price
+    carried into the new days is right); transactions and facts are read for the rebuilt
+    months only (the date filter reaches the scans)."""
+    spark = layer.spark
+    first = F.trunc(F.lit(since), "MM")
+    if model.materialise:
+        model = materialise_model(model, spark)
+    train = model.train.filter(F.col("date") >= first)
+    tx = model.transactions.filter(F.col("date") >= first)
+    metrics = store_day_metrics(train, model.stores)
+    enriched = store_day_enriched(metrics, tx, oil_prices_filled(model.oil))
+    ctx = store_day_context(enriched, model.holidays, layer.collation)
+    ctx = _write_context(ctx, spark, "monthly", path=_context_path(layer.context), replace_partitions=True)
+    return Layer(spark=spark, model=model, context=ctx, events=applicable_events(model.holidays),
+                 collation=layer.collation)
+
+
 def build_layer(model: Model, spark: SparkSession, materialise: bool = True,
                 collation: str | None = None, layout: str = "sorted") -> Layer:
     """Build the store-day layer. ``materialise`` writes the layer (and the model tables, when
