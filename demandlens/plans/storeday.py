@@ -170,6 +170,9 @@ def refresh_layer(layer: Layer, model: Model, since) -> Layer:
     carried into the new days is right); transactions and facts are read for the rebuilt
     months only (the date filter reaches the scans)."""
     spark = layer.spark
+    files = layer.context.inputFiles()
+    if files and "/month_start=" not in files[0]:
+        raise ValueError("refresh_layer needs a layer built with layout='monthly'")
     first = F.trunc(F.lit(since), "MM")
     if model.materialise:
         model = materialise_model(model, spark)

@@ -145,3 +145,9 @@ def test_incremental_refresh_equals_full_build(spark, L):
     full = build_layer(m, spark, layout="monthly").context
     assert fresh.context.count() == full.count()
     assert fresh.context.exceptAll(full).count() == 0 and full.exceptAll(fresh.context).count() == 0
+
+
+def test_refresh_refuses_a_flat_layer(spark, L):
+    from demandlens.plans.storeday import refresh_layer
+    with pytest.raises(ValueError):
+        refresh_layer(L, L.model, L.last_date())
