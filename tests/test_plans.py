@@ -151,3 +151,37 @@ def test_refresh_refuses_a_flat_layer(spark, L):
     from demandlens.plans.storeday import refresh_layer
     with pytest.raises(ValueError):
         refresh_layer(L, L.model, L.last_date())
+
+
+def _single_partition_rows(df):
+    """Row counts (AQE run-time statistics) of every shuffle into one partition."""
+    import re
+    df.collect()
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    tree, _, details = text.partition("\n\n")
+    single = set(re.findall(r"\((\d+)\) Exchange\s*\nInput[^\n]*\nArguments: SinglePartition", details))
+    rows = []
+    lines = tree.splitlines()
+    for k, ln in enumerate(lines[:-1]):
+        m = re.search(r"ShuffleQueryStage \(\d+\), Statistics\(sizeInBytes=[^,]*, rowCount=(\d+)\)", ln)
+        n = re.search(r"Exchange \((\d+)\)", lines[k + 1])
+        if m and n and n.group(1) in single:
+            rows.append(int(m.group(1)))
+    return rows
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_single_partition_shuffle_of_fact_sized_data(L, name):
+    """Whatever reaches one partition is at most an entity table (dates, stores, family x
+    month), never layer- or fact-sized."""
+    from pyspark.sql import functions as F
+    if name.startswith(("s_", "v")):
+        return
+    if not hasattr(L, "_entity_bound"):
+        ctx, train = L.context, L.model.train
+        L._entity_bound = max(ctx.select("date").distinct().count(),
+                              train.select("store_nbr").distinct().count(),
+                              train.select("family", F.trunc("date", "MM")).distinct().count())
+    assert L._entity_bound < L.context.count()
+    for rows in _single_partition_rows(QUERIES[name](L)):
+        assert rows <= L._entity_bound
