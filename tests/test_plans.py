@@ -163,10 +163,10 @@ def _single_partition_rows(df):
     rows = []
     lines = tree.splitlines()
     for k, ln in enumerate(lines[:-1]):
-        m = re.search(r"ShuffleQueryStage \(\d+\), Statistics\(sizeInBytes=[^,]*, rowCount=(\d+)\)", ln)
+        m = re.search(r"ShuffleQueryStage \(\d+\), Statistics\(sizeInBytes=[^,]*, rowCount=([0-9.E+]+)\)", ln)
         n = re.search(r"Exchange \((\d+)\)", lines[k + 1])
         if m and n and n.group(1) in single:
-            rows.append(int(m.group(1)))
+            rows.append(float(m.group(1)))
     return rows
 
 
@@ -179,9 +179,9 @@ def test_no_single_partition_shuffle_of_fact_sized_data(L, name):
         return
     if not hasattr(L, "_entity_bound"):
         ctx, train = L.context, L.model.train
-        L._entity_bound = max(ctx.select("date").distinct().count(),
-                              train.select("store_nbr").distinct().count(),
+        calendar = ctx.select("date").distinct().count() + L.model.oil.count()   # spine + prices
+        L._entity_bound = max(calendar, train.select("store_nbr").distinct().count(),
                               train.select("family", F.trunc("date", "MM")).distinct().count())
     assert L._entity_bound < L.context.count()
     for rows in _single_partition_rows(QUERIES[name](L)):
-        assert rows <= L._entity_bound
+        assert rows <= 1.01 * L._entity_bound      # printed statistics keep 3 digits
