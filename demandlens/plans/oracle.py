@@ -11,6 +11,11 @@ from windows or scalar subqueries. The numeric contract is the one of the librar
 * ``R`` rounds a DOUBLE by snapping it to DECIMAL(38,6) and rounding half away from zero
   in decimal, as ``functions.numeric.rnd`` does;
 * orders that may meet NULLs say NULLS FIRST / LAST explicitly.
+
+Fixed values: the label texts, event types, scope names, separators and thresholds that
+appear inside these SQL strings are the fixed values declared together in
+``plans/queries.py`` (labels) and ``operators/events.py`` (calendar rules); the binding's
+calendar rows are the fixed values of ``sources/tpch.py``.
 """
 
 from __future__ import annotations
