@@ -48,7 +48,7 @@ def test_matches_oracle(spark, duck, name):
     rel = duck.execute(E.oracle_sql()[name])
     d_cols = [d[0] for d in rel.description]
     d_rows = rel.fetchall()
-    assert sorted(df.columns) == sorted(d_cols)
+    assert df.columns == d_cols                 # same names in the same (reference) order
     assert len(s_rows) == len(d_rows)
     assert _canon(s_rows, df.columns) == _canon(d_rows, d_cols)
 
