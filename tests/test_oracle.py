@@ -57,3 +57,17 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns[:2] == ["day_group", "store_days"]
     assert df.count() >= 1
+
+
+# Queries whose ORDER BY is a total order: their rows come back in the same sequence.
+TOTALLY_ORDERED = ["q03_monthly_kpi", "q04_same_store_growth", "q05_seasonality", "q09_cluster_index",
+                   "q10_store_scorecard", "q13_holiday_lift", "q14_event_lift", "q15_oil_regimes",
+                   "q16_network_anomalies", "x5_weekday_strength", "monthly_growth_calendar"]
+
+
+@pytest.mark.parametrize("name", TOTALLY_ORDERED)
+def test_row_order_matches_oracle(spark, duck, name):
+    df = E.queries()[name](spark, SF)
+    s_rows = [tuple(_norm(v) for v in r) for r in df.collect()]
+    d_rows = [tuple(_norm(v) for v in r) for r in duck.execute(E.oracle_sql()[name]).fetchall()]
+    assert s_rows == d_rows
