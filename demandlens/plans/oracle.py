@@ -305,7 +305,7 @@ FROM (SELECT *,
              percent_rank() OVER (ORDER BY cv NULLS FIRST) AS p_cv,
              percent_rank() OVER (ORDER BY growth NULLS FIRST) AS p_g
       FROM (SELECT family, total, cv, {R(PCT('recent', 'earlier'))} AS growth FROM per_family) g) r
-ORDER BY revenue_share_pct DESC, recent_6m_growth_pct DESC""", f"""
+ORDER BY revenue_share_pct DESC, recent_6m_growth_pct DESC, family""", f"""
 fam_month AS (
   SELECT family, CAST(date_trunc('month', date) AS DATE) AS ms, sum(sales) AS rev
   FROM train GROUP BY family, CAST(date_trunc('month', date) AS DATE)),
@@ -333,7 +333,7 @@ FROM (SELECT family, sum(sales) AS total,
              {R(MEAN('sales', 'COALESCE(onpromotion, 0) > 0'))} AS avg_sales_when_promoted,
              {R(MEAN('sales', 'COALESCE(onpromotion, 0) = 0'))} AS avg_sales_without_promo
       FROM train GROUP BY family) f
-ORDER BY promo_uplift_pct DESC, total DESC"""),
+ORDER BY promo_uplift_pct DESC, total DESC, family"""),
 
     "q08_concentration": with_base(f"""
 SELECT entity_type, max(n) AS entity_count,
@@ -403,7 +403,7 @@ FROM (SELECT *,
       FROM growth) g
 ORDER BY CASE WHEN risk_tier LIKE '%High Risk%' THEN 1 WHEN risk_tier LIKE '%Traffic Risk%' THEN 2
               WHEN risk_tier LIKE '%Basket Risk%' THEN 3 WHEN risk_tier = 'Watchlist' THEN 4 ELSE 5 END,
-         revenue_growth_pct NULLS FIRST""", f"""
+         revenue_growth_pct NULLS FIRST, store_nbr""", f"""
 tagged AS (
   SELECT c.*,
          CASE WHEN c.date > (SELECT max(date) FROM sd_ctx) - 90 THEN 'recent'
@@ -443,7 +443,7 @@ FROM (SELECT *,
       FROM (SELECT store_nbr, city, state, cluster, sum(total_sales) AS rev,
                    {DIV('sum(total_sales)', 'sum(transactions)')} AS bpt
             FROM sd_ctx GROUP BY store_nbr, city, state, cluster) s) q
-ORDER BY rq, bq, rev DESC"""),
+ORDER BY rq, bq, rev DESC, store_nbr"""),
 
     "q13_holiday_lift": with_base(f"""
 SELECT day_group, store_days,

@@ -201,7 +201,7 @@ def q06_portfolio_roles(L: Layer, recent_months: int = 6, complete_months_only:
     return (fam.select("family", money_out("_total").alias("total_revenue"),
                        rnd("_share", 2).alias("revenue_share_pct"),
                        "revenue_cv", "recent_6m_growth_pct", role.alias("portfolio_role"))
-            .orderBy(F.col("revenue_share_pct").desc(), F.col("recent_6m_growth_pct").desc()))
+            .orderBy(F.col("revenue_share_pct").desc(), F.col("recent_6m_growth_pct").desc(), "family"))
 
 
 def q07_promo_dependency(L: Layer, threshold: float = 25.0) -> DataFrame:
@@ -216,7 +216,7 @@ def q07_promo_dependency(L: Layer, threshold: float = 25.0) -> DataFrame:
                       "avg_sales_when_promoted", "avg_sales_without_promo",
                       rnd(uplift, 2).alias("promo_uplift_pct"), profile.alias("promo_profile"),
                       F.col("_total"))
-            .orderBy(F.col("promo_uplift_pct").desc(), F.col("_total").desc())
+            .orderBy(F.col("promo_uplift_pct").desc(), F.col("_total").desc(), "family")
             .drop("_total"))
 
 
@@ -310,7 +310,7 @@ def q11_store_risk(L: Layer, days: int = 90, k: float = 1.0) -> DataFrame:
     out = b.select("store_nbr", "city", "state",
                    dbl("_r_rev").alias("recent_90d_revenue"), dbl("_p_rev").alias("prior_90d_revenue"),
                    *cols, tier.alias("risk_tier"))
-    return out.orderBy(rank_of(F.col("risk_tier"), RISK_ORDER), "revenue_growth_pct")
+    return out.orderBy(rank_of(F.col("risk_tier"), RISK_ORDER), "revenue_growth_pct", "store_nbr")
 
 
 def q12_store_archetypes(L: Layer) -> DataFrame:
@@ -327,7 +327,7 @@ def q12_store_archetypes(L: Layer) -> DataFrame:
                      money_out("_revenue").alias("total_revenue"),
                      rnd("_spt", 2).alias("sales_per_transaction"),
                      "revenue_quartile", "basket_quartile", arche.alias("store_archetype"), "_revenue")
-            .orderBy("revenue_quartile", "basket_quartile", F.col("_revenue").desc())
+            .orderBy("revenue_quartile", "basket_quartile", F.col("_revenue").desc(), "store_nbr")
             .drop("_revenue"))
 
 
