@@ -340,7 +340,8 @@ SELECT entity_type, max(n) AS entity_count,
        {R(f"sum(({DIV('rev', 'tot')}) * ({DIV('rev', 'tot')}))", 4)} AS hhi,
        {R(f"{DIV('max(rev)', 'max(tot)')} * 100")} AS top_1_share_pct,
        {R(f"{DIV('sum(rev) FILTER (WHERE pos <= ceiling(n * 0.20))', 'max(tot)')} * 100")} AS top_20pct_share_pct
-FROM ordered GROUP BY entity_type""", ENTITY_TOTALS),
+FROM ordered GROUP BY entity_type
+ORDER BY CASE entity_type WHEN 'Store Network' THEN 1 ELSE 2 END""", ENTITY_TOTALS),
 
     "q09_cluster_index": with_base(f"""
 SELECT c.cluster, c.family,
@@ -537,7 +538,8 @@ SELECT o.entity_type, count(*) AS entity_count, l.top_n,
        {MONEY('COALESCE(sum(o.rev) FILTER (WHERE o.pos <= l.top_n), 0)')} AS top_n_revenue,
        {R(f"CAST(100 AS DOUBLE) * {D('COALESCE(sum(o.rev) FILTER (WHERE o.pos <= l.top_n), 0)')} / NULLIF({D('sum(o.rev)')}, 0)")} AS top_n_share_pct
 FROM ordered o JOIN top_sizes l ON l.entity_type = o.entity_type
-GROUP BY o.entity_type, l.top_n""", ENTITY_TOTALS + """,
+GROUP BY o.entity_type, l.top_n
+ORDER BY CASE o.entity_type WHEN 'Store Network' THEN 1 ELSE 2 END""", ENTITY_TOTALS + """,
 top_sizes(entity_type, top_n) AS (VALUES ('Store Network', 10), ('Product Family Mix', 5))"""),
 
     "x3_comparable_ytd": with_base(f"""

@@ -238,7 +238,8 @@ def q08_concentration(L: Layer, top_frac: float = 0.20) -> DataFrame:
     return (concentration(_store_revenue(L), "revenue", CONCENTRATION_LABELS[0], "store_nbr", top_frac,
                           large=L.large("stores"))
             .unionByName(concentration(_family_revenue(L), "revenue", CONCENTRATION_LABELS[1], "family",
-                                       top_frac, large=L.large("families"))))
+                                       top_frac, large=L.large("families")))
+            .orderBy(rank_of(F.col("entity_type"), list(CONCENTRATION_LABELS))))
 
 
 def q09_cluster_index(L: Layer, over: float = 1.20, under: float = 0.80) -> DataFrame:
@@ -440,7 +441,7 @@ def x2_top_n_share(L: Layer, top_families: int = 5, top_stores: int = 10) -> Dat
         F.lit(CONCENTRATION_LABELS[0]).alias("entity_type"), "*")
     f = top_n_share(_family_revenue(L), "revenue", top_families, "family", L.large("families")).select(
         F.lit(CONCENTRATION_LABELS[1]).alias("entity_type"), "*")
-    return s.unionByName(f)
+    return s.unionByName(f).orderBy(rank_of(F.col("entity_type"), list(CONCENTRATION_LABELS)))
 
 
 def x3_comparable_ytd(L: Layer) -> DataFrame:

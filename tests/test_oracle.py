@@ -61,7 +61,8 @@ def test_entry_smoke(spark):
 
 # Queries whose ORDER BY is a total order: their rows come back in the same sequence.
 TOTALLY_ORDERED = ["q03_monthly_kpi", "q04_same_store_growth", "q05_seasonality", "q06_portfolio_roles",
-                   "q07_promo_dependency", "q11_store_risk", "q12_store_archetypes", "q09_cluster_index",
+                   "q07_promo_dependency", "q08_concentration", "q11_store_risk", "q12_store_archetypes",
+                   "q09_cluster_index", "x2_top_n_share", "x4_holiday_vs_non_holiday",
                    "q10_store_scorecard", "q13_holiday_lift", "q14_event_lift", "q15_oil_regimes",
                    "q16_network_anomalies", "x5_weekday_strength", "monthly_growth_calendar"]
 
