@@ -27,7 +27,7 @@ def running_total(df: DataFrame, order: list, weight: Column, out: str,
     """Add ``out`` = SUM(weight) over all rows up to and including this one in ``order``
     (a total order), and optionally ``total`` = SUM(weight) over the whole table."""
     spark = df.sparkSession
-    n = partitions or max(2, spark.sparkContext.defaultParallelism)
+    n = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     t = (df.withColumn("_w", weight).repartitionByRange(n, *order)
          .withColumn("_pid", F.spark_partition_id()))
     t = write_table(t, spark, "ranked")

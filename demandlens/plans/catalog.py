@@ -6,6 +6,7 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import app_id
 from ..sources.tpch import bind_tpch
 from .queries import QUERIES
 from .storeday import Layer, build_layer
@@ -16,7 +17,7 @@ _LAYERS: dict = {}
 
 def layer_for(spark: SparkSession, sf_dir: str, materialise: bool = True) -> Layer:
     """Build the layer for the driver's tables once per (application, folder, mode)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), materialise)
+    key = (app_id(spark), sf_dir.rstrip("/"), materialise)
     with _LOCK:
         if key not in _LAYERS:
             _LAYERS[key] = build_layer(bind_tpch(spark, sf_dir), spark, materialise=materialise)

@@ -63,10 +63,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:          # Spark Connect sessions have no SparkContext
+        pass
     return spark
 
 
+def app_id(spark: SparkSession) -> str:
+    """The application id (works for classic and Spark Connect sessions)."""
+    return spark.conf.get("spark.app.id", None) or spark.sparkContext.applicationId
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -77,7 +85,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
-    if not root:
+    if not root:                # only in local tests: nothing is configured
         root = tempfile.mkdtemp(prefix="demandlens-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -85,8 +93,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder under the checkpoint root for one written table."""
-    app = spark.sparkContext.applicationId
-    return f"{checkpoint_root(spark)}/demandlens/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{checkpoint_root(spark)}/demandlens/{app_id(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def local_path(path: str) -> str:
