@@ -185,3 +185,20 @@ def test_no_single_partition_shuffle_of_fact_sized_data(L, name):
     assert L._entity_bound < L.context.count()
     for rows in _single_partition_rows(QUERIES[name](L)):
         assert rows <= 1.01 * L._entity_bound      # printed statistics keep 3 digits
+
+
+def test_bounded_broadcast_only_within_its_bound(spark):
+    from demandlens.operators.joins import bounded_broadcast, row_count_at_most
+    big = spark.range(2000).withColumnRenamed("id", "k")
+    small = spark.range(10).withColumnRenamed("id", "k")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # no automatic broadcast
+        assert row_count_at_most(small, 10) and not row_count_at_most(small, 9)
+        hinted = big.join(bounded_broadcast(small, max_rows=100), "k")
+        plain = big.join(bounded_broadcast(small, max_rows=5), "k")
+        assert "BroadcastHashJoin" in plan_text(hinted)
+        assert "BroadcastHashJoin" not in plan_text(plain)
+        assert hinted.count() == plain.count() == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
