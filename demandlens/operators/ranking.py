@@ -18,7 +18,8 @@ from ..functions.numeric import nullif0
 from ..sources.sink import write_table
 
 # Entity tables up to this many rows are ranked with a plain window (one ordered task);
-# larger ones take the partitioned path below.
+# larger ones take the partitioned path below. A session can override it with the
+# configuration key spark.demandlens.localRankLimit.
 LOCAL_RANK_LIMIT = 1_000_000
 
 

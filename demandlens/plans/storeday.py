@@ -117,7 +117,8 @@ class Layer:
             return True
         if self.dims is None:
             self.dims = entity_dims(self.model.train)
-        return self.dims[entity] > LOCAL_RANK_LIMIT
+        limit = int(self.spark.conf.get("spark.demandlens.localRankLimit", str(LOCAL_RANK_LIMIT)))
+        return self.dims[entity] > limit
 
     @property
     def stores(self) -> DataFrame:

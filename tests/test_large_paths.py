@@ -57,3 +57,16 @@ def test_ntile_formula_matches_window(spark):
         b = {r["id"]: r["q"] for r in df.withColumn(
             "q", F.ntile(4).over(Window.orderBy(F.col("v").desc(), F.col("id").asc()))).collect()}
         assert a == b
+
+
+def test_rank_limit_is_a_session_setting(spark):
+    L = layer_for(spark, SF)
+    assert not L.large("stores")
+    spark.conf.set("spark.demandlens.localRankLimit", "1")
+    try:
+        assert L.large("stores")
+        df = QUERIES["q12_store_archetypes"](L)
+        assert df.count() == QUERIES["q12_store_archetypes"](dataclasses.replace(L, force_large=False)).count()
+    finally:
+        spark.conf.unset("spark.demandlens.localRankLimit")
+    assert not L.large("stores")
