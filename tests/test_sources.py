@@ -91,3 +91,11 @@ def test_parquet_inputs_are_not_copied(spark):
     L = build(pq_model, spark)
     assert all(pq in f for f in L.model.train.inputFiles())          # read in place
     assert L.context.count() == 4
+
+
+def test_cluster_sizing():
+    from demandlens.session import cluster_conf
+    c = cluster_conf(4000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 16000
+    assert int(c["spark.sql.files.maxPartitionBytes"]) == 256 * 1024 * 1024
+    assert int(cluster_conf(8)["spark.sql.shuffle.partitions"]) == 400      # floor for small clusters
