@@ -21,14 +21,15 @@ def main():
         df = q(L)
         df.collect()
         text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
-        tree = text.split("== Initial Plan ==")[0]            # operator tree of the final plan
-        details = text[text.index("\n\n"):] if "\n\n" in text else ""
-        scans = len(re.findall(r"Scan parquet", tree))
-        shuffles = len(re.findall(r"\+- Exchange ", tree)) + len(re.findall(r"\bExchange \(", tree))
-        shuffles = len(re.findall(r"Exchange \(\d+\)", tree)) - len(re.findall(r"BroadcastExchange \(\d+\)", tree))
-        bcast = len(re.findall(r"BroadcastExchange \(\d+\)", tree))
-        single = len(re.findall(r"Arguments: SinglePartition", details))
-        reused = len(re.findall(r"ReusedExchange", tree))
+        tree, _, details = text.partition("\n\n")
+        final = tree.split("== Initial Plan ==")[0]            # operator tree of the final plan
+        scans = len(re.findall(r"Scan parquet", final))
+        exchange_ids = set(re.findall(r"(?<!Broadcast)Exchange \((\d+)\)", final))
+        bcast = len(re.findall(r"BroadcastExchange \(\d+\)", final))
+        single_ids = set(re.findall(r"\((\d+)\) Exchange\s*\nInput[^\n]*\nArguments: SinglePartition", details))
+        shuffles = len(exchange_ids)
+        single = len(exchange_ids & single_ids)
+        reused = len(re.findall(r"ReusedExchange", final))
         print(f"| {name} | {scans} | {shuffles} | {bcast} | {single} | {reused} |")
 
 
