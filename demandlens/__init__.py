@@ -9,9 +9,9 @@
 
 from .plans.catalog import register_views
 from .plans.queries import QUERIES
-from .plans.storeday import Layer, build_layer
+from .plans.storeday import Layer, build_layer, refresh_layer
 from .session import cluster_conf, get_session
 from .sources import Model, load_model
 
 __all__ = ["QUERIES", "Layer", "Model", "build_layer", "cluster_conf", "get_session",
-           "load_model", "register_views"]
+           "load_model", "refresh_layer", "register_views"]
