@@ -75,6 +75,7 @@ def main() -> None:
         "value": round(total, 3),
         "unit": "sec",
         "queries": {"layer_build": round(build, 3), **times},
+        "queries_total": round(sum(times.values()), 3),
         "first_run": {k: round(v, 3) for k, v in cold.items()},
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
         "cpus": cpus,
