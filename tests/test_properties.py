@@ -141,3 +141,25 @@ def test_collapse_matches_brute_force(spark, events):
                         "Mixed" if len(scopes) > 1 else scopes.pop(),
                         ", ".join(sorted({h[1] for h in hits})), " | ".join(sorted({h[2] for h in hits})))
             assert got[(day, s)] == want
+
+
+@SETTINGS
+@given(st.lists(EVENT, max_size=10))
+def test_attribution_matches_brute_force(spark, events):
+    from demandlens.operators.events import attribute_events
+    hol = [(BASE + dt.timedelta(days=d), ty, loc, name, desc, tr) for d, ty, (loc, name), desc, tr in events]
+    hdf = spark.createDataFrame(hol, "date date, type string, locale string, locale_name string, "
+                                     "description string, transferred string")
+    targets = spark.createDataFrame([(BASE + dt.timedelta(days=d), s, c, stt) for d in range(4)
+                                     for s, c, stt in STORES],
+                                    "date date, store_nbr int, city string, state string")
+    got = sorted((r["date"], r["store_nbr"], r["holiday_scope"], r["event_type"], r["description"])
+                 for r in attribute_events(applicable_events(hdf), targets).collect())
+    kept = {"Holiday", "Additional", "Bridge", "Event", "Transfer"}
+    want = sorted((dd, s, loc, ty, desc)
+                  for dd, ty, loc, name, desc, tr in hol if ty in kept and tr.lower() != "true"
+                  for d in range(4) if BASE + dt.timedelta(days=d) == dd
+                  for s, city, state in STORES
+                  if loc == "National" or (loc == "Regional" and name == state)
+                  or (loc == "Local" and name == city))
+    assert got == want                 # duplicates of a calendar row are kept, as the source counts them
