@@ -163,3 +163,21 @@ def test_attribution_matches_brute_force(spark, events):
                   if loc == "National" or (loc == "Regional" and name == state)
                   or (loc == "Local" and name == city))
     assert got == want                 # duplicates of a calendar row are kept, as the source counts them
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.integers(0, 5)), min_size=1, max_size=25))
+def test_partitioned_ranks_match_windows(spark, values):
+    from pyspark.sql import Window
+    from demandlens.operators.ranking import dense_ranks, ntiles, percent_ranks
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k int, v int")
+    got_d = {r["k"]: r["d"] for r in dense_ranks(df, "v", "d", descending=True).collect()}
+    got_p = {r["k"]: r["p"] for r in percent_ranks(df, "v", "p", nulls_first=True).collect()}
+    got_n = {r["k"]: r["n"] for r in ntiles(df, 4, [F.col("v").desc(), F.col("k").asc()], "n").collect()}
+    ref = df.select("k",
+                    F.dense_rank().over(Window.orderBy(F.col("v").desc())).alias("d"),
+                    F.percent_rank().over(Window.orderBy(F.col("v").asc_nulls_first())).alias("p"),
+                    F.ntile(4).over(Window.orderBy(F.col("v").desc(), F.col("k").asc())).alias("n")).collect()
+    assert got_d == {r["k"]: r["d"] for r in ref}
+    assert got_p == {r["k"]: r["p"] for r in ref}
+    assert got_n == {r["k"]: r["n"] for r in ref}
