@@ -181,3 +181,15 @@ def test_partitioned_ranks_match_windows(spark, values):
     assert got_d == {r["k"]: r["d"] for r in ref}
     assert got_p == {r["k"]: r["p"] for r in ref}
     assert got_n == {r["k"]: r["n"] for r in ref}
+
+
+def test_fills_per_series(spark):
+    rows = [("a", dt.date(2016, 1, 1), 10), ("a", dt.date(2016, 1, 3), None), ("b", dt.date(2016, 1, 2), None),
+            ("b", dt.date(2016, 1, 3), 7), ("b", dt.date(2016, 1, 5), None)]
+    df = spark.createDataFrame(rows, "s string, date date, p int")
+    ff = {(r["s"], r["date"].day): r["f"] for r in forward_fill(df, "p", "date", ["s"], out="f").collect()}
+    assert ff == {("a", 1): 10, ("a", 3): 10, ("b", 2): None, ("b", 3): 7, ("b", 5): 7}
+    spine = spark.createDataFrame([(s, dt.date(2016, 1, d)) for s in "ab" for d in (1, 2, 4, 6)], "s string, date date")
+    got = {(r["s"], r["date"].day): r["a"] for r in asof_fill(df, spine, "date", "p", out="a", partition_by=["s"]).collect()}
+    assert got == {("a", 1): 10, ("a", 2): 10, ("a", 4): 10, ("a", 6): 10,
+                   ("b", 1): None, ("b", 2): None, ("b", 4): 7, ("b", 6): 7}
