@@ -7,8 +7,9 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, rans
+from . import packing, rans, toxicity
 from .common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,13 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), toxicity.held_out(5, 0)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out)
+    return toxicity.score(docs, model).select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def _shipped(f: Query) -> Query:
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +38,7 @@ def _shipped(f: Query) -> Query:
     return run
 
 
-OPERATORS = (op2_token_rans, op5_best_two_fit)
+OPERATORS = (op2_token_rans, op5_best_two_fit, op10_toxicity)
 
 
 def queries() -> dict[str, Query]:
