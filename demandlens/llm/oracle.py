@@ -1,3 +1,13 @@
 """DuckDB SQL of the operators that SQL can express, over the same whole tables."""
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+     g AS (SELECT payload_digest, max(page_id) AS first_id, count(*) AS n FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN n > 1 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND first_id <> page_id THEN first_id END AS refers_to
+FROM d LEFT JOIN g USING (payload_digest)
+"""

@@ -9,12 +9,18 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, rans, toxicity
+from . import packing, quality, rans, toxicity, warc
 from .common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.held_out(4, 2)
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~out)
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -23,6 +29,11 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), toxicity.held_out(5, 0)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out)
@@ -38,7 +49,7 @@ def _shipped(f: Query) -> Query:
     return run
 
 
-OPERATORS = (op2_token_rans, op5_best_two_fit, op10_toxicity)
+OPERATORS = (op1_quality, op2_token_rans, op5_best_two_fit, op9_warc, op10_toxicity)
 
 
 def queries() -> dict[str, Query]:
