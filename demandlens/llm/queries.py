@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, rans, toxicity, warc
+from . import ann, packing, quality, rans, toxicity, warc
 from .common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op2_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def _shipped(f: Query) -> Query:
     return run
 
 
-OPERATORS = (op1_quality, op2_token_rans, op5_best_two_fit, op9_warc, op10_toxicity)
+OPERATORS = (op1_quality, op2_token_rans, op3_learned_partitions, op5_best_two_fit, op9_warc, op10_toxicity)
 
 
 def queries() -> dict[str, Query]:
