@@ -11,3 +11,30 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN n > 1 AND first_id <> page_id THEN first_id END AS refers_to
 FROM d LEFT JOIN g USING (payload_digest)
 """
+
+ORACLE["op6_decontamination"] = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+item AS (
+  SELECT item_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, array_to_string(w[i : i + 9], ' ') AS v, least(len(w), 10) AS n
+  FROM item, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+pos AS (
+  SELECT doc_id, i, sizes.n, array_to_string(w[i : i + sizes.n - 1], ' ') AS v
+  FROM split, sizes, unnest(range(1, len(w) - sizes.n + 2)) AS t(i)),
+hit AS (SELECT DISTINCT doc_id, i, pos.n, item_id FROM pos JOIN win ON pos.v = win.v AND pos.n = win.n),
+cov AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM hit, unnest(range(i, i + n)) AS t(j) GROUP BY 1),
+its AS (SELECT doc_id, count(DISTINCT item_id::VARCHAR) AS n_items,
+               string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM split LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+"""

@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, packing, quality, rans, toxicity, warc
+from . import ann, decontaminate, packing, quality, rans, toxicity, warc
 from .common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,13 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -53,7 +60,7 @@ def _shipped(f: Query) -> Query:
     return run
 
 
-OPERATORS = (op1_quality, op2_token_rans, op3_learned_partitions, op5_best_two_fit, op9_warc, op10_toxicity)
+OPERATORS = (op1_quality, op2_token_rans, op3_learned_partitions, op5_best_two_fit, op6_decontamination, op9_warc, op10_toxicity)
 
 
 def queries() -> dict[str, Query]:
