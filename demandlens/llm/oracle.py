@@ -38,3 +38,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM split LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+ORACLE["op4_substring_sketch"] = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS v FROM split, unnest(range(1, len(w) - 11)) AS t(i)),
+gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY v) AS first_id FROM win) WHERE first_id < doc_id),
+word AS (SELECT DISTINCT doc_id, j FROM gone, unnest(range(i, i + 13)) AS t(j)),
+cut AS (SELECT doc_id, count(*) AS n_removed, list(j) AS js FROM word GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(w, lambda x, k: NOT coalesce(list_contains(js, k), false)), ' '), '')) AS kept_sha256
+FROM split LEFT JOIN cut USING (doc_id)
+"""

@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, packing, quality, rans, toxicity, warc
+from . import ann, decontaminate, packing, quality, rans, substring, toxicity, warc
 from .common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_substring_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def _shipped(f: Query) -> Query:
     return run
 
 
-OPERATORS = (op1_quality, op2_token_rans, op3_learned_partitions, op5_best_two_fit, op6_decontamination, op9_warc, op10_toxicity)
+OPERATORS = (op1_quality, op2_token_rans, op3_learned_partitions, op4_substring_sketch, op5_best_two_fit, op6_decontamination, op9_warc, op10_toxicity)
 
 
 def queries() -> dict[str, Query]:
