@@ -52,3 +52,22 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
        sha256(coalesce(array_to_string(list_filter(w, lambda x, k: NOT coalesce(list_contains(js, k), false)), ' '), '')) AS kept_sha256
 FROM split LEFT JOIN cut USING (doc_id)
 """
+
+ORACLE["op8_ngram_jaccard"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS v
+  FROM split, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS t(i) WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT x, y FROM pair JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM split UNION SELECT r.x, e.y FROM reach r JOIN edge e ON r.y = e.x)
+SELECT s.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id
+FROM split s LEFT JOIN size USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
+"""
