@@ -71,3 +71,21 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM split UNION SELECT r.x, e.y FROM
 SELECT s.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id
 FROM split s LEFT JOIN size USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """
+
+ORACLE["op7_suffix_columns"] = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 800) AS v FROM b, unnest(range(0, length(h) // 2 - 399)) AS t(i)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY md5(v)) AS n FROM win) WHERE n > 1),
+edge AS (SELECT doc_id, i, i - coalesce(lag(i) OVER w, -1000000) AS gap FROM rep WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+run AS (SELECT doc_id, i, sum(CASE WHEN gap > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edge),
+span AS (SELECT doc_id, r, min(i) AS a, max(i) + 400 AS z FROM run GROUP BY 1, 2),
+kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, list(a ORDER BY a) AS s, list(z ORDER BY a) AS e
+  FROM span GROUP BY 1)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN s IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(s) + 1), lambda k:
+         substr(h, 2 * (CASE WHEN k = 0 THEN 0 ELSE e[k] END) + 1,
+                2 * ((CASE WHEN k = len(s) THEN length(h) // 2 ELSE s[k + 1] END) - (CASE WHEN k = 0 THEN 0 ELSE e[k] END)))), '') END)) AS kept_sha256
+FROM b LEFT JOIN kept USING (doc_id)
+"""

@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, packing, quality, rans, substring, toxicity, warc
+from . import ann, decontaminate, jaccard, packing, quality, rans, substring, suffixes, toxicity, warc
 from .common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_suffix_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def _shipped(f: Query) -> Query:
     return run
 
 
-OPERATORS = (op1_quality, op2_token_rans, op3_learned_partitions, op4_substring_sketch, op5_best_two_fit, op6_decontamination, op8_ngram_jaccard, op9_warc, op10_toxicity)
+OPERATORS = (op1_quality, op2_token_rans, op3_learned_partitions, op4_substring_sketch, op5_best_two_fit, op6_decontamination, op7_suffix_columns, op8_ngram_jaccard, op9_warc, op10_toxicity)
 
 
 def queries() -> dict[str, Query]:
