@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, text_bytes, written
+from .common import id_text, written
 from .tokens import encoder, ids_crc32, tokenizer_path
 
 CAPACITY = 2048
@@ -39,11 +39,12 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
     path = tokenizer or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, ranks = encoder(path).encode, TaskContext.get().partitionId(), Counter()
+        part, ranks = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                ids = np.append(np.frombuffer(encode(text), "<u2"), np.uint16(end_id))
+            found, at = encoder(path).encode(batch.column(1))
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                ids = np.append(found[a:b], np.uint16(end_id))
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     piece = ids[start:start + capacity]
                     n = len(piece)

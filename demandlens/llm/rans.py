@@ -12,7 +12,7 @@ A shard (one file a partition, documents in ascending doc_id order) is a sequenc
     header = magic "RNS1", crc32 of the frequency table, documents, ids, lanes, segments, words
 
 Defined cases: null text is an empty document (the end id only); a null doc_id sorts first;
-rows that share a doc_id are separate documents in text order; an empty table writes no
+rows that share a doc_id are separate documents in the order of their ids; an empty table writes no
 shard and reads no rows; columns other than doc_id and text are not read.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from demandlens.session import scratch_path
 
-from .common import id_text, publishing, read_range, text_bytes, written
+from .common import id_text, publishing, read_range, written
 from .tokens import encoder, ids_crc32, tokenizer_path
 
 MAGIC = b"RNS1"
@@ -162,21 +162,32 @@ def unpack_block(data: bytes, freq: Frequencies) -> tuple[list, np.ndarray, np.n
     return [None if z else d for d, z in zip(known.tolist(), nulls.tolist())], counts.astype(np.int64), ids
 
 
-def count_ids(docs: DataFrame, tokenizer: str, end_id: int) -> np.ndarray:
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 16-bit, the end id last) of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([end_id], "<u2").tobytes()
+        for batch in batches:
+            ids, at = encoder(tokenizer).encode(batch.column(1))
+            data = ids.astype("<u2").tobytes()
+            rows = [data[2 * a:2 * b] + end for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
+
+    return id_text(docs).mapInArrow(run, "doc_id long, ids binary")
+
+
+def count_ids(ids: DataFrame) -> np.ndarray:
     """Occurrences of every id over all documents: one row an id reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(map(own.encode, text_bytes(batch.column(1)))), "<u2")
-            counts += np.bincount(ids, minlength=1 << 16)
-            counts[end_id] += batch.num_rows
+            counts += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=1 << 16)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen])], names=["id", "n"])
 
     total = np.zeros(1 << 16, np.int64)
-    for r in docs.mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         total[r["id"]] = r["n"]
     return total
 
@@ -188,13 +199,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None,
                  end_id: int = 1) -> tuple[DataFrame, Frequencies]:
     """Encode into one file a range partition; the manifest has a row a block."""
     path = tokenizer or tokenizer_path()
-    rows = id_text(docs)
-    freq = Frequencies.from_counts(count_ids(rows, path, end_id))
+    rows = written(tokenized(docs, path, end_id), "ids", compression="zstd")
+    freq = Frequencies.from_counts(count_ids(rows))
     shared = docs.sparkSession.sparkContext.broadcast(freq.scaled)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table, shard = encoder(path), Frequencies(shared.value), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u2").tobytes()
+        table, shard = Frequencies(shared.value), TaskContext.get().partitionId()
         name, done, at = f"{folder}/shard-{shard:06d}.rans", [], 0
         doc_ids, counts, parts, size = [], [], [], 0
 
@@ -211,8 +221,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None,
             return
         with publishing(name) as out:
             while first is not None:
-                for doc_id, text in zip(first.column(0).to_pylist(), text_bytes(first.column(1))):
-                    data = own.encode(text) + end
+                for doc_id, data in zip(first.column(0).to_pylist(), first.column(1).to_pylist()):
                     doc_ids.append(doc_id)
                     counts.append(len(data) // 2)
                     parts.append(data)
@@ -227,7 +236,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None,
                 [pa.array(c, t) for c, t in zip(zip(*done), (pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4))],
                 names=["shard", "block", "path", "at", "size", "n_docs", "n_ids"])
 
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     return written(ordered.mapInArrow(encode, MANIFEST), "manifest"), freq
 
 
