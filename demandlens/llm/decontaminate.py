@@ -135,3 +135,11 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int
                                  & (F.col("d.tk") == F.col("p.tk")), "left")
             .select("d.doc_id", "d.tk", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "spans"))
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no item window occurs."""
+    found, _ = hits(docs, items, window, shingle)
+    bad = found.select("doc_id", "tk").distinct().alias("b")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.doc_id")) & (text_key("d.text") == F.col("b.tk"))
+    return docs.alias("d").join(bad, same, "left_anti")

@@ -105,21 +105,31 @@ def _estimates(h: np.ndarray, width: int, path: str, part: int, stamp: int) -> n
     return least
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("prefix", pa.binary()),
+SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("prefix", pa.binary()),
                   ("place", pa.binary()), ("shared", pa.binary())])
-SETS_DDL = "doc_id long, n long, sig long, prefix binary, place binary, shared binary"
+SETS_DDL = "row long, doc_id long, n long, sig long, prefix binary, place binary, shared binary"
 
 
-def sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Per document: size and signature of its set; the first of its class in a partition also
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows, written, with doc_id and text first and a number (``row``) of their own last."""
+    first = {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}
+    rest = [F.col(c) for c in docs.columns if c not in first and c != "row"]
+    return written(docs.select(*[v.alias(c) for c, v in first.items()], *rest, F.monotonically_increasing_id().alias("row")),
+                   "jaccard-docs")
+
+
+def sets(table: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Per row of a numbered table: size and signature of its set; the first of its class in a partition also
     carries the posted prefix shingles, their places and all shingles estimated to be shared."""
-    parts = written(id_text(docs), "jaccard-docs")
+    parts = table.select("doc_id", "text", "row")
     total = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = max(1 << 16, LOAD * total // 6)         # about six bytes a word; only efficiency depends on it
     path = ask(parts, lambda ids, texts, part: _sketch(shingles(texts, n)[1], width), _add_sketches, "jaccard-sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, stamp = rows_of(batches)
+        own = list(batches)
+        ids, texts, stamp = rows_of(iter(own))
+        number = [r for batch in own for r in batch.column("row").to_pylist()]
         if not texts:
             return
         doc, h = shingles(texts, n)
@@ -129,7 +139,7 @@ def sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
             size = b - a
             if not size:
-                rows.append((ids[i], 0, None, None, None, None))
+                rows.append((number[i], ids[i], 0, None, None, None, None))
                 continue
             own, f = h[a:b], freq[a:b]
             sig = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -141,7 +151,7 @@ def sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 order = common[np.lexsort((own[common], f[common]))][:bound - alone]
                 prefix, shared = own[order].tobytes(), own[common].tobytes()
                 place = np.arange(alone, alone + len(order), dtype=np.uint32).tobytes()
-            rows.append((ids[i], size, sig, prefix, place, shared))
+            rows.append((number[i], ids[i], size, sig, prefix, place, shared))
         for k in range(0, len(rows), 2000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 2000]), SETS.types)],
                                              schema=SETS)
@@ -254,9 +264,10 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*batch.schema.names, "ranges"])
 
 
-def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row (links: den * overlap >= num * union)."""
-    rows = sets(docs, n, num, den)
+def tagged(table: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """row, doc_id, n_shingles and class of every row of a numbered table: rows of one component
+    share the class, rows without shingles have none."""
+    rows = sets(table, n, num, den)
     first = (rows.filter(F.col("prefix").isNotNull()).groupBy("sig")
              .agg(*[F.first(c).alias(c) for c in ("n", "prefix", "place", "shared")]))
     classes = written(first.mapInArrow(_ranges, "sig long, n long, prefix binary, place binary, shared binary, ranges binary"),
@@ -275,10 +286,26 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
             links = links.unionByName(labels.filter(F.col("node") != F.col("comp"))
                                       .select(F.col("node").alias("a"), F.col("comp").alias("b")))
         labels = written(components(links), "jaccard-labels")
-    tagged = (rows.select("doc_id", F.col("n").alias("n_shingles"), "sig")
-              .join(labels, F.col("sig") == F.col("node"), "left")
-              .select("doc_id", "n_shingles", F.coalesce("comp", "sig").alias("class")))
-    tagged = written(tagged, "jaccard-tagged")
-    least = tagged.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
-    return (tagged.join(least, "class", "left")
+    found = (rows.select("row", "doc_id", F.col("n").alias("n_shingles"), "sig")
+             .join(labels, F.col("sig") == F.col("node"), "left")
+             .select("row", "doc_id", "n_shingles", F.coalesce("comp", "sig").alias("class")))
+    return written(found, "jaccard-tagged")
+
+
+def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row (links: den * overlap >= num * union)."""
+    found = tagged(numbered(id_text(docs)), n, num, den)
+    least = found.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
+    return (found.join(least, "class", "left")
             .select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
+
+
+def representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows that stay when one row of each component does: the smallest doc_id (null last),
+    then the first row. Rows without shingles stay."""
+    table = numbered(docs)
+    found = tagged(table, n, num, den)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    stay = (found.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min(order)["row"].alias("row")).select("row")
+            .unionByName(found.filter(F.col("class").isNull()).select("row")))
+    return table.join(stay, "row", "left_semi").drop("row")

@@ -74,8 +74,8 @@ FROM split s LEFT JOIN size USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c
 
 ORACLE["op7_suffix_columns"] = r"""
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 800) AS v FROM b, unnest(range(0, length(h) // 2 - 399)) AS t(i)),
-rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY md5(v)) AS n FROM win) WHERE n > 1),
+win AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 800)) AS v FROM b, unnest(range(0, length(h) // 2 - 399)) AS t(i)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY v) AS n FROM win) WHERE n > 1),
 edge AS (SELECT doc_id, i, i - coalesce(lag(i) OVER w, -1000000) AS gap FROM rep WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 run AS (SELECT doc_id, i, sum(CASE WHEN gap > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edge),
 span AS (SELECT doc_id, r, min(i) AS a, max(i) + 400 AS z FROM run GROUP BY 1, 2),

@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_text, written
+from .common import written
 from .exchange import answers, ask, pack_sorted, rows_of, stamp_of, unpack_sorted
 from .wordhash import Words, groups, words
 
@@ -141,11 +142,12 @@ def _covered(w: Words, begins: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, text without the removed words (unchanged where none is removed; elsewhere
     the white space before a removed word goes with it), n_words, n_removed, kept_sha256 and the
-    removed ``spans`` (first word, words)."""
-    parts = written(id_text(docs), "substring-docs")
+    removed ``spans`` (first word, words). ``keep`` names further columns to carry along."""
+    parts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                                *[F.col(c) for c in keep]), "substring-docs")
     total = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = max(1 << 16, LOAD * total // 6)             # about six bytes a word; only efficiency depends on it
     buckets = max(1, total // 6 // BUCKET)
@@ -162,10 +164,12 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     grouped = ask(parts, question, _group, "substring-groups")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, stamp = rows_of(batches)
+        whole = list(batches)
+        ids, texts, stamp = rows_of(iter(whole))
         part = TaskContext.get().partitionId()
         if not texts:
             return
+        carried = pa.Table.from_batches(whole).select(list(keep)).combine_chunks()
         at, doc, (b, _, d, which) = exact(ids, texts, part, stamp)
         found, least = answers(grouped, part, stamp), d.copy()
         for k, own in _cut(b, 1):
@@ -178,10 +182,13 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             begins, _ = w.windows(window, 1)
             mine = repeated[(repeated >= seen) & (repeated < seen + len(begins))] - seen
             seen += len(begins)
-            yield _rows(ids[offset:offset + len(own)], own, w, _covered(w, begins[mine], window))
+            found_rows = _rows(ids[offset:offset + len(own)], own, w, _covered(w, begins[mine], window))
+            more = [carried.column(c).slice(offset, len(own)).combine_chunks() for c in keep]
+            yield pa.RecordBatch.from_arrays([*found_rows.columns, *more], names=[*_ROWS.names, *keep])
 
-    return parts.mapInArrow(apply, "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, "
-                                   "spans array<struct<first:long,words:long>>")
+    ddl = ("doc_id long, text string, n_words long, n_removed long, kept_sha256 string, "
+           "spans array<struct<first:long,words:long>>")
+    return parts.mapInArrow(apply, T.StructType(T.StructType.fromDDL(ddl).fields + [parts.schema[c] for c in keep]))
 
 
 _ROWS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
