@@ -8,7 +8,7 @@ too. Vectors and softmax are trained jointly in numpy (Adam; first on whole-text
 then on each text's most toxic segment), on the driver, from a bounded sample of labelled
 rows (``sample_rows`` a class, whole texts of at most ``sample_bytes``). Scoring covers all rows.
 
-Defined cases: a null or empty text has the bias alone as its log-odds; a null doc_id is held
+Defined cases: a null, empty or wordless text scores as the median text of label 0; a null doc_id is held
 out and scored; repeated rows are scored each; of contradicting labels the larger holds; null
 labels teach nothing; without labels of both classes every score is the share of label 1 (0
 without labels); only doc_id and text are read from documents, doc_id and toxic from labels.
@@ -16,31 +16,62 @@ without labels); only doc_id and text are read from documents, doc_id and toxic
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, text_bytes
+from .common import id_text
+from .wordhash import inverse, mix, powers
 
 BUCKETS, DIM, SEGMENT = 1 << 18, 8, 8
 NGRAMS = (3, 4, 5)
-MEMO = 300_000
-_EDGES = re.compile(r"^\W+|\W+$")
-
-
-def subwords(word: bytes) -> list[int]:
-    """Buckets of the n-grams of a word (lower case, without punctuation at its ends) and of the word."""
-    s = "<" + _EDGES.sub("", word.decode("utf-8", "replace").lower()) + ">"
-    if len(s) == 2:
-        return []
-    grams = {s[i:i + n] for n in NGRAMS for i in range(len(s) - n + 1)} | {s}
-    return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams)]
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»…“”‘’"
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words (lower case, without marks at their ends), each word's number in text
+    order, and where each text's words begin (one more at the end)."""
+    split = pc.ascii_split_whitespace(pc.utf8_trim(pc.fill_null(texts.cast(pa.large_string()), ""), characters=" \t\n\r\x0b\x0c"))
+    offsets = split.offsets.to_numpy(zero_copy_only=False)
+    flat = split.flatten()
+    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)       # an empty text splits into one empty word
+    places = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
+    chunks = flat.filter(pa.array(real)).dictionary_encode()
+    words = pc.utf8_trim(pc.utf8_lower(chunks.dictionary), characters=_MARKS).dictionary_encode()
+    number = words.indices.to_numpy(zero_copy_only=False)[chunks.indices.to_numpy(zero_copy_only=False)]
+    return words.dictionary, number, places
+
+
+def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams of each word, with brackets at its ends, and of the
+    whole word; and the number of the word each belongs to."""
+    data = np.frombuffer(("<" + "><".join(words.to_pylist()) + ">").encode("utf-32-le"), np.uint32)
+    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+    ends = np.cumsum(sizes)
+    of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    point = mix(data.astype(np.uint64), 31)
+    buckets, owner, at = [], [], np.arange(len(data))
+    for n in NGRAMS:
+        if len(data) < n:
+            continue
+        h = np.zeros(len(data) - n + 1, np.uint64)
+        for k in range(n):
+            h = h * np.uint64(_BASE) + point[k:k + len(h)]
+        inside = at[:len(h)] + n <= ends[of[:len(h)]]
+        buckets.append((mix(h[inside], n) % np.uint64(BUCKETS)).astype(np.int32))
+        owner.append(of[:len(h)][inside])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(point * powers(_BASE, len(data)))])
+    begins = ends - sizes
+    whole = (total[ends] - total[begins]) * powers(inverse(_BASE), len(data) + 1)[begins]
+    buckets.append((mix(whole, 1) % np.uint64(BUCKETS)).astype(np.int32))
+    owner.append(np.arange(len(sizes), dtype=np.int32))
+    return np.concatenate(buckets), np.concatenate(owner)
 
 
 @dataclass
@@ -48,6 +79,7 @@ class Model:
     """The trained parts folded into one number a bucket: log-odds are linear in the vectors."""
     weight: np.ndarray          # float32[BUCKETS]: vector . (softmax row 1 - row 0)
     bias: float
+    empty: float                # log-odds of a text without words: the median of label 0's
     slope: float                # calibration of the most toxic segment's log-odds
     offset: float
     constant: float | None = None
@@ -58,36 +90,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * log_odds + self.offset, -30, 30)))
 
 
-class Scorer:
-    """Log-odds of whole texts; remembers words' numbers up to a bound."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.words: dict[bytes, float] = {}
-
-    def _learn(self, words: set[bytes]) -> None:
-        w = self.model.weight
-        for word in words:
-            ids = subwords(word)
-            self.words[word] = float(w[ids].mean()) if ids else 0.0
-
-    def log_odds(self, text: bytes) -> float:
-        words = text.split()
-        if not words:
-            return self.model.bias
-        try:
-            numbers = list(map(self.words.__getitem__, words))
-        except KeyError:
-            if len(self.words) > MEMO:
-                self.words = {}
-            self._learn({w for w in words if w not in self.words})
-            numbers = list(map(self.words.__getitem__, words))
-        return float(segment_means(np.array(numbers)).max()) + self.model.bias
-
-
-def segment_means(x: np.ndarray) -> np.ndarray:
-    at = np.arange(0, len(x), SEGMENT)
-    return np.add.reduceat(x, at) / np.diff(np.append(at, len(x)))
+    def log_odds(self, texts: pa.Array) -> np.ndarray:
+        """Of each whole text: its most toxic segment's."""
+        words, number, places = split_words(texts)
+        weights = [np.zeros(0)]
+        for k in range(0, len(words), 1 << 16):
+            own = words.slice(k, 1 << 16)
+            bucket, of = subwords(own)
+            count = np.bincount(of, minlength=len(own))
+            weights.append(np.bincount(of, self.weight[bucket], minlength=len(own)) / count)
+        value = np.concatenate(weights)[number]
+        out = np.full(len(texts), self.empty)
+        sizes = np.diff(places)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            at, first, length, _ = segments(places[:-1][full], sizes[full])
+            out[full] = np.maximum.reduceat(np.add.reduceat(value, at) / length, first) + self.bias
+        return out
+
+
+def segments(begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Segments of texts that lie in a row: first word, first segment of each text, words, text."""
+    n = -(-sizes // SEGMENT)
+    of = np.repeat(np.arange(len(sizes)), n)
+    first = np.cumsum(n) - n
+    at = begin[of] + (np.arange(len(of)) - first[of]) * SEGMENT
+    return at, first, np.minimum(SEGMENT, begin[of] + sizes[of] - at), of
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -96,40 +124,30 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: np.ndarray, class_share: float, seed: int = 7,
-          warm: int = 25, rounds: int = 60, rate: float = 0.05, min_uses: int = 20,
-          decay: float = 1e-4) -> Model:
+          warm: int = 25, rounds: int = 120, rate: float = 0.05, min_uses: int = 12,
+          decay: float = 5e-4) -> Model:
     """Joint training on whole texts; ``class_share`` is label 1's share before sampling by class."""
     y = labels.astype(np.float64)
+    constant = Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 1.0, 0.0, float(class_share))
+    words, flat, places = split_words(pa.array(texts, pa.binary()).cast(pa.string()))
+    kept = np.flatnonzero(np.diff(places))               # texts with words; the others take no places
+    sizes, y = np.diff(places)[kept], y[kept]
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, 0.0, float(class_share))
-    vocabulary: dict[bytes, int] = {}
-    docs = [[vocabulary.setdefault(w, len(vocabulary)) for w in t.split()] for t in texts]
-    kept = [i for i, d in enumerate(docs) if d]
-    docs, y = [np.array(docs[i]) for i in kept], y[kept]
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, 0.0, float(class_share))
-    flat = np.concatenate(docs)
-    grams = [subwords(w) or [0] for w in vocabulary]
-    g_len = np.array([len(g) for g in grams])
-    gram = np.concatenate([np.array(g) for g in grams])
-    uses = np.bincount(gram, np.repeat(np.bincount(flat, minlength=len(grams)), g_len), minlength=BUCKETS)
-    known = np.flatnonzero(uses >= min_uses)       # rarer buckets keep a zero vector
-    slot = np.zeros(BUCKETS, np.int64)
+        return constant
+    gram, word_of = subwords(words)
+    g_len = np.bincount(word_of, minlength=len(words))
+    uses = np.bincount(gram, np.bincount(flat, minlength=len(words))[word_of], minlength=BUCKETS)
+    known = np.flatnonzero(uses >= min_uses)             # rarer buckets keep a zero vector
+    slot = np.zeros(BUCKETS, np.int32)
     slot[known] = np.arange(1, len(known) + 1)
     gram = slot[gram]
-    word_of = np.repeat(np.arange(len(grams)), g_len)[gram > 0]
-    gram = np.concatenate([gram[gram > 0], np.zeros(len(grams), np.int64)])     # one zero a word
-    order = np.argsort(np.concatenate([word_of, np.arange(len(grams))]), kind="stable")
-    gram, g_kept = gram[order], np.bincount(word_of, minlength=len(grams)) + 1
-    g_at = np.concatenate([[0], np.cumsum(g_kept)[:-1]])
-
-    sizes = np.array([len(d) for d in docs])
-    doc_at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    n_seg = -(-sizes // SEGMENT)
-    seg_doc = np.repeat(np.arange(len(docs)), n_seg)
-    seg_first = np.concatenate([[0], np.cumsum(n_seg)[:-1]])
-    seg_at = doc_at[seg_doc] + (np.arange(len(seg_doc)) - seg_first[seg_doc]) * SEGMENT
-    seg_len = np.diff(np.append(seg_at, len(flat)))
+    word_of, gram = word_of[gram > 0], gram[gram > 0]
+    order = np.argsort(np.concatenate([word_of, np.arange(len(words), dtype=np.int32)]), kind="stable")
+    gram = np.concatenate([gram, np.zeros(len(words), np.int32)])[order]         # one zero a word
+    g_kept = np.bincount(word_of, minlength=len(words)) + 1
+    g_at = np.cumsum(g_kept) - g_kept
+    doc_at = np.cumsum(sizes) - sizes
+    seg_at, seg_first, seg_len, seg_doc = segments(doc_at, sizes)
 
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.05, (len(known) + 1, DIM))
@@ -155,7 +173,7 @@ def train(texts: list[bytes], labels: np.ndarray, class_share: float, seed: int
             g_word = np.bincount(flat, np.repeat(delta / sizes, sizes), minlength=len(g_len))
         else:
             top = np.maximum.reduceat(seg, seg_first)
-            first = np.full(len(docs), len(seg))
+            first = np.full(len(y), len(seg))
             np.minimum.at(first, seg_doc, np.where(seg == top[seg_doc], np.arange(len(seg)), len(seg)))
             z = top + b
             delta = (1 / (1 + np.exp(-z)) - y) * balance / len(y)
@@ -178,7 +196,7 @@ def train(texts: list[bytes], labels: np.ndarray, class_share: float, seed: int
     weight[known] = (e @ w)[1:]
     prior = np.where(y > 0, class_share / y.mean(), (1 - class_share) / (1 - y.mean()))
     slope, offset = platt(z, y, prior)
-    return Model(weight, float(b), slope, offset)
+    return Model(weight, float(b), float(np.median(z[y == 0])), slope, offset)
 
 
 def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -230,9 +248,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     schema = rows.select(*out).withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for batch in batches:
-            z = np.array([scorer.log_odds(t) for t in text_bytes(batch.column("text"))])
+            z = shared.value.log_odds(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in out] + [pa.array(shared.value.probability(z))], names=[*out, "score"])
 
