@@ -72,11 +72,6 @@ def exact_mean(c) -> Column:
     return F.sum(c).cast("double") / nullif0(F.count(c))
 
 
-def mean(c) -> Column:
-    """Aggregate: mean of a DOUBLE column (NULLs skipped)."""
-    return F.avg(col(c))
-
-
 def flag(cond: Column) -> Column:
     """0/1 integer flag (kept as an integer, never a boolean)."""
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))

@@ -63,12 +63,17 @@ def check_constraints(model: Model) -> DataFrame:
     checks.append(h.groupBy(*h.columns).count().filter(F.col("count") > 1)
                   .agg(*_row("holidays_events", "duplicate rows", F.coalesce(F.sum(F.col("count") - 1), F.lit(0)))))
     for child, ck, parent, pk in FOREIGN_KEYS:
-        c = model.table(child).select(F.col(ck).alias("_k"))
+        # keys grouped with their counts first: the join sees one row a key, however hot
+        c = model.table(child).groupBy(F.col(ck).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
         p = model.table(parent).select(F.col(pk).alias("_k"))
         checks.append(c.join(p, "_k", "left_anti")
-                      .agg(*_row(child, f"{ck} -> {parent}.{pk}", F.count(F.lit(1)))))
+                      .agg(*_row(child, f"{ck} -> {parent}.{pk}", F.coalesce(F.sum("_n"), F.lit(0)))))
+    if "id" in model.train.columns:          # the surrogate key, where the source has it
+        checks.append(model.train.filter(F.col("id").isNotNull()).groupBy("id").count().filter(F.col("count") > 1)
+                      .agg(*_row("train", "unique(id)", F.count(F.lit(1)))))
     for table, cols in NOT_NULL.items():
         t = model.table(table)
+        cols = (["id"] if table == "train" and "id" in t.columns else []) + cols
         checks.append(t.agg(*[F.struct(*_row(table, f"not_null({c})", count_where(F.col(c).isNull())))
                               .alias(c) for c in cols])
                       .select(F.explode(F.array(*[F.col(c) for c in cols])).alias("r"))

@@ -1,31 +1,12 @@
-"""Join helpers: broadcast only behind a proven size bound.
-
-Joins inside the library carry no hints: the session's broadcast thresholds (see
-``session.DEFAULT_CONF``) make the planner broadcast a side only when its statistics prove
-it small, and AQE re-checks at run time. ``bounded_broadcast`` is for callers who want to
-force a broadcast of a frame whose planner estimate is unknown (e.g. the output of a join),
-and it still proves the bound first by counting at most ``max_rows + 1`` rows."""
+"""Join helpers. Joins of the library carry no hints: the session's broadcast thresholds (see
+``session.DEFAULT_CONF``) make the planner broadcast a side only when its statistics prove it
+small, and AQE re-checks at run time; anything larger stays a shuffle join."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest side we ship to every executor. Dimension tables of this model (stores, the
-# oil calendar, the event calendar) are far below it; beyond it the join stays a shuffle
-# join and AQE (with skew splitting) decides at run time.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads at most max_rows + 1."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` if its row count is proven <= max_rows, else ``df`` unchanged."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
-
 
 def enrich_with_flag(left: DataFrame, right: DataFrame, on, value: str, out: str,
                      default=None, flag_col: str | None = None) -> DataFrame:

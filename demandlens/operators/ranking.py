@@ -1,12 +1,15 @@
-"""Whole-table ranks without one task holding the table.
-
-Ranks over a global order (ROW_NUMBER, DENSE_RANK, PERCENT_RANK, NTILE) are a running total
-over that order. For an entity table too large for one ordered task the total is computed in
-parallel: range-partition by the order (contiguous ranges, sampled bounds), write the
-partitioned rows once (so partition ids are fixed on disk, whatever happens to executors),
-take each partition's subtotal (one row per partition), turn the subtotals into offsets
-(a table as small as the partition count, broadcast) and add each row's running total
-inside its own partition. Ties are resolved by the order given: pass a unique key last.
+"""Whole-table ranks without one task holding the table: one plan at every size.
+
+A rank over a global order is the number of rows in the buckets before the row's own, plus its
+rank inside its bucket. Buckets are ranges between quantiles of the value (``PIECES`` of them,
+one scalar aggregate); each quantile value is a bucket of its own, so a frequent value never
+shares a bucket. Such a one-valued bucket is dealt further: by ranges of the key where the
+key breaks ties, else by a hash, since all its rows have the same rank. So a window holds about
+1 / PIECES of the table, and only the bucket counts (at most (2 * PIECES + 1) * (2 * PIECES + 1)
+rows) are ordered as a whole and broadcast.
+
+Entity tables should be written (``sources.sink.write_table``) before they are ranked: the bounds,
+counts and ranks are separate reads of the same rows.
 """
 
 from __future__ import annotations
@@ -15,39 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nullif0
-from ..sources.sink import write_table
-
-# Entity tables up to this many rows are ranked with a plain window (one ordered task);
-# larger ones take the partitioned path below. A session can override it with the
-# configuration key spark.demandlens.localRankLimit.
-LOCAL_RANK_LIMIT = 1_000_000
-
-
-def running_total(df: DataFrame, order: list, weight: Column, out: str,
-                  partitions: int | None = None, total: str | None = None) -> DataFrame:
-    """Add ``out`` = SUM(weight) over all rows up to and including this one in ``order``
-    (a total order), and optionally ``total`` = SUM(weight) over the whole table."""
-    spark = df.sparkSession
-    n = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    t = (df.withColumn("_w", weight).repartitionByRange(n, *order)
-         .withColumn("_pid", F.spark_partition_id()))
-    t = write_table(t, spark, "ranked")
-    parts = t.groupBy("_pid").agg(F.sum("_w").alias("_psum"))           # one row per partition
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("_pid", F.coalesce(F.sum("_psum").over(before), F.lit(0)).alias("_off"),
-                           F.sum("_psum").over(Window.partitionBy()).alias("_all"))
-    local = F.sum("_w").over(Window.partitionBy("_pid").orderBy(*order)
-                             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    res = t.join(F.broadcast(offsets), "_pid").withColumn(out, F.col("_off") + local)
-    if total:
-        res = res.withColumn(total, F.col("_all"))
-    return res.drop("_pid", "_off", "_all", "_w")
-
-
-def row_numbers(df: DataFrame, order: list, out: str, total: str | None = None) -> DataFrame:
-    """ROW_NUMBER over ``order`` (make it total with a unique key last)."""
-    r = running_total(df, order, F.lit(1), out, total=total).withColumn(out, F.col(out).cast("int"))
-    return r.withColumn(total, F.col(total).cast("bigint")) if total else r
+
+PIECES = 32
+ACCURACY = 10_000
 
 
 def ntile_of(rn: Column, n_rows: Column, k: int) -> Column:
@@ -61,11 +34,6 @@ def ntile_of(rn: Column, n_rows: Column, k: int) -> Column:
              .otherwise(r + F.floor((rn - big - 1) / nullif0(q)) + 1)).cast("int")
 
 
-def ntiles(df: DataFrame, k: int, order: list, out: str) -> DataFrame:
-    r = row_numbers(df, order, "_rn", total="_n")
-    return r.withColumn(out, ntile_of(F.col("_rn"), F.col("_n"), k)).drop("_rn", "_n")
-
-
 def sort_key(name: str, descending: bool = False, nulls_first: bool | None = None) -> Column:
     """Sort order on ``name``; NULLs first on ascending and last on descending unless said
     otherwise (Spark's and the source dialect's default)."""
@@ -77,21 +45,80 @@ def sort_key(name: str, descending: bool = False, nulls_first: bool | None = Non
     return c.asc_nulls_first() if nulls_first else c.asc_nulls_last()
 
 
-def dense_ranks(df: DataFrame, value: str, out: str, descending: bool = False,
-                nulls_first: bool | None = None) -> DataFrame:
-    """DENSE_RANK by ``value``: the row number of the value among the distinct values,
-    joined back on the value (NULLs match NULLs)."""
-    d = row_numbers(df.select(F.col(value).alias("_dv")).distinct(),
-                    [sort_key("_dv", descending, nulls_first)], out)
-    return df.join(d, df[value].eqNullSafe(d["_dv"])).drop("_dv")
-
-
-def percent_ranks(df: DataFrame, value: str, out: str, descending: bool = False,
-                  nulls_first: bool | None = None) -> DataFrame:
-    """PERCENT_RANK by ``value``: (rank - 1) / (n - 1), rank = 1 + rows strictly before."""
-    counts = df.groupBy(F.col(value).alias("_dv")).agg(F.count(F.lit(1)).alias("_c"))
-    cum = running_total(counts, [sort_key("_dv", descending, nulls_first)], F.col("_c"), "_cum",
-                        total="_n")
-    pr = cum.select("_dv", F.when(F.col("_n") > 1, (F.col("_cum") - F.col("_c")).cast("double")
-                                  / (F.col("_n") - 1).cast("double")).otherwise(F.lit(0.0)).alias(out))
-    return df.join(pr, df[value].eqNullSafe(pr["_dv"])).drop("_dv")
+def _quantiles(df: DataFrame, cols) -> Column:
+    """One scalar struct of ascending quantile arrays (values of the columns themselves)."""
+    at = F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)])
+    return df.agg(F.struct(*[F.percentile_approx(c, at, F.lit(ACCURACY)).alias(c) for c in cols])).scalar()
+
+
+def _bucket(value: Column, bounds: Column) -> Column:
+    """Ascending bucket number: even between two bounds, odd on a bound, NULL for NULL."""
+    bounds = F.coalesce(bounds, F.array())
+    below = F.size(F.filter(bounds, lambda b: b < value))
+    return F.when(value.isNotNull(), 2 * below + F.array_contains(bounds, value).cast("int"))
+
+
+def _ranked(df: DataFrame, value: str, out: dict, descending: bool, nulls_first: bool,
+            tie_break: str | None = None) -> DataFrame:
+    """Add columns {name: kind} with kind 'rank' (RANK), 'dense' (DENSE_RANK), 'row' (ROW_NUMBER,
+    equal values by ``tie_break``) or 'n' (rows of the table)."""
+    cols = [value] + ([tie_break] if tie_break and _numeric(df, tie_break) else [])
+    q = F.col("_q")          # a scalar subquery; as a column, since it may not stand within a lambda
+    one_valued = F.col("_b").isNull() | (F.col("_b") % 2 == 1)
+    if tie_break:
+        deal = _bucket(F.col(tie_break), q.getField(tie_break)) if len(cols) > 1 else F.lit(0)
+    else:
+        deal = F.pmod(F.hash(*[F.col(c) for c in df.columns]), F.lit(PIECES))
+    t = (df.withColumn("_q", _quantiles(df, cols)).withColumn("_b", _bucket(F.col(value), q.getField(value)))
+         .withColumn("_s", F.when(one_valued, F.coalesce(deal, F.lit(-1))).otherwise(F.lit(0))).drop("_q"))
+    by_key = tie_break is not None
+    place = ["_b", "_s"] if by_key else ["_b"]
+    counts = t.groupBy(*place).agg(F.count(F.lit(1)).alias("_c"), F.count_distinct(value).alias("_d"),
+                                   F.max(F.col(value).isNull().cast("int")).alias("_null"))
+    order = [sort_key("_b", descending, nulls_first)] + (["_s"] if by_key else [])
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(c).alias("_o" + c) for c in place],
+                            F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
+                            F.coalesce(F.sum(F.col("_d") + F.col("_null")).over(before), F.lit(0)).alias("_dbefore"),
+                            F.sum("_c").over(Window.partitionBy()).alias("_all"))
+    same = t["_b"].eqNullSafe(offsets["_o_b"])
+    if by_key:
+        same = same & (t["_s"] == offsets["_o_s"])
+    inside = Window.partitionBy("_b", "_s").orderBy(sort_key(value, descending, nulls_first),
+                                                    *([F.col(tie_break).asc()] if tie_break else []))
+    made = {"rank": lambda: F.col("_before") + F.rank().over(inside),
+            "dense": lambda: (F.col("_dbefore") + F.dense_rank().over(inside)).cast("int"),
+            "row": lambda: (F.col("_before") + F.row_number().over(inside)).cast("int"),
+            "n": lambda: F.col("_all")}
+    return (t.join(F.broadcast(offsets), same).withColumns({name: made[kind]() for name, kind in out.items()})
+            .select(*df.columns, *out))
+
+
+def _numeric(df: DataFrame, name: str) -> bool:
+    return df.schema[name].dataType.typeName().split("(")[0] in (
+        "byte", "short", "integer", "long", "float", "double", "decimal")
+
+
+def row_numbers(df: DataFrame, value: str, tie_break: str, out: str, total: str | None = None,
+                descending: bool = False) -> DataFrame:
+    """ROW_NUMBER by ``value``, then ``tie_break`` (a unique key) ascending; optionally the row
+    count. Equal values are split by ranges of a numeric key; with a text key the rows of one
+    value are ordered together."""
+    return _ranked(df, value, {out: "row"} | ({total: "n"} if total else {}), descending, not descending, tie_break)
+
+
+def ntiles(df: DataFrame, k: int, value: str, tie_break: str, out: str, descending: bool = False) -> DataFrame:
+    r = row_numbers(df, value, tie_break, "_rn", "_n", descending)
+    return r.withColumn(out, ntile_of(F.col("_rn"), F.col("_n"), k)).drop("_rn", "_n")
+
+
+def dense_ranks(df: DataFrame, value: str, out: str, descending: bool = False) -> DataFrame:
+    """DENSE_RANK by ``value``; NULLs first ascending and last descending."""
+    return _ranked(df, value, {out: "dense"}, descending, not descending)
+
+
+def percent_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """PERCENT_RANK by ``value`` ascending, NULLs first: (rank - 1) / (n - 1)."""
+    r = _ranked(df, value, {"_r": "rank", "_n": "n"}, False, True)
+    pr = F.when(F.col("_n") > 1, (F.col("_r") - 1).cast("double") / (F.col("_n") - 1).cast("double")).otherwise(F.lit(0.0))
+    return r.withColumn(out, pr).drop("_r", "_n")

@@ -3,10 +3,9 @@ segments, sigma bands, z-scores and correlation.
 
 Whole-set operations (ranks, totals, network means) are applied only to *aggregated entity
 tables* -- one row per family, store, cluster x family, month, date or day group -- never
-to the fact table or the store-day layer. Each takes ``large``: False (the table is proven
-small: one ordered window pass) or True (the table is written once and ranked in parallel
-range partitions with broadcast offsets, totals come from a global aggregate), so no single
-task ever holds a large entity table. Both paths give identical results.
+to the fact table or the store-day layer. Totals, means and sums of squares are scalar
+aggregates; ranks go by quantile buckets (``ranking``), so no task holds an entity table. An
+operator that reads its table more than once writes it first (``settled``).
 """
 
 from __future__ import annotations
@@ -16,7 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import dbl, dec_lit, exact_mean, money_out, nullif0, rnd
 from ..sources.sink import write_table
-from .ranking import dense_ranks, ntiles, percent_ranks, row_numbers, sort_key
+from .ranking import dense_ranks, ntiles, percent_ranks, row_numbers
+
+
+def settled(entity: DataFrame) -> DataFrame:
+    """The entity table written once, so that every read of it sees the same rows and values."""
+    return write_table(entity, entity.sparkSession, "entity")
 
 
 def over_all() -> Window:
@@ -35,11 +39,8 @@ def share_of_total(value: str, partition_by=()) -> Column:
     return F.lit(100.0) * dbl(value) / nullif0(dbl(F.sum(value).over(w)))
 
 
-def with_share_of_total(df: DataFrame, value: str, out: str, large: bool = False) -> DataFrame:
+def with_share_of_total(df: DataFrame, value: str, out: str) -> DataFrame:
     """Add ``out`` = 100 * value / SUM(value) over the whole entity table."""
-    if not large:
-        return df.withColumn(out, share_of_total(value))
-    df = write_table(df, df.sparkSession, "entity")
     total = df.agg(F.sum(value)).scalar()
     return df.withColumn(out, F.lit(100.0) * dbl(value) / nullif0(dbl(total)))
 
@@ -49,102 +50,74 @@ def affinity_index(segment_share: Column, overall_share: Column) -> Column:
     return segment_share / nullif0(overall_share)
 
 
-def percentile_rank(*order: Column) -> Column:
-    """PERCENT_RANK over the entity table."""
-    return F.percent_rank().over(Window.orderBy(*order))
-
-
-def rank_percentiles(df: DataFrame, cols: dict, large: bool = False) -> DataFrame:
-    """Add one PERCENT_RANK column per entry {out: order column}, ascending with NULLs first
-    (as the source dialect orders)."""
-    if not large:
-        return df.withColumns({out: percentile_rank(F.col(c).asc_nulls_first()) for out, c in cols.items()})
-    for out, c in cols.items():
-        df = percent_ranks(df, c, out, descending=False, nulls_first=True)
-    return df
-
-
 def dense_rank_desc(value: str) -> Column:
+    """DENSE_RANK of a calendar-sized table (day groups) in one window."""
     return F.dense_rank().over(Window.orderBy(F.col(value).desc()))
 
 
-def with_dense_rank_desc(df: DataFrame, value: str, out: str, large: bool = False) -> DataFrame:
-    """DENSE_RANK by ``value`` descending (NULLs last)."""
-    if not large:
-        return df.withColumn(out, dense_rank_desc(value))
-    return dense_ranks(df, value, out, descending=True)
-
-
 def quantile_segment(n: int, *order: Column) -> Column:
-    """NTILE(n) over a total order (pass a key as the last tie-breaker so equal values are
-    split the same way every run)."""
+    """NTILE(n) of a calendar-sized table (months) in one window, over a total order."""
     return F.ntile(n).over(Window.orderBy(*order))
 
 
-def quantile_segments(df: DataFrame, n: int, specs: dict, tie_break: str, large: bool = False) -> DataFrame:
-    """Add NTILE(n) columns {out: (value, descending)}; NULL values sort first ascending and
-    last descending; ``tie_break`` (a unique key) orders equal values."""
-    if not large:
-        return df.withColumns({out: quantile_segment(n, sort_key(v, desc), F.col(tie_break).asc())
-                               for out, (v, desc) in specs.items()})
-    for out, (v, desc) in specs.items():
-        df = ntiles(df, n, [sort_key(v, desc), F.col(tie_break).asc()], out)
+def rank_percentiles(df: DataFrame, cols: dict) -> DataFrame:
+    """Add one PERCENT_RANK column per entry {out: order column} of a settled table, ascending
+    with NULLs first (as the source dialect orders)."""
+    for out, c in cols.items():
+        df = percent_ranks(df, c, out)
     return df
 
 
-def _ranked_desc(entity_totals: DataFrame, value: str, key: str, large: bool) -> DataFrame:
-    """_v, _rn (ROW_NUMBER by value descending, key ascending on ties), _n and _total."""
-    if not large:
-        return entity_totals.select(
-            F.col(value).alias("_v"),
-            F.row_number().over(Window.orderBy(F.col(value).desc(), F.col(key).asc())).alias("_rn"),
-            F.count(F.lit(1)).over(over_all()).alias("_n"),
-            F.sum(value).over(over_all()).alias("_total"))
-    r = row_numbers(entity_totals.select(F.col(value).alias("_v"), F.col(key).alias("_k")),
-                    [sort_key("_v", True), F.col("_k").asc()], "_rn", total="_n")
-    return r.withColumn("_total", r.agg(F.sum("_v")).scalar()).drop("_k")
+def with_dense_rank_desc(df: DataFrame, value: str, out: str) -> DataFrame:
+    """DENSE_RANK by ``value`` descending (NULLs last) of a settled table."""
+    return dense_ranks(df, value, out, descending=True)
+
+
+def quantile_segments(df: DataFrame, n: int, specs: dict, tie_break: str) -> DataFrame:
+    """Add NTILE(n) columns {out: (value, descending)} to a settled table; NULL values sort first
+    ascending and last descending; ``tie_break`` (a unique key) orders equal values."""
+    for out, (v, desc) in specs.items():
+        df = ntiles(df, n, v, tie_break, out, desc)
+    return df
 
 
 def concentration(entity_totals: DataFrame, value: str, label: str, key: str,
-                  top_frac: float = 0.20, large: bool = False) -> DataFrame:
+                  top_frac: float = 0.20) -> DataFrame:
     """One row: entity_type, entity_count, hhi (sum of squared shares, 0-1 scale),
     top_1_share_pct, top_20pct_share_pct (share of the ceil(n * top_frac) largest).
-    ``entity_totals`` has one row per ``key``."""
-    ranked = _ranked_desc(entity_totals, value, key, large)
-    share = dbl("_v") / nullif0(dbl("_total"))
+    ``entity_totals`` (settled) has one row per ``key``."""
+    total = dbl(entity_totals.agg(F.sum(value)).scalar())
+    ranked = row_numbers(entity_totals.select(F.col(value).alias("_v"), F.col(key).alias("_k")), "_v", "_k", "_rn",
+                         "_n", descending=True)
+    share = dbl("_v") / nullif0(total)
     in_top = F.col("_rn") <= F.ceil(F.col("_n") * dec_lit(top_frac))
-    tot = nullif0(dbl(F.max("_total")))
     return ranked.agg(
         F.lit(label).alias("entity_type"),
         F.max("_n").alias("entity_count"),
         rnd(F.sum(share * share), 4).alias("hhi"),
-        rnd(dbl(F.max("_v")) / tot * 100, 2).alias("top_1_share_pct"),
-        rnd(dbl(F.sum(F.when(in_top, F.col("_v")).otherwise(F.lit(0)))) / tot * 100, 2)
+        rnd(dbl(F.max("_v")) / nullif0(F.max(total)) * 100, 2).alias("top_1_share_pct"),
+        rnd(dbl(F.sum(F.when(in_top, F.col("_v")).otherwise(F.lit(0)))) / nullif0(F.max(total)) * 100, 2)
          .alias("top_20pct_share_pct"))
 
 
-def top_n_share(entity_totals: DataFrame, value: str, n: int, key: str, large: bool = False) -> DataFrame:
-    """One row: entity_count, top_n, top_n_revenue (exact), top_n_share_pct."""
-    ranked = _ranked_desc(entity_totals, value, key, large)
-    top = F.sum(F.when(F.col("_rn") <= n, F.col("_v")).otherwise(F.lit(0)))
-    return ranked.agg(
-        F.count(F.lit(1)).alias("entity_count"),
+def top_n_share(entity_totals: DataFrame, value: str, n: int, key: str) -> DataFrame:
+    """One row: entity_count, top_n, top_n_revenue (exact), top_n_share_pct. The n largest are a
+    distributed top-n; count and total are one aggregate."""
+    best = entity_totals.orderBy(F.col(value).desc(), F.col(key).asc()).limit(n)
+    whole = entity_totals.agg(F.struct(F.count(F.lit(1)).alias("c"), F.sum(value).alias("s"))).scalar()
+    top = F.coalesce(F.sum(value), F.lit(0))
+    return best.agg(
+        F.max(whole.getField("c")).alias("entity_count"),
         F.lit(n).alias("top_n"),
         money_out(top).alias("top_n_revenue"),
-        rnd(F.lit(100.0) * dbl(top) / nullif0(dbl(F.sum("_v"))), 2).alias("top_n_share_pct"))
+        rnd(F.lit(100.0) * dbl(top) / nullif0(dbl(F.max(whole.getField("s")))), 2).alias("top_n_share_pct"))
 
 
-def sigma_band(df: DataFrame, cols, k: float = 1.0, large: bool = False) -> DataFrame:
+def sigma_band(df: DataFrame, cols, k: float = 1.0) -> DataFrame:
     """Add _avg_<c> and _lo_<c> = mean - k * population sd of each column, over the whole
-    (entity-level) table."""
-    if not large:
-        df = df.withColumns({"_avg_" + c: F.avg(c).over(over_all()) for c in cols}
-                            | {"_sd_" + c: F.stddev_pop(c).over(over_all()) for c in cols})
-        return df.withColumns({"_lo_" + c: F.col("_avg_" + c) - F.lit(k) * F.col("_sd_" + c)
-                               for c in cols}).drop(*["_sd_" + c for c in cols])
-    df = write_table(df, df.sparkSession, "entity")
+    (entity-level) table: one aggregate used as a scalar."""
     stats = df.agg(F.struct(*[F.avg(c).alias("m_" + c) for c in cols],
-                            *[F.stddev_pop(c).alias("s_" + c) for c in cols]).alias("s")).scalar()
+                            *[F.stddev_pop(c).alias("s_" + c) for c in cols])).scalar()
     return df.withColumns({"_avg_" + c: stats.getField("m_" + c) for c in cols}
                           | {"_lo_" + c: stats.getField("m_" + c) - F.lit(k) * stats.getField("s_" + c)
                              for c in cols})
@@ -154,9 +127,8 @@ def zscore_outliers(df: DataFrame, value: str, threshold: float = 2.0, out: str
                     keep_all: bool = False) -> DataFrame:
     """z = (value - mean) / population sd over the whole (entity-level) table; NULL for a
     zero sd. Keeps rows with |z| >= threshold unless ``keep_all``."""
-    mean = F.sum(value).over(over_all()).cast("double") / F.count(value).over(over_all())
-    sd = F.stddev_pop(dbl(value)).over(over_all())
-    df = df.withColumn(out, (dbl(value) - mean) / nullif0(sd))
+    s = df.agg(F.struct(exact_mean(value).alias("m"), F.stddev_pop(dbl(value)).alias("sd"))).scalar()
+    df = df.withColumn(out, (dbl(value) - s.getField("m")) / nullif0(s.getField("sd")))
     return df if keep_all else df.filter(F.abs(F.col(out)) >= threshold)
 
 

@@ -39,7 +39,12 @@ def test_store_risk_prunes_the_scan(L):
     df = QUERIES["q11_store_risk"](L)
     text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     pushed = [line for line in text.splitlines() if line.startswith("PushedFilters")]
-    assert any("GreaterThanOrEqual(date," in p and "GreaterThanOrEqual(month_start," in p for p in pushed)
+    assert any("GreaterThanOrEqual(date," in p for p in pushed)
+    # whole month folders are skipped, and what is left holds only the window's months
+    assert "PartitionFilters: [isnotnull(month_start" in text
+    first = L.last_date().replace(day=1)
+    months = {r[0] for r in L.context.select("month_start").distinct().collect()}
+    assert len(months) > 12 and sum(m >= first.replace(year=first.year - 1) for m in months) < len(months) / 2
 
 
 def test_column_pruning_on_layer(L):
@@ -80,7 +85,7 @@ def test_layer_build_shuffles_fact_once_and_broadcasts_dimensions(spark, L):
 def test_monthly_layout_prunes_folders_and_keeps_results(spark, L):
     import dataclasses
     from demandlens.plans.storeday import build_layer
-    M = build_layer(L.model, spark, materialise=True, layout="monthly")
+    M, L = L, build_layer(L.model, spark, materialise=True, layout="sorted")
     assert M.context.columns == L.context.columns
     for name in ("q11_store_risk", "x3_comparable_ytd", "q13_holiday_lift", "q03_monthly_kpi"):
         a = sorted(map(tuple, QUERIES[name](L).collect()), key=str)
@@ -128,29 +133,63 @@ def test_large_transactions_join_reuses_the_fact_partitioning(spark, L):
                if ln.startswith("Arguments: hashpartitioning(date#") and "store_nbr" in ln) == 2
 
 
-def test_incremental_refresh_equals_full_build(spark, L):
-    """Build a monthly layer on the facts before a cut-off, refresh it from the cut-off month
-    on with the full facts: the result equals a full build."""
-    from demandlens.plans.storeday import build_layer, refresh_layer
+def _same(a, b):
+    return a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def _model(m, **changed):
     from demandlens.sources.model import Model
+    tables = {"stores": m.stores, "train": m.train, "transactions": m.transactions, "holidays": m.holidays, "oil": m.oil}
+    return Model(**(tables | changed), materialise=False)
+
+
+def _cases(m, last):
     from pyspark.sql import functions as F
-    m = L.model
-    last = L.last_date()
     cut = last.replace(day=1).replace(year=last.year - 1)
-    old = Model(stores=m.stores, train=m.train.filter(F.col("date") < cut),
-                transactions=m.transactions.filter(F.col("date") < cut),
-                holidays=m.holidays, oil=m.oil.filter(F.col("date") < cut), materialise=False)
-    stale = build_layer(old, spark, layout="monthly")
-    fresh = refresh_layer(stale, m, cut)
-    full = build_layer(m, spark, layout="monthly").context
-    assert fresh.context.count() == full.count()
-    assert fresh.context.exceptAll(full).count() == 0 and full.exceptAll(fresh.context).count() == 0
+    month = last.replace(day=1)
+    early = m.holidays.agg(F.min("date")).first()[0]
+    before = lambda df, d: df.filter(F.col("date") < d)
+    return {
+        "new months": (_model(m, train=before(m.train, cut), transactions=before(m.transactions, cut), oil=before(m.oil, cut)),
+                       m, cut),
+        "late rows of an old month": (_model(m, train=m.train.filter((F.col("date") < cut) | (F.col("store_nbr") % 2 == 0))),
+                                      m, cut),
+        "a month that lost all rows": (m, _model(m, train=before(m.train, month)), month),
+        "a corrected event": (m, _model(m, holidays=m.holidays.withColumn(
+            "type", F.when(F.col("date") == F.lit(early), F.lit("Event")).otherwise(F.col("type")))), month),
+        "a corrected price": (_model(m, oil=m.oil.withColumn("dcoilwtico", F.when(
+            F.col("date") > F.lit(cut), F.col("dcoilwtico")))), m, month),
+        "another store dimension": (m, _model(m, stores=m.stores.withColumn("city", F.lit("Elsewhere"))), month),
+    }
+
+
+@pytest.mark.parametrize("case", ["new months", "late rows of an old month", "a month that lost all rows",
+                                  "a corrected event", "a corrected price", "another store dimension"])
+def test_refresh_equals_full_build(spark, L, case):
+    from demandlens.plans.storeday import build_layer, refresh_layer
+    old, new, since = _cases(L.model, L.last_date())[case]
+    fresh = refresh_layer(build_layer(old, spark), new, since)
+    full = build_layer(new, spark)
+    assert _same(fresh.context, full.context)
+    assert fresh.last_date() == full.last_date()
 
 
 def test_refresh_refuses_a_flat_layer(spark, L):
-    from demandlens.plans.storeday import refresh_layer
+    from demandlens.plans.storeday import build_layer, refresh_layer
     with pytest.raises(ValueError):
-        refresh_layer(L, L.model, L.last_date())
+        refresh_layer(build_layer(L.model, spark, layout="sorted"), L.model, L.last_date())
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from demandlens.session import checkpoint_root
+
+    class Fake:
+        conf = {"spark.master": "spark://host:7077"}
+        sparkContext = type("C", (), {"getCheckpointDir": staticmethod(lambda: None)})
+    with pytest.raises(RuntimeError):
+        checkpoint_root(Fake)
+    Fake.conf = {"spark.master": "spark://host:7077", "spark.checkpoint.dir": "hdfs://shared/x/"}
+    assert checkpoint_root(Fake) == "hdfs://shared/x"
 
 
 def _single_partition_rows(df):
@@ -185,20 +224,3 @@ def test_no_single_partition_shuffle_of_fact_sized_data(L, name):
     assert L._entity_bound < L.context.count()
     for rows in _single_partition_rows(QUERIES[name](L)):
         assert rows <= 1.01 * L._entity_bound      # printed statistics keep 3 digits
-
-
-def test_bounded_broadcast_only_within_its_bound(spark):
-    from demandlens.operators.joins import bounded_broadcast, row_count_at_most
-    big = spark.range(2000).withColumnRenamed("id", "k")
-    small = spark.range(10).withColumnRenamed("id", "k")
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # no automatic broadcast
-        assert row_count_at_most(small, 10) and not row_count_at_most(small, 9)
-        hinted = big.join(bounded_broadcast(small, max_rows=100), "k")
-        plain = big.join(bounded_broadcast(small, max_rows=5), "k")
-        assert "BroadcastHashJoin" in plan_text(hinted)
-        assert "BroadcastHashJoin" not in plan_text(plain)
-        assert hinted.count() == plain.count() == 10
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
