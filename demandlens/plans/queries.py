@@ -19,7 +19,7 @@ from ..operators.classify import classify, rank_of
 from ..operators.events import (DESCRIPTION_SEPARATOR, MIXED_SCOPE, applicable_to_any,
                                 distinct_list, lift_vs_baseline, top_events)
 from ..operators.stats import (affinity_index, coefficient_of_variation, concentration,
-                               dense_rank_desc, over_all, quantile_segments, rank_percentiles,
+                               dense_rank_desc, quantile_segments, rank_percentiles, settled,
                                share_of_total, sigma_band, top_n_share, with_dense_rank_desc,
                                with_share_of_total, zscore_outliers)
 from ..operators.temporal import (asof_fill, lag_positional, period_growth, rolling_mean,
@@ -178,12 +178,11 @@ def q05_seasonality(L: Layer) -> DataFrame:
 # ---------------------------------------------------------------- section 3: portfolio
 def q06_portfolio_roles(L: Layer, recent_months: int = 6, complete_months_only: bool = False) -> DataFrame:
     train = _through_complete_month(L.train) if complete_months_only else L.train
-    large = L.large("families")
     fm = train.groupBy(month_start("date").alias("month_start"), "family").agg(
         F.sum("sales").alias("monthly_revenue"))
-    # latest month: a window over the (families x months) table, or a scalar when it is large
-    last = F.trunc(train.agg(F.max("date")).scalar(), "MM") if large else F.max("month_start").over(over_all())
-    fm = fm.withColumn("_max", last)
+    # latest month: a scalar; the layer knows the facts' last date unless they are cut
+    last = train.agg(F.max("date")).scalar()
+    fm = fm.withColumn("_max", F.trunc(last, "MM"))
     recent, prior = trailing_compare("monthly_revenue", "month_start", F.col("_max"),
                                      recent_months, "month")
     fam = fm.groupBy("family").agg(
@@ -191,9 +190,10 @@ def q06_portfolio_roles(L: Layer, recent_months: int = 6, complete_months_only:
         rnd(coefficient_of_variation("monthly_revenue"), 3).alias("revenue_cv"),
         recent.alias("_recent"), prior.alias("_prior"))
     fam = fam.withColumn("recent_6m_growth_pct", rnd(pct_change("_recent", "_prior"), 2))
+    fam = settled(fam)
+    fam = with_share_of_total(fam, "_total", "_share")
     fam = rank_percentiles(fam, {"_rev_pr": "_total", "_cv_pr": "revenue_cv",
-                                 "_g_pr": "recent_6m_growth_pct"}, large)   # rounded inputs (T7)
-    fam = with_share_of_total(fam, "_total", "_share", large)
+                                 "_g_pr": "recent_6m_growth_pct"})   # rounded inputs (T7)
     rp, cp, gp = F.col("_rev_pr"), F.col("_cv_pr"), F.col("_g_pr")
     role = classify([((rp >= 0.80) & (cp <= 0.50) & (gp >= 0.80), PORTFOLIO_ROLES[0]),
                      ((rp >= 0.80) & (cp <= 0.30), PORTFOLIO_ROLES[1]),
@@ -235,10 +235,10 @@ def _family_revenue(L: Layer) -> DataFrame:
 
 
 def q08_concentration(L: Layer, top_frac: float = 0.20) -> DataFrame:
-    return (concentration(_store_revenue(L), "revenue", CONCENTRATION_LABELS[0], "store_nbr", top_frac,
-                          large=L.large("stores"))
-            .unionByName(concentration(_family_revenue(L), "revenue", CONCENTRATION_LABELS[1], "family",
-                                       top_frac, large=L.large("families")))
+    sf = settled(_store_family_revenue(L))
+    stores, families = (settled(sf.groupBy(k).agg(F.sum("revenue").alias("revenue"))) for k in ("store_nbr", "family"))
+    return (concentration(stores, "revenue", CONCENTRATION_LABELS[0], "store_nbr", top_frac)
+            .unionByName(concentration(families, "revenue", CONCENTRATION_LABELS[1], "family", top_frac))
             .orderBy(rank_of(F.col("entity_type"), list(CONCENTRATION_LABELS))))
 
 
@@ -253,7 +253,7 @@ def q09_cluster_index(L: Layer, over: float = 1.20, under: float = 0.80) -> Data
           .groupBy("cluster", "family").agg(F.sum("revenue").alias("revenue"))
           .withColumn("_cs", share_of_total("revenue", ["cluster"])))
     ns = with_share_of_total(sf.groupBy("family").agg(F.sum("revenue").alias("_fam_total")),
-                             "_fam_total", "_ns", large=L.large("families"))
+                             "_fam_total", "_ns")
     j = cf.join(ns, "family")
     idx = affinity_index(F.col("_cs"), F.col("_ns"))
     pos = classify([(idx >= over, POSITIONING[0]), (idx <= under, POSITIONING[1])], POSITIONING[2])
@@ -265,10 +265,9 @@ def q09_cluster_index(L: Layer, over: float = 1.20, under: float = 0.80) -> Data
 
 # ---------------------------------------------------------------- section 4: stores
 def q10_store_scorecard(L: Layer) -> DataFrame:
-    large = L.large("stores")
-    s = scorecard(L.context)
-    s = with_dense_rank_desc(s, "_revenue", "revenue_rank", large)          # on unrounded values
-    s = with_dense_rank_desc(s, "_sales_per_transaction", "basket_rank", large)
+    s = settled(scorecard(L.context))
+    s = with_dense_rank_desc(s, "_revenue", "revenue_rank")          # on unrounded values
+    s = with_dense_rank_desc(s, "_sales_per_transaction", "basket_rank")
     return (s.select(
         "store_nbr", "city", "state", "store_type", "cluster",
         money_out("_revenue").alias("total_revenue"),
@@ -302,7 +301,7 @@ def q11_store_risk(L: Layer, days: int = 90, k: float = 1.0) -> DataFrame:
         "basket_growth_pct": rnd(pct_change("_r_spt", "_p_spt"), 2)})
     cols = ["revenue_growth_pct", "transaction_growth_pct", "basket_growth_pct"]
     # network mean and mean - k*sd of the rounded growths (T7), over stores
-    b = sigma_band(sg, cols, k, large=L.large("stores"))
+    b = sigma_band(sg, cols, k)
     rev_lo, tx_lo, bk_lo = [F.col(c) < F.col("_lo_" + c) for c in cols]
     healthy = ((F.col("revenue_growth_pct") >= F.col("_avg_revenue_growth_pct"))
                & (F.col("transaction_growth_pct") >= F.col("_avg_transaction_growth_pct")))
@@ -317,9 +316,9 @@ def q11_store_risk(L: Layer, days: int = 90, k: float = 1.0) -> DataFrame:
 def q12_store_archetypes(L: Layer) -> DataFrame:
     s = period_kpi(L.context, ["store_nbr", "city", "state", "cluster"], ["revenue", "transactions"],
                    prefix="_")
-    s = s.withColumn("_spt", safe_div("_revenue", "_transactions"))
+    s = settled(s.withColumn("_spt", safe_div("_revenue", "_transactions")))
     s = quantile_segments(s, 4, {"revenue_quartile": ("_revenue", True),
-                                 "basket_quartile": ("_spt", True)}, "store_nbr", large=L.large("stores"))
+                                 "basket_quartile": ("_spt", True)}, "store_nbr")
     r, b = F.col("revenue_quartile"), F.col("basket_quartile")
     arche = classify([((r == 1) & (b == 1), ARCHETYPES[0]), ((r == 1) & (b >= 2), ARCHETYPES[1]),
                       (r.isin(2, 3) & (b == 1), ARCHETYPES[2]), ((r == 4) & (b == 4), ARCHETYPES[3])],
@@ -430,16 +429,19 @@ def q16_network_anomalies(L: Layer, threshold: float = 2.0) -> DataFrame:
 
 # ---------------------------------------------------------------- headline checks X1-X5
 def x1_coverage_span(L: Layer) -> DataFrame:
-    return L.train.agg(
-        F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+    # distinct counts over the (store, family) aggregate: no fact row is expanded
+    sf = L.train.groupBy("store_nbr", "family").agg(
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count(F.lit(1)).alias("fact_rows"))
+    return sf.agg(
+        F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"),
         F.count_distinct("store_nbr").alias("stores"), F.count_distinct("family").alias("families"),
-        F.count(F.lit(1)).alias("fact_rows"))
+        F.coalesce(F.sum("fact_rows"), F.lit(0)).alias("fact_rows"))
 
 
 def x2_top_n_share(L: Layer, top_families: int = 5, top_stores: int = 10) -> DataFrame:
-    s = top_n_share(_store_revenue(L), "revenue", top_stores, "store_nbr", L.large("stores")).select(
+    s = top_n_share(_store_revenue(L), "revenue", top_stores, "store_nbr").select(
         F.lit(CONCENTRATION_LABELS[0]).alias("entity_type"), "*")
-    f = top_n_share(_family_revenue(L), "revenue", top_families, "family", L.large("families")).select(
+    f = top_n_share(_family_revenue(L), "revenue", top_families, "family").select(
         F.lit(CONCENTRATION_LABELS[1]).alias("entity_type"), "*")
     return s.unionByName(f).orderBy(rank_of(F.col("entity_type"), list(CONCENTRATION_LABELS)))
 

@@ -26,7 +26,6 @@ from ..functions.numeric import pct_rounded_decimal, safe_div
 from ..operators.aggregates import entity_day_rollup
 from ..operators.events import SCOPES, applicable_events, attribute_events, collapse_events
 from ..operators.joins import enrich_with_flag
-from ..operators.ranking import LOCAL_RANK_LIMIT
 from ..operators.temporal import forward_fill
 from ..sources.sink import write_table
 from ..sources.model import Model
@@ -38,6 +37,7 @@ METRIC_COLUMNS = ["date", "month_start", "year_num", "month_num", "month_name",
 ENRICHED_COLUMNS = METRIC_COLUMNS + ["transactions", "missing_transactions_flag", "oil_price",
                                      "missing_oil_flag", "promo_family_mix_pct",
                                      "sales_per_transaction"]
+MONTH_TASKS = 4         # tasks that write one month's folder
 CONTEXT_COLUMNS = ENRICHED_COLUMNS + ["is_special_day", "is_holiday", "holiday_scope",
                                       "event_type_list", "event_description_list"]
 
@@ -84,14 +84,6 @@ def store_holiday_map(store_days: DataFrame, holidays: DataFrame, collation: str
     return attribute_events(applicable_events(holidays), store_days, SCOPES, collation=collation)
 
 
-def entity_dims(train: DataFrame) -> dict:
-    """Approximate number of stores and families (HyperLogLog, ~5 %): only used to choose
-    between the one-task and the partitioned path of whole-table ranks, never in a result."""
-    r = train.agg(F.approx_count_distinct("store_nbr").alias("stores"),
-                  F.approx_count_distinct("family").alias("families")).first()
-    return {"stores": int(r["stores"]), "families": int(r["families"])}
-
-
 @dataclass
 class Layer:
     """Materialised inputs of the queries: the model tables and the store-day context."""
@@ -100,8 +92,7 @@ class Layer:
     context: DataFrame
     events: DataFrame          # applicable events (small calendar table)
     collation: str | None = None   # how locale names match store locations (None = binary)
-    dims: dict | None = None       # entity cardinalities (see entity_dims), computed on demand
-    force_large: bool = False      # take the partitioned path for every entity table (tests)
+    layout: str | None = None      # how the context was written (None: not written)
     _cache: dict = field(default_factory=dict, repr=False)
 
     def last_date(self):
@@ -110,16 +101,6 @@ class Layer:
             self._cache["last_date"] = self.context.agg(F.max("date").alias("d")).first()["d"]
         return self._cache["last_date"]
 
-    def large(self, entity: str) -> bool:
-        """Whether whole-table ranks over ``entity`` ('stores', 'families') must avoid a
-        single ordered task."""
-        if self.force_large:
-            return True
-        if self.dims is None:
-            self.dims = entity_dims(self.model.train)
-        limit = int(self.spark.conf.get("spark.demandlens.localRankLimit", str(LOCAL_RANK_LIMIT)))
-        return self.dims[entity] > limit
-
     @property
     def stores(self) -> DataFrame:
         return self.model.stores
@@ -144,65 +125,67 @@ def materialise_model(model: Model, spark: SparkSession) -> Model:
                  materialise=False)
 
 
-def _write_context(ctx: DataFrame, spark: SparkSession, layout: str, path: str | None = None,
-                   replace_partitions: bool = False) -> DataFrame:
+def _write_context(ctx: DataFrame, spark: SparkSession, layout: str) -> DataFrame:
     if layout == "monthly":
-        # one folder per month; (date, store_nbr) is unique in the layer, so the range
-        # partitions are balanced even when one store or one day is hot
-        return write_table(ctx, spark, "store_day_context", sort_by=("date", "store_nbr"),
-                           partition_col="month_start", range_by=("date", "store_nbr"),
-                           path=path, replace_partitions=replace_partitions)
+        # one folder a month, written by MONTH_TASKS tasks: (date, store_nbr) is unique in the
+        # layer, so its hash deals a month evenly even when one store or one day is hot
+        deal = F.pmod(F.xxhash64("date", "store_nbr"), F.lit(MONTH_TASKS))
+        return write_table(ctx, spark, "store_day_context", sort_by=("month_start", "date", "store_nbr"),
+                           partition_col="month_start", deal_by=("month_start", deal))
     if layout == "sorted":
         return write_table(ctx, spark, "store_day_context", sort_by=("date", "store_nbr"))
     raise ValueError(layout)
 
 
-def _context_path(ctx: DataFrame) -> str:
-    """The folder a written layer was read from (the common parent of its month folders)."""
-    files = ctx.inputFiles()
-    root = files[0].rsplit("/", 1)[0]
-    return root.rsplit("/", 1)[0] if "/month_start=" in files[0] else root
+def _first_difference(old: DataFrame, new: DataFrame):
+    """Earliest date of a row that only one of two tables holds (duplicates count), or None."""
+    cols = old.columns
+    side = lambda df, n: df.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).select(
+        *cols, (F.lit(n) * F.col("_n")).alias("_n"))
+    both = side(old, 1).unionByName(side(new, -1)).groupBy(*cols).agg(F.sum("_n").alias("_n"))
+    return both.filter(F.col("_n") != 0).agg(F.min("date")).first()[0]
 
 
 def refresh_layer(layer: Layer, model: Model, since) -> Layer:
-    """Incremental refresh of a month-partitioned layer after new facts arrived: rebuild only
-    the months from ``since`` (a date) on and replace just those month folders; earlier
-    months are kept as written. The oil fill runs over the whole oil calendar (so a price
-    carried into the new days is right); transactions and facts are read for the rebuilt
-    months only (the date filter reaches the scans)."""
-    spark = layer.spark
-    files = layer.context.inputFiles()
-    if files and "/month_start=" not in files[0]:
+    """Incremental refresh after new or corrected inputs: months from ``since`` (a date) on are
+    rebuilt, and earlier ones from the first month on in which events, filled oil prices or
+    transactions differ from those the layer was built on. Months before that are read as
+    written; rebuilt ones, also those that lost all rows, come from the new inputs alone.
+    Facts changed before ``since`` must be named by ``since``; a changed store dimension rebuilds
+    everything. The layer must have been built with layout='monthly'."""
+    if layer.layout != "monthly":
         raise ValueError("refresh_layer needs a layer built with layout='monthly'")
-    first = F.trunc(F.lit(since), "MM")
+    spark, old = layer.spark, layer.model
     if model.materialise:
         model = materialise_model(model, spark)
-    train = model.train.filter(F.col("date") >= first)
+    same_stores = (model.stores.exceptAll(old.stores).isEmpty() and old.stores.exceptAll(model.stores).isEmpty())
+    if not same_stores:
+        return build_layer(model, spark, collation=layer.collation, layout="monthly")
+    changed = [d for d in (_first_difference(old.holidays, model.holidays),
+                           _first_difference(oil_prices_filled(old.oil), oil_prices_filled(model.oil)),
+                           _first_difference(old.transactions, model.transactions)) if d is not None]
+    first = min([since, *changed]).replace(day=1)
+    metrics = store_day_metrics(model.train.filter(F.col("date") >= first), model.stores)
     tx = model.transactions.filter(F.col("date") >= first)
-    metrics = store_day_metrics(train, model.stores)
     enriched = store_day_enriched(metrics, tx, oil_prices_filled(model.oil))
-    ctx = store_day_context(enriched, model.holidays, layer.collation)
-    ctx = _write_context(ctx, spark, "monthly", path=_context_path(layer.context), replace_partitions=True)
-    return Layer(spark=spark, model=model, context=ctx, events=applicable_events(model.holidays),
-                 collation=layer.collation)
+    fresh = _write_context(store_day_context(enriched, model.holidays, layer.collation), spark, "monthly")
+    kept = layer.context.filter(F.col("month_start") < F.lit(first))
+    return Layer(spark=spark, model=model, context=kept.unionByName(fresh), events=applicable_events(model.holidays),
+                 collation=layer.collation, layout="monthly")
 
 
 def build_layer(model: Model, spark: SparkSession, materialise: bool = True,
-                collation: str | None = None, layout: str = "sorted") -> Layer:
+                collation: str | None = None, layout: str = "monthly") -> Layer:
     """Build the store-day layer. ``materialise`` writes the layer (and the model tables, when
     the model says they are derived or parsed from text) under the checkpoint folder.
-    ``layout``: 'sorted' (files sorted by date: row-group skipping) or 'monthly' (one folder
-    per month as well: whole months skipped by queries over a date window)."""
+    ``layout``: 'monthly' (one folder a month: queries over a date window read only its months)
+    or 'sorted' (rows sorted by date within files, no folders)."""
     if materialise and model.materialise:
         model = materialise_model(model, spark)
     metrics = store_day_metrics(model.train, model.stores)
     enriched = store_day_enriched(metrics, model.transactions, oil_prices_filled(model.oil))
     ctx = store_day_context(enriched, model.holidays, collation)
-    dims = None
     if materialise:
-        with ThreadPoolExecutor(max_workers=2) as pool:
-            f_ctx = pool.submit(_write_context, ctx, spark, layout)
-            f_dims = pool.submit(entity_dims, model.train)
-            ctx, dims = f_ctx.result(), f_dims.result()
+        ctx = _write_context(ctx, spark, layout)
     return Layer(spark=spark, model=model, context=ctx, events=applicable_events(model.holidays),
-                 collation=collation, dims=dims)
+                 collation=collation, layout=layout if materialise else None)

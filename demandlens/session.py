@@ -78,14 +78,17 @@ def app_id(spark: SparkSession) -> str:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when nothing is configured (local tests) a private
-    scratch folder is created and registered, so executors never write machine-local
-    paths on a real cluster.
+    Read from the session. With a local master (tests) and nothing configured, a private
+    scratch folder is created and registered; on a cluster its executors would each write
+    their own disk, so there a missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
-    if not root:                # only in local tests: nothing is configured
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="demandlens-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

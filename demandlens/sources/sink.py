@@ -8,24 +8,19 @@ from ..session import scratch_path
 
 
 def write_table(df: DataFrame, spark: SparkSession, name: str, sort_by=(),
-                partition_col: str | None = None, range_by=(), path: str | None = None,
-                replace_partitions: bool = False) -> DataFrame:
+                partition_col: str | None = None, deal_by=()) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back: cuts the
     lineage (an executor lost later re-reads files instead of recomputing the plan) and
     gives later queries column pruning and row-group skipping on ``sort_by``.
 
     With ``partition_col`` the table is laid out in one folder per value (directory pruning);
-    ``range_by`` (a unique key) first range-partitions the rows so each task writes into few
-    folders and the file count stays near tasks + values. ``replace_partitions`` rewrites only
-    the folders present in ``df`` inside an existing ``path`` (incremental refresh)."""
-    path = path or scratch_path(spark, name)
-    w = df.repartitionByRange(*range_by) if range_by else df
+    ``deal_by`` (expressions) first deals the rows so that each folder has few files."""
+    path = scratch_path(spark, name)
+    w = df.repartition(*deal_by) if deal_by else df
     w = w.sortWithinPartitions(*sort_by) if sort_by else w
     writer = w.write.mode("overwrite")
     if partition_col:
         writer = writer.partitionBy(partition_col)
-        if replace_partitions:      # only the partition folders present in ``df`` are replaced
-            writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
     return read_table(spark, path, df.schema)
 
