@@ -31,12 +31,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ship(spark, 1000)
     return jaccard.representatives(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def drop_repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ship(spark, 1000)
     found = substring.remove(docs, keep=("lang", "source", "n_chars"))
     left = (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))
     length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))

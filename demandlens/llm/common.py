@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from demandlens.session import scratch_path
 
 
-def ship(spark: SparkSession) -> None:
-    """Let the executors import this library (once a SparkContext), as ``--py-files`` would."""
+def ship(spark: SparkSession, batch_rows: int = 5000) -> None:
+    """Let the executors import this library (once a SparkContext), as ``--py-files`` would, and
+    set how many rows Spark hands to a Python worker at once (texts may be long)."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     if getattr(sc, "_demandlens_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
@@ -49,9 +51,9 @@ def id_text(df: DataFrame) -> DataFrame:
 
 
 def text_key(text: str = "text") -> Column:
-    """128-bit key of a whole text (null: empty). With doc_id it names a row, so that rows
+    """64-bit key of a whole text (null: empty). With doc_id it names a row, so that rows
     that share a doc_id but not a text stay apart."""
-    return F.md5(F.coalesce(F.col(text), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

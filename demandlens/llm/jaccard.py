@@ -6,8 +6,9 @@
 2. Documents with the same set are one class. A class posts the other shingles of its prefix
    (size - needed overlap + 1 rarest). Classes that share a posted shingle are candidates if
    their sizes allow the threshold (length) and so do their places in both orders (positional).
-3. Candidates are made once a pair and checked against counts of the shingles in hash ranges, an
-   upper bound of the overlap (suffix filter); survivors are verified once, exactly, on the sets.
+   So do the counts of their shared shingles in hash ranges, an upper bound of the overlap
+   (suffix filter).
+3. Distinct candidate pairs are verified once, exactly, on the sets.
 4. Two classes that are already connected need no further link. So the first rounds only try
    neighbours in the posting lists, which connects groups of near copies with about as many
    links as members; the last round tries all candidates from different components. It finds
@@ -26,12 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, written
-from .exchange import answers, ask, pack_sorted, rows_of, unpack_sorted
+from .exchange import Block, answers, ask, blocks, pack_sorted, unpack_sorted
 from .graph import components
 from .substring import _cut
 from .wordhash import groups, mix, words
@@ -40,6 +40,7 @@ DEPTH, LOAD, SLICE = 2, 4, 1 << 22
 POSTINGS = 1 << 18          # about so many postings a bucket
 RANGES = 128                # hash ranges of the suffix filter
 ROUNDS, REACH = 2, 2        # rounds among neighbours, neighbours tried on each side
+ROW = "jaccard_row__"       # internal column; documents must not have it
 
 
 def needed(a, b, num: int, den: int):
@@ -94,9 +95,9 @@ def _add_sketches(bucket: int, asked: list[tuple[bytes, bytes]]) -> list[tuple[b
     return [(np.minimum(total[at], 255).astype(np.uint8).tobytes(), b"") for at in places]
 
 
-def _estimates(h: np.ndarray, width: int, path: str, part: int, stamp: int) -> np.ndarray:
+def _estimates(h: np.ndarray, width: int, path: str, block: Block) -> np.ndarray:
     """Estimated documents of each shingle (at most 255; the hash orders beyond that)."""
-    found, least = answers(path, part, stamp), np.full(len(h), 255, np.uint8)
+    found, least = answers(path, block), np.full(len(h), 255, np.uint8)
     for row, c in enumerate(_counters(h, width)):
         distinct, back = np.unique(c, return_inverse=True)
         counts = [np.frombuffer(found[row * _blocks(width) + k][0], np.uint8) for k, _ in _cut(distinct, SLICE)]
@@ -111,60 +112,58 @@ SETS_DDL = "row long, doc_id long, n long, sig long, prefix binary, place binary
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The rows, written, with doc_id and text first and a number (``row``) of their own last."""
+    """The rows, written, with doc_id and text first and a number of their own (``ROW``) last."""
     first = {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}
-    rest = [F.col(c) for c in docs.columns if c not in first and c != "row"]
-    return written(docs.select(*[v.alias(c) for c, v in first.items()], *rest, F.monotonically_increasing_id().alias("row")),
-                   "jaccard-docs")
+    rest = [F.col(c) for c in docs.columns if c not in first]
+    return written(docs.select(*[v.alias(c) for c, v in first.items()], *rest, F.monotonically_increasing_id().alias(ROW)),
+                   "jaccard-docs", compression="zstd")
 
 
 def sets(table: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Per row of a numbered table: size and signature of its set; the first of its class in a partition also
+    """Per row of a numbered table: size and signature of its set; the first of its class in a block also
     carries the posted prefix shingles, their places and all shingles estimated to be shared."""
-    parts = table.select("doc_id", "text", "row")
+    parts = table.select("doc_id", "text", ROW)
     total = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = max(1 << 16, LOAD * total // 6)         # about six bytes a word; only efficiency depends on it
-    path = ask(parts, lambda ids, texts, part: _sketch(shingles(texts, n)[1], width), _add_sketches, "jaccard-sketch")
+    path = ask(parts, lambda block: _sketch(shingles(block.texts, n)[1], width), _add_sketches, "jaccard-sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = list(batches)
-        ids, texts, stamp = rows_of(iter(own))
-        number = [r for batch in own for r in batch.column("row").to_pylist()]
-        if not texts:
-            return
-        doc, h = shingles(texts, n)
-        freq = _estimates(h, width, path, TaskContext.get().partitionId(), stamp)
-        cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-        rows, seen = [], set()
-        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-            size = b - a
-            if not size:
-                rows.append((number[i], ids[i], 0, None, None, None, None))
-                continue
-            own, f = h[a:b], freq[a:b]
-            sig = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
-            prefix = place = shared = None
-            common = np.flatnonzero(f > 1)
-            alone, bound = size - len(common), size - (-(-num * size // den)) + 1
-            if alone < bound and sig not in seen:
-                seen.add(sig)
-                order = common[np.lexsort((own[common], f[common]))][:bound - alone]
-                prefix, shared = own[order].tobytes(), own[common].tobytes()
-                place = np.arange(alone, alone + len(order), dtype=np.uint32).tobytes()
-            rows.append((number[i], ids[i], size, sig, prefix, place, shared))
-        for k in range(0, len(rows), 2000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 2000]), SETS.types)],
-                                             schema=SETS)
+        for block in blocks(batches):
+            doc, h = shingles(block.texts, n)
+            freq = _estimates(h, width, path, block)
+            cuts = np.searchsorted(doc, np.arange(len(block.texts) + 1))
+            rows, seen = [], set()
+            for r, i, a, b in zip(block.column(ROW).to_pylist(), block.ids, cuts[:-1].tolist(), cuts[1:].tolist()):
+                size = b - a
+                if not size:
+                    rows.append((r, i, 0, None, None, None, None))
+                    continue
+                own, f = h[a:b], freq[a:b]
+                sig = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+                prefix = place = shared = None
+                common = np.flatnonzero(f > 1)
+                alone, bound = size - len(common), size - (-(-num * size // den)) + 1
+                if alone < bound and sig not in seen:
+                    seen.add(sig)
+                    order = common[np.lexsort((own[common], f[common]))][:bound - alone]
+                    prefix, shared = own[order].tobytes(), own[common].tobytes()
+                    place = np.arange(alone, alone + len(order), dtype=np.uint32).tobytes()
+                rows.append((r, i, size, sig, prefix, place, shared))
+            for k in range(0, len(rows), 2000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 2000]), SETS.types)],
+                                                 schema=SETS)
 
     return written(parts.mapInArrow(run, SETS_DDL), "jaccard-sets")
 
 
-def _candidates(h, sig, size, place, alone, comp, num, den, round_: int | None) -> np.ndarray:
+def _candidates(h, of, place, classes, ranges, num, den, round_: int | None) -> np.ndarray:
     """Pairs (two columns) of one bucket that share a posted shingle, may reach the threshold and
-    are in different components; with a round, only neighbours in that round's order."""
-    key = mix(sig.view(np.uint64), round_ or 0) if round_ else sig.view(np.uint64)
-    order = np.lexsort((key, size, h)) if not round_ else np.lexsort((key, h))
-    h, sig, size, place, alone, comp = (x[order] for x in (h, sig, size, place, alone, comp))
+    are in different components; with a round, only neighbours in that round's order. Postings
+    are (shingle, class, place); classes have rows (sig, size, comp, alone) and range counts."""
+    key = mix(classes[of, 0].view(np.uint64), round_ or 0) if round_ else classes[of, 0].view(np.uint64)
+    order = np.lexsort((key, classes[of, 1], h)) if not round_ else np.lexsort((key, h))
+    h, of, place = h[order], of[order], place[order]
+    sig, size, comp, alone = (classes[of, k] for k in range(4))
     n, found = len(h), [np.zeros((0, 2), np.int64)]
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
@@ -173,6 +172,11 @@ def _candidates(h, sig, size, place, alone, comp, num, den, round_: int | None)
         # shared shingles before this one are posted ones of both; those after it are in both rests
         most = np.minimum(place[i] - alone[i], place[j] - alone[j]) + 1 + np.minimum(a - place[i], b - place[j]) - 1
         ok = (comp[i] != comp[j]) & (sig[i] != sig[j]) & (np.minimum(a, b) >= need) & (most >= need)
+        i, j, need = i[ok], j[ok], need[ok]
+        # suffix filter: what two sets share in each hash range is at most the smaller count
+        most = [np.minimum(ranges[of[i[k:k + 8192]]], ranges[of[j[k:k + 8192]]]).sum(axis=1, dtype=np.int64)
+                for k in range(0, len(i), 8192)]
+        ok = np.concatenate([np.zeros(0, np.int64), *most]) >= need
         x, y = sig[i[ok]], sig[j[ok]]
         if len(x):
             found.append(np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0))
@@ -206,61 +210,59 @@ def _pairs(classes: DataFrame, num: int, den: int, round_: int | None, buckets:
             prefix = [np.frombuffer(x, np.uint64) for x in batch.column("prefix").to_pylist()]
             if not prefix:
                 continue
-            k = np.fromiter(map(len, prefix), np.int64, len(prefix))
-            place = np.concatenate([np.frombuffer(x, np.uint32) for x in batch.column("place").to_pylist()]).astype(np.int64)
-            alone = np.repeat([np.frombuffer(x, np.uint32)[0] for x in batch.column("place").to_pylist()], k).astype(np.int64)
-            h = np.concatenate(prefix)
-            per = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), k) for c in ("sig", "n", "comp")]
+            places = [np.frombuffer(x, np.uint32) for x in batch.column("place").to_pylist()]
+            alone = np.array([p[0] for p in places], np.int64)
+            table = np.column_stack([*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "n", "comp")), alone])
+            ranges = np.frombuffer(b"".join(batch.column("ranges").to_pylist()), np.uint32).reshape(-1, RANGES)
+            h, place = np.concatenate(prefix), np.concatenate(places)
+            of = np.repeat(np.arange(len(prefix)), np.fromiter(map(len, prefix), np.int64, len(prefix)))
             bucket = (mix(h, 20) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            table = np.column_stack([h.view(np.int64), *per, place, alone])[order]
             for b, own in _cut(bucket[order], 1):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([table[own].tobytes()], pa.binary())],
-                                                 names=["bucket", "rows"])
+                at = order[own]
+                used, local = np.unique(of[at], return_inverse=True)      # each class once a row
+                values = (h[at], local.astype(np.uint32), place[at], table[used], ranges[used])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in values)],
+                    names=["bucket", "h", "of", "place", "classes", "ranges"])
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 6) for x in table.column("rows").to_pylist()])
-        h, sig, size, comp, place, alone = (np.ascontiguousarray(c) for c in rows.T)
-        pairs = _candidates(h, sig, size, place, alone, comp, num, den, round_)
+        def all_(name: str, kind) -> list[np.ndarray]:
+            return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+
+        known = [c.reshape(-1, 4) for c in all_("classes", np.int64)]
+        before = np.cumsum([0, *map(len, known)])
+        of = np.concatenate([x.astype(np.int64) + k for x, k in zip(all_("of", np.uint32), before)])
+        pairs = _candidates(np.concatenate(all_("h", np.uint64)), of, np.concatenate(all_("place", np.uint32)).astype(np.int64),
+                            np.concatenate(known), np.concatenate(all_("ranges", np.uint32)).reshape(-1, RANGES),
+                            num, den, round_)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return (classes.select("sig", "n", "comp", "prefix", "place").mapInArrow(post, "bucket int, rows binary")
+    return (classes.select("sig", "n", "comp", "prefix", "place", "ranges")
+            .mapInArrow(post, "bucket int, h binary, of binary, place binary, classes binary, ranges binary")
             .groupBy("bucket").applyInArrow(meet, "a long, b long").distinct())
 
 
 def _links(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that reach the threshold: bounded by range counts first, then verified on the sets."""
-
-    def both(cols: list[str]) -> DataFrame:
-        left = classes.select(F.col("sig").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols])
-        right = classes.select(F.col("sig").alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols])
-        return lambda p: p.join(left, "a").join(right, "b")
-
-    def reached(overlap: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
-        need = needed(batch.column("n_a").to_numpy(zero_copy_only=False), batch.column("n_b").to_numpy(zero_copy_only=False), num, den)
-        ok = pa.array(overlap >= need)
-        return pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, RANGES)
-                    for c in ("ranges_a", "ranges_b"))
-            yield reached(np.minimum(x, y).sum(axis=1, dtype=np.int64), batch)
+    """The pairs that reach the threshold, verified once on the sets."""
+    sides = [classes.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col("shared").alias(f"shared_{k}"))
+             for k in ("a", "b")]
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             overlap = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
                        for x, y in zip(batch.column("shared_a").to_pylist(), batch.column("shared_b").to_pylist())]
-            yield reached(np.array(overlap, np.int64), batch)
+            need = needed(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b")), num, den)
+            ok = pa.array(np.array(overlap, np.int64) >= need)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
-    likely = both(["n", "ranges"])(pairs).mapInArrow(bounded, "a long, b long")
-    return both(["n", "shared"])(likely).mapInArrow(verified, "a long, b long")
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(verified, "a long, b long")
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [np.minimum(np.bincount((np.frombuffer(x, np.uint64) >> np.uint64(57)).astype(np.int64), minlength=RANGES),
-                           65535).astype(np.uint16).tobytes() for x in batch.column("shared").to_pylist()]
+        rows = [np.bincount((np.frombuffer(x, np.uint64) >> np.uint64(57)).astype(np.int64), minlength=RANGES)
+                .astype(np.uint32).tobytes() for x in batch.column("shared").to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*batch.schema.names, "ranges"])
 
 
@@ -308,4 +310,4 @@ def representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     stay = (found.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min(order)["row"].alias("row")).select("row")
             .unionByName(found.filter(F.col("class").isNull()).select("row")))
-    return table.join(stay, "row", "left_semi").drop("row")
+    return table.join(stay.withColumnRenamed("row", ROW), ROW, "left_semi").drop(ROW)

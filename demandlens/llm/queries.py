@@ -64,10 +64,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: operators that read partitions in blocks of their own
+BY_BLOCKS = (op4_substring_sketch, op7_suffix_columns, op8_ngram_jaccard)
+
+
 def _shipped(f: Query) -> Query:
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
+        ship(spark, 1000 if f in BY_BLOCKS else 5000)
         return f(spark, sf_dir)
     return run
 

@@ -1,13 +1,13 @@
 """Substring dedup with a count-min prefilter, over windows of words.
 
-1. Each partition sketches its windows: ``DEPTH`` rows of counters, ``LOAD`` a window, sent as
-   sparse slices. Buckets add the partitions' slices and tell each partition which of its
+1. Each block of rows sketches its windows: ``DEPTH`` rows of counters, ``LOAD`` a window, sent as
+   sparse slices. Buckets add the blocks' slices and tell each block which of its
    counters reached two. A count-min sketch only overestimates, so every repeated window is
    among those whose counters all did.
 2. Only those windows are grouped, exactly, by 64-bit hash within buckets chosen by an
-   independent hash: the smallest document that holds the window goes back to the partitions
+   independent hash: the smallest document that holds the window goes back to the blocks
    where it is not known.
-3. Each partition removes the words that a window covers whose first document is a smaller one.
+3. Each block removes the words that a window covers whose first document is a smaller one.
 
 Defined cases: a null or wordless text has no words; a null doc_id is larger than any other and
 removes from none; rows that share a doc_id do not remove from each other; empty tables give no
@@ -21,13 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
-from .exchange import answers, ask, pack_sorted, rows_of, stamp_of, unpack_sorted
+from .exchange import Block, answers, ask, blocks, pack_sorted, unpack_sorted
 from .wordhash import Words, groups, words
 
 WINDOW, DEPTH, LOAD = 13, 2, 4
@@ -36,7 +35,7 @@ _LAST = np.iinfo(np.int64).max
 
 
 def _hashes(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number and two independent hashes of every window of a partition."""
+    """Text number and two independent hashes of every window of a block's texts."""
     docs, one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for offset, own in groups(texts):
         w = words(own)
@@ -85,14 +84,14 @@ def _add_sketches(bucket: int, asked: list[tuple[bytes, bytes]]) -> list[tuple[b
     return [(np.packbits(total[at] > 1).tobytes(), b"") for at in places]
 
 
-def _estimated(texts: list[bytes], window: int, width: int, path: str, part: int, stamp: int):
+def _estimated(block: Block, window: int, width: int, path: str):
     """Text number and hashes of the windows that the sketch estimates repeated, with their places."""
-    docs, one, two = _hashes(texts, window)
-    found, keep = answers(path, part, stamp), np.ones(len(docs), bool)
+    docs, one, two = _hashes(block.texts, window)
+    found, keep = answers(path, block), np.ones(len(docs), bool)
     for row, c in enumerate(_counters(one, two, width)):
         distinct, back = np.unique(c, return_inverse=True)
-        bits = [np.unpackbits(np.frombuffer(found[row * _slices(width) + block][0], np.uint8), count=own.stop - own.start)
-                for block, own in _cut(distinct, SLICE)]
+        bits = [np.unpackbits(np.frombuffer(found[row * _slices(width) + k][0], np.uint8), count=own.stop - own.start)
+                for k, own in _cut(distinct, SLICE)]
         if bits:
             keep &= np.concatenate(bits)[back] > 0
     at = np.flatnonzero(keep)
@@ -105,7 +104,7 @@ def _order(ids: list) -> np.ndarray:
 
 
 def _first_docs(ids: np.ndarray, one: np.ndarray, two: np.ndarray, buckets: int):
-    """Distinct windows of a partition by (bucket, hash), their smallest doc_id, and where each went."""
+    """Distinct windows of a block by (bucket, hash), their smallest doc_id, and where each went."""
     bucket = (two % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((ids, one, bucket))
     b, h, d = bucket[order], one[order], ids[order]
@@ -117,7 +116,7 @@ def _first_docs(ids: np.ndarray, one: np.ndarray, two: np.ndarray, buckets: int)
 
 
 def _group(bucket: int, asked: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
-    """Smallest document of each window, to the partitions that know only a larger one."""
+    """Smallest document of each window, to the blocks that know only a larger one."""
     hashes = [np.frombuffer(a, np.uint64) for a, _ in asked]
     h, d = np.concatenate(hashes), np.concatenate([np.frombuffer(b, np.int64) for _, b in asked])
     order = np.argsort(h, kind="stable")
@@ -147,44 +146,40 @@ def remove(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) ->
     the white space before a removed word goes with it), n_words, n_removed, kept_sha256 and the
     removed ``spans`` (first word, words). ``keep`` names further columns to carry along."""
     parts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                                *[F.col(c) for c in keep]), "substring-docs")
+                                *[F.col(c) for c in keep]), "substring-docs", compression="zstd")
     total = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = max(1 << 16, LOAD * total // 6)             # about six bytes a word; only efficiency depends on it
     buckets = max(1, total // 6 // BUCKET)
-    sketch = ask(parts, lambda ids, texts, part: _sketch(texts, window, width), _add_sketches, "substring-sketch")
+    sketch = ask(parts, lambda block: _sketch(block.texts, window, width), _add_sketches, "substring-sketch")
 
-    def exact(batches_ids: list, texts: list[bytes], part: int, stamp: int):
-        at, doc, one, two = _estimated(texts, window, width, sketch, part, stamp)
-        return at, doc, _first_docs(_order(batches_ids)[doc], one, two, buckets)
+    def exact(block: Block):
+        at, doc, one, two = _estimated(block, window, width, sketch)
+        return at, doc, _first_docs(_order(block.ids)[doc], one, two, buckets)
 
-    def question(ids: list, texts: list[bytes], part: int):
-        _, _, (b, h, d, _) = exact(ids, texts, part, stamp_of(ids, texts))
+    def question(block: Block):
+        _, _, (b, h, d, _) = exact(block)
         return [(k, h[own].tobytes(), d[own].tobytes()) for k, own in _cut(b, 1)]
 
     grouped = ask(parts, question, _group, "substring-groups")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = list(batches)
-        ids, texts, stamp = rows_of(iter(whole))
-        part = TaskContext.get().partitionId()
-        if not texts:
-            return
-        carried = pa.Table.from_batches(whole).select(list(keep)).combine_chunks()
-        at, doc, (b, _, d, which) = exact(ids, texts, part, stamp)
-        found, least = answers(grouped, part, stamp), d.copy()
-        for k, own in _cut(b, 1):
-            where, smaller = found[k]
-            least[own.start + unpack_sorted(where)] = np.frombuffer(smaller, np.int64)
-        repeated = at[least[which] < _order(ids)[doc]]      # numbers of windows, in the partition's order
-        seen = 0
-        for offset, own in groups(texts):
-            w = words(own)
-            begins, _ = w.windows(window, 1)
-            mine = repeated[(repeated >= seen) & (repeated < seen + len(begins))] - seen
-            seen += len(begins)
-            found_rows = _rows(ids[offset:offset + len(own)], own, w, _covered(w, begins[mine], window))
-            more = [carried.column(c).slice(offset, len(own)).combine_chunks() for c in keep]
-            yield pa.RecordBatch.from_arrays([*found_rows.columns, *more], names=[*_ROWS.names, *keep])
+        for block in blocks(batches):
+            carried = {c: block.column(c) for c in keep}
+            at, doc, (b, _, d, which) = exact(block)
+            found, least = answers(grouped, block), d.copy()
+            for k, own in _cut(b, 1):
+                where, smaller = found[k]
+                least[own.start + unpack_sorted(where)] = np.frombuffer(smaller, np.int64)
+            repeated = at[least[which] < _order(block.ids)[doc]]        # numbers of windows, in the block's order
+            seen = 0
+            for offset, own in groups(block.texts):
+                w = words(own)
+                begins, _ = w.windows(window, 1)
+                mine = repeated[(repeated >= seen) & (repeated < seen + len(begins))] - seen
+                seen += len(begins)
+                rows = _rows(block.ids[offset:offset + len(own)], own, w, _covered(w, begins[mine], window))
+                more = [carried[c].slice(offset, len(own)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *more], names=[*_ROWS.names, *keep])
 
     ddl = ("doc_id long, text string, n_words long, n_removed long, kept_sha256 string, "
            "spans array<struct<first:long,words:long>>")

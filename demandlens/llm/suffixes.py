@@ -5,13 +5,13 @@ collection with short columns:
 
 1. Every ``length``-byte string has an anchor, its ``ANCHOR``-byte piece with the smallest hash
    (leftmost). Equal strings have equal anchors at equal offsets. Runs of neighbouring strings
-   with one anchor form a context. Partitions exchange anchors' counts; contexts whose anchor
+   with one anchor form a context. Blocks exchange anchors' counts; contexts whose anchor
    occurs once hold no repeat.
 2. The other contexts go to buckets by anchor, distinct ones once with their count; there the
    column-wise construction finds which of their strings occur twice. An anchor of more than
    ``HOT`` occurrences is split: its strings go, by ranges of offsets, to buckets by the bytes all
    strings of the range share, so one passage with countless variants is not one bucket.
-3. Partitions remove the bytes that repeated strings cover.
+3. Blocks remove the bytes that repeated strings cover.
 
 Defined cases: null text is empty; shorter texts hold no string and are kept; null or repeated
 doc_ids are separate documents (a repeated row repeats its text); empty tables give no rows;
@@ -26,19 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import repeated
 from .common import id_text, written
-from .exchange import answers, ask, rows_of, stamp_of
+from .exchange import Block, answers, ask, blocks
 from .substring import _cut
 from .wordhash import groups, inverse, mix, powers
 
 LENGTH, ANCHOR, HOT, RANGE = 400, 64, 4096, 32
 BUCKET_BYTES, KEYS = 1 << 20, 1 << 20
-_R = 0xC2B2AE3D27D4EB4F | 1
+_R, _ORDER = 0xC2B2AE3D27D4EB4F | 1, 0xD6E8FEB86659FD93 | 1
 _BYTE = np.random.default_rng(101).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -50,32 +49,34 @@ class Contexts:
         raw = np.frombuffer(self.data, np.uint8)
         n, anchor = len(raw), min(ANCHOR, length)
         self.ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * powers(_R, max(n, 1))[:n])])
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * powers(_R, max(n, 1))[:n], out=self.total[1:])
         self.undo = powers(inverse(_R), n + 1)
         self.begin = self.end = self.at = np.zeros(0, np.int64)
+        self.key = np.zeros(0, np.uint64)
         if n < length:
-            self.key = np.zeros(0, np.uint64)
             return
-        piece = self.hash(np.arange(n - anchor + 1), anchor)
+        count = n - anchor + 1
+        piece = (self.total[anchor:] - self.total[:count]) * self.undo[:count] * np.uint64(_ORDER)
         # 32 hash bits, then the place: the smallest is the leftmost of the smallest hashes
-        least = (piece & ~np.uint64(0xFFFFFFFF)) | np.arange(len(piece), dtype=np.uint64)
-        span, width = 1, length - anchor + 1
+        piece &= np.uint64(0xFFFFFFFF00000000)
+        piece |= np.arange(count, dtype=np.uint64)
+        least, span, width = piece, 1, length - anchor + 1
         while 2 * span <= width:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
-        least = np.minimum(least[:len(least) - (width - span)], least[width - span:]) if width > span else least
-        where = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        start = np.arange(len(where))
-        doc = np.searchsorted(self.ends, start, side="right")
-        inside = start + length <= self.ends[np.minimum(doc, len(self.ends) - 1)]
-        s, a, d = start[inside], where[inside], doc[inside]
-        if not len(s):
-            self.key = np.zeros(0, np.uint64)
-            return
-        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])]))
-        self.begin, self.at = s[new], a[new]                       # first string, anchor's place
-        self.end = s[np.append(new[1:], len(s)) - 1] + 1           # one past the last string
-        self.key = piece[self.at]
+        if width > span:
+            least = np.minimum(least[:len(least) - (width - span)], least[width - span:])
+        where = least.astype(np.uint32)                           # the low half: anchor's place of each string
+        begins = np.concatenate([[0], self.ends[:-1]])
+        edges = np.concatenate([np.flatnonzero(where[1:] != where[:-1]) + 1, begins, np.maximum(self.ends - length + 1, 0)])
+        edges = np.unique(edges[edges < len(where)])
+        doc = np.searchsorted(self.ends, edges, side="right")
+        inside = edges + length <= self.ends[np.minimum(doc, len(self.ends) - 1)]
+        stop = np.append(edges[1:], len(where))
+        self.begin, self.end = edges[inside], stop[inside]         # first string, one past the last
+        self.at = where[self.begin].astype(np.int64)
+        self.key = self.hash(self.at, anchor)
 
     def hash(self, at: np.ndarray, size) -> np.ndarray:
         return mix((self.total[at + size] - self.total[at]) * self.undo[at])
@@ -99,9 +100,17 @@ class Contexts:
         return begin[order], end[order], route[order]
 
 
-def anchors(texts: list[bytes], length: int, buckets: int):
-    """Distinct anchors of a partition by bucket, and their counts."""
-    key, n = np.unique(np.concatenate([Contexts(own, length).key for _, own in groups(texts)]), return_counts=True)
+Groups = list[tuple[int, list[bytes], Contexts]]
+
+
+def contexts(texts: list[bytes], length: int) -> Groups:
+    """Offset, texts and contexts of a block's groups."""
+    return [(offset, own, Contexts(own, length)) for offset, own in groups(texts)]
+
+
+def anchors(found: Groups, buckets: int):
+    """Distinct anchors of a block by bucket, and their counts."""
+    key, n = np.unique(np.concatenate([c.key for _, _, c in found]), return_counts=True)
     bucket = (mix(key, 3) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return bucket[order], key[order], n[order]
@@ -116,11 +125,10 @@ def _add_counts(bucket: int, asked: list[tuple[bytes, bytes]]) -> list[tuple[byt
     return [(level[a:b].tobytes(), b"") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def _pieces(texts: list[bytes], length: int, levels: tuple[np.ndarray, np.ndarray]):
+def _pieces(found: Groups, length: int, levels: tuple[np.ndarray, np.ndarray]):
     """Per group: offset, texts, contexts and the pieces to compare."""
     known, level = levels
-    for offset, own in groups(texts):
-        c = Contexts(own, length)
+    for offset, own, c in found:
         if len(c.key):
             l = level[np.searchsorted(known, c.key)]
             yield offset, own, c, c.pieces(l > 0, l > 1, length)
@@ -151,66 +159,63 @@ def _find(bucket: int, asked: list[tuple[bytes, bytes]], length: int) -> list[tu
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row: doc_id, kept (binary), n_bytes, n_removed, n_spans, kept_sha256."""
-    parts = written(id_text(docs), "suffix-docs")
+    parts = written(id_text(docs), "suffix-docs", compression="zstd")
     total = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     key_buckets = max(1, total // 128 // KEYS)
     buckets = max(1, total // BUCKET_BYTES)
 
-    def count(ids: list, texts: list[bytes], part: int):
-        b, key, n = anchors(texts, length, key_buckets)
+    def count(block: Block):
+        b, key, n = anchors(contexts(block.texts, length), key_buckets)
         return [(k, key[own].tobytes(), n[own].astype(np.int64).tobytes()) for k, own in _cut(b, 1)]
 
     counted = ask(parts, count, _add_counts, "suffix-anchors")
 
-    def levels(texts: list[bytes], part: int, stamp: int) -> tuple[np.ndarray, np.ndarray]:
-        b, key, _ = anchors(texts, length, key_buckets)
-        found, level = answers(counted, part, stamp), np.zeros(len(key), np.uint8)
-        for k, own in _cut(b, 1):
-            level[own] = np.frombuffer(found[k][0], np.uint8)
+    def levels(block: Block, own: Groups) -> tuple[np.ndarray, np.ndarray]:
+        b, key, _ = anchors(own, key_buckets)
+        found, level = answers(counted, block), np.zeros(len(key), np.uint8)
+        for k, at in _cut(b, 1):
+            level[at] = np.frombuffer(found[k][0], np.uint8)
         order = np.argsort(key)
         return key[order], level[order]
 
-    def strings(texts: list[bytes], part: int, stamp: int):
+    def strings(block: Block):
         """The pieces' distinct strings by bucket, and per group each piece's bucket and number there."""
         by: dict[int, dict[bytes, list[int]]] = {}
-        spots = []
-        for offset, own, c, (begin, end, route) in _pieces(texts, length, levels(texts, part, stamp)):
+        spots, whole = [], contexts(block.texts, length)
+        for offset, own, c, (begin, end, route) in _pieces(whole, length, levels(block, whole)):
             spot = []
             for s, e, b in zip(begin.tolist(), end.tolist(), (mix(route, 5) % np.uint64(buckets)).tolist()):
                 held = by.setdefault(b, {})
                 entry = held.setdefault(c.data[s:e - 1 + length], [len(held), 0])
                 entry[1] += 1
                 spot.append((s, e, b, entry[0]))
-            spots.append((offset, own, c, spot))
+            spots.append((offset, own, c.ends, spot))
         return by, spots
 
-    def question(ids: list, texts: list[bytes], part: int):
-        by, _ = strings(texts, part, stamp_of(ids, texts))
+    def question(block: Block):
+        by, _ = strings(block)
         return [(b, b"".join(held), np.array([(len(x), n) for x, (_, n) in held.items()], np.int32).tobytes())
                 for b, held in sorted(by.items())]
 
     compared = ask(parts, question, lambda b, asked: _find(b, asked, length), "suffix-repeats")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, stamp = rows_of(batches)
-        part = TaskContext.get().partitionId()
-        if not texts:
-            return
-        by, spots = strings(texts, part, stamp)
-        found = answers(compared, part, stamp)
-        bits, places = {}, {}
-        for b, held in by.items():
-            sizes = np.array([len(x) - length + 1 for x in held])
-            bits[b] = np.unpackbits(np.frombuffer(found[b][0], np.uint8), count=int(sizes.sum()))
-            places[b] = np.cumsum(sizes) - sizes
-        for offset, own, c, spot in spots:
-            step = np.zeros(len(c.data) + 1, np.int64)
-            for s, e, b, i in spot:
-                starts = s + np.flatnonzero(bits[b][places[b][i]:places[b][i] + e - s])
-                step[starts] += 1
-                step[starts + length] -= 1
-            gone = np.cumsum(step[:-1]) > 0
-            yield _rows(ids[offset:offset + len(own)], own, c.ends, gone)
+        for block in blocks(batches):
+            by, spots = strings(block)
+            found = answers(compared, block)
+            bits, places = {}, {}
+            for b, held in by.items():
+                sizes = np.array([len(x) - length + 1 for x in held])
+                bits[b] = np.unpackbits(np.frombuffer(found[b][0], np.uint8), count=int(sizes.sum()))
+                places[b] = np.cumsum(sizes) - sizes
+            for offset, own, ends, spot in spots:
+                step = np.zeros(int(ends[-1]) + 1, np.int64)
+                for s, e, b, i in spot:
+                    starts = s + np.flatnonzero(bits[b][places[b][i]:places[b][i] + e - s])
+                    step[starts] += 1
+                    step[starts + length] -= 1
+                gone = np.cumsum(step[:-1]) > 0
+                yield _rows(block.ids[offset:offset + len(own)], own, ends, gone)
 
     return parts.mapInArrow(apply, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 

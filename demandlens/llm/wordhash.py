@@ -9,11 +9,10 @@ everywhere; different ones collide with a chance of about 2^-60 a pair.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 20
 _RNG = np.random.default_rng(20240917)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BLANK = np.zeros(256, bool)
@@ -22,17 +21,18 @@ _R, _M = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.full(size, base, np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}         # the longest run of each base so far
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    size = 1 << max(10, int(n).bit_length())
-    return _powers(base, size)[:n]
+    """1, base, base^2, ... modulo 2^64."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(1 << max(10, int(n - 1).bit_length()), base, np.uint64)
+        known[0] = 1
+        np.cumprod(known, out=known)
+        _POWERS[base] = known
+    return known[:n]
 
 
 def inverse(base: int) -> int:
