@@ -7,9 +7,10 @@ prefix shingles; a match at document position p and window offset o can only be
 starts at p - o, which must lie within the document (length and positional bounds); its words
 are then compared with the window's, all of them.
 
-When the prefix table's size on disk is within the session's broadcast threshold, the planner
-broadcasts it and words are compared as the document streams by. Beyond that size the matching
-positions are joined back to their documents instead, so that no word array is shuffled a match.
+The prefix shingles are 8-byte hashes. When their written table is within the session's broadcast
+threshold, document shingles are filtered by them as the document streams by, and a match takes
+along the few words around it. Beyond that size (position, hash) rows are joined by a shuffle and
+the matches joined back to their documents, so that no word array is shuffled a position.
 
 Defined cases: null or wordless texts of documents have no words and no hits, those of items no
 windows; an item with fewer words than a window is one window; rows that repeat doc_id and text
@@ -82,26 +83,30 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
                                                                  F.first("n").alias("n"))
                   .filter(F.col("r.freq") > 0).select("wid", "w", "n", F.col("r.sh").alias("sh"), F.col("r.o").alias("o")))
         prefix = written(prefix, f"benchmark-prefix-{size}")
+        keys = written(prefix.select("sh").distinct(), f"benchmark-keys-{size}")
         begin = F.col("p") - F.col("o")
-        inside = (begin >= 0) & (begin + F.col("n") <= F.size("words"))
-        same = F.slice("words", begin + 1, F.col("n")) == F.col("w")
-        if _fits_broadcast(spark, prefix):
-            match = (_positions(split, size, ["doc_id", "tk", "words"]).join(F.broadcast(prefix), "sh")
-                     .filter(inside & same).select("doc_id", "tk", begin.alias("start"), "n", "wid"))
+        inside = (begin >= 0) & (begin + F.col("n") <= F.col("n_words"))
+        reach = window - size                               # largest offset of a shingle in a window
+        low = F.greatest(F.col("p") - reach, F.lit(0))
+        if _fits_broadcast(spark, keys):
+            near = (_positions(split, size, ["doc_id", "tk", "words"]).join(F.broadcast(keys), "sh", "left_semi")
+                    .select("doc_id", "tk", "p", "sh", F.size("words").alias("n_words"),
+                            F.slice("words", low + 1, F.lit(2 * window)).alias("around")))
+            same = F.slice("around", begin - low + 1, F.col("n")) == F.col("w")
+            match = near.join(prefix, "sh").filter(inside).filter(same).select(
+                "doc_id", "tk", begin.alias("start"), "n", "wid")
         else:
-            near = (_positions(split, size, ["doc_id", "tk", "words"]).select("doc_id", "tk", "p", "sh")
-                    .join(prefix.select("sh", "wid", "o", "n", "w"), "sh")
-                    .groupBy("doc_id", "tk").agg(F.collect_set(F.struct(begin.alias("start"), "n", "wid", "w")).alias("c")))
-            back = (split.dropDuplicates(["doc_id", "tk"])
-                    .join(near, split["doc_id"].eqNullSafe(near["doc_id"]) & (split["tk"] == near["tk"]))
-                    .select(split["doc_id"], split["tk"], "words", F.explode("c").alias("c"))
-                    .select("doc_id", "tk", "words", "c.*"))
-            match = (back.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("words"))
-                                 & (F.slice("words", F.col("start") + 1, F.col("n")) == F.col("w")))
-                     .select("doc_id", "tk", "start", "n", "wid"))
+            near = (_positions(split, size, ["doc_id", "tk", "words"]).select("doc_id", "tk", "p", "sh", F.size("words").alias("n_words"))
+                    .join(prefix, "sh").filter(inside).select("doc_id", "tk", begin.alias("start"), "n", "wid", "w"))
+            near = near.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "n", "wid", "w")).alias("c"))
+            same_row = F.col("s.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("s.tk") == F.col("m.tk"))
+            back = (split.dropDuplicates(["doc_id", "tk"]).alias("s").join(near.alias("m"), same_row)
+                    .select("s.doc_id", "s.tk", "words", F.explode("c").alias("c")).select("doc_id", "tk", "words", "c.*"))
+            match = back.filter(F.slice("words", F.col("start") + 1, F.col("n")) == F.col("w")).select(
+                "doc_id", "tk", "start", "n", "wid")
         out = match if out is None else out.unionByName(match)
     if out is None:
-        out = spark.createDataFrame([], "doc_id long, tk string, start int, n int, wid string")
+        out = spark.createDataFrame([], "doc_id long, tk long, start int, n int, wid string")
     return written(out.distinct(), "benchmark-hits"), holders
 
 
