@@ -86,10 +86,11 @@ class Collection:
             kinds = (self.symbol.dtype, np.int32, np.int32, np.int16)
             # the empty suffixes, in string order, are the first m rows
             state = [self.before(self.last, np.arange(m)), self.last, np.arange(m), np.zeros(m, np.int64)]
-            self._save(folder, names, kinds, state)
-            newest = np.flatnonzero(self.first < self.last)
+            files = [open(os.path.join(folder, name), "w+b") for name in names]
+            self._save(files, kinds, state)
+            newest, n = np.flatnonzero(self.first < self.last), m
             while len(newest):
-                before, suffix, string, prefix = self._load(folder, names, kinds)
+                before, suffix, string, prefix = self._load(files, kinds, n)
                 order = np.argsort(before, kind="stable")
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
@@ -112,19 +113,29 @@ class Collection:
                 touched = touched[(touched > m) & (touched < len(old))]
                 prefix[touched] = self.common(suffix[touched - 1].astype(np.int64), suffix[touched].astype(np.int64),
                                               string[touched - 1], string[touched])
-                self._save(folder, names, kinds, [before, suffix, string, prefix])
+                self._save(files, kinds, [before, suffix, string, prefix])
+                n = len(old)
                 newest = place[new_before != self.none]
-            _, suffix, string, prefix = self._load(folder, names, kinds)
+            _, suffix, string, prefix = self._load(files, kinds, n)
+            for f in files:
+                f.close()
         return suffix.astype(np.int64), string.astype(np.int64), prefix.astype(np.int64)
 
     @staticmethod
-    def _save(folder: str, names, kinds, state) -> None:
-        for name, kind, rows in zip(names, kinds, state):
-            rows.astype(kind, copy=False).tofile(os.path.join(folder, name))
+    def _save(files, kinds, state) -> None:
+        """Rewrite the files in place from their start: rows are only ever added."""
+        for f, kind, rows in zip(files, kinds, state):
+            f.seek(0)
+            f.write(rows.astype(kind, copy=False).tobytes())
+            f.flush()
 
     @staticmethod
-    def _load(folder: str, names, kinds) -> list[np.ndarray]:
-        return [np.fromfile(os.path.join(folder, name), kind) for name, kind in zip(names, kinds)]
+    def _load(files, kinds, n: int) -> list[np.ndarray]:
+        out = []
+        for f, kind in zip(files, kinds):
+            f.seek(0)
+            out.append(np.frombuffer(f.read(n * np.dtype(kind).itemsize), kind))
+        return out
 
 
 def repeated(strings: list[bytes], times: np.ndarray, length: int) -> np.ndarray:
