@@ -172,8 +172,8 @@ def test_partitioned_ranks_match_windows(spark, values):
     from demandlens.operators.ranking import dense_ranks, ntiles, percent_ranks
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k int, v int")
     got_d = {r["k"]: r["d"] for r in dense_ranks(df, "v", "d", descending=True).collect()}
-    got_p = {r["k"]: r["p"] for r in percent_ranks(df, "v", "p", nulls_first=True).collect()}
-    got_n = {r["k"]: r["n"] for r in ntiles(df, 4, [F.col("v").desc(), F.col("k").asc()], "n").collect()}
+    got_p = {r["k"]: r["p"] for r in percent_ranks(df, "v", "p").collect()}
+    got_n = {r["k"]: r["n"] for r in ntiles(df, 4, "v", "k", "n", descending=True).collect()}
     ref = df.select("k",
                     F.dense_rank().over(Window.orderBy(F.col("v").desc())).alias("d"),
                     F.percent_rank().over(Window.orderBy(F.col("v").asc_nulls_first())).alias("p"),
