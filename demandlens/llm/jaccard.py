@@ -13,6 +13,12 @@
    neighbours in the posting lists, which connects groups of near copies with about as many
    links as members; the last round tries all candidates from different components. It finds
    every component, without all pairs of a large group.
+5. A posting list of more than ``longest`` classes is cut by hashes of the classes: the first
+   rounds try neighbours within a block; the last groups (shingle, block, block), so that each
+   class outside the list's largest component meets every other in one group. A list of one
+   component is not posted. In the last round a pair is kept at the first shingle both share,
+   which leaves min(size - place) for the overlap; a list in which no class could reach the
+   threshold with one of its own size from there holds no such pair and is not posted either.
 
 Defined cases: null, empty or wordless texts have an empty set, no links and themselves as
 component; texts of fewer words than a shingle are one shingle; a null doc_id takes part in
@@ -24,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +45,8 @@ from .wordhash import groups, mix, words
 
 DEPTH, LOAD, SLICE = 2, 4, 1 << 22
 POSTINGS = 1 << 18          # about so many postings a bucket
+LONGEST = 1 << 15           # classes of a posting list that is not cut
+COPIES = 1 << 20            # postings of a batch that are dealt out at once
 RANGES = 128                # hash ranges of the suffix filter
 ROUNDS, REACH = 2, 2        # rounds among neighbours, neighbours tried on each side
 ROW = "jaccard_row__"       # internal column; documents must not have it
@@ -107,8 +116,8 @@ def _estimates(h: np.ndarray, width: int, path: str, block: Block) -> np.ndarray
 
 
 SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("prefix", pa.binary()),
-                  ("place", pa.binary()), ("shared", pa.binary())])
-SETS_DDL = "row long, doc_id long, n long, sig long, prefix binary, place binary, shared binary"
+                  ("place", pa.binary()), ("often", pa.int64()), ("shared", pa.binary())])
+SETS_DDL = "row long, doc_id long, n long, sig long, prefix binary, place binary, often long, shared binary"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -119,9 +128,10 @@ def numbered(docs: DataFrame) -> DataFrame:
                    "jaccard-docs", compression="zstd")
 
 
-def sets(table: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def sets(table: DataFrame, n: int, num: int, den: int, longest: int = LONGEST) -> DataFrame:
     """Per row of a numbered table: size and signature of its set; the first of its class in a block also
-    carries the posted prefix shingles, their places and all shingles estimated to be shared."""
+    carries the posted prefix shingles, their places, how many of them (the last ones) may have more than
+    ``longest`` postings, and all shingles estimated to be shared."""
     parts = table.select("doc_id", "text", ROW)
     total = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = max(1 << 16, LOAD * total // 6)         # about six bytes a word; only efficiency depends on it
@@ -136,11 +146,11 @@ def sets(table: DataFrame, n: int, num: int, den: int) -> DataFrame:
             for r, i, a, b in zip(block.column(ROW).to_pylist(), block.ids, cuts[:-1].tolist(), cuts[1:].tolist()):
                 size = b - a
                 if not size:
-                    rows.append((r, i, 0, None, None, None, None))
+                    rows.append((r, i, 0, None, None, None, None, None))
                     continue
                 own, f = h[a:b], freq[a:b]
                 sig = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
-                prefix = place = shared = None
+                prefix = place = often = shared = None
                 common = np.flatnonzero(f > 1)
                 alone, bound = size - len(common), size - (-(-num * size // den)) + 1
                 if alone < bound and sig not in seen:
@@ -148,7 +158,8 @@ def sets(table: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     order = common[np.lexsort((own[common], f[common]))][:bound - alone]
                     prefix, shared = own[order].tobytes(), own[common].tobytes()
                     place = np.arange(alone, alone + len(order), dtype=np.uint32).tobytes()
-                rows.append((r, i, size, sig, prefix, place, shared))
+                    often = int(np.count_nonzero(f[order] >= min(255, longest + 1)))    # an estimate is never too low
+                rows.append((r, i, size, sig, prefix, place, often, shared))
             for k in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 2000]), SETS.types)],
                                                  schema=SETS)
@@ -156,36 +167,137 @@ def sets(table: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return written(parts.mapInArrow(run, SETS_DDL), "jaccard-sets")
 
 
-def _candidates(h, of, place, classes, ranges, num, den, round_: int | None) -> np.ndarray:
+@dataclass
+class Lists:
+    """The posting lists that are cut, by shingle: classes, those that could reach the threshold
+    with one of their own size from there, the largest component and its classes."""
+    shingle: np.ndarray
+    n: np.ndarray
+    able: np.ndarray
+    comp: np.ndarray
+    same: np.ndarray
+
+    def others(self) -> np.ndarray:
+        return self.n - self.same
+
+    def copies(self, longest: int) -> int:
+        """Postings of the last round."""
+        o, c = -(-self.others() // longest), -(-self.same // longest)
+        return int(np.where(self.able > 0, self.others() * (o + c) + self.same * o, 0).sum())
+
+
+def _posted(batch: pa.RecordBatch):
+    """Shingles, places and class rows (sig, size, comp, alone) of a batch, and the class of each posting."""
+    prefix = [np.frombuffer(x, np.uint64) for x in batch.column("prefix").to_pylist()]
+    places = [np.frombuffer(x, np.uint32) for x in batch.column("place").to_pylist()]
+    alone = np.array([p[0] for p in places], np.int64)
+    table = np.column_stack([*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "n", "comp")), alone])
+    of = np.repeat(np.arange(len(prefix)), np.fromiter(map(len, prefix), np.int64, len(prefix)))
+    return np.concatenate(prefix), np.concatenate(places).astype(np.int64), table, of
+
+
+def _able(size: np.ndarray, place: np.ndarray, num: int, den: int) -> np.ndarray:
+    return needed(size, size, num, den) <= size - place
+
+
+def _long_lists(classes: DataFrame, num: int, den: int, longest: int) -> Lists:
+    """The lists of more than ``longest`` classes: at most one in ``longest`` postings, so the driver holds them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, place, table, of = _posted(batch)
+            rest = np.cumsum(np.bincount(of, minlength=len(table)))[of] - np.arange(len(of))    # 1 for the last
+            at = np.flatnonzero(rest <= batch.column("often").to_numpy(zero_copy_only=False)[of])
+            key, back = np.unique(np.column_stack([h[at].view(np.int64), table[of[at], 2]]), axis=0, return_inverse=True)
+            able = np.bincount(back.ravel(), _able(table[of[at], 1], place[at], num, den), len(key)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[:, 0], key[:, 1], np.bincount(
+                back.ravel(), minlength=len(key)), able)], names=["h", "comp", "n", "able"])
+
+    found = (classes.filter(F.col("often") > 0).select("sig", "n", "comp", "prefix", "place", "often")
+             .mapInArrow(count, "h long, comp long, n long, able long")
+             .groupBy("h", "comp").agg(F.sum("n").alias("n"), F.sum("able").alias("able"))
+             .groupBy("h").agg(F.sum("n").alias("n"), F.sum("able").alias("able"),
+                               F.max(F.struct("n", "comp")).alias("most"))
+             .filter(F.col("n") > longest).select("h", "n", "able", "most.comp", F.col("most.n").alias("same")).collect())
+    rows = np.array([tuple(r) for r in found], np.int64).reshape(-1, 5)
+    rows = rows[np.argsort(rows[:, 0].view(np.uint64))]
+    return Lists(rows[:, 0].view(np.uint64), *rows[:, 1:].T)
+
+
+def _key(sig: np.ndarray, round_: int | None) -> np.ndarray:
+    """The order of classes in a round."""
+    return mix(sig.view(np.uint64), round_) if round_ else sig.view(np.uint64)
+
+
+def _dealt(h, of, table, lists: Lists, longest: int, round_: int | None):
+    """(posting, group, side) a copy of a posting, in chunks; in a group the left (bit 1) meet the
+    right (bit 2). A list that is not cut is a group, of both sides."""
+    k = np.minimum(np.searchsorted(lists.shingle, h), max(0, len(lists.shingle) - 1))
+    cut = lists.shingle[k] == h if len(lists.shingle) else np.zeros(len(h), bool)
+    yield (at := np.flatnonzero(~cut)), h[at], np.full(len(at), 3, np.uint8)
+    at = np.flatnonzero(cut)
+    k = k[at]
+    at, k = at[ok := lists.able[k] > 0], k[ok]
+    sig, part = table[of[at], 0].copy(), np.uint64(32)
+    if round_ is not None:
+        block = (_key(sig, round_) >> part) * (-(-lists.n[k] // longest)).astype(np.uint64) >> part
+        yield at, mix(h[at] ^ mix(block + np.uint64(1), 41), 42), np.full(len(at), 3, np.uint8)
+        return
+    # others (outside the largest component) in o blocks, the rest in c: pairs of two blocks of others,
+    # and of one of each
+    o, c = -(-lists.others()[k] // longest), -(-lists.same[k] // longest)
+    other = table[of[at], 2] != lists.comp[k]
+    own = ((mix(sig.view(np.uint64), 40) >> part) * np.where(other, o, c).astype(np.uint64) >> part).astype(np.int64)
+    times = np.where(other, o + c, o)
+    chunk = np.cumsum(times) // COPIES
+    for _, x in _cut(chunk, 1):
+        i = np.repeat(np.arange(len(at))[x], times[x])
+        t = np.arange(len(i)) - np.repeat(np.cumsum(times[x]) - times[x], times[x])
+        mate = t - c[i]                                           # another block of others, from 0 on
+        left = np.where(other[i] & (mate >= 0), np.minimum(own[i], mate), np.where(other[i], own[i], t))
+        right = np.where(other[i] & (mate >= 0), c[i] + np.maximum(own[i], mate), np.where(other[i], t, own[i]))
+        side = np.where(~other[i], 2, np.where((mate < 0) | (mate > own[i]), 1, np.where(mate == own[i], 3, 2)))
+        code = (left * (o + c)[i] + right).astype(np.uint64)
+        yield at[i], mix(h[at[i]] ^ mix(code + np.uint64(1), 41), 42), side.astype(np.uint8)
+
+
+def _candidates(h, of, place, side, classes, ranges, num, den, round_: int | None) -> np.ndarray:
     """Pairs (two columns) of one bucket that share a posted shingle, may reach the threshold and
     are in different components; with a round, only neighbours in that round's order. Postings
-    are (shingle, class, place); classes have rows (sig, size, comp, alone) and range counts."""
-    key = mix(classes[of, 0].view(np.uint64), round_ or 0) if round_ else classes[of, 0].view(np.uint64)
-    order = np.lexsort((key, classes[of, 1], h)) if not round_ else np.lexsort((key, h))
-    h, of, place = h[order], of[order], place[order]
+    are (group, class, place, side); classes have rows (sig, size, comp, alone) and range counts."""
+    key = _key(classes[of, 0], round_)
+    order = np.lexsort((key, classes[of, 1], h)) if round_ is None else np.lexsort((key, h))
+    h, of, place, side = h[order], of[order], place[order], side[order]
     sig, size, comp, alone = (classes[of, k] for k in range(4))
     n, found = len(h), [np.zeros((0, 2), np.int64)]
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
         a, b = size[i], size[j]
         need = needed(a, b, num, den)
-        # shared shingles before this one are posted ones of both; those after it are in both rests
-        most = np.minimum(place[i] - alone[i], place[j] - alone[j]) + 1 + np.minimum(a - place[i], b - place[j]) - 1
+        most = np.minimum(a - place[i], b - place[j])             # if this is the first shared shingle
+        if round_ is not None:
+            # shared shingles before this one are posted ones of both
+            most += np.minimum(place[i] - alone[i], place[j] - alone[j])
         ok = (comp[i] != comp[j]) & (sig[i] != sig[j]) & (np.minimum(a, b) >= need) & (most >= need)
         i, j, need = i[ok], j[ok], need[ok]
-        # suffix filter: what two sets share in each hash range is at most the smaller count
-        most = [np.minimum(ranges[of[i[k:k + 8192]]], ranges[of[j[k:k + 8192]]]).sum(axis=1, dtype=np.int64)
-                for k in range(0, len(i), 8192)]
-        ok = np.concatenate([np.zeros(0, np.int64), *most]) >= need
-        x, y = sig[i[ok]], sig[j[ok]]
-        if len(x):
-            found.append(np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0))
+        # suffix filter: what two sets share in each hash range is at most the smaller count (255: or more)
+        for k in range(0, len(i), 8192):
+            x, y = i[k:k + 8192], j[k:k + 8192]
+            least = np.minimum(ranges[of[x]], ranges[of[y]])
+            ok = (least.sum(axis=1, dtype=np.int64) >= need[k:k + 8192]) | (least == 255).any(axis=1)
+            x, y = sig[x[ok]], sig[y[ok]]
+            if len(x):
+                found.append(np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0))
 
     if round_ is not None:
         for step in range(1, REACH + 1):
             i = np.flatnonzero(h[step:] == h[:-step]) if n > step else np.zeros(0, np.int64)
             keep(i, i + step)
     else:
+        # sizes a class may meet, from this shingle on
+        low, high = -(-num * size // den), (num + den) * (size - place) // num - size
         begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if n else np.zeros(0, np.int64)
         for a, b in zip(begin.tolist(), np.append(begin[1:], n).tolist()):
             if b - a < 2:
@@ -193,38 +305,48 @@ def _candidates(h, of, place, classes, ranges, num, den, round_: int | None) ->
             kinds, back, count = np.unique(comp[a:b], return_inverse=True, return_counts=True)
             if len(kinds) < 2:
                 continue
-            # each member outside the largest component against all; the largest needs no own turn
-            small = a + np.flatnonzero(back != count.argmax())
-            for i in small.tolist():
-                keep(np.full(b - a, i), np.arange(a, b))
-            if len(found) > 500:
-                found = [np.unique(np.concatenate(found), axis=0)]
+            if (side[a:b] == 3).all():
+                # each member outside the largest component against all; the largest needs no own turn
+                turn, mates = a + np.flatnonzero(back != count.argmax()), np.arange(a, b)
+            else:
+                turn, mates = a + np.flatnonzero(side[a:b] & 1), a + np.flatnonzero(side[a:b] & 2)
+            first = np.searchsorted(size[mates], low[turn])
+            times = np.maximum(0, np.searchsorted(size[mates], high[turn], side="right") - first)
+            for _, x in _cut(np.cumsum(times) // COPIES, 1):
+                i = np.repeat(turn[x], times[x])
+                t = np.arange(len(i)) - np.repeat(np.cumsum(times[x]) - times[x], times[x])
+                keep(i, mates[np.repeat(first[x], times[x]) + t])
+                if len(found) > 500:
+                    found = [np.unique(np.concatenate(found), axis=0)]
     return np.unique(np.concatenate(found), axis=0)
 
 
-def _pairs(classes: DataFrame, num: int, den: int, round_: int | None, buckets: int) -> DataFrame:
+def _pairs(classes: DataFrame, num: int, den: int, round_: int | None, posted: int, longest: int) -> DataFrame:
     """Distinct candidate pairs (a, b) of class signatures from different components."""
+    lists = _long_lists(classes, num, den, longest)
+    buckets = max(1, (posted + (lists.copies(longest) if round_ is None else 0)) // POSTINGS)
+    if round_ is None:
+        # lists of one component have no copies
+        lists.able[lists.others() == 0] = 0
+    shared = classes.sparkSession.sparkContext.broadcast(lists)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefix = [np.frombuffer(x, np.uint64) for x in batch.column("prefix").to_pylist()]
-            if not prefix:
+            if not batch.num_rows:
                 continue
-            places = [np.frombuffer(x, np.uint32) for x in batch.column("place").to_pylist()]
-            alone = np.array([p[0] for p in places], np.int64)
-            table = np.column_stack([*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "n", "comp")), alone])
-            ranges = np.frombuffer(b"".join(batch.column("ranges").to_pylist()), np.uint32).reshape(-1, RANGES)
-            h, place = np.concatenate(prefix), np.concatenate(places)
-            of = np.repeat(np.arange(len(prefix)), np.fromiter(map(len, prefix), np.int64, len(prefix)))
-            bucket = (mix(h, 20) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            for b, own in _cut(bucket[order], 1):
-                at = order[own]
-                used, local = np.unique(of[at], return_inverse=True)      # each class once a row
-                values = (h[at], local.astype(np.uint32), place[at], table[used], ranges[used])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in values)],
-                    names=["bucket", "h", "of", "place", "classes", "ranges"])
+            h, place, table, of = _posted(batch)
+            ranges = np.frombuffer(b"".join(batch.column("ranges").to_pylist()), np.uint8).reshape(-1, RANGES)
+            for at, group, side in _dealt(h, of, table, shared.value, longest, round_):
+                bucket = (mix(group, 20) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                for b, own in _cut(bucket[order], 1):
+                    copy = order[own]
+                    used, local = np.unique(of[at[copy]], return_inverse=True)    # each class once a row
+                    values = (group[copy], local.astype(np.uint32), place[at[copy]].astype(np.uint32), side[copy],
+                              table[used], ranges[used])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([b], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in values)],
+                        names=["bucket", "h", "of", "place", "side", "classes", "ranges"])
 
     def meet(table: pa.Table) -> pa.Table:
         def all_(name: str, kind) -> list[np.ndarray]:
@@ -234,12 +356,12 @@ def _pairs(classes: DataFrame, num: int, den: int, round_: int | None, buckets:
         before = np.cumsum([0, *map(len, known)])
         of = np.concatenate([x.astype(np.int64) + k for x, k in zip(all_("of", np.uint32), before)])
         pairs = _candidates(np.concatenate(all_("h", np.uint64)), of, np.concatenate(all_("place", np.uint32)).astype(np.int64),
-                            np.concatenate(known), np.concatenate(all_("ranges", np.uint32)).reshape(-1, RANGES),
-                            num, den, round_)
+                            np.concatenate(all_("side", np.uint8)), np.concatenate(known),
+                            np.concatenate(all_("ranges", np.uint8)).reshape(-1, RANGES), num, den, round_)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return (classes.select("sig", "n", "comp", "prefix", "place", "ranges")
-            .mapInArrow(post, "bucket int, h binary, of binary, place binary, classes binary, ranges binary")
+            .mapInArrow(post, "bucket int, h binary, of binary, place binary, side binary, classes binary, ranges binary")
             .groupBy("bucket").applyInArrow(meet, "a long, b long").distinct())
 
 
@@ -261,28 +383,33 @@ def _links(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [np.bincount((np.frombuffer(x, np.uint64) >> np.uint64(57)).astype(np.int64), minlength=RANGES)
-                .astype(np.uint32).tobytes() for x in batch.column("shared").to_pylist()]
+        rows = [np.minimum(np.bincount((np.frombuffer(x, np.uint64) >> np.uint64(57)).astype(np.int64), minlength=RANGES), 255)
+                .astype(np.uint8).tobytes() for x in batch.column("shared").to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*batch.schema.names, "ranges"])
 
 
-def tagged(table: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _classes(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The classes that post shingles, written, and how many postings they have."""
+    first = (rows.filter(F.col("prefix").isNotNull()).groupBy("sig")
+             .agg(*[F.first(c).alias(c) for c in ("n", "prefix", "place", "often", "shared")])
+             .filter(F.octet_length("prefix") > 0))
+    classes = written(first.mapInArrow(_ranges, "sig long, n long, prefix binary, place binary, often long, shared binary, "
+                                                "ranges binary"), "jaccard-classes")
+    return classes, int(classes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0)
+
+
+def tagged(table: DataFrame, n: int, num: int, den: int, longest: int = LONGEST) -> DataFrame:
     """row, doc_id, n_shingles and class of every row of a numbered table: rows of one component
     share the class, rows without shingles have none."""
-    rows = sets(table, n, num, den)
-    first = (rows.filter(F.col("prefix").isNotNull()).groupBy("sig")
-             .agg(*[F.first(c).alias(c) for c in ("n", "prefix", "place", "shared")]))
-    classes = written(first.mapInArrow(_ranges, "sig long, n long, prefix binary, place binary, shared binary, ranges binary"),
-                      "jaccard-classes")
-    posted = classes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    buckets = max(1, int(posted) // POSTINGS)
+    rows = sets(table, n, num, den, longest)
+    classes, posted = _classes(rows)
     labels = None
     for round_ in [*range(ROUNDS), None]:
         known = classes.withColumn("comp", F.col("sig"))
         if labels is not None:
             known = classes.join(labels, F.col("sig") == F.col("node"), "left").withColumn(
                 "comp", F.coalesce("comp", "sig")).drop("node")
-        pairs = written(_pairs(known, num, den, round_, buckets), "jaccard-pairs")
+        pairs = written(_pairs(known, num, den, round_, posted, longest), "jaccard-pairs")
         links = _links(pairs, classes, num, den)
         if labels is not None:
             links = links.unionByName(labels.filter(F.col("node") != F.col("comp"))
@@ -294,9 +421,9 @@ def tagged(table: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return written(found, "jaccard-tagged")
 
 
-def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, longest: int = LONGEST) -> DataFrame:
     """doc_id, n_shingles, component_id of every row (links: den * overlap >= num * union)."""
-    found = tagged(numbered(id_text(docs)), n, num, den)
+    found = tagged(numbered(id_text(docs)), n, num, den, longest)
     least = found.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
     return (found.join(least, "class", "left")
             .select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))

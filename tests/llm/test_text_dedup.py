@@ -261,6 +261,53 @@ def test_jaccard_equals_brute_force(documents, seed, n, num):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == linked(rows, n, num, 100)[0]
 
 
+def templates(seed=8, n=30):
+    """Near and not so near copies of two long texts, so that most share their posted shingles."""
+    rng, rows = random.Random(seed), []
+    bodies = [[f"{c}{k}" for k in range(60)] for c in "xy"]
+    for i in range(n):
+        t = list(bodies[i % 2])
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(60)] = f"own{rng.randint(0, 9)}"
+        rows.append((2000 + i, " ".join(t[:rng.randint(50, 60)])))
+    return rows
+
+
+@pytest.mark.parametrize("longest", [2, 5])
+def test_jaccard_with_cut_lists_equals_brute_force(documents, longest):
+    rows = corpus(3, 40) + templates()
+    got = jaccard.join(documents(rows), 4, 85, 100, longest).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == linked(rows, 4, 85, 100)[0]
+
+
+@pytest.mark.parametrize("others", [0, 30, 700, 1000])
+def test_blocks_of_a_long_list_are_bounded_and_complete(others):
+    """Every pair outside the largest component meets once, in groups of about two blocks."""
+    n, longest = 1000, 100
+    sig = np.random.default_rng(others).integers(-1 << 63, (1 << 63) - 1, n)
+    comp = np.where(np.arange(n) < others, sig, 7)
+    table = np.column_stack([sig, np.full(n, 50), comp, np.zeros(n, np.int64)])
+    h, of = np.full(n, 99, np.uint64), np.arange(n)
+    same = max(n - others, 1)
+    lists = jaccard.Lists(np.array([99], np.uint64), *(np.array([x]) for x in (n, n, 7 if others < n else sig[0], same)))
+    for round_ in (0, 1):
+        (_, plain, _), (at, group, _) = jaccard._dealt(h, of, table, lists, longest, round_)
+        assert not len(plain) and len(at) == n and np.unique(group, return_counts=True)[1].max() < 2 * longest
+    got = [x for x in jaccard._dealt(h, of, table, lists, longest, None) if len(x[0])]
+    at, group, side = (np.concatenate(x) for x in zip(*got)) if got else [np.zeros(0, np.int64)] * 3
+    assert len(at) == lists.copies(longest)
+    met = np.zeros((n, n), np.int64)
+    for g in np.unique(group):
+        own, s = at[group == g], side[group == g]
+        assert len(own) < 4 * longest
+        left, right = own[s & 1 > 0], own[s & 2 > 0]
+        if (s == 3).all():
+            met[np.ix_(left, right)] += np.triu(np.ones((len(own), len(own)), np.int64), 1)
+        else:
+            met[np.ix_(left, right)] += 1
+    assert ((met + met.T)[np.triu_indices(n, 1)] == (comp[:, None] != comp)[np.triu_indices(n, 1)]).all()
+
+
 def test_representatives_keep_one_row_a_component(documents):
     rows = corpus(6, 40)
     _, comp, sets = linked(rows, 5, 80, 100)
