@@ -104,7 +104,7 @@ def ask(parts: DataFrame, question: Callable[[Block], Packed],
     return path
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=3)
 def _folder(path: str, part: int) -> pa.Table:
     fs, name = file_system(f"{path}/part={part}")
     if fs.get_file_info(name).type == pafs.FileType.NotFound:

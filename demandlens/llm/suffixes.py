@@ -10,7 +10,10 @@ collection with short columns:
 2. The other contexts go to buckets by anchor, distinct ones once with their count; there the
    column-wise construction finds which of their strings occur twice. An anchor of more than
    ``HOT`` occurrences is split: its strings go, by ranges of offsets, to buckets by the bytes all
-   strings of the range share, so one passage with countless variants is not one bucket.
+   strings of the range share, so one passage with countless variants is not one bucket. What
+   runs over a passage's edge shares those bytes too, whatever follows: blocks count the distinct
+   pieces of each such route, and a route of more than ``HOT`` goes one string at a time, by the
+   string's own hash, so that equal strings still meet.
 3. Blocks remove the bytes that repeated strings cover.
 
 Defined cases: null text is empty; shorter texts hold no string and are kept; null or repeated
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .columns import repeated
 from .common import id_text, written
-from .exchange import Block, answers, ask, blocks
+from .exchange import PACKED, Block, answers, ask, blocks
 from .substring import _cut
 from .wordhash import groups, inverse, mix, powers
 
@@ -81,8 +84,9 @@ class Contexts:
     def hash(self, at: np.ndarray, size) -> np.ndarray:
         return mix((self.total[at + size] - self.total[at]) * self.undo[at])
 
-    def pieces(self, kept: np.ndarray, hot: np.ndarray, length: int):
-        """(first string, one past the last, route) of the kept contexts, hot ones in offset ranges."""
+    def pieces(self, kept: np.ndarray, hot: np.ndarray, length: int, crowded: np.ndarray | None = None):
+        """(first string, one past the last, route) of the kept contexts, hot ones in offset ranges,
+        those of ``crowded`` routes string by string."""
         plain = kept & ~hot
         out = [(self.begin[plain], self.end[plain], self.key[plain])]
         for i in np.flatnonzero(kept & hot).tolist():
@@ -94,7 +98,12 @@ class Contexts:
             core = a - band * RANGE                                # start of the range's rightmost string
             first = a - (band * RANGE + RANGE - 1)                 # of its leftmost
             size = first + length - core
-            out.append((lo, hi, mix(self.hash(core, size) + band.astype(np.uint64), 7)))
+            route = mix(self.hash(core, size) + band.astype(np.uint64), 7)
+            if crowded is not None and (many := np.isin(route, crowded)).any():
+                own = np.concatenate([np.arange(x, y) for x, y in zip(lo[many], hi[many])])
+                out.append((own, own + 1, mix(self.hash(own, length), 8)))
+                lo, hi, route = lo[~many], hi[~many], route[~many]
+            out.append((lo, hi, route))
         begin, end, route = (np.concatenate(x) for x in zip(*out))
         order = np.argsort(begin, kind="stable")
         return begin[order], end[order], route[order]
@@ -116,22 +125,38 @@ def anchors(found: Groups, buckets: int):
     return bucket[order], key[order], n[order]
 
 
-def _add_counts(bucket: int, asked: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+def _add_counts(bucket: int, asked: list[tuple[bytes, bytes]], hot: int = HOT) -> list[tuple[bytes, bytes]]:
     keys = [np.frombuffer(a, np.uint64) for a, _ in asked]
     _, back = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(back, np.concatenate([np.frombuffer(b, np.int64) for _, b in asked]))[back]
-    level = ((total > 1).astype(np.uint8) + (total > HOT)).astype(np.uint8)     # 0 once, 1 repeated, 2 hot
+    level = ((total > 1).astype(np.uint8) + (total > hot)).astype(np.uint8)     # 0 once, 1 repeated, 2 hot
     at = np.cumsum([0, *map(len, keys)])
     return [(level[a:b].tobytes(), b"") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def _pieces(found: Groups, length: int, levels: tuple[np.ndarray, np.ndarray]):
+def routes(found: Groups, length: int, levels: tuple[np.ndarray, np.ndarray], buckets: int):
+    """Routes of a block's hot contexts by bucket, and how many distinct pieces each has."""
+    known, level = levels
+    held: dict[int, set[bytes]] = {}
+    for _, _, c in found:
+        if len(c.key):
+            hot = level[np.searchsorted(known, c.key)] > 1
+            for s, e, r in zip(*(x.tolist() for x in c.pieces(hot, hot, length))):
+                held.setdefault(r, set()).add(hashlib.blake2b(c.data[s:e - 1 + length], digest_size=8).digest())
+    key = np.array(sorted(held), np.uint64)
+    n = np.array([len(held[k]) for k in key.tolist()], np.int64)
+    bucket = (mix(key, 3) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return bucket[order], key[order], n[order]
+
+
+def _pieces(found: Groups, length: int, levels: tuple[np.ndarray, np.ndarray], crowded: np.ndarray | None = None):
     """Per group: offset, texts, contexts and the pieces to compare."""
     known, level = levels
     for offset, own, c in found:
         if len(c.key):
             l = level[np.searchsorted(known, c.key)]
-            yield offset, own, c, c.pieces(l > 0, l > 1, length)
+            yield offset, own, c, c.pieces(l > 0, l > 1, length, crowded)
         else:
             yield offset, own, c, (c.begin, c.end, c.key)
 
@@ -157,7 +182,7 @@ def _find(bucket: int, asked: list[tuple[bytes, bytes]], length: int) -> list[tu
             for own in of]
 
 
-def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, kept (binary), n_bytes, n_removed, n_spans, kept_sha256."""
     parts = written(id_text(docs), "suffix-docs", compression="zstd")
     total = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -168,7 +193,7 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         b, key, n = anchors(contexts(block.texts, length), key_buckets)
         return [(k, key[own].tobytes(), n[own].astype(np.int64).tobytes()) for k, own in _cut(b, 1)]
 
-    counted = ask(parts, count, _add_counts, "suffix-anchors")
+    counted = ask(parts, count, lambda b, asked: _add_counts(b, asked, hot), "suffix-anchors")
 
     def levels(block: Block, own: Groups) -> tuple[np.ndarray, np.ndarray]:
         b, key, _ = anchors(own, key_buckets)
@@ -178,11 +203,30 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         order = np.argsort(key)
         return key[order], level[order]
 
+    def count_routes(block: Block):
+        if not any(b"\x02" in a for a, _ in answers(counted, block).values()):
+            return []
+        own = contexts(block.texts, length)
+        b, key, n = routes(own, length, levels(block, own), key_buckets)
+        return [(k, key[at].tobytes(), n[at].tobytes()) for k, at in _cut(b, 1)]
+
+    asked_again = None
+    if docs.sparkSession.read.schema(PACKED).parquet(counted).filter("contains(a, X'02')").limit(1).count():
+        asked_again = ask(parts, count_routes, lambda b, asked: _add_counts(b, asked, hot), "suffix-routes")
+
+    def crowded(block: Block, own: Groups, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray | None:
+        if asked_again is None or not (found := answers(asked_again, block)):
+            return None
+        b, key, _ = routes(own, length, known, key_buckets)
+        level = [np.frombuffer(found[k][0], np.uint8) for k, _ in _cut(b, 1)]
+        return key[np.concatenate(level) > 1]
+
     def strings(block: Block):
         """The pieces' distinct strings by bucket, and per group each piece's bucket and number there."""
         by: dict[int, dict[bytes, list[int]]] = {}
         spots, whole = [], contexts(block.texts, length)
-        for offset, own, c, (begin, end, route) in _pieces(whole, length, levels(block, whole)):
+        known = levels(block, whole)
+        for offset, own, c, (begin, end, route) in _pieces(whole, length, known, crowded(block, whole, known)):
             spot = []
             for s, e, b in zip(begin.tolist(), end.tolist(), (mix(route, 5) % np.uint64(buckets)).tolist()):
                 held = by.setdefault(b, {})

@@ -134,6 +134,44 @@ def check_hot_ranges(texts, length=90):
                 assert route.setdefault(c.data[s:s + length], r) == r
 
 
+def headers(n=30, length=90):
+    """Texts that share a header of more than ``length`` bytes and go on each in its own way, some alike."""
+    rng = random.Random(9)
+    header = " ".join(f"licence{k}" for k in range(20))
+    return [(3000 + i, f"{header} {rng.randint(0, n // 2)} own " + " ".join(str(rng.random()) for _ in range(12)))
+            for i in range(n)]
+
+
+def test_suffixes_with_crowded_routes_equal_brute_force(documents):
+    rows = corpus(5, 15) + headers()
+    got = suffixes.remove(documents(rows), 90, 3).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
+                  for r in got) == removed_bytes(rows, 90)
+
+
+def test_what_runs_over_a_shared_header_is_not_one_route(length=90):
+    c = suffixes.Contexts([t.encode() for _, t in headers()], length)
+    everything, most = np.ones(len(c.key), bool), 3
+
+    def distinct(pieces):
+        held = {}
+        for a, b, r in zip(*pieces):
+            held.setdefault(r, set()).add(c.data[a:b - 1 + length])
+        return {r: len(x) for r, x in held.items()}
+
+    before = distinct(c.pieces(everything, everything, length))
+    crowded = np.array([r for r, n in before.items() if n > most], np.uint64)
+    pieces = c.pieces(everything, everything, length, crowded)
+    assert len(crowded) and max(distinct(pieces).values()) <= most
+    starts, route = [], {}
+    for a, b, r in zip(*pieces):
+        for s in range(a, b):
+            starts.append(s)
+            assert route.setdefault(c.data[s:s + length], r) == r       # equal strings still meet
+    whole = c.pieces(everything, ~everything, length)
+    assert sorted(starts) == sorted(s for a, b in zip(*whole[:2]) for s in range(a, b))
+
+
 def test_suffixes_empty(documents):
     assert suffixes.remove(documents([])).count() == 0
 
