@@ -6,7 +6,8 @@ words of a short segment are averaged and a linear softmax over two classes give
 log-odds; a text is as toxic as its most toxic segment, so a few words count in a long text
 too. Vectors and softmax are trained jointly in numpy (Adam; first on whole-text averages,
 then on each text's most toxic segment), on the driver, from a bounded sample of labelled
-rows (``sample_rows`` a class, whole texts of at most ``sample_bytes``). Scoring covers all rows.
+rows (whole texts of any length in hash order: at most ``sample_rows`` a class, and none after
+``sample_rows * sample_bytes`` bytes of the class). Scoring covers all rows.
 
 Defined cases: a null, empty or wordless text scores as the median text of label 0; a null doc_id is held
 out and scored; repeated rows are scored each; of contradicting labels the larger holds; null
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_text
@@ -220,16 +221,19 @@ def held_out(modulus: int, fold: int):
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training, sample_rows: int,
                     sample_bytes: int) -> tuple[list[bytes], np.ndarray, float]:
-    """At most ``sample_rows`` whole texts of each class, chosen by a hash of doc_id, and label 1's share."""
+    """At most ``sample_rows`` whole texts of each class, in order of a hash of doc_id until a class has
+    ``sample_rows * sample_bytes`` bytes (its first text is always in), and label 1's share."""
     known = (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
              .select("doc_id", F.col(label).cast("int").alias("y")).filter(training)
              .groupBy("doc_id").agg(F.max("y").alias("y")))
     n, n1 = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    picked = [known.filter(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-              for k in (0, 1)]
+    texts = id_text(docs).filter(F.col("text").isNotNull())
+    sized = known.join(texts.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes")), "doc_id")
+    picked = [sized.filter(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+              .withColumn("before", F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) - F.col("bytes"))
+              .filter(F.col("before") < sample_rows * sample_bytes).select("doc_id", "y") for k in (0, 1)]
     rows = picked[0].unionByName(picked[1])              # at most 2 * sample_rows rows
-    fit = F.octet_length("text") <= sample_bytes
-    found = (id_text(docs).filter(fit).join(F.broadcast(rows), "doc_id")
+    found = (texts.join(F.broadcast(rows), "doc_id")
              .select("text", "y").orderBy("doc_id", "text").limit(2 * sample_rows).collect())
     return [r["text"].encode() for r in found], np.array([r["y"] for r in found], float), n1 / n if n else 0.0
 

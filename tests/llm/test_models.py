@@ -77,6 +77,18 @@ def test_toxicity_finds_unseen_inflections_in_long_texts(spark, documents):
     assert extra[2] > 0.5 > extra[1] and extra[3] == extra[4] < 0.5 and None in extra
 
 
+def test_toxicity_learns_from_long_labelled_texts(spark, documents):
+    """All labelled texts, or all toxic ones, are longer than 16 KB."""
+    rows, labels = planted(120, 4)
+    rows = [(i, t + " tha oner sting" * 1200) for i, t in rows]
+    docs, out = documents(rows), toxicity.held_out(5, 0)
+    made = spark.createDataFrame(labels, LABELS)
+    texts, y, _ = toxicity.labelled_sample(docs, made, "toxic", ~out, 1500, 1 << 14)
+    assert len(texts) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows) and 0 < y.mean() < 1
+    few, y, _ = toxicity.labelled_sample(docs, made, "toxic", ~out, 10, 1 << 13)       # 80 KB a class
+    assert sorted(y) == [0] * 5 + [1] * 5 and all(len(t) > 1 << 14 for t in few)
+
+
 def test_held_out_is_the_contract(spark):
     rows = spark.createDataFrame([(i,) for i in [*range(50), None]], "doc_id long")
     got = {r["doc_id"]: r["h"] for r in rows.select("doc_id", toxicity.held_out(5, 0).alias("h")).collect()}
