@@ -429,6 +429,19 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, longest: in
             .select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
 
 
+def links(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, longest: int = LONGEST) -> DataFrame:
+    """Every link between different sets once, verified: a_id, b_id, the smallest doc_id of each set's
+    rows (null if all are null), and n_a, n_b, how many rows have the set. All candidates are tried, also
+    within a component, so a group of k linked sets may give k * (k - 1) / 2 rows."""
+    rows = sets(numbered(id_text(docs)), n, num, den, longest)
+    classes, posted = _classes(rows)
+    pairs = written(_pairs(classes.withColumn("comp", F.col("sig")), num, den, None, posted, longest), "jaccard-pairs")
+    least = rows.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
+    sides = [least.select(F.col("sig").alias(k), F.col("id").alias(f"{k}_id"), F.col("rows").alias(f"n_{k}")) for k in ("a", "b")]
+    return (_links(pairs, classes, num, den).join(sides[0], "a").join(sides[1], "b")
+            .select("a_id", "b_id", "n_a", "n_b"))
+
+
 def representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows that stay when one row of each component does: the smallest doc_id (null last),
     then the first row. Rows without shingles stay."""

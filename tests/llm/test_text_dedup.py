@@ -354,6 +354,20 @@ def test_representatives_keep_one_row_a_component(documents):
     assert len(got) == want and got[0].asDict().keys() >= {"lang", "tk", "score", "part"}
 
 
+def test_links_equal_brute_force(documents):
+    """All links, also those between sets of one component."""
+    rows, held = corpus(3, 25) + templates(n=20), {}
+    for (i, _), s in zip(rows, linked(rows, 4, 85, 100)[2]):
+        if s:
+            held.setdefault(frozenset(s), []).append(i)
+    name = lambda own: (str(min((x for x in own if x is not None), default=None)), len(own))
+    want = [sorted([name(held[a]), name(held[b])]) for a in held for b in held
+            if id(a) < id(b) and 100 * len(a & b) >= 85 * len(a | b)]
+    for longest in (2, 1000):
+        got = jaccard.links(documents(rows), 4, 85, 100, longest).collect()
+        assert sorted(sorted([(str(r["a_id"]), r["n_a"]), (str(r["b_id"]), r["n_b"])]) for r in got) == sorted(want)
+
+
 def test_jaccard_empty(documents):
     assert jaccard.join(documents([])).count() == 0
     got = jaccard.join(documents([(1, None), (2, "")])).collect()
