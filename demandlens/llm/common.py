@@ -10,7 +10,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,3 +91,14 @@ def read_range(uri: str, offset: int, length: int) -> bytes:
     fs, path = file_system(uri)
     with fs.open_input_file(path) as f:
         return f.read_at(length, offset)
+
+
+def text_slices(batch: pa.RecordBatch, column: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose texts have about ``size`` bytes (a longer text is a run of
+    its own), so that work on a run takes bounded memory however long the texts are."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(lengths + 1) // size
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)

@@ -9,7 +9,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, packing, quality, rans, substring, suffixes, toxicity, warc
+from . import (ann, decontaminate, divergence, exact_topk, infill, jaccard, packing, quality, rans, substring, suffixes,
+               toxicity, warc)
 from .common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +65,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.restore(infill.transform(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                        F.sha2("restored", 256).alias("restored_sha256"))
+
+
 #: operators that read partitions in blocks of their own
 BY_BLOCKS = (op4_substring_sketch, op7_suffix_columns, op8_ngram_jaccard)
 
@@ -76,7 +91,7 @@ def _shipped(f: Query) -> Query:
     return run
 
 
-OPERATORS = (op1_quality, op2_token_rans, op3_learned_partitions, op4_substring_sketch, op5_best_two_fit, op6_decontamination, op7_suffix_columns, op8_ngram_jaccard, op9_warc, op10_toxicity)
+OPERATORS = (op1_quality, op2_token_rans, op3_learned_partitions, op4_substring_sketch, op5_best_two_fit, op6_decontamination, op7_suffix_columns, op8_ngram_jaccard, op9_warc, op10_toxicity, op11_exact_topk, op12_divergence, op13_infill)
 
 
 def queries() -> dict[str, Query]:
