@@ -3,14 +3,14 @@
 Strings are parsed into phrases that end after white space; a phrase is a symbol, ranked by its
 bytes, so symbol order is byte order. Each round inserts one symbol of every string, from the
 last to the first: the new suffix's place follows from its successor's by the last-to-first
-mapping, which needs only the transform so far. The state - preceding symbol, suffix, common
-prefix in bytes with the row above - lives in flat files that every round reads and rewrites
-from start to end; common prefixes are updated where rows were inserted.
+mapping, which needs only the transform so far and ranks only rows of the new symbols. The state -
+preceding symbol, suffix, common prefix in bytes with the row above - lives in a flat file that
+every round reads and rewrites from start to end; common prefixes are updated where rows were
+inserted. A collection is a bucket of bounded size, so its rows fit a task's memory too.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 import numpy as np
@@ -60,13 +60,14 @@ class Collection:
     def common(self, x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> np.ndarray:
         """Common prefix in bytes (at most ``cap``) of two suffixes of strings sx and sy."""
         low = np.zeros(len(x), np.int64)
-        high = np.minimum(np.minimum(self.last[sx] - x, self.last[sy] - y), self.cap)
-        while (open_ := low < high).any():
-            mid = (low + high + 1) >> 1
-            same = ((self.total[x + mid] - self.total[x]) * self.undo[x]
-                    == (self.total[y + mid] - self.total[y]) * self.undo[y]) & open_
-            low = np.where(same, mid, low)
-            high = np.where(same | ~open_, high, mid - 1)
+        most = np.minimum(np.minimum(self.last[sx] - x, self.last[sy] - y), self.cap)
+        hash_x, undo_x, hash_y, undo_y = self.total[x], self.undo[x], self.total[y], self.undo[y]
+        for k in range(int(most.max(initial=0)).bit_length() - 1, -1, -1):
+            to = low + (1 << k)
+            fits = to <= most
+            to = np.minimum(to, most)
+            same = (self.total[x + to] - hash_x) * undo_x == (self.total[y + to] - hash_y) * undo_y
+            low += (same & fits).astype(np.int64) << k
         n = self.byte[x + low] - self.byte[x]
         u, v = self.byte[x] + n, self.byte[y] + n
         room = np.minimum(np.minimum(self.end_byte[sx] - u, self.end_byte[sy] - v), self.cap - n)
@@ -80,62 +81,59 @@ class Collection:
 
     def build(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Suffixes (symbol numbers) in order with their strings and common prefixes."""
-        m = self.m
-        with tempfile.TemporaryDirectory(prefix="columns-") as folder:
-            names = ("before", "suffix", "string", "prefix")
-            kinds = (self.symbol.dtype, np.int32, np.int32, np.int16)
-            # the empty suffixes, in string order, are the first m rows
-            state = [self.before(self.last, np.arange(m)), self.last, np.arange(m), np.zeros(m, np.int64)]
-            files = [open(os.path.join(folder, name), "w+b") for name in names]
-            self._save(files, kinds, state)
-            newest, n = np.flatnonzero(self.first < self.last), m
+        m, kind = self.m, self.symbol.dtype
+        row = np.dtype([("before", kind), ("prefix", np.int16), ("suffix", np.int32)] + [("", np.int16)] * (3 * (kind.itemsize // 4)))
+        words = (-1, row.itemsize // 8) if row.itemsize > 8 else -1   # rows move as whole words
+        # the empty suffixes, in string order, are the first m rows; their strings are their numbers
+        rows = np.zeros(m, row)
+        rows["before"], rows["suffix"] = self.before(self.last, np.arange(m)), self.last
+        with tempfile.TemporaryFile(prefix="columns-") as file:
+            file.write(rows)
+            newest, of, n = np.flatnonzero(self.first < self.last), np.flatnonzero(self.first < self.last), m
             while len(newest):
-                before, suffix, string, prefix = self._load(files, kinds, n)
-                order = np.argsort(before, kind="stable")
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                place = m + place[newest]                             # last-to-first mapping
-                by = np.argsort(place, kind="stable")
-                newest, place = newest[by], place[by]
-                new_suffix, new_string = suffix[newest] - 1, string[newest]
-                new_before = self.before(new_suffix, new_string)
-                old = np.ones(len(before) + len(place), bool)
+                file.seek(0)
+                rows = np.fromfile(file, row, n)
+                before = np.ascontiguousarray(rows["before"])
+                place, symbol = self._mapped(before, newest), before[newest]
+                by = np.argsort(place)
+                place, symbol, suffix, of = place[by], symbol[by], rows["suffix"][newest[by]] - 1, of[by]
+                old = np.ones(n + len(place), bool)
                 old[place] = False
-
-                def insert(rows: np.ndarray, new: np.ndarray) -> np.ndarray:
-                    out = np.empty(len(old), rows.dtype)
-                    out[old], out[place] = rows, new
-                    return out
-
-                suffix, string = insert(suffix, new_suffix), insert(string, new_string)
-                before, prefix = insert(before, new_before), insert(prefix, np.zeros(len(place), np.int16))
-                touched = np.unique(np.concatenate([place, place + 1]))
+                merged = np.empty(len(old), row)
+                merged.view(np.uint64).reshape(words)[old] = rows.view(np.uint64).reshape(words)
+                new = np.zeros(len(place), row)
+                new["before"], new["suffix"] = self.before(suffix, of), suffix
+                merged[place] = new
+                # the pairs of neighbours that a new row is one of
+                touched = np.concatenate([place, place[np.append(place[1:] != place[:-1] + 1, True)] + 1])
                 touched = touched[(touched > m) & (touched < len(old))]
-                prefix[touched] = self.common(suffix[touched - 1].astype(np.int64), suffix[touched].astype(np.int64),
-                                              string[touched - 1], string[touched])
-                self._save(files, kinds, [before, suffix, string, prefix])
+                x, y = merged["suffix"][touched - 1].astype(np.int64), merged["suffix"][touched].astype(np.int64)
+                merged["prefix"][touched] = self.common(x, y, self.string[x], self.string[y])
+                file.seek(0)
+                file.write(merged)
                 n = len(old)
-                newest = place[new_before != self.none]
-            _, suffix, string, prefix = self._load(files, kinds, n)
-            for f in files:
-                f.close()
-        return suffix.astype(np.int64), string.astype(np.int64), prefix.astype(np.int64)
-
-    @staticmethod
-    def _save(files, kinds, state) -> None:
-        """Rewrite the files in place from their start: rows are only ever added."""
-        for f, kind, rows in zip(files, kinds, state):
-            f.seek(0)
-            f.write(rows.astype(kind, copy=False).tobytes())
-            f.flush()
-
-    @staticmethod
-    def _load(files, kinds, n: int) -> list[np.ndarray]:
-        out = []
-        for f, kind in zip(files, kinds):
-            f.seek(0)
-            out.append(np.frombuffer(f.read(n * np.dtype(kind).itemsize), kind))
-        return out
+                more = new["before"] != self.none
+                newest, of = place[more], of[more]
+            file.seek(0)
+            rows = np.fromfile(file, row, n)
+        suffix = rows["suffix"].astype(np.int64)
+        string = np.concatenate([np.arange(m), self.string[suffix[m:]]])
+        return suffix, string, rows["prefix"].astype(np.int64)
+
+    def _mapped(self, before: np.ndarray, newest: np.ndarray) -> np.ndarray:
+        """Last-to-first mapping of the newest rows: rows of smaller symbols, then those of the same
+        symbol above. Only rows of the newest symbols are ranked."""
+        total = np.bincount(before, minlength=self.none + 1)
+        smaller = np.cumsum(total) - total
+        wanted = np.zeros(self.none + 1, bool)
+        wanted[before[newest]] = True
+        ranked = np.flatnonzero(wanted[before])
+        order = np.argsort(before[ranked], kind="stable")
+        place = np.empty(len(ranked), np.int64)
+        place[order] = np.arange(len(ranked))
+        own = total * wanted
+        symbol = before[newest]
+        return self.m + smaller[symbol] + place[np.searchsorted(ranked, newest)] - (np.cumsum(own) - own)[symbol]
 
 
 def repeated(strings: list[bytes], times: np.ndarray, length: int) -> np.ndarray:

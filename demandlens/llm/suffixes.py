@@ -87,20 +87,21 @@ class Contexts:
     def pieces(self, kept: np.ndarray, hot: np.ndarray, length: int, crowded: np.ndarray | None = None):
         """(first string, one past the last, route) of the kept contexts, hot ones in offset ranges,
         those of ``crowded`` routes string by string."""
-        plain = kept & ~hot
+        plain, wide = kept & ~hot, np.flatnonzero(kept & hot)
         out = [(self.begin[plain], self.end[plain], self.key[plain])]
-        for i in np.flatnonzero(kept & hot).tolist():
-            a, b, e = int(self.at[i]), int(self.begin[i]), int(self.end[i])
-            # strings starting at a - offset, offsets in ranges of RANGE
-            edges = sorted({b, e, *range(e - 1 - (e - 1 - (a + 1)) % RANGE, b, -RANGE)} & set(range(b, e + 1)))
-            lo, hi = np.array(edges[:-1]), np.array(edges[1:])
-            band = (a - lo) // RANGE
-            core = a - band * RANGE                                # start of the range's rightmost string
-            first = a - (band * RANGE + RANGE - 1)                 # of its leftmost
-            size = first + length - core
-            route = mix(self.hash(core, size) + band.astype(np.uint64), 7)
+        if len(wide):
+            # strings starting at the anchor less an offset, offsets in ranges of RANGE
+            n = self.end[wide] - self.begin[wide]
+            of = np.repeat(np.arange(len(wide)), n)
+            at = _runs(self.begin[wide], n)
+            band = (self.at[wide][of] - at) // RANGE
+            edge = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (band[1:] != band[:-1])))
+            lo, hi = at[edge], at[np.append(edge[1:], len(at)) - 1] + 1
+            core = self.at[wide][of[edge]] - band[edge] * RANGE        # start of the range's rightmost string
+            size = length - RANGE + 1                                  # up to the end of its leftmost
+            route = mix(self.hash(core, size) + band[edge].astype(np.uint64), 7)
             if crowded is not None and (many := np.isin(route, crowded)).any():
-                own = np.concatenate([np.arange(x, y) for x, y in zip(lo[many], hi[many])])
+                own = _runs(lo[many], hi[many] - lo[many])
                 out.append((own, own + 1, mix(self.hash(own, length), 8)))
                 lo, hi, route = lo[~many], hi[~many], route[~many]
             out.append((lo, hi, route))
@@ -109,6 +110,11 @@ class Contexts:
         return begin[order], end[order], route[order]
 
 
+def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of each run in turn."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
 Groups = list[tuple[int, list[bytes], Contexts]]
 
 
@@ -137,14 +143,17 @@ def _add_counts(bucket: int, asked: list[tuple[bytes, bytes]], hot: int = HOT) -
 def routes(found: Groups, length: int, levels: tuple[np.ndarray, np.ndarray], buckets: int):
     """Routes of a block's hot contexts by bucket, and how many distinct pieces each has."""
     known, level = levels
-    held: dict[int, set[bytes]] = {}
+    held = [(np.zeros(0, np.uint64),) * 2]
     for _, _, c in found:
         if len(c.key):
             hot = level[np.searchsorted(known, c.key)] > 1
-            for s, e, r in zip(*(x.tolist() for x in c.pieces(hot, hot, length))):
-                held.setdefault(r, set()).add(hashlib.blake2b(c.data[s:e - 1 + length], digest_size=8).digest())
-    key = np.array(sorted(held), np.uint64)
-    n = np.array([len(held[k]) for k in key.tolist()], np.int64)
+            begin, end, route = c.pieces(hot, hot, length)
+            held.append((route, c.hash(begin, end - 1 + length - begin)))
+    route, piece = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((piece, route))
+    route, piece = route[order], piece[order]
+    new = np.append(True, (route[1:] != route[:-1]) | (piece[1:] != piece[:-1]))[:len(route)]
+    key, n = np.unique(route[new], return_counts=True)
     bucket = (mix(key, 3) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return bucket[order], key[order], n[order]
