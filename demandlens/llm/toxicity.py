@@ -26,11 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, text_slices
 from .wordhash import inverse, mix, powers
 
 BUCKETS, DIM, SEGMENT = 1 << 18, 8, 8
 NGRAMS = (3, 4, 5)
+#: words hashed at once
+RUN = 1 << 14
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»…“”‘’"
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -75,6 +77,16 @@ def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owner)
 
 
+def all_subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``subwords`` of any number of words, hashed a run of words at a time."""
+    parts = [(np.zeros(0, np.int32),) * 2]
+    for k in range(0, len(words), RUN):
+        bucket, of = subwords(words.slice(k, RUN))
+        parts.append((bucket, of + np.int32(k)))
+    buckets, owner = zip(*parts)
+    return np.concatenate(buckets), np.concatenate(owner)
+
+
 @dataclass
 class Model:
     """The trained parts folded into one number a bucket: log-odds are linear in the vectors."""
@@ -95,8 +107,8 @@ class Model:
         """Of each whole text: its most toxic segment's."""
         words, number, places = split_words(texts)
         weights = [np.zeros(0)]
-        for k in range(0, len(words), 1 << 16):
-            own = words.slice(k, 1 << 16)
+        for k in range(0, len(words), RUN):
+            own = words.slice(k, RUN)
             bucket, of = subwords(own)
             count = np.bincount(of, minlength=len(own))
             weights.append(np.bincount(of, self.weight[bucket], minlength=len(own)) / count)
@@ -124,18 +136,21 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
 
 
-def train(texts: list[bytes], labels: np.ndarray, class_share: float, seed: int = 7,
+def train(texts: list[bytes] | pa.Array, labels: np.ndarray, class_share: float, seed: int = 7,
           warm: int = 25, rounds: int = 120, rate: float = 0.05, min_uses: int = 12,
           decay: float = 5e-4) -> Model:
     """Joint training on whole texts; ``class_share`` is label 1's share before sampling by class."""
     y = labels.astype(np.float64)
     constant = Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 1.0, 0.0, float(class_share))
-    words, flat, places = split_words(pa.array(texts, pa.binary()).cast(pa.string()))
+    if isinstance(texts, list):
+        texts = pa.array(texts, pa.binary()).cast(pa.string())
+    words, flat, places = split_words(texts)
+    del texts
     kept = np.flatnonzero(np.diff(places))               # texts with words; the others take no places
     sizes, y = np.diff(places)[kept], y[kept]
     if not len(y) or y.min() == y.max():
         return constant
-    gram, word_of = subwords(words)
+    gram, word_of = all_subwords(words)
     g_len = np.bincount(word_of, minlength=len(words))
     uses = np.bincount(gram, np.bincount(flat, minlength=len(words))[word_of], minlength=BUCKETS)
     known = np.flatnonzero(uses >= min_uses)             # rarer buckets keep a zero vector
@@ -147,6 +162,7 @@ def train(texts: list[bytes], labels: np.ndarray, class_share: float, seed: int
     gram = np.concatenate([gram, np.zeros(len(words), np.int32)])[order]         # one zero a word
     g_kept = np.bincount(word_of, minlength=len(words)) + 1
     g_at = np.cumsum(g_kept) - g_kept
+    del order, word_of, uses, slot
     doc_at = np.cumsum(sizes) - sizes
     seg_at, seg_first, seg_len, seg_doc = segments(doc_at, sizes)
 
@@ -155,15 +171,28 @@ def train(texts: list[bytes], labels: np.ndarray, class_share: float, seed: int
     e[0] = 0
     w, b = rng.normal(0, 0.5, DIM), 0.0
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    moments = [np.zeros_like(e), np.zeros_like(e), np.zeros(DIM), np.zeros(DIM), 0.0, 0.0]
+    moments = [np.zeros_like(e), np.zeros_like(e), np.zeros(DIM), np.zeros(DIM), np.zeros(()), np.zeros(())]
 
     def adam(t: int, k: int, grad):
-        moments[k] = 0.9 * moments[k] + 0.1 * grad
-        moments[k + 1] = 0.99 * moments[k + 1] + 0.01 * grad * grad
-        return rate * (moments[k] / (1 - 0.9 ** t)) / (np.sqrt(moments[k + 1] / (1 - 0.99 ** t)) + 1e-8)
+        """The step of one parameter; works in the memory of its moments and of ``grad``."""
+        grad = np.asarray(grad, float)
+        moments[k] *= 0.9
+        moments[k] += 0.1 * grad
+        grad *= grad
+        grad *= 0.01
+        moments[k + 1] *= 0.99
+        moments[k + 1] += grad
+        np.divide(moments[k + 1], 1 - 0.99 ** t, out=grad)
+        np.sqrt(grad, out=grad)
+        grad += 1e-8
+        return np.divide(moments[k] * (rate / (1 - 0.9 ** t)), grad, out=grad)
 
     def forward() -> tuple[np.ndarray, np.ndarray]:
-        word = np.add.reduceat((e @ w)[gram], g_at) / g_len
+        value, word = e @ w, np.empty(len(g_len))
+        for k in range(0, len(word), RUN):
+            a, z = g_at[k], g_at[k + RUN] if k + RUN < len(word) else len(gram)
+            word[k:k + RUN] = np.add.reduceat(value[gram[a:z]], g_at[k:k + RUN] - a)
+        word /= g_len
         return word, np.add.reduceat(word[flat], seg_at) / seg_len
 
     for t in range(1, warm + rounds + 1):
@@ -182,11 +211,14 @@ def train(texts: list[bytes], labels: np.ndarray, class_share: float, seed: int
             at = ranges(seg_at[first], length)
             g_word = np.bincount(flat[at], np.repeat(delta / length, length), minlength=len(g_len))
         used = np.flatnonzero(g_word)
-        share = np.repeat(g_word[used] / g_len[used], g_kept[used])
-        own = ranges(g_at[used], g_kept[used])
-        g_s = np.bincount(gram[own], share, minlength=len(e))
+        g_s = np.zeros(len(e))
+        for k in range(0, len(used), RUN):               # the n-grams of a run of words at a time
+            own = used[k:k + RUN]
+            share = np.repeat(g_word[own] / g_len[own], g_kept[own])
+            g_s += np.bincount(gram[ranges(g_at[own], g_kept[own])], share, minlength=len(e))
         g_s[0] = 0
-        g_e, g_w = np.outer(g_s, w) + decay * e, e.T @ g_s
+        g_e, g_w = np.outer(g_s, w), e.T @ g_s
+        g_e += decay * e
         e -= adam(t, 0, g_e)
         e[0] = 0
         w = w - adam(t, 2, g_w)
@@ -220,7 +252,7 @@ def held_out(modulus: int, fold: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training, sample_rows: int,
-                    sample_bytes: int) -> tuple[list[bytes], np.ndarray, float]:
+                    sample_bytes: int) -> tuple[pa.Array, np.ndarray, float]:
     """At most ``sample_rows`` whole texts of each class, in order of a hash of doc_id until a class has
     ``sample_rows * sample_bytes`` bytes (its first text is always in), and label 1's share."""
     known = (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -234,17 +266,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training, sa
               .filter(F.col("before") < sample_rows * sample_bytes).select("doc_id", "y") for k in (0, 1)]
     rows = picked[0].unionByName(picked[1])              # at most 2 * sample_rows rows
     found = (texts.join(F.broadcast(rows), "doc_id")
-             .select("text", "y").orderBy("doc_id", "text").limit(2 * sample_rows).collect())
-    return [r["text"].encode() for r in found], np.array([r["y"] for r in found], float), n1 / n if n else 0.0
+             .select("doc_id", "text", "y").orderBy("doc_id", "text").limit(2 * sample_rows).toArrow())
+    return found.column("text").combine_chunks(), found.column("y").to_numpy().astype(float), n1 / n if n else 0.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, training, sample_rows: int = 1500,
-        sample_bytes: int = 1 << 14) -> Model:
+        sample_bytes: int = 1 << 13) -> Model:
     return train(*labelled_sample(docs, labels, "toxic", training, sample_rows, sample_bytes))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score of every row; ``keep`` names further columns to carry along."""
+    """doc_id, score of every row; ``keep`` names further columns to carry along (a column named
+    score is the new one, whatever ``keep`` says)."""
+    keep = tuple(c for c in keep if c != "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        *[F.col(c) for c in keep if c not in ("doc_id", "text")])
@@ -252,7 +286,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     schema = rows.select(*out).withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, "text")):
             z = shared.value.log_odds(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in out] + [pa.array(shared.value.probability(z))], names=[*out, "score"])

@@ -68,7 +68,7 @@ def test_toxicity_finds_unseen_inflections_in_long_texts(spark, documents):
     docs, out = documents(rows), toxicity.held_out(5, 0)
     model = toxicity.fit(docs, spark.createDataFrame(labels, LABELS), ~out)
     truth = {i: t for i, _, t, _ in labels}
-    got = toxicity.score(docs, model, keep=("lang", "part")).collect()
+    got = toxicity.score(docs, model, keep=("lang", "part", "score")).collect()
     held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     assert np.mean([(r["score"] >= 0.5) == truth[r["doc_id"]] for r in held]) > 0.95
     long = "tha oner sting " * 3000
@@ -86,7 +86,7 @@ def test_toxicity_learns_from_long_labelled_texts(spark, documents):
     texts, y, _ = toxicity.labelled_sample(docs, made, "toxic", ~out, 1500, 1 << 14)
     assert len(texts) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows) and 0 < y.mean() < 1
     few, y, _ = toxicity.labelled_sample(docs, made, "toxic", ~out, 10, 1 << 13)       # 80 KB a class
-    assert sorted(y) == [0] * 5 + [1] * 5 and all(len(t) > 1 << 14 for t in few)
+    assert sorted(y) == [0] * 5 + [1] * 5 and all(len(t) > 1 << 14 for t in few.to_pylist())
 
 
 def test_held_out_is_the_contract(spark):
