@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import count_where, money_out, nullif0, rnd
+from ..functions.numeric import count_where, flag, money_out, nullif0, rnd
 from ..sources.model import FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, Model
 
 
@@ -41,9 +42,17 @@ def contradiction_audit(ctx: DataFrame) -> DataFrame:
          .alias("unscorable_basket_quality_store_days"))
 
 
-def _row(table: str, rule: str, violations) -> list:
-    return [F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-            violations.cast("bigint").alias("violations")]
+def _rules(model: Model) -> list[tuple]:
+    """(table, rule, kind, key columns, parent table, parent column) of every declared rule."""
+    rules = [(t, f"unique({','.join(k)})", "unique", k, None, None) for t, k in PRIMARY_KEYS.items()]
+    rules.append(("holidays_events", "duplicate rows", "duplicate", model.holidays.columns, None, None))
+    rules += [(c, f"{ck} -> {p}.{pk}", "foreign", [ck], p, pk) for c, ck, p, pk in FOREIGN_KEYS]
+    has_id = "id" in model.train.columns          # the surrogate key, where the source has it
+    if has_id:
+        rules.append(("train", "unique(id)", "unique_known", ["id"], None, None))
+    for t, cols in NOT_NULL.items():
+        rules += [(t, f"not_null({c})", "not_null", [c], None, None) for c in (["id"] if t == "train" and has_id else []) + cols]
+    return rules
 
 
 def check_constraints(model: Model) -> DataFrame:
@@ -51,31 +60,37 @@ def check_constraints(model: Model) -> DataFrame:
 
     * key rules: number of key values that occur more than once (``holidays_events`` has
       no key, so whole duplicate rows are counted there),
-    * foreign keys: child rows whose key has no parent (a left anti join),
+    * foreign keys: child rows whose key has no parent,
     * NOT NULL: NULL count per column.
-    Every check is a distributed aggregate or join; only one row per rule is returned."""
-    checks = []
-    for table, keys in PRIMARY_KEYS.items():
-        dup = (model.table(table).groupBy(*keys).count().filter(F.col("count") > 1)
-               .agg(*_row(table, "unique(" + ",".join(keys) + ")", F.count(F.lit(1)))))
-        checks.append(dup)
-    h = model.table("holidays_events")
-    checks.append(h.groupBy(*h.columns).count().filter(F.col("count") > 1)
-                  .agg(*_row("holidays_events", "duplicate rows", F.coalesce(F.sum(F.col("count") - 1), F.lit(0)))))
-    for child, ck, parent, pk in FOREIGN_KEYS:
-        # keys grouped with their counts first: the join sees one row a key, however hot
-        c = model.table(child).groupBy(F.col(ck).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-        p = model.table(parent).select(F.col(pk).alias("_k"))
-        checks.append(c.join(p, "_k", "left_anti")
-                      .agg(*_row(child, f"{ck} -> {parent}.{pk}", F.coalesce(F.sum("_n"), F.lit(0)))))
-    if "id" in model.train.columns:          # the surrogate key, where the source has it
-        checks.append(model.train.filter(F.col("id").isNotNull()).groupBy("id").count().filter(F.col("count") > 1)
-                      .agg(*_row("train", "unique(id)", F.count(F.lit(1)))))
-    for table, cols in NOT_NULL.items():
-        t = model.table(table)
-        cols = (["id"] if table == "train" and "id" in t.columns else []) + cols
-        checks.append(t.agg(*[F.struct(*_row(table, f"not_null({c})", count_where(F.col(c).isNull())))
-                              .alias(c) for c in cols])
-                      .select(F.explode(F.array(*[F.col(c) for c in cols])).alias("r"))
-                      .select("r.*"))
-    return reduce(DataFrame.unionByName, checks)
+
+    Every table is read once: a row offers its key under each rule it takes part in, as child (or
+    only) side or as parent, and a NULL where there may be none. Keys are counted before they are
+    shuffled, so a hot key is one row a task; one grouping by (rule, key) serves unique and
+    foreign keys alike, and a second adds up each rule."""
+    rules = _rules(model)
+    key = lambda cols: F.array(*[F.col(c).cast("string") for c in cols])
+    entry = lambda k, v, here, there: F.struct(F.lit(k).alias("k"), v.alias("key"), F.lit(here).alias("here"), F.lit(there).alias("there"))
+    offers: dict[str, list] = {}
+    for k, (table, _, kind, cols, parent, parent_key) in enumerate(rules):
+        offer = entry(k, key(cols), 1, 0)
+        if kind == "not_null":
+            offer = F.when(F.col(cols[0]).isNull(), offer)
+        elif kind == "unique_known":
+            offer = F.when(F.col(cols[0]).isNotNull(), offer)
+        offers.setdefault(table, []).append(offer)
+        if parent:      # a NULL parent key is nobody's parent
+            offers.setdefault(parent, []).append(F.when(F.col(parent_key).isNotNull(), entry(k, key([parent_key]), 0, 1)))
+    stream = reduce(DataFrame.unionByName, [
+        model.table(t).select(F.explode(F.filter(F.array(*own), lambda e: e.isNotNull())).alias("e")).select("e.*")
+        for t, own in offers.items()])
+    keys = stream.groupBy("k", "key").agg(F.sum("here").alias("here"), F.max("there").alias("there"))
+    kinds = {kind: [k for k, r in enumerate(rules) if r[2].startswith(kind)] for kind in ("unique", "duplicate", "foreign", "not_null")}
+    bad = (F.when(F.col("k").isin(kinds["unique"]), flag(F.col("here") > 1))
+           .when(F.col("k").isin(kinds["duplicate"]), F.col("here") - 1)
+           .when(F.col("k").isin(kinds["foreign"]), F.when(F.col("there") == 0, F.col("here")).otherwise(0))
+           .otherwise(F.col("here")))
+    spark = model.train.sparkSession
+    names = spark.createDataFrame(pa.table({"k": pa.array(range(len(rules)), pa.int32()), "table_name": [r[0] for r in rules],
+                                            "rule": [r[1] for r in rules]}))
+    found = keys.groupBy("k").agg(F.sum(bad).alias("v"))
+    return names.join(found, "k", "left").select("table_name", "rule", F.coalesce("v", F.lit(0)).cast("bigint").alias("violations"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import dbl, dec_lit, exact_mean, money_out, nullif0, rnd
 from ..sources.sink import write_table
-from .ranking import dense_ranks, ntiles, percent_ranks, row_numbers
+from .ranking import Rank, ranked, row_numbers
 
 
 def settled(entity: DataFrame) -> DataFrame:
@@ -62,23 +62,21 @@ def quantile_segment(n: int, *order: Column) -> Column:
 
 def rank_percentiles(df: DataFrame, cols: dict) -> DataFrame:
     """Add one PERCENT_RANK column per entry {out: order column} of a settled table, ascending
-    with NULLs first (as the source dialect orders)."""
-    for out, c in cols.items():
-        df = percent_ranks(df, c, out)
-    return df
+    with NULLs first (as the source dialect orders). All columns share one rank index."""
+    return ranked(df, [Rank(c, {out: "percent"}) for out, c in cols.items()])
 
 
-def with_dense_rank_desc(df: DataFrame, value: str, out: str) -> DataFrame:
-    """DENSE_RANK by ``value`` descending (NULLs last) of a settled table."""
-    return dense_ranks(df, value, out, descending=True)
+def with_dense_ranks_desc(df: DataFrame, cols: dict) -> DataFrame:
+    """Add one DENSE_RANK column per entry {out: value}, descending with NULLs last, to a settled
+    table. All columns share one rank index."""
+    return ranked(df, [Rank(v, {out: "dense"}, True, False) for out, v in cols.items()])
 
 
 def quantile_segments(df: DataFrame, n: int, specs: dict, tie_break: str) -> DataFrame:
     """Add NTILE(n) columns {out: (value, descending)} to a settled table; NULL values sort first
-    ascending and last descending; ``tie_break`` (a unique key) orders equal values."""
-    for out, (v, desc) in specs.items():
-        df = ntiles(df, n, v, tie_break, out, desc)
-    return df
+    ascending and last descending; ``tie_break`` (a unique key) orders equal values. All columns
+    share one rank index."""
+    return ranked(df, [Rank(v, {out: n}, desc, not desc, tie_break) for out, (v, desc) in specs.items()])
 
 
 def concentration(entity_totals: DataFrame, value: str, label: str, key: str,
@@ -87,11 +85,11 @@ def concentration(entity_totals: DataFrame, value: str, label: str, key: str,
     top_1_share_pct, top_20pct_share_pct (share of the ceil(n * top_frac) largest).
     ``entity_totals`` (settled) has one row per ``key``."""
     total = dbl(entity_totals.agg(F.sum(value)).scalar())
-    ranked = row_numbers(entity_totals.select(F.col(value).alias("_v"), F.col(key).alias("_k")), "_v", "_k", "_rn",
-                         "_n", descending=True)
+    numbered = row_numbers(entity_totals.select(F.col(value).alias("_v"), F.col(key).alias("_k")), "_v", "_k", "_rn",
+                           "_n", descending=True)
     share = dbl("_v") / nullif0(total)
     in_top = F.col("_rn") <= F.ceil(F.col("_n") * dec_lit(top_frac))
-    return ranked.agg(
+    return numbered.agg(
         F.lit(label).alias("entity_type"),
         F.max("_n").alias("entity_count"),
         rnd(F.sum(share * share), 4).alias("hhi"),

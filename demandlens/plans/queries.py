@@ -20,7 +20,7 @@ from ..operators.events import (DESCRIPTION_SEPARATOR, MIXED_SCOPE, applicable_t
                                 distinct_list, lift_vs_baseline, top_events)
 from ..operators.stats import (affinity_index, coefficient_of_variation, concentration,
                                dense_rank_desc, quantile_segments, rank_percentiles, settled,
-                               share_of_total, sigma_band, top_n_share, with_dense_rank_desc,
+                               share_of_total, sigma_band, top_n_share, with_dense_ranks_desc,
                                with_share_of_total, zscore_outliers)
 from ..operators.temporal import (asof_fill, lag_positional, period_growth, rolling_mean,
                                   same_period_prior_year, trailing_compare, window_bounds)
@@ -235,10 +235,14 @@ def _family_revenue(L: Layer) -> DataFrame:
 
 
 def q08_concentration(L: Layer, top_frac: float = 0.20) -> DataFrame:
-    sf = settled(_store_family_revenue(L))
-    stores, families = (settled(sf.groupBy(k).agg(F.sum("revenue").alias("revenue"))) for k in ("store_nbr", "family"))
-    return (concentration(stores, "revenue", CONCENTRATION_LABELS[0], "store_nbr", top_frac)
-            .unionByName(concentration(families, "revenue", CONCENTRATION_LABELS[1], "family", top_frac))
+    # both entity tables come from one pass over the facts and are written once, as one table
+    key = F.explode(F.array(*[F.struct(F.lit(label).alias("kind"), F.col(c).cast("string").alias("key"))
+                              for label, c in zip(CONCENTRATION_LABELS, ("store_nbr", "family"))]))
+    entities = settled(_store_family_revenue(L).select(key.alias("e"), "revenue")
+                       .groupBy("e.kind", "e.key").agg(F.sum("revenue").alias("revenue")))
+    stores, families = (concentration(entities.filter(F.col("kind") == label), "revenue", label, "key", top_frac)
+                        for label in CONCENTRATION_LABELS)
+    return (stores.unionByName(families)
             .orderBy(rank_of(F.col("entity_type"), list(CONCENTRATION_LABELS))))
 
 
@@ -266,8 +270,7 @@ def q09_cluster_index(L: Layer, over: float = 1.20, under: float = 0.80) -> Data
 # ---------------------------------------------------------------- section 4: stores
 def q10_store_scorecard(L: Layer) -> DataFrame:
     s = settled(scorecard(L.context))
-    s = with_dense_rank_desc(s, "_revenue", "revenue_rank")          # on unrounded values
-    s = with_dense_rank_desc(s, "_sales_per_transaction", "basket_rank")
+    s = with_dense_ranks_desc(s, {"revenue_rank": "_revenue", "basket_rank": "_sales_per_transaction"})   # unrounded
     return (s.select(
         "store_nbr", "city", "state", "store_type", "cluster",
         money_out("_revenue").alias("total_revenue"),
