@@ -99,3 +99,25 @@ def test_cluster_sizing():
     assert int(c["spark.sql.shuffle.partitions"]) == 16000
     assert int(c["spark.sql.files.maxPartitionBytes"]) == 256 * 1024 * 1024
     assert int(cluster_conf(8)["spark.sql.shuffle.partitions"]) == 400      # floor for small clusters
+
+
+def test_constraints_read_each_table_once(spark, tmp_path):
+    """One scan a table and two groupings, with every kind of violation counted."""
+    from conftest import make_model
+    from demandlens.operators.audit import check_constraints
+    from demandlens.plans.storeday import materialise_model
+
+    day = "2017-01-01"
+    model = make_model(
+        spark, [(day, 1, "A", 1, 0), (day, 1, "A", 2, 0), (day, 1, "B", 1, 0), (day, 9, "A", 1, 0), (day, 9, "B", 1, 0)],
+        transactions=[(day, 1, 5), (day, 1, 6), (day, 8, 7)], oil=[(day, 1), (day, 2), ("2017-01-02", None)],
+        holidays=[(day, "Holiday", "National", "X", "d", "False")] * 3)
+    found = check_constraints(materialise_model(model, spark))
+    bad = {(r["table_name"], r["rule"]): r["violations"] for r in found.collect()}
+    assert {k: v for k, v in bad.items() if v} == {
+        ("train", "unique(date,store_nbr,family)"): 1, ("transactions", "unique(date,store_nbr)"): 1, ("oil", "unique(date)"): 1,
+        ("holidays_events", "duplicate rows"): 2, ("train", "store_nbr -> stores.store_nbr"): 2,
+        ("transactions", "store_nbr -> stores.store_nbr"): 1}
+    plan = found.select("*")._jdf.queryExecution().executedPlan().toString()          # not executed yet
+    assert plan.count("FileScan parquet") == 5 and plan.count("Exchange hashpartitioning") == 2
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
