@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from demandlens.session import scratch_path
 
+_LIBC = ctypes.CDLL(None)
+
 
 def ship(spark: SparkSession, batch_rows: int = 5000) -> None:
     """Let the executors import this library (once a SparkContext), as ``--py-files`` would, and
@@ -93,6 +96,22 @@ def read_range(uri: str, offset: int, length: int) -> bytes:
         return f.read_at(length, offset)
 
 
+def release() -> None:
+    """Give memory that was freed back to the system: allocators keep it, and a worker that waits
+    for its next task shares the executor's memory with tasks that need it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` over a partition's batches, and ``release`` at its end."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+    return whole
+
+
 def text_slices(batch: pa.RecordBatch, column: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows whose texts have about ``size`` bytes (a longer text is a run of
     its own), so that work on a run takes bounded memory however long the texts are."""

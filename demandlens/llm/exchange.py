@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from demandlens.session import scratch_path
 
-from .common import file_system, text_bytes
+from .common import file_system, release, text_bytes, tidy
 
 #: Text bytes of a block; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
@@ -94,12 +94,13 @@ def ask(parts: DataFrame, question: Callable[[Block], Packed],
     def merge(table: pa.Table) -> pa.Table:
         asked = list(zip(table.column("a").to_pylist(), table.column("b").to_pylist()))
         found = answer(table.column("bucket")[0].as_py(), asked)
+        release()
         return pa.Table.from_arrays([*(table.column(c) for c in _SCHEMA.names[:4]),
                                      pa.array([a for a, _ in found], pa.binary()),
                                      pa.array([b for _, b in found], pa.binary())], schema=_SCHEMA)
 
     path = scratch_path(parts.sparkSession, name)
-    found = parts.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(merge, PACKED)
+    found = parts.mapInArrow(tidy(send), PACKED).groupBy("bucket").applyInArrow(merge, PACKED)
     found.repartition("part").write.partitionBy("part").parquet(path)
     return path
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import id_text, written, release, tidy
 from .exchange import Block, answers, ask, blocks, pack_sorted, unpack_sorted
 from .graph import components
 from .substring import _cut
@@ -164,7 +164,7 @@ def sets(table: DataFrame, n: int, num: int, den: int, longest: int = LONGEST) -
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 2000]), SETS.types)],
                                                  schema=SETS)
 
-    return written(parts.mapInArrow(run, SETS_DDL), "jaccard-sets")
+    return written(parts.mapInArrow(tidy(run), SETS_DDL), "jaccard-sets")
 
 
 @dataclass
@@ -216,7 +216,7 @@ def _long_lists(classes: DataFrame, num: int, den: int, longest: int) -> Lists:
                 back.ravel(), minlength=len(key)), able)], names=["h", "comp", "n", "able"])
 
     found = (classes.filter(F.col("often") > 0).select("sig", "n", "comp", "prefix", "place", "often")
-             .mapInArrow(count, "h long, comp long, n long, able long")
+             .mapInArrow(tidy(count), "h long, comp long, n long, able long")
              .groupBy("h", "comp").agg(F.sum("n").alias("n"), F.sum("able").alias("able"))
              .groupBy("h").agg(F.sum("n").alias("n"), F.sum("able").alias("able"),
                                F.max(F.struct("n", "comp")).alias("most"))
@@ -358,10 +358,11 @@ def _pairs(classes: DataFrame, num: int, den: int, round_: int | None, posted: i
         pairs = _candidates(np.concatenate(all_("h", np.uint64)), of, np.concatenate(all_("place", np.uint32)).astype(np.int64),
                             np.concatenate(all_("side", np.uint8)), np.concatenate(known),
                             np.concatenate(all_("ranges", np.uint8)).reshape(-1, RANGES), num, den, round_)
+        release()
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return (classes.select("sig", "n", "comp", "prefix", "place", "ranges")
-            .mapInArrow(post, "bucket int, h binary, of binary, place binary, side binary, classes binary, ranges binary")
+            .mapInArrow(tidy(post), "bucket int, h binary, of binary, place binary, side binary, classes binary, ranges binary")
             .groupBy("bucket").applyInArrow(meet, "a long, b long").distinct())
 
 
@@ -378,7 +379,7 @@ def _links(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
             ok = pa.array(np.array(overlap, np.int64) >= need)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
-    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(verified, "a long, b long")
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(tidy(verified), "a long, b long")
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +394,7 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, int]:
     first = (rows.filter(F.col("prefix").isNotNull()).groupBy("sig")
              .agg(*[F.first(c).alias(c) for c in ("n", "prefix", "place", "often", "shared")])
              .filter(F.octet_length("prefix") > 0))
-    classes = written(first.mapInArrow(_ranges, "sig long, n long, prefix binary, place binary, often long, shared binary, "
+    classes = written(first.mapInArrow(tidy(_ranges), "sig long, n long, prefix binary, place binary, often long, shared binary, "
                                                 "ranges binary"), "jaccard-classes")
     return classes, int(classes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0)
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import id_text, written, tidy
 from .tokens import encoder, ids_crc32, tokenizer_path
 
 CAPACITY = 2048
@@ -54,7 +54,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
                 [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(PIECES), PIECES.types)],
                 schema=PIECES)
 
-    return id_text(docs).mapInArrow(cut, PIECES_DDL)
+    return id_text(docs).mapInArrow(tidy(cut), PIECES_DDL)
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Counter, int]]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import written, tidy
 from .exchange import Block, answers, ask, blocks, pack_sorted, unpack_sorted
 from .wordhash import Words, groups, words
 
@@ -183,7 +183,7 @@ def remove(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) ->
 
     ddl = ("doc_id long, text string, n_words long, n_removed long, kept_sha256 string, "
            "spans array<struct<first:long,words:long>>")
-    return parts.mapInArrow(apply, T.StructType(T.StructType.fromDDL(ddl).fields + [parts.schema[c] for c in keep]))
+    return parts.mapInArrow(tidy(apply), T.StructType(T.StructType.fromDDL(ddl).fields + [parts.schema[c] for c in keep]))
 
 
 _ROWS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()),

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, text_slices
+from .common import id_text, text_slices, tidy
 from .wordhash import inverse, mix, powers
 
 BUCKETS, DIM, SEGMENT = 1 << 18, 8, 8
@@ -291,4 +291,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in out] + [pa.array(shared.value.probability(z))], names=[*out, "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
