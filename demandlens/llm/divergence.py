@@ -35,7 +35,9 @@ from .common import text_slices, written
 #: Bytes of terms as they are counted; all others end a term.
 _LOWER = bytes(32 if b < 128 and not chr(b).isalpha() else b | 32 if chr(b) in string.ascii_uppercase else b for b in range(256))
 PARTS = 1_000_000_000
+#: Pairs of cells and rows of counts that a task holds at once.
 PAIRS = 1 << 20
+ROWS = 1 << 20
 
 
 def split_terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -72,8 +74,8 @@ def collapsed(docs: DataFrame) -> DataFrame:
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents with the term)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, source, term, n (occurrences), docs (documents with the term), lying by (lang, term)."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in text_slices(whole, "text")):
             terms, number, of = split_terms(batch.column("text"))
             if not len(number):
@@ -101,10 +103,32 @@ def term_counts(texts: DataFrame) -> DataFrame:
                  terms.take(pa.array(number)).cast(pa.string()), pa.array(total[0]), pa.array(total[1])],
                 names=["lang", "source", "term", "n", "docs"])
 
-    found = texts.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in counted(batches):
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= ROWS:
+                both = _added(held)
+                if both.num_rows < ROWS // 2:             # they combine well: go on
+                    held, rows = both.to_batches(), both.num_rows
+                else:
+                    yield from both.to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from _added(held).to_batches()
+
+    # combined by task, then dealt by (lang, term): the sums by source and by language need no other shuffle
+    found = texts.mapInArrow(run, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
+def _added(counts: list[pa.RecordBatch]) -> pa.Table:
+    sums = pa.Table.from_batches(counts).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+    return sums.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"]).combine_chunks()
+
+
 def share(count, total: Column, kept: Column) -> Column:
     """1 + floor(10^9 * (count + 2) / (total + 2 * kept)), exact."""
     top = (F.lit(PARTS).cast("decimal(10,0)") * (F.lit(count) if isinstance(count, int) else count).cast("decimal(19,0)")

@@ -97,6 +97,7 @@ def audited(rows, min_docs=10, top=10):
 @pytest.mark.parametrize("seed, pairs", [(1, 1 << 20), (2, 3)])
 def test_divergence_equals_brute_force(spark, monkeypatch, seed, pairs):
     monkeypatch.setattr(divergence, "PAIRS", pairs)
+    monkeypatch.setattr(divergence, "ROWS", 30 * pairs)
     rng = random.Random(seed)
     words = ["The", "of", "é", "Ünd", "日本", "a1b", "x-y", "tion", "q", "Z"]
     text = lambda: " ".join(rng.choice(words) * rng.randint(1, 2) for _ in range(rng.randint(0, 12)))
