@@ -7,7 +7,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import app_id
-from ..sources.tpch import bind_tpch
+from ..sources import load_model
 from .queries import QUERIES
 from .storeday import Layer, build_layer
 
@@ -20,7 +20,7 @@ def layer_for(spark: SparkSession, sf_dir: str, materialise: bool = True) -> Lay
     key = (app_id(spark), sf_dir.rstrip("/"), materialise)
     with _LOCK:
         if key not in _LAYERS:
-            _LAYERS[key] = build_layer(bind_tpch(spark, sf_dir), spark, materialise=materialise)
+            _LAYERS[key] = build_layer(load_model(spark, sf_dir, binding="tpch"), spark, materialise=materialise)
         return _LAYERS[key]
 
 

@@ -27,8 +27,10 @@ from ..operators.aggregates import entity_day_rollup
 from ..operators.events import SCOPES, applicable_events, attribute_events, collapse_events
 from ..operators.joins import enrich_with_flag
 from ..operators.temporal import forward_fill
-from ..sources.sink import write_table
-from ..sources.model import Model
+from ..session import scratch_path
+from ..sources.model import Model, in_months
+from ..sources.sink import write_dealt, write_table
+from .manifest import MONTH, Manifest, changed_months, fingerprints
 
 METRIC_COLUMNS = ["date", "month_start", "year_num", "month_num", "month_name", "weekday_num",
                   "weekday_name", "is_weekend", "store_nbr", "city", "state", "store_type",
@@ -37,7 +39,7 @@ METRIC_COLUMNS = ["date", "month_start", "year_num", "month_num", "month_name",
 ENRICHED_COLUMNS = METRIC_COLUMNS + ["transactions", "missing_transactions_flag", "oil_price",
                                      "missing_oil_flag", "promo_family_mix_pct",
                                      "sales_per_transaction"]
-MONTH_TASKS = 4         # tasks that write one month's folder
+LAYER_FILE_ROWS = 2_000_000   # rows of one file of a month's folder (about 200 MB)
 CONTEXT_COLUMNS = ENRICHED_COLUMNS + ["is_special_day", "is_holiday", "holiday_scope",
                                       "event_type_list", "event_description_list"]
 
@@ -93,6 +95,8 @@ class Layer:
     events: DataFrame          # applicable events (small calendar table)
     collation: str | None = None   # how locale names match store locations (None = binary)
     layout: str | None = None      # how the context was written (None: not written)
+    manifest: Manifest | None = None    # the valid month folders (layout 'monthly')
+    prints: dict | None = None     # fingerprints of the inputs by month, where taken at the build
     _cache: dict = field(default_factory=dict, repr=False)
 
     def last_date(self):
@@ -113,46 +117,58 @@ class Layer:
 def materialise_model(model: Model, spark: SparkSession) -> Model:
     """Write each derived model table once (the test binding derives them from raw tables).
     The five writes are independent jobs, submitted together so the small ones overlap."""
-    # No sort: nothing filters these tables by a range (the layer is the date-sorted one).
-    jobs = {"stores": (model.stores, ()), "train": (model.train, ()),
-            "transactions": (model.transactions, ()),
-            "holidays_events": (model.holidays, ()), "oil": (model.oil, ())}
+    # The facts go to one folder a month (a refresh reads only the months it rebuilds); nothing
+    # filters the others by a range.
+    train = model.train.withColumn(MONTH, F.trunc("date", "MM"))
+    jobs = {"stores": (model.stores, None), "train": (train, MONTH),
+            "transactions": (model.transactions, None),
+            "holidays_events": (model.holidays, None), "oil": (model.oil, None)}
     with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-        futures = {n: pool.submit(write_table, df, spark, n, sort) for n, (df, sort) in jobs.items()}
+        futures = {n: pool.submit(write_table, df, spark, n, (), by) for n, (df, by) in jobs.items()}
         t = {n: f.result() for n, f in futures.items()}
-    return Model(stores=t["stores"], train=t["train"], transactions=t["transactions"],
+    return Model(stores=t["stores"], train=t["train"].select(*model.train.columns), transactions=t["transactions"],
                  holidays=t["holidays_events"], oil=t["oil"], origin=model.origin,
-                 materialise=False)
-
-
-def _write_context(ctx: DataFrame, spark: SparkSession, layout: str) -> DataFrame:
-    if layout == "monthly":
-        # one folder a month, written by MONTH_TASKS tasks: (date, store_nbr) is unique in the
-        # layer, so its hash deals a month evenly even when one store or one day is hot
-        deal = F.pmod(F.xxhash64("date", "store_nbr"), F.lit(MONTH_TASKS))
-        return write_table(ctx, spark, "store_day_context", sort_by=("month_start", "date", "store_nbr"),
-                           partition_col="month_start", deal_by=("month_start", deal))
-    if layout == "sorted":
-        return write_table(ctx, spark, "store_day_context", sort_by=("date", "store_nbr"))
-    raise ValueError(layout)
-
-
-def _first_difference(old: DataFrame, new: DataFrame):
-    """Earliest date of a row that only one of two tables holds (duplicates count), or None."""
-    cols = old.columns
-    side = lambda df, n: df.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).select(
-        *cols, (F.lit(n) * F.col("_n")).alias("_n"))
-    both = side(old, 1).unionByName(side(new, -1)).groupBy(*cols).agg(F.sum("_n").alias("_n"))
-    return both.filter(F.col("_n") != 0).agg(F.min("date")).first()[0]
-
-
-def refresh_layer(layer: Layer, model: Model, since) -> Layer:
-    """Incremental refresh after new or corrected inputs: months from ``since`` (a date) on are
-    rebuilt, and earlier ones from the first month on in which events, filled oil prices or
-    transactions differ from those the layer was built on. Months before that are read as
-    written; rebuilt ones, also those that lost all rows, come from the new inputs alone.
-    Facts changed before ``since`` must be named by ``since``; a changed store dimension rebuilds
-    everything. The layer must have been built with layout='monthly'."""
+                 materialise=False, train_by_month=t["train"])
+
+
+def _layer_rows(model: Model, months=None) -> dict:
+    """A bound of the layer's rows by month: no more than the facts', nor 31 days of every store.
+    The facts' months are counted by task; where they are folders, no column is read."""
+    facts = model.train_by_month if model.train_by_month is not None else model.train.withColumn(MONTH, F.trunc("date", "MM"))
+    if months is not None:
+        facts = facts.filter(in_months(F.col(MONTH), months))
+    stores = model.stores.agg(F.count(F.lit(1))).scalar()
+    rows = facts.groupBy(MONTH).agg(F.count(F.lit(1)).alias("n")).select(MONTH, F.least("n", 31 * stores).alias("n"))
+    return {r[MONTH]: r["n"] for r in rows.collect()}       # a row a month
+
+
+def _write_months(ctx: DataFrame, spark: SparkSession, folder: str, counts: dict, file_rows: int) -> None:
+    # (date, store_nbr) is unique in the layer: its hash deals a large month evenly, even when one
+    # store or one day is hot
+    write_dealt(ctx, spark, folder, MONTH, counts, file_rows, key=("date", "store_nbr"), sort_by=("date", "store_nbr"))
+
+
+def _inputs(model: Model, since=None) -> dict[str, DataFrame]:
+    """What a month of the layer is made from, beside the stores; with ``since``, facts from its
+    month on."""
+    train = model.train
+    if since is not None:
+        first = F.lit(since.replace(day=1))
+        train = (train.filter(F.col("date") >= first) if model.train_by_month is None else
+                 model.train_by_month.filter(F.col(MONTH) >= first).select(*train.columns))
+    return {"train": train, "transactions": model.transactions, "oil": oil_prices_filled(model.oil),
+            "events": applicable_events(model.holidays)}
+
+
+def refresh_layer(layer: Layer, model: Model, since=None, file_rows: int = LAYER_FILE_ROWS) -> Layer:
+    """Incremental refresh after new or corrected inputs: the months in which facts, transactions,
+    filled oil prices or applicable events differ from those the layer was built on are written
+    anew, from their facts alone; the others are read as they are, and months without facts go.
+    A changed store dimension rebuilds everything.
+
+    Differences are found by fingerprints of each input's months (one pass over each, no shuffle
+    of rows). With ``since`` (a date) all months from its own on are rebuilt and facts before it
+    are taken as unchanged, unread. The layer must have been built with layout='monthly'."""
     if layer.layout != "monthly":
         raise ValueError("refresh_layer needs a layer built with layout='monthly'")
     spark, old = layer.spark, layer.model
@@ -160,32 +176,57 @@ def refresh_layer(layer: Layer, model: Model, since) -> Layer:
         model = materialise_model(model, spark)
     same_stores = (model.stores.exceptAll(old.stores).isEmpty() and old.stores.exceptAll(model.stores).isEmpty())
     if not same_stores:
-        return build_layer(model, spark, collation=layer.collation, layout="monthly")
-    changed = [d for d in (_first_difference(old.holidays, model.holidays),
-                           _first_difference(oil_prices_filled(old.oil), oil_prices_filled(model.oil)),
-                           _first_difference(old.transactions, model.transactions)) if d is not None]
-    first = min([since, *changed]).replace(day=1)
-    metrics = store_day_metrics(model.train.filter(F.col("date") >= first), model.stores)
-    tx = model.transactions.filter(F.col("date") >= first)
-    enriched = store_day_enriched(metrics, tx, oil_prices_filled(model.oil))
-    fresh = _write_context(store_day_context(enriched, model.holidays, layer.collation), spark, "monthly")
-    kept = layer.context.filter(F.col("month_start") < F.lit(first))
-    return Layer(spark=spark, model=model, context=kept.unionByName(fresh), events=applicable_events(model.holidays),
-                 collation=layer.collation, layout="monthly")
+        return build_layer(model, spark, collation=layer.collation, layout="monthly", file_rows=file_rows,
+                           track=layer.prints is not None)
+    was, now = layer.prints or fingerprints(_inputs(old, since)), fingerprints(_inputs(model, since))
+    first = since.replace(day=1) if since else None
+    if first:
+        trusted = {k: v for k, v in was.items() if k[0] == "train" and k[1] is not None and k[1] < first}
+        now |= trusted
+    stale = changed_months(was, now)
+    if first:
+        stale |= {m for _, m in now if m is not None and m >= first}
+    counts = _layer_rows(model, sorted(stale, key=str))
+    # a month that only others than its facts name may have facts or not; without, it goes
+    live = {m: g for m, g in layer.manifest.months.items() if m not in stale}
+    gen = layer.manifest.generation()
+    manifest = Manifest(layer.manifest.root, live | {m: gen for m in counts})
+    if counts:
+        metrics = store_day_metrics(model.facts(list(counts)), model.stores)
+        tx = model.transactions.filter(in_months(F.trunc("date", "MM"), list(counts)))
+        enriched = store_day_enriched(metrics, tx, oil_prices_filled(model.oil))
+        _write_months(store_day_context(enriched, model.holidays, layer.collation), spark, manifest.folder(gen),
+                      counts, file_rows)
+    prints = now if layer.prints is not None else None
+    return Layer(spark=spark, model=model, context=manifest.read(spark, layer.context.schema),
+                 events=applicable_events(model.holidays), collation=layer.collation, layout="monthly",
+                 manifest=manifest, prints=prints)
 
 
 def build_layer(model: Model, spark: SparkSession, materialise: bool = True,
-                collation: str | None = None, layout: str = "monthly") -> Layer:
+                collation: str | None = None, layout: str = "monthly", file_rows: int = LAYER_FILE_ROWS,
+                track: bool = False) -> Layer:
     """Build the store-day layer. ``materialise`` writes the layer (and the model tables, when
     the model says they are derived or parsed from text) under the checkpoint folder.
-    ``layout``: 'monthly' (one folder a month: queries over a date window read only its months)
-    or 'sorted' (rows sorted by date within files, no folders)."""
+    ``layout``: 'monthly' (one folder a month: queries over a date window read only its months; a
+    month has a file for each ``file_rows`` rows) or 'sorted' (rows sorted by date within files,
+    no folders). ``track`` takes the fingerprints that a refresh compares at once, for inputs that
+    are read in place and may be overwritten; else the refresh takes them from this model."""
+    if layout not in ("monthly", "sorted"):
+        raise ValueError(layout)
     if materialise and model.materialise:
         model = materialise_model(model, spark)
     metrics = store_day_metrics(model.train, model.stores)
     enriched = store_day_enriched(metrics, model.transactions, oil_prices_filled(model.oil))
     ctx = store_day_context(enriched, model.holidays, collation)
-    if materialise:
-        ctx = _write_context(ctx, spark, layout)
+    manifest = None
+    if materialise and layout == "monthly":
+        counts = _layer_rows(model)
+        manifest = Manifest(scratch_path(spark, "store_day_context"), {m: 0 for m in counts})
+        _write_months(ctx, spark, manifest.folder(0), counts, file_rows)
+        ctx = manifest.read(spark, ctx.schema)
+    elif materialise:
+        ctx = write_table(ctx, spark, "store_day_context", sort_by=("date", "store_nbr"))
     return Layer(spark=spark, model=model, context=ctx, events=applicable_events(model.holidays),
-                 collation=collation, layout=layout if materialise else None)
+                 collation=collation, layout=layout if materialise else None, manifest=manifest,
+                 prints=fingerprints(_inputs(model)) if track else None)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STORES_SCHEMA = T.StructType([
@@ -72,6 +73,12 @@ NOT_NULL = {
 }
 
 
+def in_months(month: Column, months) -> Column:
+    """Whether ``month`` is one of ``months``, None included if it is there."""
+    known = month.isin([m for m in months if m is not None])
+    return known | month.isNull() if None in months else known
+
+
 @dataclass
 class Model:
     stores: DataFrame
@@ -85,6 +92,15 @@ class Model:
     # plan (the test binding) or parsed from text (CSV); False for Parquet inputs, which are
     # already columnar files on durable storage (copying a large fact table would be waste).
     materialise: bool = True
+    # The fact table with its month_start, where it was written in one folder a month.
+    train_by_month: DataFrame | None = None
+
+    def facts(self, months) -> DataFrame:
+        """The facts of some months (first days; None for undated rows); of a table in folders only
+        theirs are read."""
+        if self.train_by_month is None:
+            return self.train.filter(in_months(F.trunc("date", "MM"), months))
+        return self.train_by_month.filter(in_months(F.col("month_start"), months)).select(*self.train.columns)
 
     def table(self, name: str) -> DataFrame:
         return {"stores": self.stores, "train": self.train, "transactions": self.transactions,
