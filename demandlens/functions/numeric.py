@@ -72,6 +72,30 @@ def exact_mean(c) -> Column:
     return F.sum(c).cast("double") / nullif0(F.count(c))
 
 
+RATIO = "decimal(32,9)"
+
+
+def exact_sum(c) -> Column:
+    """Aggregate: order-free sum of a DOUBLE, each value taken to 9 decimals first."""
+    return F.sum(col(c).cast(RATIO))
+
+
+def ratio_mean(c) -> Column:
+    """Aggregate: mean of a DOUBLE column (a ratio), as DOUBLE; NULL without values.
+
+    The values are summed as 9-decimal fixed point and divided as decimals, so the bits of the
+    result do not depend on how the rows were partitioned or in which order sums were merged."""
+    return (exact_sum(c) / nullif0(F.count(col(c)))).cast("double")
+
+
+def ratio_sd(c) -> Column:
+    """Aggregate: population standard deviation of a DOUBLE of few decimals, from fixed-point sums
+    of values (9 decimals) and squares (4 decimals: exact for values of two), free of order."""
+    n, total = nullif0(F.count(col(c))).cast("double"), exact_sum(c).cast("double")
+    squares = F.sum((dbl(c) * dbl(c)).cast("decimal(38,4)")).cast("double")
+    return F.when(n.isNotNull(), F.sqrt(F.greatest((squares - total * total / n) / n, F.lit(0.0))))
+
+
 def flag(cond: Column) -> Column:
     """0/1 integer flag (kept as an integer, never a boolean)."""
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))

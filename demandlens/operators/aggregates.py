@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import count_where, exact_mean, flag, pct_of, rnd, safe_div
+from ..functions.numeric import count_where, exact_mean, flag, pct_of, ratio_mean, rnd, safe_div
 from .stats import over_all, pearson, quantile_segment
 
 
@@ -32,7 +32,7 @@ def named_measures() -> dict:
         "store_days": lambda: F.count(F.lit(1)),
         "avg_store_day_revenue": lambda: exact_mean("total_sales"),
         "avg_transactions": lambda: exact_mean("transactions"),
-        "avg_sales_per_transaction": lambda: F.avg("sales_per_transaction"),
+        "avg_sales_per_transaction": lambda: ratio_mean("sales_per_transaction"),
         "active_stores": lambda: F.count_distinct(F.when(F.col("total_sales") > 0, F.col("store_nbr"))),
         "avg_promo_family_mix_pct": lambda: exact_mean("promo_family_mix_pct"),
         "avg_oil_price": lambda: exact_mean("oil_price"),

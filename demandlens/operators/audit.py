@@ -9,24 +9,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import count_where, flag, money_out, nullif0, rnd
+from ..functions.numeric import col, count_where, flag, money_out, nullif0, rnd
 from ..sources.model import FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, Model
 
 
+def with_distinct_counts(df: DataFrame, sums: dict, distinct: dict) -> DataFrame:
+    """One row: the ``sums`` {out: column to add} and exact distinct counts {out: integer column},
+    NULLs not counted.
+
+    A task sets one bit a value, in bitmaps of 32,768 values (4 KB) by bucket of the columns; the
+    bitmaps are merged by bucket and counted. So a row is read once however many columns are
+    counted, and what is shuffled is a few bitmaps a task and not its distinct values. Any 64-bit
+    value has its own bit; values far apart take a bitmap each."""
+    value = {out: col(c).cast("bigint") for out, c in distinct.items()}
+    buckets = {out: F.bitmap_bucket_number(v).alias("_b_" + out) for out, v in value.items()}
+    bits = [F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("_m_" + out) for out, v in value.items()]
+    local = df.groupBy(*buckets.values()).agg(*bits, *[F.sum(c).alias(out) for out, c in sums.items()])
+    # the few (bucket, bitmap) pairs in one column; the sums stay with the first
+    types = dict(local.dtypes)
+    own = lambda k, out: F.col(out) if k == 0 else F.lit(None).cast(types[out])
+    pairs = F.array(*[F.struct(F.lit(k).alias("_k"), F.col("_b_" + out).alias("_b"), F.col("_m_" + out).alias("_m"),
+                               *[own(k, s).alias(s) for s in sums]) for k, out in enumerate(distinct)])
+    merged = (local.select(F.explode(pairs).alias("e")).select("e.*").groupBy("_k", "_b")
+              .agg(F.bitmap_count(F.bitmap_or_agg("_m")).alias("_n"), *[F.sum(s).alias(s) for s in sums]))
+    return merged.agg(*[F.coalesce(F.sum(F.when(F.col("_k") == k, F.col("_n"))), F.lit(0)).cast("bigint").alias(out)
+                        for k, out in enumerate(distinct)], *[F.sum(s).alias(s) for s in sums])
+
+
 def coverage_audit(ctx: DataFrame) -> DataFrame:
-    n = F.count(F.lit(1))
-    miss_tx = count_where(F.col("missing_transactions_flag") == 1)
-    miss_oil = count_where(F.col("missing_oil_flag") == 1)
-    return ctx.agg(
+    counted = with_distinct_counts(
+        ctx, {"rows": F.lit(1), "revenue": F.col("total_sales"), "no_tx": flag(F.col("missing_transactions_flag") == 1),
+              "no_oil": flag(F.col("missing_oil_flag") == 1), "no_sales": flag(F.col("total_sales") == 0)},
+        {"days": F.unix_date("date"), "stores": "store_nbr"})
+    n = F.coalesce("rows", F.lit(0)).cast("bigint")
+    share = lambda c: rnd(F.lit(100.0) * F.col(c) / nullif0(n), 2)
+    return counted.select(
         n.alias("store_day_rows"),
-        F.count_distinct("date").alias("calendar_days"),
-        F.count_distinct("store_nbr").alias("stores_covered"),
-        money_out(F.sum("total_sales")).alias("total_revenue"),
-        miss_tx.alias("missing_transaction_store_days"),
-        rnd(F.lit(100.0) * miss_tx / nullif0(n), 2).alias("missing_transaction_pct"),
-        miss_oil.alias("missing_oil_store_days"),
-        rnd(F.lit(100.0) * miss_oil / nullif0(n), 2).alias("missing_oil_pct"),
-        count_where(F.col("total_sales") == 0).alias("zero_sales_store_days"))
+        F.col("days").alias("calendar_days"),
+        F.col("stores").alias("stores_covered"),
+        money_out("revenue").alias("total_revenue"),
+        F.col("no_tx").alias("missing_transaction_store_days"),
+        share("no_tx").alias("missing_transaction_pct"),
+        F.col("no_oil").alias("missing_oil_store_days"),
+        share("no_oil").alias("missing_oil_pct"),
+        F.col("no_sales").alias("zero_sales_store_days"))
 
 
 def contradiction_audit(ctx: DataFrame) -> DataFrame:

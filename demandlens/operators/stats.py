@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import dbl, dec_lit, exact_mean, money_out, nullif0, rnd
+from ..functions.numeric import dbl, dec_lit, exact_mean, money_out, nullif0, ratio_mean, ratio_sd, rnd
 from ..sources.sink import write_table
 from .ranking import Rank, ranked, row_numbers
 
@@ -113,9 +113,10 @@ def top_n_share(entity_totals: DataFrame, value: str, n: int, key: str) -> DataF
 
 def sigma_band(df: DataFrame, cols, k: float = 1.0) -> DataFrame:
     """Add _avg_<c> and _lo_<c> = mean - k * population sd of each column, over the whole
-    (entity-level) table: one aggregate used as a scalar."""
-    stats = df.agg(F.struct(*[F.avg(c).alias("m_" + c) for c in cols],
-                            *[F.stddev_pop(c).alias("s_" + c) for c in cols])).scalar()
+    (entity-level) table: one aggregate used as a scalar. Means and deviations do not depend on
+    the order of the rows, so a value at a bound falls on the same side in every run."""
+    stats = df.agg(F.struct(*[ratio_mean(c).alias("m_" + c) for c in cols],
+                            *[ratio_sd(c).alias("s_" + c) for c in cols])).scalar()
     return df.withColumns({"_avg_" + c: stats.getField("m_" + c) for c in cols}
                           | {"_lo_" + c: stats.getField("m_" + c) - F.lit(k) * stats.getField("s_" + c)
                              for c in cols})

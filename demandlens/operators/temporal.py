@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import col, pct_change
+from ..functions.numeric import col, pct_change, ratio_mean
 
 
 def forward_fill(df: DataFrame, value: str, order_by: str, partition_by=(),
@@ -84,14 +84,15 @@ def trailing_compare(value, date_col: str, anchor: Column, n: int, unit: str = "
                      how: str = "sum"):
     """Aggregate pair (recent, prior) of ``value`` over the last ``n`` units up to ``anchor``
     and the ``n`` units before them. ``how='sum'`` adds (0 outside the window, exact for
-    decimals); ``how='mean'`` averages the rows inside the window (NULL if none)."""
+    decimals); ``how='mean'`` averages the rows inside the window (NULL if none), free
+    of their order."""
     rlo, rhi, plo, phi = window_bounds(anchor, n, unit)
     recent, prior = in_range(date_col, rlo, rhi), in_range(date_col, plo, phi)
     v = col(value)
     if how == "sum":
         return (F.sum(F.when(recent, v).otherwise(F.lit(0))), F.sum(F.when(prior, v).otherwise(F.lit(0))))
     if how == "mean":
-        return F.avg(F.when(recent, v)), F.avg(F.when(prior, v))
+        return ratio_mean(F.when(recent, v)), ratio_mean(F.when(prior, v))
     raise ValueError(how)
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_label, month_start
-from ..functions.numeric import count_where, dbl, exact_mean, money_out, pct_change, rnd, safe_div
+from ..functions.numeric import (count_where, dbl, exact_mean, money_out, pct_change, ratio_mean, rnd,
+                                 safe_div)
 from ..operators.aggregates import (named_measures, conditional_uplift, period_kpi, regime_bins,
                                     scorecard, seasonality_matrix)
 from ..operators.audit import check_constraints, contradiction_audit, coverage_audit
@@ -403,7 +404,7 @@ def q15_oil_regimes(L: Layer, n: int = 4) -> DataFrame:
         rnd(F.min("_avg_oil_price"), 2).alias("min_avg_oil_price"),
         rnd(F.max("_avg_oil_price"), 2).alias("max_avg_oil_price"),
         rnd(exact_mean("_revenue"), 2).alias("avg_monthly_revenue"),
-        rnd(F.avg(safe_div("_revenue", "_transactions")), 2).alias("avg_basket_value"),
+        rnd(ratio_mean(safe_div("_revenue", "_transactions")), 2).alias("avg_basket_value"),
         F.max("_n").alias("months_compared"),
         rnd(F.max("_corr"), 4).alias("revenue_oil_correlation"))
         .orderBy("oil_price_quartile"))
