@@ -61,6 +61,20 @@ def _positions(docs: DataFrame, size: int, keep: list[str]) -> DataFrame:
     return whole.withColumn("sh", _hash("words", F.col("p") + 1, size))
 
 
+def _frequencies(split: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """Occurrences (sh, freq) over all documents of the shingles in ``wanted`` (distinct, written).
+
+    Occurrences are counted by task before they are dealt by shingle, so a shingle that a third of
+    the documents hold is one row a task. Within the broadcast threshold other shingles are left
+    out before that, beyond it after."""
+    at = _positions(split, size, ["words"]).select("sh")
+    small = _fits_broadcast(split.sparkSession, wanted)
+    if small:
+        at = at.join(F.broadcast(wanted), "sh", "left_semi")
+    count = at.groupBy("sh").agg(F.count("*").alias("freq"))
+    return count if small else count.join(wanted, "sh", "left_semi")
+
+
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc_id, tk, start from 0, n, wid) of item windows in documents, and (wid, item)."""
     spark = docs.sparkSession
@@ -74,9 +88,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
             "wid", "w", "n", F.posexplode(F.sequence(F.lit(1), F.col("n") - size + 1)).alias("o", "from"))
         own = own.withColumn("sh", _hash("w", F.col("from"), size)).drop("from")
         own = written(own, f"benchmark-shingles-{size}")
-        count = (_positions(split.select("words"), size, ["words"]).select("sh")
-                 .join(own.select("sh").distinct(), "sh", "left_semi")
-                 .groupBy("sh").agg(F.count("*").alias("freq")))
+        count = _frequencies(split.select("words"), size, written(own.select("sh").distinct(), f"benchmark-sh-{size}"))
         # rarest first; a window whose rarest shingle never occurs occurs nowhere
         rank = F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "sh", "o")
         prefix = (own.join(count, "sh", "left").groupBy("wid").agg(F.min(rank).alias("r"), F.first("w").alias("w"),
