@@ -18,6 +18,7 @@ KEPT_EVENT_TYPES = ["Holiday", "Additional", "Bridge", "Event", "Transfer"]
 HOLIDAY_TYPE = "Holiday"
 # (scope label = value of `locale`, store column matched against `locale_name`; None = all)
 SCOPES = [("National", None), ("Regional", "state"), ("Local", "city")]
+SALTS = 16      # parts of the targets of one (date, scope, key)
 MIXED_SCOPE = "Mixed"
 NO_EVENT = "None"
 TYPE_SEPARATOR = ", "
@@ -43,30 +44,41 @@ def _scope_key(match_col, collation: str | None = None) -> Column:
     return _ckey((F.col(match_col) if match_col is not None else F.lit("")).cast("string"), collation)
 
 
-def attribute_events(events: DataFrame, targets: DataFrame, scopes=SCOPES,
-                     date_col: str = "date", keep=("store_nbr",), collation: str | None = None) -> DataFrame:
+def attribute_events(events: DataFrame, targets: DataFrame, scopes=SCOPES, date_col: str = "date",
+                     keep=("store_nbr",), collation: str | None = None, salts: int = SALTS) -> DataFrame:
     """One row per (target row, applicable event): date, keep..., holiday_scope,
     event_type, description. ``targets`` carries the date and the scope columns.
 
     One pass over ``targets``: rows on event days (semi join on the event dates) offer one
     (scope, key) pair per scope -- a fixed fan-out of len(scopes) -- and a single equi-join on
-    (date, scope, key) against the event side (broadcast when small) finds every applicable
-    event."""
-    ev = _event_keys(events, scopes, collation).select(
+    (date, scope, key) against the event side finds every applicable event.
+
+    The event side is broadcast when small. Where it is not, a date that many targets share (its
+    National key is one key) would be one task: so targets carry one of ``salts`` salts, by the
+    hash of their own columns, and every event is there once for each."""
+    salt = F.pmod(F.xxhash64(date_col, *keep), F.lit(salts)).cast("int")
+    ev = _copies(_event_keys(events, scopes, collation).select(
         F.col("date").alias("_ev_date"), F.col("locale").alias("_ev_scope"), "_ev_key",
-        F.col("type").alias("event_type"), "description")
+        F.col("type").alias("event_type"), "description"), salts)
     # Most target rows fall on days without any event: keep only event days (a semi join
     # against the calendar-sized set of event dates) before offering the scope keys.
-    event_days = ev.select(F.col("_ev_date").alias("_d")).distinct()
-    targets = targets.join(event_days, targets[date_col] == event_days["_d"], "left_semi")
-    keyed = (targets.select(F.col(date_col).alias(date_col), *keep,
+    event_days = _copies(events.filter(F.col("locale").isin([label for label, _ in scopes]))
+                         .select(F.col("date").alias("_ev_date")).distinct(), salts)
+    targets = targets.withColumn("_salt", salt)
+    targets = targets.join(event_days, (targets[date_col] == event_days["_ev_date"])
+                           & (targets["_salt"] == event_days["_ev_salt"]), "left_semi")
+    keyed = (targets.select(F.col(date_col).alias(date_col), *keep, "_salt",
                             F.explode(_scope_offers(targets, scopes, collation)).alias("_o"))
-             .select(date_col, *keep, "_o.holiday_scope", "_o._key"))
-    cond = ((keyed[date_col] == ev["_ev_date"]) & (keyed["holiday_scope"] == ev["_ev_scope"])
-            & (keyed["_key"] == ev["_ev_key"]))
+             .select(date_col, *keep, "_salt", "_o.holiday_scope", "_o._key"))
+    cond = ((keyed[date_col] == ev["_ev_date"]) & (keyed["_salt"] == ev["_ev_salt"])
+            & (keyed["holiday_scope"] == ev["_ev_scope"]) & (keyed["_key"] == ev["_ev_key"]))
     return keyed.join(ev, cond).select(date_col, *keep, "holiday_scope", "event_type", "description")
 
 
+def _copies(df: DataFrame, salts: int) -> DataFrame:
+    return df.withColumn("_ev_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+
+
 def _scope_offers(targets: DataFrame, scopes, collation: str | None) -> Column:
     """Per target row: one (holiday_scope, _key) struct per scope, as an array to explode."""
     return F.array(*[F.struct(F.lit(label).alias("holiday_scope"), _scope_key(mc, collation).alias("_key"))

@@ -3,20 +3,23 @@ trailing-window comparison and same-period-prior-year matching."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.numeric import col, pct_change, ratio_mean
+from . import scan
 
 
 def forward_fill(df: DataFrame, value: str, order_by: str, partition_by=(),
-                 out: str | None = None) -> DataFrame:
+                 out: str | None = None, segments: int | None = None) -> DataFrame:
     """Carry the last non-NULL ``value`` forward over the rows that exist (ordered by
     ``order_by``); rows before the first known value stay NULL. No rows are created: a date
     missing from ``df`` stays missing (use ``asof_fill`` to fill a spine).
 
-    Without ``partition_by`` the window is one series; use it for calendar-sized series
-    (one row per date), partition by the series key otherwise."""
+    Without ``partition_by`` the rows are one series, scanned in segments (``scan.fill``). With it each
+    series is a window of its own; say ``segments`` where a single series may be hot."""
+    if segments or not partition_by:
+        return scan.fill(df, value, order_by, out or value, partition_by, segments or scan.SEGMENTS)
     w = (Window.partitionBy(*partition_by).orderBy(order_by)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return df.withColumn(out or value, F.last(F.col(value), ignorenulls=True).over(w))
@@ -42,16 +45,29 @@ def asof_fill(values: DataFrame, spine: DataFrame, key: str, value: str,
             .select(*partition_by, key, out))
 
 
-def rolling_mean(value: str, order_by: str, rows: int) -> Column:
+def rolling_mean(value: str, order_by: str, rows: int, over: WindowSpec | None = None) -> Column:
     """Mean over the current and ``rows - 1`` preceding rows (partial at the start), from an
-    exact sum of the (decimal) inputs."""
-    w = Window.orderBy(order_by).rowsBetween(-(rows - 1), Window.currentRow)
+    exact sum of the (decimal) inputs. For period-sized tables; ``over`` is another ordered window,
+    such as one of ``scan.look_back``."""
+    w = (over or Window.orderBy(order_by)).rowsBetween(-(rows - 1), Window.currentRow)
     return F.sum(value).over(w).cast("double") / F.count(value).over(w)
 
 
-def lag_positional(value: str, order_by: str, n: int) -> Column:
-    """Value ``n`` rows earlier (a missing period shifts the comparison)."""
-    return F.lag(value, n).over(Window.orderBy(order_by))
+def lag_positional(value: str, order_by: str, n: int, over: WindowSpec | None = None) -> Column:
+    """Value ``n`` rows earlier (a missing period shifts the comparison). For period-sized tables, or
+    ``over`` another ordered window."""
+    return F.lag(value, n).over(over or Window.orderBy(order_by))
+
+
+def rolling_means(df: DataFrame, value: str, order_by: str, rows: int, out: str, partition_by=()) -> DataFrame:
+    """``rolling_mean`` as a column of a series of any length."""
+    made = {out: lambda w: rolling_mean(value, order_by, rows, w)}
+    return scan.look_back(df, order_by, rows - 1, made, partition_by)
+
+
+def lags_positional(df: DataFrame, value: str, order_by: str, n: int, out: str, partition_by=()) -> DataFrame:
+    """``lag_positional`` as a column of a series of any length."""
+    return scan.look_back(df, order_by, n, {out: lambda w: lag_positional(value, order_by, n, w)}, partition_by)
 
 
 def lag_calendar(df: DataFrame, value: str, period: str, months: int, out: str,
