@@ -3,7 +3,8 @@
 1. Partitions sketch in how many documents each shingle occurs (count-min, as sparse slices);
    the estimate and the hash order all shingles, rarest first, the same way everywhere.
    A shingle that is estimated to occur in one document can match nothing and is not posted.
-2. Documents with the same set are one class. A class posts the other shingles of its prefix
+2. Documents with the same set, by a 128-bit signature, are one class; a class has a number of its
+   own, made from its first row's. A class posts the other shingles of its prefix
    (size - needed overlap + 1 rarest). Classes that share a posted shingle are candidates if
    their sizes allow the threshold (length) and so do their places in both orders (positional).
    So do the counts of their shared shingles in hash ranges, an upper bound of the overlap
@@ -49,7 +50,7 @@ LONGEST = 1 << 15           # classes of a posting list that is not cut
 COPIES = 1 << 20            # postings of a batch that are dealt out at once
 RANGES = 128                # hash ranges of the suffix filter
 ROUNDS, REACH = 2, 2        # rounds among neighbours, neighbours tried on each side
-ROW = "jaccard_row__"       # internal column; documents must not have it
+ROW = "jaccard_row__"       # internal column, the last; another name where documents have it
 
 
 def needed(a, b, num: int, den: int):
@@ -115,16 +116,19 @@ def _estimates(h: np.ndarray, width: int, path: str, block: Block) -> np.ndarray
     return least
 
 
-SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("prefix", pa.binary()),
+SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("prefix", pa.binary()),
                   ("place", pa.binary()), ("often", pa.int64()), ("shared", pa.binary())])
-SETS_DDL = "row long, doc_id long, n long, sig long, prefix binary, place binary, often long, shared binary"
+SETS_DDL = "row long, doc_id long, n long, mark binary, prefix binary, place binary, often long, shared binary"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The rows, written, with doc_id and text first and a number of their own (``ROW``) last."""
+    """The rows, written, with doc_id and text first and a number of their own last."""
+    taken, key = {c.lower() for c in docs.columns}, ROW
+    while key in taken:
+        key += "_"
     first = {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}
     rest = [F.col(c) for c in docs.columns if c not in first]
-    return written(docs.select(*[v.alias(c) for c, v in first.items()], *rest, F.monotonically_increasing_id().alias(ROW)),
+    return written(docs.select(*[v.alias(c) for c, v in first.items()], *rest, F.monotonically_increasing_id().alias(key)),
                    "jaccard-docs", compression="zstd")
 
 
@@ -132,7 +136,7 @@ def sets(table: DataFrame, n: int, num: int, den: int, longest: int = LONGEST) -
     """Per row of a numbered table: size and signature of its set; the first of its class in a block also
     carries the posted prefix shingles, their places, how many of them (the last ones) may have more than
     ``longest`` postings, and all shingles estimated to be shared."""
-    parts = table.select("doc_id", "text", ROW)
+    parts = table.select("doc_id", "text", F.col(table.columns[-1]).alias(ROW))
     total = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = max(1 << 16, LOAD * total // 6)         # about six bytes a word; only efficiency depends on it
     path = ask(parts, lambda block: _sketch(shingles(block.texts, n)[1], width), _add_sketches, "jaccard-sketch")
@@ -149,17 +153,17 @@ def sets(table: DataFrame, n: int, num: int, den: int, longest: int = LONGEST) -
                     rows.append((r, i, 0, None, None, None, None, None))
                     continue
                 own, f = h[a:b], freq[a:b]
-                sig = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+                mark = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                 prefix = place = often = shared = None
                 common = np.flatnonzero(f > 1)
                 alone, bound = size - len(common), size - (-(-num * size // den)) + 1
-                if alone < bound and sig not in seen:
-                    seen.add(sig)
+                if alone < bound and mark not in seen:
+                    seen.add(mark)
                     order = common[np.lexsort((own[common], f[common]))][:bound - alone]
                     prefix, shared = own[order].tobytes(), own[common].tobytes()
                     place = np.arange(alone, alone + len(order), dtype=np.uint32).tobytes()
                     often = int(np.count_nonzero(f[order] >= min(255, longest + 1)))    # an estimate is never too low
-                rows.append((r, i, size, sig, prefix, place, often, shared))
+                rows.append((r, i, size, mark, prefix, place, often, shared))
             for k in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 2000]), SETS.types)],
                                                  schema=SETS)
@@ -383,19 +387,23 @@ def _links(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class number (as many different ones as rows), and counts of the shared shingles by hash range."""
     for batch in batches:
+        sig = mix(batch.column("row").to_numpy(zero_copy_only=False).view(np.uint64), 30).view(np.int64)
         rows = [np.minimum(np.bincount((np.frombuffer(x, np.uint64) >> np.uint64(57)).astype(np.int64), minlength=RANGES), 255)
                 .astype(np.uint8).tobytes() for x in batch.column("shared").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*batch.schema.names, "ranges"])
+        yield pa.RecordBatch.from_arrays([pa.array(sig), *batch.columns[1:], pa.array(rows, pa.binary())],
+                                         names=["sig", *batch.schema.names[1:], "ranges"])
 
 
 def _classes(rows: DataFrame) -> tuple[DataFrame, int]:
     """The classes that post shingles, written, and how many postings they have."""
-    first = (rows.filter(F.col("prefix").isNotNull()).groupBy("sig")
-             .agg(*[F.first(c).alias(c) for c in ("n", "prefix", "place", "often", "shared")])
-             .filter(F.octet_length("prefix") > 0))
-    classes = written(first.mapInArrow(tidy(_ranges), "sig long, n long, prefix binary, place binary, often long, shared binary, "
-                                                "ranges binary"), "jaccard-classes")
+    first = (rows.filter(F.col("prefix").isNotNull()).groupBy("mark")
+             .agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "prefix", "place", "often", "shared")])
+             .filter(F.octet_length("prefix") > 0)
+             .select("row", "mark", "n", "prefix", "place", "often", "shared"))
+    classes = written(first.mapInArrow(tidy(_ranges), "sig long, mark binary, n long, prefix binary, place binary, often long, "
+                                                "shared binary, ranges binary"), "jaccard-classes")
     return classes, int(classes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0)
 
 
@@ -416,16 +424,20 @@ def tagged(table: DataFrame, n: int, num: int, den: int, longest: int = LONGEST)
             links = links.unionByName(labels.filter(F.col("node") != F.col("comp"))
                                       .select(F.col("node").alias("a"), F.col("comp").alias("b")))
         labels = written(components(links), "jaccard-labels")
-    found = (rows.select("row", "doc_id", F.col("n").alias("n_shingles"), "sig")
-             .join(labels, F.col("sig") == F.col("node"), "left")
-             .select("row", "doc_id", "n_shingles", F.coalesce("comp", "sig").alias("class")))
+    names = [classes.select(F.col("sig").alias(k), F.col("mark").alias(v)) for k, v in (("node", "mark"), ("comp", "own"))]
+    linked = labels.join(names[0], "node").join(names[1], "comp").select("mark", "own")
+    found = (rows.select("row", "doc_id", F.col("n").alias("n_shingles"), "mark").join(linked, "mark", "left")
+             .select("row", "doc_id", "n_shingles", F.coalesce("own", "mark").alias("class")))
     return written(found, "jaccard-tagged")
 
 
 def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, longest: int = LONGEST) -> DataFrame:
     """doc_id, n_shingles, component_id of every row (links: den * overlap >= num * union)."""
     found = tagged(numbered(id_text(docs)), n, num, den, longest)
-    least = found.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
+    # written, so that the join has a shuffle of its own and a hot component can be split there
+    least = written(found.filter(F.col("class").isNotNull()).groupBy("class")
+                    .agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+                    .filter(F.col("rows") > 1).select("class", "least"), "jaccard-least")
     return (found.join(least, "class", "left")
             .select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
 
@@ -437,7 +449,8 @@ def links(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, longest: i
     rows = sets(numbered(id_text(docs)), n, num, den, longest)
     classes, posted = _classes(rows)
     pairs = written(_pairs(classes.withColumn("comp", F.col("sig")), num, den, None, posted, longest), "jaccard-pairs")
-    least = rows.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
+    least = (rows.filter(F.col("mark").isNotNull()).groupBy("mark").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
+             .join(classes.select("sig", "mark"), "mark"))
     sides = [least.select(F.col("sig").alias(k), F.col("id").alias(f"{k}_id"), F.col("rows").alias(f"n_{k}")) for k in ("a", "b")]
     return (_links(pairs, classes, num, den).join(sides[0], "a").join(sides[1], "b")
             .select("a_id", "b_id", "n_a", "n_b"))
@@ -451,4 +464,5 @@ def representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     stay = (found.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min(order)["row"].alias("row")).select("row")
             .unionByName(found.filter(F.col("class").isNull()).select("row")))
-    return table.join(stay.withColumnRenamed("row", ROW), ROW, "left_semi").drop(ROW)
+    key = table.columns[-1]
+    return table.join(stay.withColumnRenamed("row", key), key, "left_semi").drop(key)

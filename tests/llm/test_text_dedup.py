@@ -7,7 +7,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from demandlens.llm import columns, decontaminate, exchange, graph, jaccard, substring, suffixes
 
@@ -352,6 +354,17 @@ def test_representatives_keep_one_row_a_component(documents):
     got = jaccard.representatives(documents(rows)).collect()
     want = len({c for c, s in zip(comp, sets) if s}) + sum(not s for s in sets)
     assert len(got) == want and got[0].asDict().keys() >= {"lang", "tk", "score", "part"}
+    clash = documents(rows).withColumn(jaccard.ROW, F.lit("own")).withColumn(jaccard.ROW.upper() + "_", F.lit(1))
+    got = jaccard.representatives(clash).collect()
+    assert len(got) == want and {r[jaccard.ROW] for r in got} == {"own"}
+
+
+def test_class_numbers_are_distinct():
+    """Class numbers come from row numbers by a bijection, so signatures of 128 bits are all that joins sets."""
+    row = np.concatenate([np.arange(1000), (np.arange(1, 1001) << 33) + 5]).astype(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(row), pa.array([b""] * len(row))], names=["row", "shared"])
+    got = next(jaccard._ranges(iter([batch])))
+    assert got.schema.names == ["sig", "shared", "ranges"] and len(set(got.column("sig").to_pylist())) == len(row)
 
 
 def test_links_equal_brute_force(documents):
