@@ -10,7 +10,8 @@ Plan shape: the fact table is aggregated first (partial + final hash aggregate o
 (date, store_nbr)); transactions are joined on the same keys, so the aggregate's hash
 partitioning is reused; the dimension-sized sides (stores, the oil calendar, the event
 digests) are broadcast when their statistics are under the session's threshold (they are
-read from written tables, so the planner knows their size), else shuffle-joined.
+read from written tables, so the planner knows their size), else shuffle-joined. A written
+layer is dealt to its month folders as narrow rows; the calendar's columns are added after that.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import date_parts
+from ..functions.calendar import date_parts, month_start
 from ..functions.numeric import pct_rounded_decimal, safe_div
 from ..operators.aggregates import entity_day_rollup
 from ..operators.events import SCOPES, applicable_events, attribute_events, collapse_events
@@ -55,6 +56,21 @@ def store_day_metrics(train: DataFrame, stores: DataFrame) -> DataFrame:
     return date_parts(m, "date").select(*METRIC_COLUMNS)
 
 
+def _with_transactions(rows: DataFrame, transactions: DataFrame) -> DataFrame:
+    return enrich_with_flag(rows, transactions, ["date", "store_nbr"], "transactions",
+                            "transactions", default=0, flag_col="missing_transactions_flag")
+
+
+def _with_oil(rows: DataFrame, oil_filled: DataFrame) -> DataFrame:
+    e = enrich_with_flag(rows, oil_filled, "date", "oil_price_filled", "oil_price",
+                         flag_col="missing_oil_flag")
+    return e.select(
+        *METRIC_COLUMNS, "transactions", "missing_transactions_flag", "oil_price", "missing_oil_flag",
+        pct_rounded_decimal("promoted_family_count", "family_rows").alias("promo_family_mix_pct"),
+        F.when(F.col("transactions") > 0, safe_div("total_sales", "transactions"))
+         .alias("sales_per_transaction"))
+
+
 def oil_prices_filled(oil: DataFrame) -> DataFrame:
     """V2: last known price carried over the oil calendar's own rows (no rows created)."""
     return forward_fill(oil.select("date", "dcoilwtico"), "dcoilwtico", "date",
@@ -64,15 +80,7 @@ def oil_prices_filled(oil: DataFrame) -> DataFrame:
 def store_day_enriched(metrics: DataFrame, transactions: DataFrame, oil_filled: DataFrame) -> DataFrame:
     """V3: transactions (0 + flag when missing), oil (NULL + flag when missing), promo mix
     (exact 2-dp percentage) and sales per transaction (NULL without transactions)."""
-    e = enrich_with_flag(metrics, transactions, ["date", "store_nbr"], "transactions",
-                         "transactions", default=0, flag_col="missing_transactions_flag")
-    e = enrich_with_flag(e, oil_filled, "date", "oil_price_filled", "oil_price",
-                         flag_col="missing_oil_flag")
-    return e.select(
-        *METRIC_COLUMNS, "transactions", "missing_transactions_flag", "oil_price", "missing_oil_flag",
-        pct_rounded_decimal("promoted_family_count", "family_rows").alias("promo_family_mix_pct"),
-        F.when(F.col("transactions") > 0, safe_div("total_sales", "transactions"))
-         .alias("sales_per_transaction"))
+    return _with_oil(_with_transactions(metrics, transactions), oil_filled)
 
 
 def store_day_context(enriched: DataFrame, holidays: DataFrame, collation: str | None = None) -> DataFrame:
@@ -131,21 +139,39 @@ def materialise_model(model: Model, spark: SparkSession) -> Model:
                  materialise=False, train_by_month=t["train"])
 
 
-def _layer_rows(model: Model, months=None) -> dict:
-    """A bound of the layer's rows by month: no more than the facts', nor 31 days of every store.
-    The facts' months are counted by task; where they are folders, no column is read."""
+def _layer_rows(model: Model, months=None) -> tuple[dict, int]:
+    """A bound of the layer's rows by month: no more than the facts', nor 31 days of every store; and
+    the facts' rows in all. The facts' months are counted by task; where they are folders, no column
+    is read."""
     facts = model.train_by_month if model.train_by_month is not None else model.train.withColumn(MONTH, F.trunc("date", "MM"))
     if months is not None:
         facts = facts.filter(in_months(F.col(MONTH), months))
     stores = model.stores.agg(F.count(F.lit(1))).scalar()
-    rows = facts.groupBy(MONTH).agg(F.count(F.lit(1)).alias("n")).select(MONTH, F.least("n", 31 * stores).alias("n"))
-    return {r[MONTH]: r["n"] for r in rows.collect()}       # a row a month
-
+    rows = facts.groupBy(MONTH).agg(F.count(F.lit(1)).alias("n")).select(MONTH, "n", F.least("n", 31 * stores).alias("most"))
+    found = rows.collect()       # a row a month
+    return {r[MONTH]: r["most"] for r in found}, sum(r["n"] for r in found)
+
+
+def _write_months(model: Model, facts: DataFrame, transactions: DataFrame, collation: str | None, folder: str,
+                  counts: dict, fact_rows: int, file_rows: int) -> None:
+    """Write the context of some months' facts. The rows are dealt to the months' folders while they
+    are narrow (the measures and the store's columns); what follows from the calendar - date parts,
+    oil, events - is added by the task that writes them."""
+    if fact_rows < 2 * sum(counts.values()):
+        # hardly two facts a store-day: to add them up before the shuffle would hold a task's whole
+        # share of the facts as groups, and make it no smaller
+        facts = facts.select("date", "store_nbr", "sales", "onpromotion").repartition("date", "store_nbr")
+    daily = _with_transactions(entity_day_rollup(facts, ("date", "store_nbr"), "sales", "onpromotion"), transactions)
+    days = daily.join(store_dimension(model.stores), "store_nbr").withColumn(MONTH, month_start("date"))
+
+    def widen(dealt: DataFrame) -> DataFrame:
+        enriched = _with_oil(date_parts(dealt, "date"), oil_prices_filled(model.oil))
+        return store_day_context(enriched, model.holidays, collation)
 
-def _write_months(ctx: DataFrame, spark: SparkSession, folder: str, counts: dict, file_rows: int) -> None:
     # (date, store_nbr) is unique in the layer: its hash deals a large month evenly, even when one
     # store or one day is hot
-    write_dealt(ctx, spark, folder, MONTH, counts, file_rows, key=("date", "store_nbr"), sort_by=("date", "store_nbr"))
+    write_dealt(days, facts.sparkSession, folder, MONTH, counts, file_rows, key=("date", "store_nbr"),
+                sort_by=("date", "store_nbr"), widen=widen)
 
 
 def _inputs(model: Model, since=None) -> dict[str, DataFrame]:
@@ -186,17 +212,14 @@ def refresh_layer(layer: Layer, model: Model, since=None, file_rows: int = LAYER
     stale = changed_months(was, now)
     if first:
         stale |= {m for _, m in now if m is not None and m >= first}
-    counts = _layer_rows(model, sorted(stale, key=str))
+    counts, fact_rows = _layer_rows(model, sorted(stale, key=str))
     # a month that only others than its facts name may have facts or not; without, it goes
     live = {m: g for m, g in layer.manifest.months.items() if m not in stale}
     gen = layer.manifest.generation()
     manifest = Manifest(layer.manifest.root, live | {m: gen for m in counts})
     if counts:
-        metrics = store_day_metrics(model.facts(list(counts)), model.stores)
         tx = model.transactions.filter(in_months(F.trunc("date", "MM"), list(counts)))
-        enriched = store_day_enriched(metrics, tx, oil_prices_filled(model.oil))
-        _write_months(store_day_context(enriched, model.holidays, layer.collation), spark, manifest.folder(gen),
-                      counts, file_rows)
+        _write_months(model, model.facts(list(counts)), tx, layer.collation, manifest.folder(gen), counts, fact_rows, file_rows)
     prints = now if layer.prints is not None else None
     return Layer(spark=spark, model=model, context=manifest.read(spark, layer.context.schema),
                  events=applicable_events(model.holidays), collation=layer.collation, layout="monthly",
@@ -221,9 +244,9 @@ def build_layer(model: Model, spark: SparkSession, materialise: bool = True,
     ctx = store_day_context(enriched, model.holidays, collation)
     manifest = None
     if materialise and layout == "monthly":
-        counts = _layer_rows(model)
+        counts, fact_rows = _layer_rows(model)
         manifest = Manifest(scratch_path(spark, "store_day_context"), {m: 0 for m in counts})
-        _write_months(ctx, spark, manifest.folder(0), counts, file_rows)
+        _write_months(model, model.train, model.transactions, collation, manifest.folder(0), counts, fact_rows, file_rows)
         ctx = manifest.read(spark, ctx.schema)
     elif materialise:
         ctx = write_table(ctx, spark, "store_day_context", sort_by=("date", "store_nbr"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+TASK_ROWS = 500_000     # rows of small folders that share a writing task
+
 
 def write_table(df: DataFrame, spark: SparkSession, name: str, sort_by=(),
                 partition_col: str | None = None) -> DataFrame:
@@ -53,15 +55,20 @@ def deal(counts: dict, rows_per_file: int, parallelism: int) -> tuple[dict, int]
 
 
 def write_dealt(df: DataFrame, spark: SparkSession, path: str, partition_col: str, counts: dict,
-                rows_per_file: int, key=(), sort_by=()) -> None:
+                rows_per_file: int, key=(), sort_by=(), widen=None) -> None:
     """Write ``df`` under ``path`` in one folder per value of ``partition_col``. ``counts`` (rows per
     value, or a bound of them) sets the tasks of each folder, see ``deal``; within a folder a hash
-    of ``key`` (unique columns) deals the rows, so no single key can load one task."""
-    plan, tasks = deal(counts, rows_per_file, spark.sparkContext.defaultParallelism)
+    of ``key`` (unique columns) deals the rows, so no single key can load one task.
+
+    ``widen`` adds what need not be shuffled: columns of the row itself and of small tables. Small
+    folders share a task up to ``TASK_ROWS`` rows, so that a task sorts its rows in memory."""
+    busy = max(spark.sparkContext.defaultParallelism, sum(counts.values()) // TASK_ROWS)
+    plan, tasks = deal(counts, rows_per_file, busy)
     schema = pa.schema([("_value", pa.date32()), ("_first", pa.int32()), ("_tasks", pa.int32())])
     rows = pa.table([list(plan), [t for t, _ in plan.values()], [n for _, n in plan.values()]], schema=schema)
     own = spark.createDataFrame(rows)            # a row a folder: the planner knows its size
     slot = F.coalesce(F.col("_first") + F.pmod(F.xxhash64(*key), F.col("_tasks").cast("bigint")).cast("int"), F.lit(0))
     dealt = (df.join(own, df[partition_col].eqNullSafe(own["_value"]), "left")
              .repartitionById(max(1, tasks), slot).select(*df.columns))
-    dealt.sortWithinPartitions(partition_col, *sort_by).write.mode("overwrite").partitionBy(partition_col).parquet(path)
+    wide = widen(dealt) if widen else dealt
+    wide.sortWithinPartitions(partition_col, *sort_by).write.mode("overwrite").partitionBy(partition_col).parquet(path)

@@ -170,3 +170,29 @@ def test_tracked_layer_sees_a_file_overwritten_in_place(spark, tmp_path):
     fresh = refresh_layer(layer, read())
     assert {m for m, g in fresh.manifest.months.items() if g == 1} == {COLD}
     assert _same(fresh.context, build_layer(read(), spark).context)
+
+
+def test_layer_is_dealt_while_narrow(spark, monkeypatch):
+    """What follows from the calendar is not shuffled, facts that hardly share a store-day are not
+    added up before their shuffle, and a task writes a bounded number of rows of small months."""
+    from conftest import make_model
+    from demandlens.plans import storeday
+    from demandlens.sources import sink
+
+    seen = []
+    write = storeday.write_dealt
+    monkeypatch.setattr(storeday, "write_dealt", lambda df, *a, **k: (seen.append((df, k["widen"](df))), write(df, *a, **k))[1])
+    monkeypatch.setattr(sink, "TASK_ROWS", 3)
+    rows = [(f"2017-{m:02d}-{d:02d}", s, "A", 1, 0) for m in (1, 2, 3, 4) for d in (1, 2) for s in (1, 2, 3)]
+    many = [(d, s, f"F{i}", 1, 0) for d, s, *_ in rows for i in range(40)]
+    holidays = [("2017-01-01", "Holiday", "National", "X", "d", "False")]
+    L = storeday.build_layer(make_model(spark, rows, holidays=holidays, oil=[("2017-01-02", 50)]), spark)
+    storeday.build_layer(make_model(spark, many, holidays=holidays), spark)
+    (narrow, wide), (few, _) = seen
+    assert not set(narrow.columns) & {"month_name", "weekday_name", "oil_price", "is_holiday", "event_description_list"}
+    assert wide.columns == storeday.CONTEXT_COLUMNS
+    plan = lambda df: df.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan(narrow) and "REPARTITION_BY_COL" not in plan(few)
+    found = {(r["date"].isoformat(), r["store_nbr"]): (r["month_name"], r["is_holiday"], r["oil_price"]) for r in L.context.collect()}
+    assert len(found) == len(rows) and len(L.context.inputFiles()) >= 4
+    assert found["2017-01-01", 1][:2] == ("January", 1) and found["2017-01-02", 3] == ("January", 0, 50)
