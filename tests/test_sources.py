@@ -121,3 +121,33 @@ def test_constraints_read_each_table_once(spark, tmp_path):
     plan = found.select("*")._jdf.queryExecution().executedPlan().toString()          # not executed yet
     assert plan.count("FileScan parquet") == 5 and plan.count("Exchange hashpartitioning") == 2
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_constraint_keys_are_grouped_after_their_shuffle(spark):
+    """No groups before the shuffle, keys of unlike parts stay apart, NULL keys group, and a NULL child
+    key has no parent."""
+    from conftest import STORES
+    from demandlens.operators.audit import check_constraints
+    from demandlens.sources.model import Model
+
+    day = "DATE'2017-01-01'"
+    table = lambda columns, *rows: spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({columns})")
+    model = Model(
+        stores=table("store_nbr, city, state, type, cluster", *[str(s) for s in STORES], "(NULL, 'c', 's', 'A', 1)"),
+        train=table("date, store_nbr, family, sales, onpromotion", f"({day}, 1, NULL, 1.0, 0)", f"({day}, 1, NULL, 1.0, 0)",
+                    f"({day}, 2, '-', 1.0, 0)", f"({day}, 2, NULL, 1.0, 0)", f"({day}, NULL, 'A', NULL, 0)", f"({day}, 9, '', 1.0, 0)"),
+        transactions=table("date, store_nbr, transactions", f"({day}, 1, 1)", f"({day}, 11, 1)", f"({day}, NULL, NULL)"),
+        holidays=table("date, type, locale, locale_name, description, transferred", f"({day}, 'a', 'bc', 'd', 'e', NULL)",
+                       f"({day}, 'ab', 'c', 'd', 'e', NULL)", f"({day}, 'ab', 'c', 'd', 'e', NULL)"),
+        oil=table("date, dcoilwtico", f"({day}, 1.0)", "(NULL, 1.0)", "(NULL, 2.0)"))
+    found = check_constraints(model)
+    bad = {(r["table_name"], r["rule"]): r["violations"] for r in found.collect()}
+    assert {k: v for k, v in bad.items() if v} == {
+        ("train", "unique(date,store_nbr,family)"): 1, ("oil", "unique(date)"): 1, ("holidays_events", "duplicate rows"): 1,
+        ("train", "store_nbr -> stores.store_nbr"): 2, ("transactions", "store_nbr -> stores.store_nbr"): 2,
+        ("stores", "not_null(store_nbr)"): 1, ("train", "not_null(store_nbr)"): 1, ("train", "not_null(family)"): 3,
+        ("train", "not_null(sales)"): 1, ("transactions", "not_null(store_nbr)"): 1, ("transactions", "not_null(transactions)"): 1,
+        ("holidays_events", "not_null(transferred)"): 3, ("oil", "not_null(date)"): 2}
+    plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
+    first = plan[plan.rindex("Exchange hashpartitioning"):]               # the lowest exchange and what is under it
+    assert "REPARTITION_BY_NUM" in first.splitlines()[0] and "HashAggregate" not in first
