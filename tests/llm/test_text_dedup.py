@@ -391,3 +391,35 @@ def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(300)] + [(1000, 1001), (2000, 1001), (-5, 300)]
     got = {r["node"]: r["comp"] for r in graph.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
     assert {got[i] for i in range(301)} == {-5} and got[2000] == got[1001] == 1000
+
+
+def test_suffix_least_of_neighbours_at_run_edges():
+    """The sliding minimum in runs gives what one pass gives, at the runs' edges too."""
+    import numpy as np
+    from demandlens.llm.suffixes import _least
+    rng = np.random.default_rng(5)
+    for n, width, step in ((1, 1, 4), (7, 7, 4), (40, 5, 4), (41, 8, 16), (16 + 4, 5, 16), (16 + 5, 5, 16), (400, 337, 16)):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        assert (_least(x, width, step) == np.lib.stride_tricks.sliding_window_view(x, width).min(axis=1)).all()
+
+
+def test_suffix_counts_of_symbols_are_kept_between_rounds(monkeypatch):
+    """Each round is given the rows of every symbol so far; none counts all rows again."""
+    import numpy as np
+    from demandlens.llm import columns
+    seen = []
+    mapped = columns.Collection._mapped
+
+    def watch(self, before, newest, total):
+        seen.append((total == np.bincount(before, minlength=self.none + 1)).all())
+        return mapped(self, before, newest, total)
+
+    monkeypatch.setattr(columns.Collection, "_mapped", watch)
+    text = b"one two three one two three four "
+    found = columns.repeated([text, b"x " + text[:20], b"y"], np.ones(3), 12)
+    whole = [text, b"x " + text[:20], b"y"]
+    windows = [w[i:i + 12] for w in whole for i in range(len(w) - 11)]
+    starts = [k + i for k, w in zip(np.cumsum([0, *map(len, whole)]), whole) for i in range(len(w) - 11)]
+    want = np.zeros(sum(map(len, whole)), bool)
+    want[[s for s, w in zip(starts, windows) if windows.count(w) > 1]] = True
+    assert (found == want).all() and len(seen) > 3 and all(seen)
