@@ -53,28 +53,33 @@ def bind_stores(read) -> DataFrame:
                     (F.col("s_suppkey") % 17 + 1).cast("int").alias("cluster")))
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys that hardly repeat, to be grouped where they arrive: groups held by the
+    tasks that scan would be as many as their rows. The partitions are not merged, for their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def bind_train(read) -> DataFrame:
     li = read("lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
                                  "l_returnflag", "l_discount")
     p = read("part").select("p_partkey", "p_brand")
     sales = F.when(F.col("l_returnflag") == "R", F.lit(0).cast(MONEY)) \
              .otherwise(F.col("l_extendedprice").cast(MONEY))
-    return (li.join(p, li.l_partkey == p.p_partkey)
-            .groupBy(F.col("l_shipdate").cast("date").alias("date"),
-                     F.col("l_suppkey").alias("store_nbr"),
-                     F.col("p_brand").alias("family"))
-            .agg(F.sum(sales).cast(MONEY).alias("sales"),
-                 F.sum(F.when(F.col("l_discount") >= 0.07, 1).otherwise(0)).cast("int")
-                  .alias("onpromotion")))
+    sold = (li.join(p, li.l_partkey == p.p_partkey)
+            .select(F.col("l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("store_nbr"),
+                    F.col("p_brand").alias("family"), sales.alias("sales"),
+                    F.when(F.col("l_discount") >= 0.07, 1).otherwise(0).alias("onpromotion")))
+    return (_dealt(sold, "date", "store_nbr", "family").groupBy("date", "store_nbr", "family")
+            .agg(F.sum("sales").cast(MONEY).alias("sales"), F.sum("onpromotion").cast("int").alias("onpromotion")))
 
 
 def bind_transactions(read) -> DataFrame:
     li = read("lineitem").select("l_orderkey", "l_suppkey", "l_shipdate")
     o = read("orders").filter(F.col("o_orderstatus") != "P").select("o_orderkey")
     # Only existence in non-pending orders matters for a distinct count: a semi join.
-    return (li.join(o, li.l_orderkey == o.o_orderkey, "left_semi")
-            .groupBy(F.col("l_shipdate").cast("date").alias("date"),
-                     F.col("l_suppkey").alias("store_nbr"))
+    ordered = (li.join(o, li.l_orderkey == o.o_orderkey, "left_semi")
+               .select(F.col("l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("store_nbr"), "l_orderkey"))
+    return (_dealt(ordered, "date", "store_nbr", "l_orderkey").groupBy("date", "store_nbr")
             .agg(F.count_distinct("l_orderkey").cast("int").alias("transactions")))
 
 

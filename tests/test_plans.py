@@ -224,3 +224,12 @@ def test_no_single_partition_shuffle_of_fact_sized_data(L, name):
     assert L._entity_bound < L.context.count()
     for rows in _single_partition_rows(QUERIES[name](L)):
         assert rows <= 1.01 * L._entity_bound      # printed statistics keep 3 digits
+
+
+def test_bound_facts_are_grouped_after_their_shuffle(spark):
+    """The tasks that scan the raw tables hold no groups: facts and transactions are dealt first."""
+    from demandlens.sources import load_model
+    model = load_model(spark, "/root/testdata/sf0.001", binding="tpch")
+    for df in (model.train, model.transactions):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" not in plan[plan.index("REPARTITION_BY_NUM"):]
