@@ -228,8 +228,18 @@ def test_no_single_partition_shuffle_of_fact_sized_data(L, name):
 
 def test_bound_facts_are_grouped_after_their_shuffle(spark):
     """The tasks that scan the raw tables hold no groups: facts and transactions are dealt first."""
-    from demandlens.sources import load_model
-    model = load_model(spark, "/root/testdata/sf0.001", binding="tpch")
-    for df in (model.train, model.transactions):
-        plan = df._jdf.queryExecution().executedPlan().toString()
+    from demandlens.sources.tpch import bind_train, bind_transactions
+    day = "TIMESTAMP'2017-01-01 00:00:00'"
+    raw = {"lineitem": f"""VALUES (1, 1, 7, {day}, 10.0D, 'N', 0.08D), (1, 1, 7, {day}, 5.0D, 'R', 0.0D), (2, 1, 7, {day}, 1.5D, 'N', 0.0D),
+                           (3, 2, NULL, {day}, 2.0D, 'N', 0.07D), (9, 9, 8, {day}, 1.0D, 'N', 0.0D)
+                           AS t(l_orderkey, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_returnflag, l_discount)""",
+           "part": "VALUES (1, 'A'), (2, 'B') AS t(p_partkey, p_brand)",
+           "orders": "VALUES (1, 'O'), (2, 'F'), (3, 'P') AS t(o_orderkey, o_orderstatus)"}
+    read = lambda name: spark.sql("SELECT * FROM " + raw[name])
+    train, transactions = bind_train(read), bind_transactions(read)
+    assert sorted((r["store_nbr"] or 0, r["family"], float(r["sales"]), r["onpromotion"]) for r in train.collect()) == [
+        (0, "B", 2.0, 1), (7, "A", 11.5, 1)]
+    assert [(r["store_nbr"], r["transactions"]) for r in transactions.collect()] == [(7, 2)]
+    for df in (train, transactions):
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
         assert "HashAggregate" not in plan[plan.index("REPARTITION_BY_NUM"):]
